@@ -11,7 +11,7 @@ WHITESPACE = (
     r"\t-\r\x1c-\x20\x85\xa0\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
 )
 # Fixed value: byte order mark.
-BOM = "﻿"
+BOM = "\ufeff"
 
 # Task names and their class ids; anything else is OTHER_CLASS.
 TASK_CLASSES = {

@@ -141,9 +141,17 @@ requests AS (
   FROM (SELECT doc_id, regexp_split_to_array(trim(text, ' '), '[ \\t\\n\\r\\f]+') AS token_words FROM documents))"""
 
 
+def epoch_micros(ts):
+    """Microseconds since 1970 of a wall-clock time, in no session's time zone."""
+    gap = ts.cast("timestamp_ntz") - F.lit("1970-01-01").cast("timestamp_ntz")
+    part = lambda unit: F.extract(F.lit(unit), gap).cast("bigint")
+    minutes = (part("DAY") * 24 + part("HOUR")) * 60 + part("MINUTE")
+    return minutes * 60_000_000 + (F.extract(F.lit("SECOND"), gap) * 1_000_000).cast("bigint")
+
+
 def metric_rows(spark: SparkSession, sf: str) -> DataFrame:
     """Events as metric values of one hour, rank and task."""
-    hour = F.floor((F.unix_micros("ts") - F.unix_micros(F.lit(ORIGIN).cast("timestamp"))) / 3_600_000_000)
+    hour = F.floor((epoch_micros(F.col("ts")) - epoch_micros(F.lit(ORIGIN))) / 3_600_000_000)
     return table(spark, sf, "events").select(
         "event_id",
         "ts",
@@ -184,7 +192,7 @@ def progress_rows(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "events").select(
         F.col("event_type").alias("run"),
         F.col("event_id").alias("step"),
-        F.unix_micros("ts").alias("t"),
+        epoch_micros(F.col("ts")).alias("t"),
         (F.lit(1000) + F.pmod("user_id", F.lit(50))).alias("tokens"),
         (F.pmod("event_id", F.lit(500)) == 0).alias("force"),
     )

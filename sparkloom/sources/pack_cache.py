@@ -58,9 +58,10 @@ def cached_packs(spark: SparkSession, path: str, build: Callable[[], DataFrame])
 
 
 def metrics_json(metrics: DataFrame, step: str, name: str, value: str) -> DataFrame:
-    """One JSON object per step with its metrics, names in order."""
-    pairs = F.sort_array(F.collect_list(F.struct(F.col(name), F.col(value))))
-    return metrics.groupBy(step).agg(F.to_json(F.map_from_entries(pairs)).alias("json"))
+    """One JSON object per step: the step, then its metrics by name."""
+    pairs = F.sort_array(F.collect_list(F.struct(F.col(name), F.col(value).cast("double"))))
+    whole = F.map_concat(F.create_map(F.lit("step"), F.col(step).cast("double")), F.map_from_entries("pairs"))
+    return metrics.groupBy(step).agg(pairs.alias("pairs")).select(step, F.to_json(whole).alias("json"))
 
 
 def metrics_json_sink(metrics: DataFrame, path: str, step: str = "step", name: str = "metric", value: str = "value") -> None:
