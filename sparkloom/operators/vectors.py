@@ -27,23 +27,31 @@ def _mean_vector(weight: Column, vec: str, dim: int) -> Column:
 
 
 def segment_pool(
-    vectors: DataFrame, ranges: DataFrame, segment: str, pool: int, dim: int
+    vectors: DataFrame, ranges: DataFrame, segments: list[str], pool: int, dim: int
 ) -> DataFrame:
-    """Mean of the first and the last ``pool`` positions of a segment of each sequence.
+    """Mean of the first and the last ``pool`` positions of each segment of each sequence.
 
     A position in both ends counts twice; an empty segment gives zeros. Both ends
-    stay inside the segment. ``ranges``: seq_id, range_ids.
+    stay inside the segment. ``ranges``: seq_id, range_ids. One pass for all segments.
     """
-    if segment not in SEGMENTS:
-        raise ValueError(f"unknown segment: {segment}")
-    first, last = SEGMENTS[segment]
-    bounds = ranges.select(
-        "seq_id", F.get("range_ids", F.lit(first)).alias("_start"), F.get("range_ids", F.lit(last)).alias("_end")
-    )
+    unknown = [s for s in segments if s not in SEGMENTS]
+    if unknown:
+        raise ValueError(f"unknown segments: {', '.join(unknown)}")
+    spans = [
+        F.struct(
+            F.lit(s).alias("segment"),
+            F.get("range_ids", F.lit(SEGMENTS[s][0])).alias("_start"),
+            F.get("range_ids", F.lit(SEGMENTS[s][1])).alias("_end"),
+        )
+        for s in segments
+    ]
+    bounds = ranges.select("seq_id", F.inline(F.array(*spans)))
     pos, start, end = F.col("pos"), F.col("_start"), F.col("_end")
     inside = pos.between(start, end)
     times = F.when(inside & (pos < start + pool), 1).otherwise(0) + F.when(inside & (pos > end - pool), 1).otherwise(0)
-    return vectors.join(bounds, "seq_id").groupBy("seq_id").agg(_mean_vector(times, "vec", dim).alias("pooled"))
+    return (
+        vectors.join(bounds, "seq_id").groupBy("seq_id", "segment").agg(_mean_vector(times, "vec", dim).alias("pooled"))
+    )
 
 
 def mean_pool(vectors: DataFrame, dim: int) -> DataFrame:

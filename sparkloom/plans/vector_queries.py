@@ -146,10 +146,7 @@ POOL_SQL = f"""{v.POSITION_VECTORS_SQL}, sizes AS (SELECT seq_id, max(pos) + 1 A
 )
 def segment_pool(spark: SparkSession, sf: str) -> DataFrame:
     rows = v.position_vectors(spark, sf)
-    out = None
-    for segment in ("ctx_q", "a", "first_token"):
-        part = vec.segment_pool(rows, _ranges(rows), segment, 20, DIM).withColumn("segment", F.lit(segment))
-        out = part if out is None else out.unionByName(part)
+    out = vec.segment_pool(rows, _ranges(rows), ["ctx_q", "a", "first_token"], 20, DIM)
     return out.select("seq_id", "segment", F.posexplode("pooled").alias("at", "x")).select(
         "seq_id", "segment", (F.col("at") + 1).alias("dim"), r6("x").alias("value")
     )
@@ -182,7 +179,7 @@ def sample_router(softmax: bool = True) -> vec.Router:
 @query("route_decision")
 def route_decision(spark: SparkSession, sf: str) -> DataFrame:
     rows = v.position_vectors(spark, sf)
-    pooled = vec.segment_pool(rows, _ranges(rows), "ctx_q", 20, DIM)
+    pooled = vec.segment_pool(rows, _ranges(rows), ["ctx_q"], 20, DIM)
     routed = vec.route_decision(pooled, sample_router(), tau=1.25)
     return routed.select("seq_id", r6("share").alias("share"), "full_path")
 
@@ -190,7 +187,7 @@ def route_decision(spark: SparkSession, sf: str) -> DataFrame:
 @query("gumbel_route")
 def gumbel_route(spark: SparkSession, sf: str) -> DataFrame:
     rows = v.position_vectors(spark, sf)
-    pooled = vec.segment_pool(rows, _ranges(rows), "ctx_q", 20, DIM)
+    pooled = vec.segment_pool(rows, _ranges(rows), ["ctx_q"], 20, DIM)
 
     def uniform(i: int):
         mark = F.md5(F.concat_ws(":", F.lit("42"), "seq_id", F.lit(str(i))))

@@ -188,8 +188,12 @@ eval_rows AS (
 
 
 def progress_rows(spark: SparkSession, sf: str) -> DataFrame:
+    return progress_columns(table(spark, sf, "events"))
+
+
+def progress_columns(events: DataFrame) -> DataFrame:
     """Each event type as a run: a time and a token count per row, some rows forced."""
-    return table(spark, sf, "events").select(
+    return events.select(
         F.col("event_type").alias("run"),
         F.col("event_id").alias("step"),
         epoch_micros(F.col("ts")).alias("t"),
