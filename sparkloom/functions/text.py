@@ -6,10 +6,14 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, functions as F, types as T
 
-# The characters a Unicode-aware strip removes.
+# The characters a Unicode-aware strip removes, as a pattern class and as text.
 WHITESPACE = (
     r"\t-\r\x1c-\x20\x85\xa0\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
 )
+STRIP_CHARACTERS = (
+    "\t\n\v\f\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007"
+    "\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+)
 # Fixed value: byte order mark.
 BOM = "\ufeff"
 
@@ -44,11 +48,11 @@ def clean_text(text: Column) -> Column:
 
 
 def rstrip(text: Column) -> Column:
-    return F.regexp_replace(text, f"[{WHITESPACE}]+\\z", "")
+    return F.rtrim(text, F.lit(STRIP_CHARACTERS))
 
 
 def lstrip(text: Column) -> Column:
-    return F.regexp_replace(text, f"\\A[{WHITESPACE}]+", "")
+    return F.ltrim(text, F.lit(STRIP_CHARACTERS))
 
 
 def parse_metadata(metadata: Column, data_type: T.DataType) -> Column:

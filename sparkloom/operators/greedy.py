@@ -4,14 +4,14 @@ Next-fit packing, budgeted batches and rate-limited logging share one shape: row
 come in order, a *cut* starts at some row, and the next cut is the first later
 row that the open one cannot take. The rule is sequential, but what an earlier
 chunk can do to a later one is only *where its first cut falls*; starts that
-fall close together soon meet in the same later cuts. So:
+fall close together soon meet in the same later cuts. So, with a chunk read in pieces of a fixed number of rows:
 
-1. every chunk reports, for each possible first cut, how many cuts follow and
+1. every piece reports, for each possible first cut, how many cuts follow and
    what stays open at its end (equal neighbours merged);
-2. these reports, at most two per chunk, are folded per group;
-3. every chunk then cuts its own rows, given what was open when it began.
+2. these reports, at most two per piece, are folded per group;
+3. every piece then cuts its own rows, given what was open when it began.
 
-No group is ever collected: a shard holding all rows is still many chunks.
+No group is ever collected: a shard holding all rows is still many pieces.
 """
 
 from __future__ import annotations
@@ -223,46 +223,57 @@ def _step(rule, row, carry: Open | None) -> Open:
     return Open(int(row.value[k]), int(row.open_rows[k]), cuts + int(row.cuts[k]))
 
 
-def greedy_cuts(df: DataFrame, group: str, order: list, rule: Budget | Gap, chunks: int | None = None) -> DataFrame:
+def _pieces(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Whole pieces of one partition, in order, from its Arrow batches."""
+    held: list[pd.DataFrame] = []
+    for batch in batches:
+        if not len(batch):
+            continue
+        for lo, hi in _runs(batch["_piece"].to_numpy()):
+            part = batch.iloc[lo:hi]
+            if held and held[-1]["_piece"].iloc[-1] != part["_piece"].iloc[0]:
+                yield pd.concat(held, ignore_index=True)
+                held = []
+            held.append(part)
+    if held:
+        yield pd.concat(held, ignore_index=True)
+
+
+def greedy_cuts(
+    df: DataFrame, group: str, order: list, rule: Budget | Gap, chunks: int | None = None, piece_rows: int = 1_000_000
+) -> DataFrame:
     """Add ``_cut`` (0-based number in the group) and ``_starts`` to every row.
 
-    Pass only the columns the rule and the caller need: rows of one chunk are
-    held in memory by its task.
+    Pass only the columns the rule and the caller need. A task holds one piece of at
+    most ``piece_rows`` rows at a time, however large its partition is.
     """
-    rows = ordered_chunks(df, group, *order, chunks=chunks)
+    piece = F.col("_chunk").cast("bigint") * (1 << 32) + F.floor(F.col("_row") / piece_rows)
+    rows = ordered_chunks(df, group, *order, chunks=chunks).withColumn("_piece", piece)
     group_type = df.schema[group].dataType
     longs = T.ArrayType(T.LongType())
     report_schema = T.StructType(
-        [T.StructField(group, group_type), T.StructField("_chunk", T.IntegerType())]
+        [T.StructField(group, group_type), T.StructField("_piece", T.LongType())]
         + [T.StructField(c, longs) for c in ("start", "axis", "value", "open_rows", "cuts")]
         + [T.StructField(c, T.LongType()) for c in ("m", "total", "head")]
     )
-    needed = [group, "_chunk", rule.column] + ([rule.forced] if isinstance(rule, Gap) else [])
+    needed = [group, "_piece", rule.column] + ([rule.forced] if isinstance(rule, Gap) else [])
 
     def reports(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held = [b for b in batches if len(b)]
-        if not held:
-            return
-        pdf = pd.concat(held, ignore_index=True)
-        spans = _runs(pdf[group].to_numpy())
-        # only the first and the last group of a chunk can reach into another chunk
-        for lo, hi in {spans[0], spans[-1]}:
-            part = pdf.iloc[lo:hi]
-            yield pd.DataFrame([{group: part[group].iloc[0], "_chunk": part["_chunk"].iloc[0], **_report(rule.prepare(part))}])
+        for pdf in _pieces(batches):
+            spans = _runs(pdf[group].to_numpy())
+            # only the first and the last group of a piece can reach into another piece
+            for lo, hi in {spans[0], spans[-1]}:
+                part = pdf.iloc[lo:hi]
+                head = part.iloc[0]
+                yield pd.DataFrame([{group: head[group], "_piece": head["_piece"], **_report(rule.prepare(part))}])
 
     carry_schema = T.StructType(
-        [
-            T.StructField("_g", group_type),
-            T.StructField("_c", T.IntegerType()),
-            T.StructField("_value", T.LongType()),
-            T.StructField("_rows", T.LongType()),
-            T.StructField("_cuts", T.LongType()),
-        ]
+        [T.StructField("_g", group_type)] + [T.StructField(c, T.LongType()) for c in ("_p", "_value", "_rows", "_cuts")]
     )
 
     def fold(pdf: pd.DataFrame) -> pd.DataFrame:
         out, carry = [], None
-        for row in pdf.sort_values("_chunk").itertuples(index=False):
+        for row in pdf.sort_values("_piece").itertuples(index=False):
             if carry is not None:
                 out.append((row[0], row[1], carry.value, carry.rows, carry.cuts))
             carry = _step(rule, row, carry)
@@ -274,26 +285,22 @@ def greedy_cuts(df: DataFrame, group: str, order: list, rule: Budget | Gap, chun
         .groupBy(group)
         .applyInPandas(fold, carry_schema)
     )
-    # at most two rows per chunk, so the broadcast is bounded by the partition count
+    # at most two rows per piece of a million, so the broadcast is small at any scale
     carried = rows.join(
-        F.broadcast(carries), (F.col(group) == F.col("_g")) & (F.col("_chunk") == F.col("_c")), "left"
-    ).select(*df.columns, "_value", "_rows", "_cuts")
-
+        F.broadcast(carries), (F.col(group) == F.col("_g")) & (F.col("_piece") == F.col("_p")), "left"
+    ).select(*df.columns, "_piece", "_value", "_rows", "_cuts")
     columns = df.columns
 
     def assign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held = [b for b in batches if len(b)]
-        if not held:
-            return
-        pdf = pd.concat(held, ignore_index=True)
-        cut_no = np.empty(len(pdf), dtype=np.int64)
-        starts = np.empty(len(pdf), dtype=bool)
-        for lo, hi in _runs(pdf[group].to_numpy()):
-            part = pdf.iloc[lo:hi]
-            head = part.iloc[0]
-            carry = None if pd.isna(head["_value"]) else Open(int(head["_value"]), int(head["_rows"]), int(head["_cuts"]))
-            cut_no[lo:hi], starts[lo:hi], _ = cut_rows(rule.prepare(part), carry)
-        yield pdf[columns].assign(_cut=cut_no, _starts=starts)
+        for pdf in _pieces(batches):
+            cut_no = np.empty(len(pdf), dtype=np.int64)
+            starts = np.empty(len(pdf), dtype=bool)
+            for lo, hi in _runs(pdf[group].to_numpy()):
+                part = pdf.iloc[lo:hi]
+                value, held, done = (part[c].iloc[0] for c in ("_value", "_rows", "_cuts"))
+                carry = None if pd.isna(value) else Open(int(value), int(held), int(done))
+                cut_no[lo:hi], starts[lo:hi], _ = cut_rows(rule.prepare(part), carry)
+            yield pdf[columns].assign(_cut=cut_no, _starts=starts)
 
     out_schema = T.StructType(
         df.schema.fields + [T.StructField("_cut", T.LongType()), T.StructField("_starts", T.BooleanType())]

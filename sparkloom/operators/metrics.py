@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from sparkloom.functions import text
 from sparkloom.operators.greedy import Gap, greedy_cuts
 from sparkloom.operators.ordering import running
+from sparkloom.session import cut
 
 
 def valid_values(df: DataFrame, value: str = "value") -> DataFrame:
@@ -46,16 +47,15 @@ def last_known_fill(
 ) -> DataFrame:
     """Every step lists all tasks seen so far; one without data repeats its last value.
 
-    ``step_values`` has one row per step and task. Each row covers the steps up to
-    the next row of its task, so no grid of steps and tasks is built.
+    ``step_values`` has one row per step and task, so it is small next to the data.
+    Each task is spread from its first step to the last one, then joined by step.
     """
-    steps = step_values.select(step).distinct()
-    last_step = steps.agg(F.max(step).alias("_end"))
-    bounds = step_values.groupBy(task).agg(F.min(step).alias("_from"))
-    spans = bounds.join(F.broadcast(last_step)).select(  # one row
-        task, F.explode(F.sequence("_from", "_end")).alias(step)
-    )
-    filled = spans.join(steps, step, "left_semi").join(step_values.select(task, step, value), [task, step], "left")
+    rows = cut(step_values.select(step, task, value))  # read several times
+    steps = rows.select(step).distinct()
+    end = rows.agg(F.max(step)).first()[0]
+    bounds = rows.groupBy(task).agg(F.min(step).alias("_from"))
+    spans = bounds.select(task, F.explode(F.sequence("_from", F.lit(end).cast("bigint"))).alias(step))
+    filled = spans.join(steps, step, "left_semi").join(rows, [task, step], "left")
     return running(filled, [task], [step], chunks=chunks, known=("last", value)).select(
         step, task, F.col("known").alias(value), F.col(value).isNull().alias("carried")
     )
@@ -174,19 +174,18 @@ def lambda_lookup(samples: DataFrame, penalties: DataFrame) -> DataFrame:
     return samples.join(F.broadcast(penalties), "task_id", "left")
 
 
-def task_config_lookup(samples: DataFrame, config: DataFrame, task: str = "task") -> DataFrame:
-    """Start and end of the sample's task, or of the ``default`` row. One row per task name."""
-    fallback = config.filter(F.col("task") == "default").select(
-        F.lit(True).alias("_any"), F.col("start").alias("_start"), F.col("end").alias("_end")
-    )
-    named = config.select(F.col("task").alias(task), "start", "end")
-    return (
-        samples.withColumn("_any", F.lit(True))
-        .join(F.broadcast(named), task, "left")
-        .join(F.broadcast(fallback), "_any")
-        .withColumns({"start": F.coalesce("start", "_start"), "end": F.coalesce("end", "_end")})
-        .drop("_any", "_start", "_end")
+def task_config_lookup(samples: DataFrame, config: dict[str, tuple[float, float]], task: str = "task") -> DataFrame:
+    """Start and end of the sample's task, or those of ``default``.
+
+    The configuration is a handful of task names, so it becomes a map literal and
+    the lookup needs no join.
+    """
+    pairs = [(F.lit(name), F.struct(F.lit(float(a)).alias("start"), F.lit(float(b)).alias("end"))) for name, (a, b) in config.items()]
+    known = F.create_map(*[x for pair in pairs for x in pair])
+    found = F.coalesce(
+        F.try_element_at(known, F.coalesce(F.col(task), F.lit("default"))), F.try_element_at(known, F.lit("default"))
     )
+    return samples.withColumns({"start": found["start"], "end": found["end"]})
 
 
 def macro_task_loss(samples: DataFrame, penalties: DataFrame) -> DataFrame:

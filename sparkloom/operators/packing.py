@@ -175,8 +175,12 @@ def assign_packs(items: DataFrame, samples: DataFrame, config: PackConfig, chunk
 
 
 def staged_samples(items: DataFrame, config: PackConfig) -> DataFrame:
-    """Tokenise once and write; later passes read only the columns they need."""
-    return stage(length_bounds(process_items(items, config), config.min_len, config.max_len), "samples")
+    """Tokenise once and write; later passes read only the columns they need.
+
+    The bounds apply to the written table: put before the write, the optimizer would
+    move the filter below the tokenizer and run it twice.
+    """
+    return length_bounds(stage(process_items(items, config), "samples"), config.min_len, config.max_len)
 
 
 def build_packed_dataset(items: DataFrame, config: PackConfig, chunks: int | None = None) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from sparkloom.functions import tokens
 from sparkloom.operators.greedy import Budget, greedy_cuts
+from sparkloom.operators.lookups import lookup_join
 from sparkloom.operators.ordering import shuffle_key, with_global_index
 
 
@@ -18,12 +19,12 @@ def build_vocabulary(occurrences: DataFrame, chunks: int | None = None) -> DataF
 def encode_with_vocabulary(texts: DataFrame, vocabulary: DataFrame) -> DataFrame:
     """Long form (seq_id, pos, id, n) of ``words``; an empty list keeps one row without id."""
     long = texts.select("seq_id", F.size("words").alias("n"), F.posexplode_outer("words").alias("pos", "token"))
-    return long.join(vocabulary.select("token", "id"), "token", "left").select("seq_id", "pos", "id", "n")
+    return lookup_join(long, vocabulary.select("token", "id"), "token", row_bytes=64).select("seq_id", "pos", "id", "n")
 
 
 def detokenize(ids: DataFrame, vocabulary: DataFrame, separator: str = " ") -> DataFrame:
     """Ids back to one text per request."""
-    named = ids.join(vocabulary.select("id", "token"), "id", "left")
+    named = lookup_join(ids, vocabulary.select("id", "token"), "id", row_bytes=64)
     return named.groupBy("seq_id").agg(
         F.first("n").alias("n"),
         F.array_join(

@@ -9,6 +9,8 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
+from sparkloom.operators.lookups import lookup_join
+
 # Places in the range array where a segment starts and ends.
 SEGMENTS = {"first_token": (0, 1), "ctx": (2, 3), "q": (4, 5), "a": (6, 7), "ctx_q": (2, 5)}
 
@@ -16,7 +18,8 @@ SEGMENTS = {"first_token": (0, 1), "ctx": (2, 3), "q": (4, 5), "a": (6, 7), "ctx
 def vocab_lookup(ids: DataFrame, table: DataFrame, key: str, dim: int) -> DataFrame:
     """Vector of each id; ids outside the table give zeros. ``table``: id, vec."""
     zeros = F.array_repeat(F.lit(0.0), dim)
-    return ids.join(table.select(F.col("id").alias(key), "vec"), key, "left").withColumn("vec", F.coalesce("vec", zeros))
+    found = lookup_join(ids, table.select(F.col("id").alias(key), "vec"), key, row_bytes=8 * dim + 64)
+    return found.withColumn("vec", F.coalesce("vec", zeros))
 
 
 def _mean_vector(weight: Column, vec: str, dim: int) -> Column:
@@ -59,6 +62,14 @@ def mean_pool(vectors: DataFrame, dim: int) -> DataFrame:
     return vectors.groupBy("seq_id").agg(_mean_vector(F.lit(1), "vec", dim).alias("pooled"))
 
 
+def ends_pool(vectors: DataFrame, pool: int, dim: int) -> DataFrame:
+    """Mean of the first and the last ``pool`` positions of the whole sequence."""
+    zero = F.lit(0)
+    whole = vectors.groupBy("seq_id").agg(F.max("pos").alias("_last"))
+    ranges = whole.select("seq_id", F.array(zero, zero, zero, F.col("_last")).alias("range_ids"))
+    return segment_pool(vectors, ranges, ["ctx"], pool, dim).drop("segment")
+
+
 @dataclass(frozen=True)
 class Router:
     """Weights of the scoring network: two feature layers, three head layers, as (matrix, bias)."""

@@ -69,7 +69,7 @@ _MARKED_SQL = """marked AS (
     FROM (SELECT doc_id, replace(coalesce(text, ''), chr(65279), '') AS c FROM marked)""",
 )
 def clean_text(spark: SparkSession, sf: str) -> DataFrame:
-    docs = v.table(spark, sf, "documents")
+    docs = v.text_table(spark, sf, "documents")
     marked = F.when(F.pmod("doc_id", F.lit(7)) == 3, F.lit(None)).when(
         F.pmod("doc_id", F.lit(5)) == 0, F.concat(F.lit(text.BOM), "text", F.lit(text.BOM))
     ).otherwise(F.col("text"))
@@ -169,7 +169,7 @@ def render_chat(spark: SparkSession, sf: str) -> DataFrame:
     FROM (SELECT doc_id, {v.sql_ids('text')} AS ids FROM documents)""",
 )
 def tokenize(spark: SparkSession, sf: str) -> DataFrame:
-    ids = v.table(spark, sf, "documents").select("doc_id", tokens.tokenize(F.col("text")).alias("ids"))
+    ids = v.text_table(spark, sf, "documents").select("doc_id", tokens.tokenize(F.col("text")).alias("ids"))
     return ids.select("doc_id", F.size("ids").alias("n"), fingerprint(F.col("ids")).alias("ids_md5"))
 
 
@@ -179,7 +179,7 @@ def tokenize(spark: SparkSession, sf: str) -> DataFrame:
     FROM (SELECT doc_id, {v.sql_ids('text')} AS ids FROM documents)""",
 )
 def append_eos(spark: SparkSession, sf: str) -> DataFrame:
-    ended = v.table(spark, sf, "documents").select(
+    ended = v.text_table(spark, sf, "documents").select(
         "doc_id", tokens.append_eos(tokens.tokenize(F.col("text")), tokens.eos_id()).alias("ids")
     )
     # a second application must not add another end
@@ -292,7 +292,7 @@ def truncate_context(spark: SparkSession, sf: str) -> DataFrame:
 )
 def count_tokens(spark: SparkSession, sf: str) -> DataFrame:
     n = F.size(tokens.split_tokens(F.col("text"))).alias("n")
-    return v.table(spark, sf, "documents").select("lang", "source", n).groupBy("lang", "source").agg(
+    return v.text_table(spark, sf, "documents").select("lang", "source", n).groupBy("lang", "source").agg(
         F.count("*").alias("docs"),
         F.sum("n").alias("tokens"),
         F.min("n").alias("shortest"),

@@ -246,7 +246,7 @@ STEP_TASKS_SQL = f"""{v.METRIC_ROWS_SQL}, {CONFIG_SQL}, st AS (SELECT event_id,
 
 
 def _step_tasks(spark: SparkSession, sf: str) -> DataFrame:
-    config = spark.createDataFrame(CONFIG_ROWS, "task string, start double, end double")
+    config = {task: (start, end) for task, start, end in CONFIG_ROWS}
     rows = v.metric_rows(spark, sf).select("event_id", "step", v._task_of(F.pmod("event_id", F.lit(6))).alias("task"))
     return m.task_config_lookup(rows, config)
 

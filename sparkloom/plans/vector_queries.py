@@ -176,7 +176,26 @@ def sample_router(softmax: bool = True) -> vec.Router:
     return vec.Router(features, head, softmax)
 
 
-@query("route_decision")
+def _layer_sql(x: str, rows: int, cols: int, salt: int, silu: bool) -> str:
+    out = f"""list_transform(range({cols}), lambda c: list_dot_product({x}, list_transform(range({rows}),
+      lambda r: sin((r * {cols} + c) * CAST(0.37 AS DOUBLE) + {salt}) / sqrt({rows}))) + cos(c + {salt}) * CAST(0.01 AS DOUBLE))"""
+    return f"list_transform({out}, lambda y: y / (1 + exp(-y)))" if silu else out
+
+
+ROUTE_SQL = f"""{POOL_SQL},
+  means AS (SELECT seq_id, d, sum(w * x) / sum(w) AS x FROM dims WHERE segment = 'ctx_q' GROUP BY ALL),
+  pooled AS (SELECT seq_id, list(x ORDER BY d) AS x FROM means GROUP BY seq_id),
+  f1 AS MATERIALIZED (SELECT seq_id, {_layer_sql('x', DIM, 8 * DIM, 1, True)} AS x FROM pooled),
+  f2 AS MATERIALIZED (SELECT seq_id, {_layer_sql('x', 8 * DIM, 2 * DIM, 2, False)} AS x FROM f1),
+  h1 AS MATERIALIZED (SELECT seq_id, {_layer_sql('x', 2 * DIM, 4 * DIM, 3, True)} AS x FROM f2),
+  h2 AS MATERIALIZED (SELECT seq_id, {_layer_sql('x', 4 * DIM, DIM, 4, True)} AS x FROM h1),
+  logits AS MATERIALIZED (SELECT seq_id, {_layer_sql('x', DIM, 2, 5, False)} AS x FROM h2)"""
+
+
+@query(
+    "route_decision",
+    f"""WITH {ROUTE_SQL} SELECT seq_id, round(1 / (1 + exp((x[1] - x[2]) / 1.25)), 6) AS share, x[2] > x[1] AS full_path FROM logits""",
+)
 def route_decision(spark: SparkSession, sf: str) -> DataFrame:
     rows = v.position_vectors(spark, sf)
     pooled = vec.segment_pool(rows, _ranges(rows), ["ctx_q"], 20, DIM)
@@ -184,7 +203,16 @@ def route_decision(spark: SparkSession, sf: str) -> DataFrame:
     return routed.select("seq_id", r6("share").alias("share"), "full_path")
 
 
-@query("gumbel_route")
+_U_SQL = "(CAST('0x' || substr(md5('42:' || seq_id || ':{i}'), 1, 7) AS INTEGER) + 0.5) / 268435456.0"
+
+
+@query(
+    "gumbel_route",
+    f"""WITH {ROUTE_SQL}, noisy AS (SELECT seq_id,
+        x[1] - ln(-ln({_U_SQL.format(i=0)} + 1e-8) + 1e-8) AS a, x[2] - ln(-ln({_U_SQL.format(i=1)} + 1e-8) + 1e-8) AS b FROM logits),
+      shares AS (SELECT seq_id, 1 / (1 + exp((a - b) / 1.25)) AS share, b > a AS full_path FROM noisy)
+    SELECT seq_id, round(share, 6) AS share, full_path, round(-share * ln(share + 1e-8), 6) AS entropy FROM shares""",
+)
 def gumbel_route(spark: SparkSession, sf: str) -> DataFrame:
     rows = v.position_vectors(spark, sf)
     pooled = vec.segment_pool(rows, _ranges(rows), ["ctx_q"], 20, DIM)

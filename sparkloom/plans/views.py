@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from sparkloom.functions import text
 from sparkloom.functions.tokens import END_OF_TEXT, TOKEN_PATTERN
+from sparkloom.sources.corpus import spread_small
 
 # First hour of the event stream, and lengths used by the views.
 ORIGIN = "2024-01-01"
@@ -20,6 +21,11 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
+def text_table(spark: SparkSession, sf: str, name: str) -> DataFrame:
+    """A table whose rows are costly to work on."""
+    return spread_small(table(spark, sf, name), f"{sf}/{name}.parquet")
+
+
 def _task_of(number):
     names = list(text.TASK_CLASSES)
     out = F.lit("Other")
@@ -30,7 +36,7 @@ def _task_of(number):
 
 def sft_items(spark: SparkSession, sf: str) -> DataFrame:
     """Instruction items: a user turn, the next assistant turn, a document as context."""
-    turns = table(spark, sf, "conversations")
+    turns = text_table(spark, sf, "conversations")
     users = turns.filter("role = 'user'").select("conv_id", "turn", F.col("text").alias("question"))
     answers = turns.filter("role = 'assistant'").select(
         "conv_id", (F.col("turn") - 1).alias("turn"), F.col("text").alias("answer")
@@ -122,7 +128,7 @@ def words(text_column) -> "Column":  # noqa: F821
 
 def requests(spark: SparkSession, sf: str) -> DataFrame:
     """Documents as requests in arrival order; tokens are words."""
-    docs = table(spark, sf, "documents").select("doc_id", words(F.col("text")).alias("token_words"))
+    docs = text_table(spark, sf, "documents").select("doc_id", words(F.col("text")).alias("token_words"))
     n = F.size("token_words")
     return docs.select(
         F.col("doc_id").alias("seq_id"),

@@ -45,6 +45,23 @@ def read_parquet_files(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.option("pathGlobFilter", "*.parquet").parquet(path)
 
 
+def _total_bytes(spark: SparkSession, path: str) -> int:
+    target, fs = _hadoop_path(spark, path)
+    return fs.getContentSummary(target).getLength()
+
+
+def spread_small(df: DataFrame, path: str) -> DataFrame:
+    """Deal the rows of an input too small to fill the cluster's cores to all of them.
+
+    For costly work per row only. An input of more than one full split per core is
+    left as it is read, so at scale this adds no shuffle.
+    """
+    spark = df.sparkSession
+    cores = spark.sparkContext.defaultParallelism
+    split = int(spark.conf.get("spark.sql.files.maxPartitionBytes").rstrip("bB"))
+    return df.repartition(cores) if _total_bytes(spark, path) < cores * split else df
+
+
 def require_columns(df: DataFrame, *names: str) -> DataFrame:
     missing = [n for n in names if n not in df.columns]
     if missing:
@@ -55,10 +72,10 @@ def require_columns(df: DataFrame, *names: str) -> DataFrame:
 def read_corpus(spark: SparkSession, path: str) -> DataFrame:
     """Raw items. Files without an ``item_id`` get one from file path and row number."""
     raw = require_columns(read_parquet_files(spark, path), *RAW_COLUMNS)
-    if "item_id" in raw.columns:
-        return raw
-    row = F.lpad(F.col("_metadata.row_index").cast("string"), 15, "0")
-    return raw.withColumn("item_id", F.concat_ws(":", F.col("_metadata.file_path"), row))
+    if "item_id" not in raw.columns:
+        row = F.lpad(F.col("_metadata.row_index").cast("string"), 15, "0")
+        raw = raw.withColumn("item_id", F.concat_ws(":", F.col("_metadata.file_path"), row))
+    return spread_small(raw, path)
 
 
 def typed_pack_items(packs: DataFrame) -> DataFrame:

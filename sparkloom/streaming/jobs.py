@@ -12,12 +12,13 @@ from sparkloom.operators.greedy import Budget, Gap, Open, cut_rows
 from sparkloom.session import stage_path
 
 
-def read_table_stream(spark: SparkSession, folder: str, name: str, files_per_trigger: int | None = None) -> DataFrame:
-    """Files of one table in a folder as a stream; its schema is that of the files."""
-    reader = spark.readStream.schema(spark.read.parquet(f"{folder}/{name}").schema).option("pathGlobFilter", name)
-    if files_per_trigger:
-        reader = reader.option("maxFilesPerTrigger", files_per_trigger)
-    return reader.parquet(folder)
+def read_table_stream(spark: SparkSession, folder: str, name: str, max_bytes: int = 1 << 30) -> DataFrame:
+    """Files of one table in a folder as a stream; its schema is that of the files.
+
+    ``max_bytes`` per batch bounds what one hot key can bring to its task.
+    """
+    reader = spark.readStream.schema(spark.read.parquet(f"{folder}/{name}").schema)
+    return reader.option("pathGlobFilter", name).option("maxBytesPerTrigger", max_bytes).parquet(folder)
 
 
 def drain_to_path(stream: DataFrame, name: str) -> str:
@@ -98,8 +99,8 @@ _OPEN_STATE = T.StructType([T.StructField(n, T.LongType()) for n in ("value", "r
 def stream_cuts(rows: DataFrame, group: str, order: list[str], rule: Budget | Gap) -> DataFrame:
     """Greedy cuts with what is open per group kept as state between batches.
 
-    Rows of a group are ordered inside a batch; how many come at once is set by the
-    source (``maxFilesPerTrigger``, ``maxBytesPerTrigger``).
+    Rows of a group are ordered inside a batch; the source bounds the batch
+    (``maxBytesPerTrigger``). A backlog of any size is better served by the batch operator.
     """
     columns = rows.columns
     out = T.StructType(
