@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import Column, functions as F, types as T
@@ -43,7 +43,7 @@ def tokenizer_udf(load: Callable[[], Callable[[str], list[int]]]):
     """A caller's tokenizer as an Arrow UDF; ``load`` runs once per Python worker."""
 
     @F.pandas_udf(T.ArrayType(T.IntegerType()))
-    def encode(batches: "Iterator[pd.Series]") -> "Iterator[pd.Series]":  # noqa: F821
+    def encode(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         run = load()
         for texts in batches:
             yield texts.map(lambda t: [] if t is None else run(t))

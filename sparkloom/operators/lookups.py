@@ -4,19 +4,35 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
+from sparkloom.session import cut
+
 BROADCAST_BYTES = 64 << 20
+HOT_KEYS = 1000
 
 
-def lookup_join(big: DataFrame, table: DataFrame, key: str, row_bytes: int, salts: int = 32) -> DataFrame:
+def lookup_join(big: DataFrame, table: DataFrame, key: str, row_bytes: int) -> DataFrame:
     """Left join of ``big`` with a table that has one row per key.
 
     The table is broadcast only when a count shows that its rows of about ``row_bytes``
-    stay within 64 MB; the count stops beyond that. A larger one is copied once per salt and joined on (key, salt), so a key that a third of the
-    rows share is spread over ``salts`` tasks.
+    stay within 64 MB; the count stops beyond that.
     """
     limit = BROADCAST_BYTES // row_bytes
-    if len(table.select(F.lit(1)).limit(limit + 1).agg(F.count("*").alias("n")).filter(F.col("n") <= limit).take(1)):
+    if table.select(key).limit(limit + 1).count() <= limit:
         return big.join(F.broadcast(table), key, "left")
-    salted = table.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    spread = big.withColumn("_salt", F.pmod(F.xxhash64(*big.columns), F.lit(salts)).cast("int"))
-    return spread.join(salted, [key, "_salt"], "left").drop("_salt")
+    return split_join(big, table, key)
+
+
+def split_join(big: DataFrame, table: DataFrame, key: str, hot_keys: int = HOT_KEYS) -> DataFrame:
+    """The same join for a table of any size.
+
+    The most frequent keys of ``big`` (a fixed number) meet their table rows by
+    broadcast and are never shuffled; any other key has at most 1/``hot_keys`` of
+    the rows and is joined by a shuffle.
+    """
+    often = big.groupBy(key).agg(F.count("*").alias("_uses")).orderBy(F.col("_uses").desc(), key).limit(hot_keys)
+    hot = cut(often.select(key, F.lit(True).alias("_hot")))
+    hot_table = table.join(F.broadcast(hot.select(key)), key, "left_semi")
+    marked = big.join(F.broadcast(hot), key, "left")
+    first = marked.filter(F.col("_hot")).drop("_hot").join(F.broadcast(hot_table), key, "left")
+    rest = marked.filter(F.col("_hot").isNull()).drop("_hot").join(table, key, "left")
+    return first.unionByName(rest)

@@ -78,21 +78,30 @@ def last_token(df: DataFrame, *keys: str, pos: str = "pos", columns: list[str])
     return df.groupBy(*keys).agg(last.alias("_last")).select(*keys, "_last.*")
 
 
-def scale_softmax(df: DataFrame, key: str, value: str, temperature: float | Column) -> DataFrame:
+_STEP = 64.0  # exponents of one part differ by less than this, so its sum cannot overflow
+
+
+def scale_softmax(df: DataFrame, key: str, value: str, temperature: float) -> DataFrame:
     """Softmax of value / temperature inside each group.
 
-    Maximum and sum come from map-side aggregates joined back, so a hot group is
-    never sorted or held by one task.
+    Sums of exponentials are kept apart per step of 64 and put on the scale of the
+    highest step at the end, so one map-side aggregate replaces a pass for the
+    maximum. Rows meet their group's sum in the last join, where a hot group can be
+    split.
     """
-    t = F.lit(temperature) if not isinstance(temperature, Column) else temperature
-    tops = df.groupBy(F.col(key).alias("_k")).agg(F.max(F.col(value) / t).alias("_top"))
-    raised = df.join(tops, F.col(key).eqNullSafe(F.col("_k"))).drop("_k").withColumn(
-        "_e", F.exp(F.col(value) / t - F.col("_top"))
-    )
-    sums = raised.groupBy(F.col(key).alias("_k")).agg(F.sum("_e").alias("_sum"))
-    return raised.join(sums, F.col(key).eqNullSafe(F.col("_k"))).select(
-        *df.columns, (F.col("_e") / F.col("_sum")).alias("share")
+    x = F.col(value) / F.lit(temperature)
+    step = F.floor(x / _STEP)
+    parts = df.groupBy(F.col(key), step.alias("_step")).agg(F.sum(F.exp(x - step * _STEP)).alias("_sum"))
+    totals = parts.groupBy(key).agg(
+        F.max("_step").alias("_top"), F.collect_list(F.struct("_step", "_sum")).alias("_parts")
+    ).select(
+        key,
+        "_top",
+        F.aggregate(
+            "_parts", F.lit(0.0), lambda a, p: a + p["_sum"] * F.exp((p["_step"] - F.col("_top")) * _STEP)
+        ).alias("_sum"),
     )
+    return df.join(totals, key).select(*df.columns, (F.exp(x - F.col("_top") * _STEP) / F.col("_sum")).alias("share"))
 
 
 def weighted_pick(
