@@ -58,16 +58,45 @@ def few_shot_join(items: DataFrame, demos: DataFrame, shots: int, seed: int, chu
     )
 
 
+_LINKS = 256  # blocks linked before their hashes are put aside
+
+
 def chain_hashes(ids: Column, block: int) -> Column:
-    """Hash of every full block and all blocks before it."""
-    blocks = tokens.token_blocks(ids, block, full_only=True)
-    start = F.struct(F.lit(-1).cast("bigint").alias("h"), F.array().cast("array<bigint>").alias("all"))
+    """Hash of every full block and all blocks before it.
 
-    def link(acc: Column, part: Column) -> Column:
-        h = F.xxhash64(acc["h"], part)
-        return F.struct(h.alias("h"), F.array_append(acc["all"], h).alias("all"))
+    Hashes are gathered in runs of ``_LINKS``, so that a long text does not copy
+    one growing array at every block. Pass a plain column: it is read inside a
+    lambda, where an expression would be worked out again for every block.
+    """
+    blocks = F.floor(F.size(ids) / block).cast("int")
+    runs = F.ceil(blocks / _LINKS).cast("int")
 
-    return F.aggregate(blocks, start, link, lambda acc: acc["all"])
+    def part_of(i: Column) -> Column:
+        last = F.least((i + 1) * _LINKS, blocks) - 1
+        return F.transform(F.sequence(i * _LINKS, last), lambda b: F.slice(ids, b * block + 1, F.lit(block)))
+
+    places = F.when(runs > 0, F.sequence(F.lit(0), runs - 1)).otherwise(F.array().cast("array<int>"))
+
+    def link(acc: Column, part: Column) -> Column:
+        # the last hash of the run is its state; the first entry came from the run before
+        return F.array_append(acc, F.xxhash64(F.element_at(acc, -1), part))
+
+    def run(acc: Column, part: Column) -> Column:
+        start = F.array(F.element_at(acc["run"], -1))
+        return F.struct(
+            F.aggregate(part, start, link).alias("run"), F.array_append(acc["done"], acc["run"]).alias("done")
+        )
+
+    first = F.struct(F.array(F.lit(-1).cast("bigint")).alias("run"), F.array().cast("array<array<bigint>>").alias("done"))
+    return F.aggregate(
+        F.transform(places, part_of),
+        first,
+        run,
+        # each run starts with the hash before it, which is left out
+        lambda acc: F.flatten(
+            F.transform(F.array_append(acc["done"], acc["run"]), lambda r: F.slice(r, 2, F.greatest(F.size(r) - 1, F.lit(0))))
+        ),
+    )
 
 
 def block_prefixes(requests: DataFrame, block: int, ids: str = "token_ids") -> DataFrame:

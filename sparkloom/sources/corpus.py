@@ -58,7 +58,9 @@ def spread_small(df: DataFrame, path: str) -> DataFrame:
     """
     spark = df.sparkSession
     cores = spark.sparkContext.defaultParallelism
-    split = int(spark.conf.get("spark.sql.files.maxPartitionBytes").rstrip("bB"))
+    split = spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(
+        spark.conf.get("spark.sql.files.maxPartitionBytes")
+    )
     return df.repartition(cores) if _total_bytes(spark, path) < cores * split else df
 
 
