@@ -22,12 +22,12 @@ def scalar_means(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(
     "task_means",
-    f"""WITH {v.METRIC_ROWS_SQL} SELECT step, task, round(avg(value), 6) AS value, round(avg(floor(value)), 6) AS whole,
+    f"""WITH {v.METRIC_ROWS_SQL} SELECT step, task, round(avg(value), 6) AS value, round(avg(value % 100), 6) AS part,
     round(avg(rank), 6) AS rank, count(*) AS samples FROM metric_rows GROUP BY step, task""",
 )
 def task_means(spark: SparkSession, sf: str) -> DataFrame:
-    rows = v.metric_rows(spark, sf).withColumn("whole", F.floor("value"))
-    measures = ("value", "whole", "rank")
+    rows = v.metric_rows(spark, sf).withColumn("part", F.pmod("value", F.lit(100.0)))
+    measures = ("value", "part", "rank")
     means = m.task_means(rows, measures, "step", "task")
     return means.select("step", "task", *[r6(c).alias(c) for c in measures], "samples")
 
@@ -58,12 +58,12 @@ def last_known_fill(spark: SparkSession, sf: str) -> DataFrame:
     "running_mean",
     f"""WITH {v.METRIC_ROWS_SQL}, s AS (SELECT step, rank, sum(value) AS total FROM metric_rows GROUP BY 1, 2),
     p AS (SELECT step, avg(total) AS value FROM s GROUP BY 1)
-    SELECT step, round(value, 6) AS value, round(avg(value) OVER (ORDER BY step), 6) AS running_mean FROM p""",
+    SELECT step, round(value, 8) AS value, round(avg(value) OVER (ORDER BY step), 8) AS running_mean FROM p""",
 )
 def running_mean(spark: SparkSession, sf: str) -> DataFrame:
     ranks = v.metric_rows(spark, sf).groupBy("step", "rank").agg(F.sum("value").alias("total"))
     steps = ranks.groupBy("step").agg(F.avg("total").alias("value"))
-    return m.running_mean(steps).select("step", r6("value").alias("value"), r6("running_mean").alias("running_mean"))
+    return m.running_mean(steps).select("step", F.round("value", 8).alias("value"), F.round("running_mean", 8).alias("running_mean"))
 
 
 INTERVAL = 6 * 3600 * 1_000_000

@@ -19,7 +19,7 @@ closed AS (SELECT * FROM hours
 def _task_means(spark: SparkSession, sf: str) -> DataFrame:
     """Closed windows of the event stream; wall-clock times are taken as UTC."""
     events = jobs.read_table_stream(spark, sf, "events.parquet").select(
-        F.timestamp_micros(v.epoch_micros(F.col("ts"))).alias("ts"), F.col("event_type").alias("task"), "value"
+        F.timestamp_micros(v.epoch_micros(F.col("ts"))).alias("ts"), F.col("event_type").alias("task"), F.round(F.col("value") * 100).alias("value")
     )
     return jobs.stream_task_means(events)
 

@@ -156,7 +156,10 @@ def epoch_micros(ts):
 
 
 def metric_rows(spark: SparkSession, sf: str) -> DataFrame:
-    """Events as metric values of one hour, rank and task."""
+    """Events as metric values of one hour, rank and task.
+
+    Values are in whole hundredths, so that sums do not depend on the order of adding.
+    """
     hour = F.floor((epoch_micros(F.col("ts")) - epoch_micros(F.lit(ORIGIN))) / 3_600_000_000)
     return table(spark, sf, "events").select(
         "event_id",
@@ -165,14 +168,14 @@ def metric_rows(spark: SparkSession, sf: str) -> DataFrame:
         F.pmod("user_id", F.lit(8)).cast("int").alias("rank"),
         F.col("event_type").alias("task"),
         F.lit("value").alias("metric"),
-        "value",
+        F.round(F.col("value") * 100).alias("value"),
     )
 
 
 METRIC_ROWS_SQL = f"""
 metric_rows AS (
   SELECT event_id, ts, (epoch_us(ts) - epoch_us(TIMESTAMP '{ORIGIN}')) // 3600000000 AS step,
-         CAST(user_id % 8 AS INTEGER) AS rank, event_type AS task, 'value' AS metric, value
+         CAST(user_id % 8 AS INTEGER) AS rank, event_type AS task, 'value' AS metric, round(value * 100) AS value
   FROM events)"""
 
 
