@@ -146,6 +146,24 @@ def eval_summary(values: DataFrame, losses: DataFrame, prefix: str = "eval") ->
     return eval_means(values, prefix=prefix).unionByName(loss)
 
 
+def compute_metrics(values: DataFrame, aggregates: Sequence[Column], *keys: str) -> DataFrame:
+    """A caller's own metrics: named aggregate columns, or grouped Arrow UDFs, per key."""
+    return values.groupBy(*keys).agg(*aggregates)
+
+
+def metric_map_rows(batches: DataFrame, names: Sequence[str], metrics: str = "metrics") -> DataFrame:
+    """Long rows (metric, value) of a map column whose keys must be the same in every batch."""
+    expected = F.array(*[F.lit(n) for n in sorted(names)])
+    found = F.sort_array(F.map_keys(metrics))
+    checked = F.when(found == expected, F.col(metrics)).otherwise(
+        F.raise_error(F.concat(F.lit("metric names differ from the first batch: "), F.array_join(found, ","))).cast(
+            batches.schema[metrics].dataType
+        )
+    )
+    kept = [c for c in batches.columns if c != metrics]
+    return batches.select(*kept, F.explode(checked).alias("metric", "value"))
+
+
 def union_eval(parts: Sequence[DataFrame], samples: int, idx: str = "eval_idx") -> DataFrame:
     """Values of all replicas, without the rows that only padded the sampler."""
     out = parts[0]

@@ -157,6 +157,21 @@ def triangle_ranges(pos: Column, length: Column, sink: int, local: int, block: i
     return F.when(length - pos <= last, causal_ranges(pos)).otherwise(block_ranges_to_positions(near, pos, block))
 
 
+def toggle_ranges(
+    toggle: str, pos: Column, length: Column, sink: int = 0, local: int = 0, window: int = 0, last: int = 0, block: int = 128
+) -> Column:
+    """Key positions a query position may use, by the name of the rule."""
+    if toggle == "none":
+        return causal_ranges(pos)
+    if toggle == "local":
+        return local_ranges(pos, window)
+    if toggle == "streaming":
+        return triangle_ranges(pos, length, sink, local, block, 0)
+    if toggle == "triangle":
+        return triangle_ranges(pos, length, sink, local, block, last)
+    raise ValueError(f"unknown toggle: {toggle}")
+
+
 def blocks_of(size: int, block: int = 128) -> int:
     """Blocks that cover ``size`` positions."""
     return -(-size // block)

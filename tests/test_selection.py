@@ -165,3 +165,19 @@ def test_last_known_over_chunks(spark):
         for s, value, carried in zip(part.step, part.value, part.carried):
             known = own.get(s, known)
             assert value == known and carried == (s not in own)
+
+
+def test_callers_metrics(spark):
+    frame = spark.createDataFrame([("a", 1.0), ("a", 3.0), ("b", 5.0)], "dataset string, value double")
+    got = metrics.compute_metrics(frame, [F.max("value").alias("top"), F.count("*").alias("n")], "dataset").collect()
+    assert {r.dataset: (r.top, r.n) for r in got} == {"a": (3.0, 2), "b": (5.0, 1)}
+
+
+def test_metric_names_are_fixed(spark):
+    schema = "batch int, metrics map<string,double>"
+    good = spark.createDataFrame([(0, {"x": 1.0, "y": 2.0}), (1, {"y": 4.0, "x": 3.0})], schema)
+    rows = metrics.metric_map_rows(good, ["x", "y"]).collect()
+    assert sorted((r.batch, r.metric, r.value) for r in rows) == [(0, "x", 1.0), (0, "y", 2.0), (1, "x", 3.0), (1, "y", 4.0)]
+    bad = spark.createDataFrame([(0, {"x": 1.0})], schema)
+    with pytest.raises(Exception, match="metric names differ"):
+        metrics.metric_map_rows(bad, ["x", "y"]).collect()

@@ -119,3 +119,19 @@ def test_unknown_ids_give_zeros(spark):
     ids = spark.createDataFrame([(0, 1), (1, 9)], "row long, token long")
     got = {r.row: r.vec for r in vec.vocab_lookup(ids, table, "token", 2).collect()}
     assert got == {0: [1.0, 2.0], 1: [0.0, 0.0]}
+
+
+def test_toggles(spark):
+    frame = spark.range(30).select(F.col("id").cast("int").alias("pos"))
+    keys = lambda r: [k for part in r for k in range(part["from"], part["to"] + 1)]
+    for toggle, allowed in {
+        "none": lambda q, k: True,
+        "local": lambda q, k: k > q - 5,
+        "streaming": lambda q, k: k // 4 < 1 or k // 4 > q // 4 - 2,
+        "triangle": lambda q, k: 30 - q <= 6 or k // 4 < 1 or k // 4 > q // 4 - 2,
+    }.items():
+        ranges = vec.toggle_ranges(toggle, F.col("pos"), F.lit(30), sink=1, local=2, window=5, last=6, block=4)
+        want = brute(30, allowed)
+        assert all(keys(r.r) == want[r.pos] for r in frame.select("pos", ranges.alias("r")).collect())
+    with pytest.raises(ValueError):
+        vec.toggle_ranges("topk", F.col("pos"), F.lit(30))
