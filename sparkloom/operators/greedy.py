@@ -247,8 +247,18 @@ def greedy_cuts(
     Pass only the columns the rule and the caller need. A task holds one piece of at
     most ``piece_rows`` rows at a time, however large its partition is.
     """
+    return cut_chunks(ordered_chunks(df, group, *order, chunks=chunks), group, rule, piece_rows)
+
+
+def cut_chunks(chunked: DataFrame, group: str, rule: Budget | Gap, piece_rows: int = 1_000_000) -> DataFrame:
+    """:func:`greedy_cuts` of rows that already lie in ordered chunks, group by group.
+
+    Rows may have been filtered, and columns added without a shuffle, since the
+    chunks were made.
+    """
     piece = F.col("_chunk").cast("bigint") * (1 << 32) + F.floor(F.col("_row") / piece_rows)
-    rows = ordered_chunks(df, group, *order, chunks=chunks).withColumn("_piece", piece)
+    df = chunked.drop("_chunk", "_row")
+    rows = chunked.withColumn("_piece", piece).drop("_chunk", "_row")
     group_type = df.schema[group].dataType
     longs = T.ArrayType(T.LongType())
     report_schema = T.StructType(

@@ -36,16 +36,20 @@ def with_global_index(
 
     Only the chunk counts (one row per chunk) meet in one task and are broadcast.
     """
-    rows = ordered_chunks(df, *order, chunks=chunks)
-    counts = rows.groupBy("_chunk").agg(F.count("*").alias("_n"))
+    return index_chunks(ordered_chunks(df, *order, chunks=chunks), name, total).drop("_chunk", "_row")
+
+
+def index_chunks(chunked: DataFrame, name: str = "idx", total: str = "total") -> DataFrame:
+    """The index of rows in ordered chunks; rows stay where they are."""
+    counts = chunked.groupBy("_chunk").agg(F.count("*").alias("_n"))
     upto = Window.orderBy("_chunk").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     offsets = counts.select(
-        "_chunk",
+        F.col("_chunk").alias("_c"),
         (F.sum("_n").over(upto) - F.col("_n")).alias("_base"),
         F.sum("_n").over(Window.partitionBy()).alias(total),
     )
-    return rows.join(F.broadcast(offsets), "_chunk").select(
-        *df.columns, (F.col("_base") + F.col("_row")).alias(name), total
+    return chunked.join(F.broadcast(offsets), F.col("_chunk") == F.col("_c")).select(
+        *chunked.columns, (F.col("_base") + F.col("_row")).alias(name), total
     )
 
 

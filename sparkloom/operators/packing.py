@@ -8,8 +8,8 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from sparkloom.functions import text, tokens
-from sparkloom.operators.greedy import Budget, greedy_cuts
-from sparkloom.operators.ordering import contiguous_shards
+from sparkloom.operators.greedy import Budget, cut_chunks, greedy_cuts
+from sparkloom.operators.ordering import index_chunks, ordered_chunks, shard_of
 from sparkloom.session import stage
 
 
@@ -97,11 +97,11 @@ def pack_next_fit(
 
     Reads only narrow columns; tokens never enter the fold.
     """
-    return (
-        greedy_cuts(sizes, shard, [order], Budget(max_len, column=n), chunks=chunks)
-        .withColumn("pack_no", F.col("_cut").cast("int"))
-        .drop("_cut", "_starts")
-    )
+    return _pack_numbers(greedy_cuts(sizes, shard, [order], Budget(max_len, column=n), chunks=chunks))
+
+
+def _pack_numbers(cuts: DataFrame) -> DataFrame:
+    return cuts.withColumn("pack_no", F.col("_cut").cast("int")).drop("_cut", "_starts")
 
 
 def finalize_pack(samples: DataFrame, *keys: str, order: str = "idx") -> DataFrame:
@@ -167,11 +167,13 @@ def assign_packs(items: DataFrame, samples: DataFrame, config: PackConfig, chunk
 
     Shards are cut over all items by raw length, before the token-count filter.
     """
-    sharded = contiguous_shards(
-        with_length(items).select("item_id", "length"), "length", "item_id", shards=config.shards, chunks=chunks
+    sizes = with_length(items).select("item_id", "length").join(samples.select("item_id", "n"), "item_id", "left")
+    # the order by length is also the order of shards and of places in them: one sort serves both
+    indexed = index_chunks(ordered_chunks(sizes, "length", "item_id", chunks=chunks))
+    placed = indexed.filter(F.col("n").isNotNull()).select(
+        shard_of(F.col("idx"), F.col("total"), config.shards).alias("shard"), "idx", "item_id", "n", "_chunk", "_row"
     )
-    sizes = sharded.join(samples.select("item_id", "n"), "item_id").select("shard", "idx", "item_id", "n")
-    return pack_next_fit(sizes, config.max_len, chunks=chunks)
+    return _pack_numbers(cut_chunks(placed, "shard", Budget(config.max_len)))
 
 
 def staged_samples(items: DataFrame, config: PackConfig) -> DataFrame:
