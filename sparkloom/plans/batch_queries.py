@@ -44,6 +44,7 @@ def packed(spark: SparkSession, sf: str) -> DataFrame:
     "pack_next_fit",
     f"""WITH {PACKED_SQL} SELECT shard, count(*) AS packs, sum(items) AS items, sum(tokens) AS tokens,
     min(tokens) AS min_used, max(tokens) AS max_used FROM packs GROUP BY shard""",
+    casts="items BIGINT, tokens BIGINT, min_used BIGINT, max_used BIGINT",
 )
 def pack_next_fit(spark: SparkSession, sf: str) -> DataFrame:
     items = v.sft_items(spark, sf)
@@ -101,6 +102,7 @@ def read_pack_cache(spark: SparkSession, sf: str) -> DataFrame:
     "typed_pack_items",
     f"""WITH {PACKED_SQL} SELECT shard, pack_no, len(input_ids) AS tokens, list_sum(input_ids) AS id_sum,
     list_sum(labels) AS label_sum, 'array<bigint>' AS id_type FROM packs""",
+    casts="id_sum BIGINT, label_sum BIGINT",
 )
 def typed_pack_items(spark: SparkSession, sf: str) -> DataFrame:
     typed = corpus.typed_pack_items(packed(spark, sf))
@@ -127,6 +129,7 @@ def unpack(spark: SparkSession, sf: str) -> DataFrame:
     "cu_seqlens",
     f"""WITH {PACKED_SQL} SELECT shard, pack_no, len(lengths) + 1 AS offsets, list_sum(lengths) AS last_offset,
     list_max(lengths) AS longest FROM packs""",
+    casts="last_offset INTEGER",
 )
 def cu_seqlens(spark: SparkSession, sf: str) -> DataFrame:
     offsets = F.col("seq_lengths")
@@ -158,6 +161,7 @@ def sp_split(spark: SparkSession, sf: str) -> DataFrame:
 @query(
     "union_chunks",
     f"""WITH {PACKED_SQL} SELECT shard % 2 AS part, count(*) AS packs, sum(tokens) AS tokens FROM packs GROUP BY 1""",
+    casts="tokens BIGINT",
 )
 def union_chunks(spark: SparkSession, sf: str) -> DataFrame:
     items = v.sft_items(spark, sf)
@@ -314,6 +318,7 @@ def cut_completion(spark: SparkSession, sf: str) -> DataFrame:
     f"""WITH {v.REQUESTS_SQL}, l AS (SELECT seq_id, list_transform(token_words, lambda w: length(w)) AS ids, n,
       max(n) OVER (PARTITION BY seq_id // 8) AS width FROM requests)
     SELECT seq_id, width, width - n AS padding, -1 * (width - n) + list_sum(ids) AS padded_sum, list_sum(ids) AS unpadded_sum FROM l""",
+    casts="padded_sum BIGINT, unpadded_sum BIGINT",
 )
 def pad_unpad(spark: SparkSession, sf: str) -> DataFrame:
     reqs = v.requests(spark, sf).select(
@@ -390,6 +395,7 @@ def prefix_groups(spark: SparkSession, sf: str) -> DataFrame:
     "zip_params",
     f"""WITH {v.REQUESTS_SQL} SELECT r.seq_id, r.n, 0.5 + (l.quality * 0.25) AS temperature, r.max_tokens, false AS ignore_eos
     FROM requests r JOIN labels l ON l.doc_id = r.seq_id""",
+    casts="temperature DOUBLE",
 )
 def zip_params(spark: SparkSession, sf: str) -> DataFrame:
     reqs = packing.one_param_for_all(v.requests(spark, sf).select("seq_id", "n", "max_tokens"), ignore_eos=False)

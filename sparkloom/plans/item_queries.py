@@ -49,6 +49,7 @@ def read_corpus(spark: SparkSession, sf: str) -> DataFrame:
     "multi_dataset_scan",
     """SELECT 'part' AS dataset, 100 AS max_length, count(*) AS rows, sum(p_partkey) AS keys FROM part
     UNION ALL SELECT 'supplier', 200, count(*), sum(s_suppkey) FROM supplier""",
+    casts="keys BIGINT",
 )
 def multi_dataset_scan(spark: SparkSession, sf: str) -> DataFrame:
     both = corpus.multi_dataset_scan(spark, "part,supplier", f"{sf}/part.parquet,{sf}/supplier.parquet", "100,200")
@@ -251,6 +252,7 @@ def shift_labels(spark: SparkSession, sf: str) -> DataFrame:
       SELECT *, row_number() OVER (ORDER BY length, item_id) - 1 AS idx FROM samples)
     SELECT idx // 4 AS micro_batch, sum(n - 1) AS valid, sum(n - user_len) AS sft_valid, count(*) AS samples
     FROM numbered GROUP BY 1""",
+    casts="valid BIGINT, sft_valid BIGINT",
 )
 def count_valid_labels(spark: SparkSession, sf: str) -> DataFrame:
     items = v.sft_items(spark, sf)
@@ -289,6 +291,7 @@ def truncate_context(spark: SparkSession, sf: str) -> DataFrame:
     f"""SELECT lang, source, count(*) AS docs, sum(n) AS tokens, min(n) AS shortest, max(n) AS longest,
            round(avg(n), 6) AS mean
     FROM (SELECT lang, source, len({v.sql_tokens('text')}) AS n FROM documents) GROUP BY ALL""",
+    casts="tokens BIGINT",
 )
 def count_tokens(spark: SparkSession, sf: str) -> DataFrame:
     n = F.size(tokens.split_tokens(F.col("text"))).alias("n")

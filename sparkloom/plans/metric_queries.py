@@ -104,6 +104,7 @@ def rate_limited_log(spark: SparkSession, sf: str) -> DataFrame:
       round(CASE WHEN gap = 0 THEN NULL ELSE tokens_since_last / gap END, 6) AS throughput, round(seconds_left, 3) AS seconds_left,
       format('{{}}:{{:02d}}:{{:02d}}', CAST(floor(seconds_left) AS BIGINT) // 3600, CAST(floor(seconds_left) AS BIGINT) % 3600 // 60,
              CAST(floor(seconds_left) AS BIGINT) % 60) AS remaining FROM e""",
+    casts="tokens_since_last BIGINT",
 )
 def progress_log(spark: SparkSession, sf: str) -> DataFrame:
     rows = v.progress_rows(spark, sf)
@@ -203,6 +204,7 @@ def task_report(spark: SparkSession, sf: str) -> DataFrame:
     """SELECT CASE WHEN event_id % 2 = 0 THEN 'prefill' ELSE 'decode' END AS phase, sum(1000 + user_id % 50) AS tokens,
     round(sum((1000 + user_id % 50)) / sum(value / 1000), 4) AS rate FROM events GROUP BY 1
     UNION ALL SELECT 'all', sum(1000 + user_id % 50), round(sum((1000 + user_id % 50)) / sum(value / 1000), 4) FROM events""",
+    casts="tokens BIGINT",
 )
 def throughput_report(spark: SparkSession, sf: str) -> DataFrame:
     rows = v.table(spark, sf, "events").select(
@@ -293,6 +295,7 @@ def lr_floor(spark: SparkSession, sf: str) -> DataFrame:
     "stripe_values",
     f"""WITH {v.MASK_VALUES_SQL} SELECT layer, head, CASE WHEN layer % 5 < 2 THEN 10.0 ELSE -10.0 END AS keep_first,
     CASE WHEN layer % 5 < 2 THEN -10.0 ELSE 10.0 END AS drop_first FROM mask_values""",
+    casts="keep_first DOUBLE, drop_first DOUBLE",
 )
 def stripe_values(spark: SparkSession, sf: str) -> DataFrame:
     return v.mask_values(spark, sf).select(
@@ -318,6 +321,7 @@ def lambda_lookup(spark: SparkSession, sf: str) -> DataFrame:
         avg(lambda1 * abs(actual - target) + lambda2 * (actual - target) ** 2) AS loss, count(*) AS samples
       FROM gaps g LEFT JOIN penalties p ON p.task_id = g.task_id GROUP BY 1)
     SELECT task, round(loss, 6) AS loss, samples FROM t UNION ALL SELECT 'macro', round(avg(loss), 6), sum(samples) FROM t""",
+    casts="samples BIGINT",
 )
 def macro_task_loss(spark: SparkSession, sf: str) -> DataFrame:
     return m.macro_task_loss(v.gaps(spark, sf), v.penalties(spark)).withColumn("loss", r6("loss"))

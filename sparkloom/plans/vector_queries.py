@@ -32,6 +32,7 @@ def threshold_for_share(spark: SparkSession, sf: str) -> DataFrame:
     "round_top_share",
     f"""WITH {v.MASK_VALUES_SQL} SELECT layer, head, CASE WHEN row_number() OVER (ORDER BY value DESC, md5('42:' || layer || ':' || head), layer, head)
       <= floor((SELECT count(*) FROM mask_values) * (1.0 - CAST(0.7 AS DOUBLE))) THEN 10.0 ELSE -10.0 END AS rounded FROM mask_values""",
+    casts="rounded DOUBLE",
 )
 def round_top_share(spark: SparkSession, sf: str) -> DataFrame:
     return selection.round_top_share(v.mask_values(spark, sf), ["layer", "head"], 0.7).drop("value")
@@ -238,6 +239,7 @@ def _blocks(spark: SparkSession, sf: str) -> DataFrame:
     "causal_pairs",
     f"""WITH {BLOCKS_SQL} SELECT q.seq_id, q.qb, count(*) AS keys, sum(k.qb) AS key_sum FROM blocks q
     JOIN blocks k ON k.seq_id = q.seq_id AND k.qb <= q.qb GROUP BY ALL""",
+    casts="key_sum BIGINT",
 )
 def causal_pairs(spark: SparkSession, sf: str) -> DataFrame:
     return vec.ranged_pairs(_blocks(spark, sf).withColumn("ranges", vec.causal_ranges(F.col("qb"))))
@@ -247,6 +249,7 @@ def causal_pairs(spark: SparkSession, sf: str) -> DataFrame:
     "local_window_pairs",
     f"""WITH {v.POSITION_VECTORS_SQL} SELECT q.seq_id, q.pos, count(*) AS keys, sum(k.pos) AS key_sum, round(avg(k.vec[1]), 6) AS local_mean
     FROM position_vectors q JOIN position_vectors k ON k.seq_id = q.seq_id AND k.pos <= q.pos AND k.pos > q.pos - 10 GROUP BY ALL""",
+    casts="key_sum BIGINT",
 )
 def local_window_pairs(spark: SparkSession, sf: str) -> DataFrame:
     rows = v.position_vectors(spark, sf)
@@ -262,6 +265,7 @@ SINK, LOCAL = vec.blocks_of(8, 8), vec.blocks_of(20, 8)  # in blocks of 8 positi
     f"""WITH {v.POSITION_VECTORS_SQL}, b AS (SELECT DISTINCT seq_id, pos // 8 AS qb FROM position_vectors)
     SELECT q.seq_id, q.qb, count(*) AS keys, sum(k.qb) AS key_sum FROM b q JOIN b k ON k.seq_id = q.seq_id AND k.qb <= q.qb
       AND (k.qb < {SINK} OR k.qb > q.qb - {LOCAL}) GROUP BY ALL""",
+    casts="key_sum BIGINT",
 )
 def sink_local_pairs(spark: SparkSession, sf: str) -> DataFrame:
     blocks = v.position_vectors(spark, sf).select("seq_id", F.floor(F.col("pos") / 8).cast("int").alias("qb")).distinct()
@@ -274,6 +278,7 @@ def sink_local_pairs(spark: SparkSession, sf: str) -> DataFrame:
     SELECT q.seq_id, q.pos, count(*) AS keys, sum(k.pos) AS key_sum FROM position_vectors q JOIN sized s ON s.seq_id = q.seq_id
     JOIN position_vectors k ON k.seq_id = q.seq_id AND k.pos <= q.pos
       AND (s.n - q.pos <= 12 OR k.pos // 8 < {SINK} OR k.pos // 8 > q.pos // 8 - {LOCAL}) GROUP BY ALL""",
+    casts="key_sum BIGINT",
 )
 def triangle_pairs(spark: SparkSession, sf: str) -> DataFrame:
     rows = v.position_vectors(spark, sf).select("seq_id", "pos")
