@@ -16,11 +16,13 @@ No group is ever collected: a shard holding all rows is still many pieces.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F, types as T
 
 from sparkloom.operators.ordering import ordered_chunks
@@ -49,8 +51,8 @@ class Budget:
     rows: int | None = None
     column: str = "n"
 
-    def prepare(self, pdf: pd.DataFrame) -> "_BudgetRun":
-        return _BudgetRun(self, pdf[self.column].to_numpy(dtype=np.int64))
+    def prepare(self, column: Callable[[str], np.ndarray]) -> "_BudgetRun":
+        return _BudgetRun(self, column(self.column).astype(np.int64))
 
 
 class _BudgetRun:
@@ -98,8 +100,8 @@ class Gap:
     column: str = "t"
     forced: str = "force"
 
-    def prepare(self, pdf: pd.DataFrame) -> "_GapRun":
-        return _GapRun(self, pdf[self.column].to_numpy(dtype=np.int64), pdf[self.forced].to_numpy(dtype=bool))
+    def prepare(self, column: Callable[[str], np.ndarray]) -> "_GapRun":
+        return _GapRun(self, column(self.column).astype(np.int64), column(self.forced).astype(bool))
 
 
 class _GapRun:
@@ -160,12 +162,18 @@ def cut_rows(run, carry: Open | None) -> tuple[np.ndarray, np.ndarray, Open | No
     return cuts, begun, Open(value, rows, count)
 
 
-def _runs(group: np.ndarray) -> list[tuple[int, int]]:
-    edges = np.flatnonzero(group[1:] != group[:-1]) + 1
-    bounds = [0, *edges.tolist(), len(group)]
+def _runs(values: pa.Array) -> list[tuple[int, int]]:
+    """Bounds of equal neighbours."""
+    changes = pc.not_equal(values.slice(1), values.slice(0, len(values) - 1))
+    edges = np.flatnonzero(changes.to_numpy(zero_copy_only=False)) + 1
+    bounds = [0, *edges.tolist(), len(values)]
     return list(zip(bounds[:-1], bounds[1:]))
 
 
+def _column(batch: pa.RecordBatch) -> Callable[[str], np.ndarray]:
+    return lambda name: batch.column(name).to_numpy(zero_copy_only=False)
+
+
 def _report(run) -> dict:
     """Outcome of each possible first cut of a run; equal neighbours merged."""
     known: dict[int, tuple[int, int]] = {}
@@ -223,20 +231,20 @@ def _step(rule, row, carry: Open | None) -> Open:
     return Open(int(row.value[k]), int(row.open_rows[k]), cuts + int(row.cuts[k]))
 
 
-def _pieces(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Whole pieces of one partition, in order, from its Arrow batches."""
-    held: list[pd.DataFrame] = []
+    held: list[pa.RecordBatch] = []
     for batch in batches:
-        if not len(batch):
+        if not batch.num_rows:
             continue
-        for lo, hi in _runs(batch["_piece"].to_numpy()):
-            part = batch.iloc[lo:hi]
-            if held and held[-1]["_piece"].iloc[-1] != part["_piece"].iloc[0]:
-                yield pd.concat(held, ignore_index=True)
+        for lo, hi in _runs(batch.column("_piece")):
+            part = batch.slice(lo, hi - lo)
+            if held and held[-1].column("_piece")[0] != part.column("_piece")[0]:
+                yield pa.concat_batches(held)
                 held = []
             held.append(part)
     if held:
-        yield pd.concat(held, ignore_index=True)
+        yield pa.concat_batches(held)
 
 
 def greedy_cuts(
@@ -268,14 +276,17 @@ def cut_chunks(chunked: DataFrame, group: str, rule: Budget | Gap, piece_rows: i
     )
     needed = [group, "_piece", rule.column] + ([rule.forced] if isinstance(rule, Gap) else [])
 
-    def reports(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in _pieces(batches):
-            spans = _runs(pdf[group].to_numpy())
+    def reports(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for piece in _pieces(batches):
+            spans = _runs(piece.column(group))
             # only the first and the last group of a piece can reach into another piece
             for lo, hi in {spans[0], spans[-1]}:
-                part = pdf.iloc[lo:hi]
-                head = part.iloc[0]
-                yield pd.DataFrame([{group: head[group], "_piece": head["_piece"], **_report(rule.prepare(part))}])
+                part = piece.slice(lo, hi - lo)
+                outcome = _report(rule.prepare(_column(part)))
+                keys = [part.column(group).slice(0, 1), part.column("_piece").slice(0, 1)]
+                lists = [pa.array([outcome[c]], pa.list_(pa.int64())) for c in ("start", "axis", "value", "open_rows", "cuts")]
+                totals = [pa.array([outcome[c]], pa.int64()) for c in ("m", "total", "head")]
+                yield pa.RecordBatch.from_arrays(keys + lists + totals, names=report_schema.names)
 
     carry_schema = T.StructType(
         [T.StructField("_g", group_type)] + [T.StructField(c, T.LongType()) for c in ("_p", "_value", "_rows", "_cuts")]
@@ -291,7 +302,7 @@ def cut_chunks(chunked: DataFrame, group: str, rule: Budget | Gap, piece_rows: i
 
     carries = (
         rows.select(*needed)
-        .mapInPandas(reports, report_schema)
+        .mapInArrow(reports, report_schema)
         .groupBy(group)
         .applyInPandas(fold, carry_schema)
     )
@@ -299,20 +310,21 @@ def cut_chunks(chunked: DataFrame, group: str, rule: Budget | Gap, piece_rows: i
     carried = rows.join(
         F.broadcast(carries), (F.col(group) == F.col("_g")) & (F.col("_piece") == F.col("_p")), "left"
     ).select(*df.columns, "_piece", "_value", "_rows", "_cuts")
-    columns = df.columns
-
-    def assign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in _pieces(batches):
-            cut_no = np.empty(len(pdf), dtype=np.int64)
-            starts = np.empty(len(pdf), dtype=bool)
-            for lo, hi in _runs(pdf[group].to_numpy()):
-                part = pdf.iloc[lo:hi]
-                value, held, done = (part[c].iloc[0] for c in ("_value", "_rows", "_cuts"))
-                carry = None if pd.isna(value) else Open(int(value), int(held), int(done))
-                cut_no[lo:hi], starts[lo:hi], _ = cut_rows(rule.prepare(part), carry)
-            yield pdf[columns].assign(_cut=cut_no, _starts=starts)
-
     out_schema = T.StructType(
         df.schema.fields + [T.StructField("_cut", T.LongType()), T.StructField("_starts", T.BooleanType())]
     )
-    return carried.mapInPandas(assign, out_schema)
+    columns = df.columns
+
+    def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for piece in _pieces(batches):
+            cut_no = np.empty(piece.num_rows, dtype=np.int64)
+            starts = np.empty(piece.num_rows, dtype=bool)
+            for lo, hi in _runs(piece.column(group)):
+                part = piece.slice(lo, hi - lo)
+                known = [part.column(c)[0].as_py() for c in ("_value", "_rows", "_cuts")]
+                carry = None if known[0] is None else Open(*known)
+                cut_no[lo:hi], starts[lo:hi], _ = cut_rows(rule.prepare(_column(part)), carry)
+            kept = [piece.column(c) for c in columns]
+            yield pa.RecordBatch.from_arrays(kept + [pa.array(cut_no), pa.array(starts)], names=out_schema.names)
+
+    return carried.mapInArrow(assign, out_schema)

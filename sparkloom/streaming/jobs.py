@@ -110,7 +110,7 @@ def stream_cuts(rows: DataFrame, group: str, order: list[str], rule: Budget | Ga
     def assign(_: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         pdf = pd.concat(list(batches)).sort_values(order)
         carry = Open(*state.get) if state.exists else None
-        cuts, starts, carry = cut_rows(rule.prepare(pdf), carry)
+        cuts, starts, carry = cut_rows(rule.prepare(lambda c: pdf[c].to_numpy()), carry)
         state.update((carry.value, carry.rows, carry.cuts))
         yield pdf[columns].assign(_cut=cuts, _starts=starts)
 
