@@ -22,10 +22,13 @@ class PackConfig:
     template: text.ChatTemplate = field(default_factory=text.ChatTemplate)
     # text -> ids as an Arrow UDF; None uses the SQL tokenizer
     tokenizer: Callable[[Column], Column] | None = None
+    # end token; None is that of the SQL tokenizer, or no end token for a caller's tokenizer
     eos: int | None = None
 
-    def eos_column(self) -> Column:
-        return tokens.eos_id() if self.eos is None else F.lit(self.eos)
+    def with_end(self, ids: Column) -> Column:
+        if self.eos is not None:
+            return tokens.append_eos(ids, F.lit(self.eos))
+        return ids if self.tokenizer is not None else tokens.append_eos(ids, tokens.eos_id())
 
 
 def with_length(items: DataFrame) -> DataFrame:
@@ -71,7 +74,7 @@ def process_items(items: DataFrame, config: PackConfig) -> DataFrame:
         )
     ended = ids.select(
         "item_id", "task_type", F.size("_user").alias("user_len"),
-        tokens.append_eos(F.col("_ids"), config.eos_column()).alias("input_ids"),
+        config.with_end(F.col("_ids")).alias("input_ids"),
     )
     return ended.select(
         "item_id",

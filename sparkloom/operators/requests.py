@@ -51,7 +51,7 @@ def few_shot_join(items: DataFrame, demos: DataFrame, shots: int, seed: int, chu
         "item_id", F.explode(F.sequence(F.lit(0), F.lit(min(shots, total) - 1))).alias("slot"), base.alias("base")
     ).withColumn("_place", F.pmod(F.col("base") + F.col("slot"), F.lit(total)))
     return (
-        slots.join(placed, "_place")
+        lookup_join(slots, placed, "_place", row_bytes=8192)
         .groupBy("item_id")
         .agg(F.sort_array(F.collect_list(F.struct("slot", "demo"))).alias("s"))
         .select("item_id", F.transform("s", lambda x: x["demo"]).alias("demos"))

@@ -121,24 +121,26 @@ def weighted_pick(
 
 
 def top_p_blocks(
-    scores: DataFrame, share: float, causal: bool = True, first_chunk: int | None = None, decimals: int = 9
+    scores: DataFrame, share: float | Column, causal: bool = True, first_chunk: int | None = None, decimals: int = 9,
+    keys: tuple[str, ...] = ("seq_id",),
 ) -> DataFrame:
-    """Key blocks kept for each (seq_id, qb): block 0 and the own block always, then by
+    """Key blocks kept for each query block of ``keys`` (a sequence, or its heads): block 0 and the own block always, then by
     falling score while the mass before a block is under ``share`` of the row's mass.
 
-    ``first_chunk``: query blocks below it follow the literal rule of the first
+    ``share`` may be a column, such as a threshold per head. ``first_chunk``: query blocks below it follow the literal rule of the first
     chunk, where only the own block counts as forced and the mass of a later block
     leaves out the block just before it. A row has one entry per key block of one
     sequence, so its window is bounded by the sequence length.
     """
     own = F.col("kb") == F.col("qb")
     sink = F.col("kb") == 0
-    row = Window.partitionBy("seq_id", "qb")
+    needed_share = share if isinstance(share, Column) else F.lit(share)
+    row = Window.partitionBy(*keys, "qb")
 
     def chosen(forced: Column, skip: int) -> Column:
         ordered = row.orderBy(F.when(forced, 0).otherwise(1), F.col("score").desc(), "kb")
         before = F.coalesce(F.sum("score").over(ordered.rowsBetween(Window.unboundedPreceding, -skip)), F.lit(0.0))
-        needed = F.sum("score").over(row) * F.lit(share)
+        needed = F.sum("score").over(row) * needed_share
         return F.round(before, decimals) < F.round(needed, decimals)
 
     if causal:

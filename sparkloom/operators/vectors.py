@@ -195,9 +195,9 @@ def local_mean(vectors: DataFrame, window: int, element: int = 0) -> DataFrame:
 
 def block_mass(
     vectors: DataFrame, dim: int, block: int, stride: int, norm: float = 1.0, mode: str = "inverse",
-    query: str = "vec", key: str = "vec",
+    query: str = "vec", key: str = "vec", keys: tuple[str, ...] = ("seq_id",),
 ) -> DataFrame:
-    """(seq_id, qb, kb, score): causal softmax mass between blocks, over strided groups.
+    """(keys, qb, kb, score): causal softmax mass between blocks, over strided groups.
 
     A group is ``stride`` positions side by side; with ``inverse`` the query side is
     read backwards inside its group. Blocks of one query meet blocks of earlier keys
@@ -210,23 +210,23 @@ def block_mass(
         raise ValueError("block must be a multiple of stride")
     groups = block // stride
     blocked = (
-        vectors.groupBy("seq_id", F.floor(F.col("pos") / block).cast("int").alias("blk"))
+        vectors.groupBy(*keys, F.floor(F.col("pos") / block).cast("int").alias("blk"))
         .agg(
             F.sort_array(
                 F.collect_list(F.struct(F.pmod("pos", F.lit(block)).alias("at"), F.col(query).alias("q"), F.col(key).alias("k")))
             ).alias("rows")
         )
         .select(
-            "seq_id", "blk",
+            *keys, "blk",
             F.transform("rows", lambda r: r["at"]).alias("at"),
             F.flatten(F.transform("rows", lambda r: r["q"])).alias("q"),
             F.flatten(F.transform("rows", lambda r: r["k"])).alias("k"),
         )
     )
     queries = blocked.select(
-        "seq_id", F.col("blk").alias("qb"), F.col("at").alias("q_at"), "q", F.explode(F.sequence(F.lit(0), "blk")).alias("kb")
+        *keys, F.col("blk").alias("qb"), F.col("at").alias("q_at"), "q", F.explode(F.sequence(F.lit(0), "blk")).alias("kb")
     )
-    keys = blocked.select("seq_id", F.col("blk").alias("kb"), F.col("at").alias("k_at"), "k")
+    key_blocks = blocked.select(*keys, F.col("blk").alias("kb"), F.col("at").alias("k_at"), "k")
     scale = 1.0 / (np.sqrt(dim) * stride * norm)
     backwards = mode == "inverse"
 
@@ -253,16 +253,16 @@ def block_mass(
             out.append([{"top": a, "sum": b} for a, b in zip(top.tolist(), total.tolist())])
         return pd.Series(out)
 
-    tiles = queries.join(keys, ["seq_id", "kb"]).select(
-        "seq_id", "qb", "kb", tile(F.col("qb") == F.col("kb"), "q_at", "q", "k_at", "k").alias("t")
+    tiles = queries.join(key_blocks, [*keys, "kb"]).select(
+        *keys, "qb", "kb", tile(F.col("qb") == F.col("kb"), "q_at", "q", "k_at", "k").alias("t")
     )
-    rows = tiles.select("seq_id", "qb", "kb", F.posexplode("t").alias("r", "t"))
-    line = Window.partitionBy("seq_id", "qb", "r")
+    rows = tiles.select(*keys, "qb", "kb", F.posexplode("t").alias("r", "t"))
+    line = Window.partitionBy(*keys, "qb", "r")
     raised = rows.withColumn("_top", F.max("t.top").over(line)).withColumn(
         "_e", F.col("t.sum") * F.exp(F.col("t.top") - F.col("_top"))
     )
     return (
         raised.withColumn("_share", F.col("_e") / F.sum("_e").over(line))
-        .groupBy("seq_id", "qb", "kb")
+        .groupBy(*keys, "qb", "kb")
         .agg(F.sum("_share").alias("score"))
     )

@@ -155,6 +155,8 @@ def test_caller_tokenizer(spark):
     rendered = packing.prompts(frame).first()
     assert "".join(map(chr, got.input_ids[:-1])) == rendered.user_part + rendered.answer_part
     assert got.input_ids[-1] == 0 and got.user_len == len(rendered.user_part)
+    without_end = packing.process_items(frame, packing.PackConfig(tokenizer=udf)).first()
+    assert without_end.input_ids == got.input_ids[:-1]
 
 
 def test_duration(spark):

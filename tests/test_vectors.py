@@ -135,3 +135,21 @@ def test_toggles(spark):
         assert all(keys(r.r) == want[r.pos] for r in frame.select("pos", ranges.alias("r")).collect())
     with pytest.raises(ValueError):
         vec.toggle_ranges("topk", F.col("pos"), F.lit(30))
+
+
+def test_heads_are_kept_apart(spark, seqs):
+    from sparkloom.operators import selection
+
+    keys = ("seq_id", "head")
+    both = seqs[1].withColumn("head", F.lit(0)).unionByName(
+        seqs[1].withColumn("head", F.lit(1)).withColumn("vec", F.transform("vec", lambda x: x * 2))
+    )
+    mass = vec.block_mass(both, DIM, 8, 4, keys=keys)
+    alone = {(r.seq_id, r.qb, r.kb): r.score for r in vec.block_mass(seqs[1], DIM, 8, 4).collect()}
+    got = mass.collect()
+    assert {(r.seq_id, r.qb, r.kb): r.score for r in got if r["head"] == 0} == pytest.approx(alone)
+    assert len(got) == 2 * len(alone)
+    share = F.when(F.col("head") == 0, 0.5).otherwise(0.9)
+    kept = selection.top_p_blocks(mass, share, keys=keys).groupBy("head").agg(F.sum(F.col("keep").cast("int")).alias("n"))
+    one = selection.top_p_blocks(vec.block_mass(seqs[1], DIM, 8, 4), 0.5).filter("keep").count()
+    assert {r["head"]: r.n for r in kept.collect()}[0] == one
