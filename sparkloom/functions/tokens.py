@@ -57,8 +57,9 @@ def append_eos(ids: Column, eos: Column) -> Column:
 
 def build_labels(ids: Column, user_len: Column, is_sft: bool = False) -> Column:
     """Copies of the ids; the user turn (SFT) or only the first place is ignored."""
-    masked = user_len if is_sft else F.lit(1)
-    return F.transform(ids, lambda x, i: F.when(i < masked, F.lit(IGNORE_LABEL)).otherwise(x))
+    size = F.size(ids)
+    masked = F.least(user_len if is_sft else F.lit(1), size)
+    return F.concat(F.array_repeat(F.lit(IGNORE_LABEL), masked), F.slice(ids, masked + 1, size - masked))
 
 
 def range_ids(user_len: Column, total_len: Column) -> Column:

@@ -107,25 +107,27 @@ def _pack_numbers(cuts: DataFrame) -> DataFrame:
     return cuts.withColumn("pack_no", F.col("_cut").cast("int")).drop("_cut", "_starts")
 
 
-def finalize_pack(samples: DataFrame, *keys: str, order: str = "idx") -> DataFrame:
+def finalize_pack(samples: DataFrame, *keys: str, order: str = "idx", is_sft: bool = False) -> DataFrame:
     """One row per pack: tokens and labels joined in order, offsets, class and range lists.
 
-    A pack holds at most the configured number of tokens, so its row is bounded.
+    Labels and ranges follow from the tokens and the length of the user turn, so they
+    are made here and never shuffled. A pack holds at most the configured number of
+    tokens, so its row is bounded.
     """
-    fields = ("input_ids", "labels", "n", "task_id", "task_type", "range_ids")
+    fields = ("input_ids", "user_len", "task_id", "task_type")
     packed = samples.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct(order, *fields))).alias("s"))
 
-    def each(name: str) -> Column:
-        return F.transform("s", lambda x: x[name])
+    def each(make: Callable[[Column], Column]) -> Column:
+        return F.transform("s", lambda x: make(x))
 
     return packed.select(
         *keys,
-        F.flatten(each("input_ids")).alias("input_ids"),
-        F.flatten(each("labels")).alias("labels"),
-        tokens.cu_seqlens(each("n")).alias("seq_lengths"),
-        each("task_id").alias("task_ids"),
-        each("task_type").alias("task_type"),
-        each("range_ids").alias("range_ids"),
+        F.flatten(each(lambda x: x["input_ids"])).alias("input_ids"),
+        F.flatten(each(lambda x: tokens.build_labels(x["input_ids"], x["user_len"], is_sft))).alias("labels"),
+        tokens.cu_seqlens(each(lambda x: F.size(x["input_ids"]))).alias("seq_lengths"),
+        each(lambda x: x["task_id"]).alias("task_ids"),
+        each(lambda x: x["task_type"]).alias("task_type"),
+        each(lambda x: tokens.range_ids(x["user_len"], F.size(x["input_ids"]))).alias("range_ids"),
     )
 
 
@@ -182,17 +184,18 @@ def assign_packs(items: DataFrame, samples: DataFrame, config: PackConfig, chunk
 def staged_samples(items: DataFrame, config: PackConfig) -> DataFrame:
     """Tokenise once and write; later passes read only the columns they need.
 
-    The bounds apply to the written table: put before the write, the optimizer would
+    What follows from the tokens and the user turn is not written. The bounds apply to the written table: put before the write, the optimizer would
     move the filter below the tokenizer and run it twice.
     """
-    return length_bounds(stage(process_items(items, config), "samples"), config.min_len, config.max_len)
+    samples = process_items(items, config).drop("labels", "range_ids")
+    return length_bounds(stage(samples, "samples"), config.min_len, config.max_len)
 
 
 def build_packed_dataset(items: DataFrame, config: PackConfig, chunks: int | None = None) -> DataFrame:
     """Packed training rows, keyed by (shard, pack_no)."""
     samples = staged_samples(items, config)
     places = assign_packs(items, samples, config, chunks).select("item_id", "shard", "idx", "pack_no")
-    return finalize_pack(samples.join(places, "item_id"), "shard", "pack_no")
+    return finalize_pack(samples.join(places, "item_id"), "shard", "pack_no", is_sft=config.is_sft)
 
 
 def pack_summary(assigned: DataFrame) -> DataFrame:

@@ -24,7 +24,7 @@ def built(spark):
     samples = packing.staged_samples(items, CONFIG)
     places = packing.assign_packs(items, samples, CONFIG, chunks=6)
     packs = packing.finalize_pack(samples.join(places.select("item_id", "shard", "idx", "pack_no"), "item_id"), "shard", "pack_no")
-    return items, samples.toPandas(), places.toPandas(), packs.cache()
+    return items, packing.length_bounds(packing.process_items(items, CONFIG), 12, 120).toPandas(), places.toPandas(), packs.cache()
 
 
 def test_every_kept_item_once_and_in_order(built):
@@ -92,6 +92,21 @@ def test_result_does_not_depend_on_chunks(spark, built):
     assert sorted(map(tuple, again[key].values.tolist())) == sorted(map(tuple, places[key].values.tolist()))
 
 
+def test_instruction_labels(built):
+    """With the user turn masked, only answers and end tokens are learned."""
+    from dataclasses import replace
+
+    masked = packing.build_packed_dataset(built[0], replace(CONFIG, is_sft=True)).collect()
+    plain = {(r.shard, r.pack_no): r for r in built[3].collect()}
+    assert len(masked) == len(plain)
+    for row in masked:
+        assert row.input_ids == plain[(row.shard, row.pack_no)].input_ids
+        for start, end, ranges in zip(row.seq_lengths, row.seq_lengths[1:], row.range_ids):
+            user = ranges[6]
+            assert row.labels[start : start + user] == [-100] * user
+            assert row.labels[start + user : end] == row.input_ids[start + user : end]
+
+
 def test_empty_input(spark, built):
     none = built[0].filter("item_id < 0")
     assert packing.build_packed_dataset(none, CONFIG).count() == 0
