@@ -30,9 +30,9 @@ pairs AS (
   GROUP BY 1, 2),
 links AS MATERIALIZED (
   SELECT a, b FROM pairs JOIN sizes x ON x.doc_id = a JOIN sizes y ON y.doc_id = b WHERE 100 * c >= 85 * (x.n + y.n - c)),
-both AS MATERIALIZED (SELECT a, b FROM links UNION SELECT b, a FROM links),
+ways AS MATERIALIZED (SELECT a, b FROM links UNION SELECT b, a FROM links),
 reach(doc_id, r) AS (
-  SELECT a, a FROM both UNION SELECT both.b, reach.r FROM reach JOIN both ON both.a = reach.doc_id)
+  SELECT a, a FROM ways UNION SELECT ways.b, reach.r FROM reach JOIN ways ON ways.a = reach.doc_id)
 SELECT sizes.doc_id, n AS n_shingles, coalesce(m, sizes.doc_id) AS component_id
 FROM sizes LEFT JOIN (SELECT doc_id, min(r) AS m FROM reach GROUP BY 1) q ON q.doc_id = sizes.doc_id
 """
