@@ -11,7 +11,7 @@ import numpy as np
 Pattern = tuple[int, ...]  # kind, then one vote per labeler
 
 
-def posteriors(counts: dict[Pattern, float], kinds: int, labelers: int, rounds: int = 50, trust: float = 0.8) -> dict[Pattern, float]:
+def posteriors(counts: dict[Pattern, float], kinds: int, labelers: int, rounds: int = 1000, trust: float = 0.8) -> dict[Pattern, float]:
     """Probability that a pattern is a true case.
 
     Each kind has its own share of true cases, each labeler its own rates of votes on true and on false ones.
@@ -34,7 +34,7 @@ def posteriors(counts: dict[Pattern, float], kinds: int, labelers: int, rounds:
         for j in range(labelers):
             odds = odds + np.log(rate_true[j, votes[:, j]]) - np.log(rate_false[j, votes[:, j]])
         fresh = 1 / (1 + np.exp(-odds))
-        done = np.abs(fresh - true).max() < 1e-6
+        done = np.abs(fresh - true).max() < 1e-7
         true = fresh
         if done:
             break
