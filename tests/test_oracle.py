@@ -4,9 +4,10 @@ import pytest
 
 import __spark_entry__ as entry
 from oracle import ROOT, compare, connect
+from sparkloom.plans import catalog
 
 SF = f"{ROOT}/sf0.01"
-QUERIES, ORACLES = entry.queries(), entry.oracle_sql()
+QUERIES, ORACLES = catalog.QUERIES, catalog.ORACLES
 
 
 @pytest.fixture(scope="module")
