@@ -10,10 +10,10 @@ texts differ only by noise, so corners overlap everywhere. The top of the index
 is therefore a directory of *cells*. The hash space is divided into more blocks of
 groups than a linked pair can have differing shingles, so by the pigeonhole principle
 the two points agree exactly on at least one non-empty block; a cell is one block
-with one content. Texts that share a cell, directly or through others, form a family, and
-each family gets its own packed tree: points in size order, cut into pages with their
-corners. Pages of a family are compared when size and corner allow it, points when the
-bound allows it, and the survivors are verified on their whole shingle sets.
+with one content. Inside a cell the bound on the points decides which texts can be linked; a cell of any size is
+compared in blocks. Texts that hang together by such bounds form a family, and each family gets its own
+packed tree: points in size order, cut into pages with their corners. Pages of a family are compared when size and
+corner allow it, points when the bound allows it, and the survivors are verified on their whole shingle sets.
 """
 
 from __future__ import annotations
@@ -30,12 +30,16 @@ from sparkloom.llm.common import free_name, require
 from sparkloom.llm.graph import connected_components
 from sparkloom.llm.words import gram_hashes, mix, signed, word_slices
 from sparkloom.operators.ordering import running
-from sparkloom.session import stage
+from sparkloom.session import cut, stage
 
 GROUPS = 128
 PAGE_LOAD = 1 << 20
-POINT_LOAD = 256
+POINT_LOAD = 64
+CELL_BLOCK = 4096
+# Family members up to this number are sent to the texts, more are met by a shuffle.
+FEW_MEMBERS = 1_000_000
 _SEEN_SETS = 200_000
+_FULL = 255  # a count this high may stand for more
 
 
 @dataclass(frozen=True)
@@ -142,22 +146,39 @@ def _cells(shingles: np.ndarray, sizes: np.ndarray, rule: Similarity) -> tuple[n
         empty = np.bincount(owner[held == 0], minlength=len(chosen))
         keep = (held > 0) | (empty > spare)[owner]
         number = (np.arange(total) - base[owner]).astype(np.uint64)
-        cell = mix(mix(content + held.astype(np.uint64)) ^ (seed[owner] + number))
+        # forty bits do: a chance meeting costs a comparison
+        cell = mix(mix(content + held.astype(np.uint64)) ^ (seed[owner] + number)) >> np.uint64(24)
         places.append(chosen[owner[keep]])
         cells.append(cell[keep])
     return (np.concatenate(places), np.concatenate(cells)) if places else (np.empty(0, np.int64), np.empty(0, np.uint64))
 
 
-def _sizes_of(rule: Similarity):
-    """Batches of (id, text) to (id, n, set_hash)."""
+def _counts(shingles: np.ndarray, sizes: np.ndarray) -> list[bytes]:
+    """The point of each set: counts of its groups, ``_FULL`` at most."""
+    slot = np.repeat(np.arange(len(sizes)) * GROUPS, sizes) + (mix(shingles) % np.uint64(GROUPS)).astype(np.int64)
+    counts = np.minimum(np.bincount(slot, minlength=len(sizes) * GROUPS), _FULL).astype(np.uint8)
+    return [row.tobytes() for row in counts.reshape(-1, GROUPS)]
+
+
+def _bounds(points: np.ndarray, point: np.ndarray) -> np.ndarray:
+    """Upper bound of the overlap with each of some points: summed coordinate minima."""
+    least = np.minimum(points, point)
+    bound = least.sum(axis=1, dtype=np.int64)
+    bound[(least == _FULL).any(axis=1)] = 1 << 60
+    return bound
+
+
+def _points_of(rule: Similarity):
+    """Batches of (id, text) to (id, n, set_hash, counts)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for first, last, shingles, sizes in shingle_sets(batch.column(1), rule.words):
                 hashes = signed(_set_hashes(shingles, sizes))
+                ids = batch.column(0).slice(first, last - first)
                 yield pa.record_batch(
-                    [batch.column(0).slice(first, last - first), pa.array(sizes), pa.array(hashes)],
-                    names=["_id", "n", "set_hash"],
+                    [ids, pa.array(sizes), pa.array(hashes), pa.array(_counts(shingles, sizes), pa.binary())],
+                    names=["_id", "n", "set_hash", "counts"],
                 )
 
     return run
@@ -186,28 +207,95 @@ def _cells_of(rule: Similarity):
     return run
 
 
-def _stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows in (cell, set_hash) order to pairs of a cell's first set and each other one.
+def _shared_cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows in (cell, set_hash) order to those of cells with several sets, numbered off in blocks.
 
-    Nothing of a cell but its first set is held.
+    Nothing of a cell but its last set and a count is held.
     """
-    cell, first = None, None
+    cell, last, nth = None, None, 0
     for batch in batches:
         cells, sets = (batch.column(k).to_numpy(zero_copy_only=False) for k in (0, 1))
         if not len(cells):
             continue
-        begins = np.append(cell is None or cells[0] != cell, cells[1:] != cells[:-1])
-        place = np.maximum.accumulate(np.where(begins, np.arange(len(cells)), -1))
-        hubs = np.where(place >= 0, sets[np.maximum(place, 0)], 0 if first is None else first)
-        cell, first = cells[-1], hubs[-1]
-        other = hubs != sets
-        if other.any():
-            pairs = np.unique(np.stack([hubs[other], sets[other]], axis=1), axis=0)
-            yield pa.record_batch([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
+        if cell is not None:
+            cells, sets = np.append(cell, cells), np.append(last, sets)
+        new_cell = np.append(True, cells[1:] != cells[:-1])
+        fresh = new_cell | np.append(True, sets[1:] != sets[:-1])
+        cells, sets, new_cell = cells[fresh], sets[fresh], new_cell[fresh]
+        begin = np.maximum.accumulate(np.where(new_cell, np.arange(len(cells)), 0))
+        number = np.arange(len(cells)) - begin
+        if cell is not None:
+            number[begin == 0] += nth
+        # a row goes out when it, or the next one, is not the first of its cell
+        out = (number > 0) | np.append(number[1:] > 0, False)
+        if cell is not None and nth > 0:
+            out[0] = False
+        cell, last, nth = cells[-1], sets[-1], int(number[-1])
+        if out[-1] and nth == 0:
+            out[-1] = False
+        if out.any():
+            yield pa.record_batch(
+                [pa.array(cells[out]), pa.array((number[out] // CELL_BLOCK).astype(np.int32)), pa.array(sets[out])],
+                names=["cell", "block", "set_hash"],
+            )
 
 
-def _points_of(rule: Similarity):
-    """Batches of (family, set_hash, text) to points; a text that is not the wanted set is left out."""
+def _bounded_links(rule: Similarity):
+    """Rows (cell, p, q, n, set_hash, counts), in that order, to links that hang together what the bound can link."""
+
+    def close(rows: list[tuple], seen: set) -> list[tuple[int, int]]:
+        rows = list(dict.fromkeys(rows))
+        links = []
+        if len(rows) == 2:
+            (n, a, x), (m, b, y) = rows
+            if (a, b) in seen or n * 100 < m * rule.percent:
+                return []
+            seen.add((a, b))
+            near = _bounds(np.frombuffer(y, np.uint8)[None, :], np.frombuffer(x, np.uint8))[0] >= rule.overlap(n + m)
+            return [(a, b)] if near else []
+        sizes, ids = np.array([r[0] for r in rows]), np.array([r[1] for r in rows])
+        points = np.frombuffer(b"".join(r[2] for r in rows), np.uint8).reshape(-1, GROUPS)
+        labels = np.arange(len(rows))
+        for x in range(len(rows)):
+            high = int(np.searchsorted(sizes, sizes[x] * 100 // rule.percent, side="right"))
+            other = x + 1 + np.flatnonzero(labels[x + 1 : high] != labels[x])
+            if not len(other):
+                continue
+            other = other[_bounds(points[other], points[x]) >= rule.overlap(sizes[other] + sizes[x])]
+            for y in other.tolist():
+                if labels[y] != labels[x]:
+                    pair = (int(ids[x]), int(ids[y]))
+                    if pair not in seen:
+                        seen.add(pair)
+                        links.append(pair)
+                    labels[labels == labels[y]] = labels[x]
+        return links
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set = set()
+        key, rows = None, []
+        for batch in batches:
+            links = []
+            for cell, p, q, *point in zip(*(batch.column(k).to_pylist() for k in range(6))):
+                if (cell, p, q) != key:
+                    links += close(rows, seen) if len(rows) > 1 else []
+                    key, rows = (cell, p, q), []
+                    if len(seen) > _SEEN_SETS:
+                        seen.clear()
+                rows.append(tuple(point))
+            if links:
+                a, b = zip(*links)
+                yield pa.record_batch([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+        links = close(rows, seen) if len(rows) > 1 else []
+        if links:
+            a, b = zip(*links)
+            yield pa.record_batch([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+
+    return run
+
+
+def _members_of(rule: Similarity):
+    """Batches of (family, set_hash, text) to points with their sets; a text that is not the wanted set is left out."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -219,13 +307,13 @@ def _points_of(rule: Similarity):
                 if not len(rows):
                     continue
                 sets = [shingles[ends[r] - sizes[r] : ends[r]] for r in rows]
-                groups = [np.bincount((mix(s) % np.uint64(GROUPS)).astype(np.int64), minlength=GROUPS) for s in sets]
+                counts = _counts(shingles[np.repeat(right, sizes)], sizes[rows])
                 yield pa.record_batch(
                     [
                         pa.array(family[first:last][rows]),
                         pa.array(wanted[first:last][rows]),
                         pa.array(sizes[rows]),
-                        pa.array([g.astype(np.uint32).tobytes() for g in groups], pa.binary()),
+                        pa.array(counts, pa.binary()),
                         pa.array([s.tobytes() for s in sets], pa.binary()),
                     ],
                     names=["family", "set_hash", "n", "counts", "members"],
@@ -252,7 +340,7 @@ class _Page:
             ids,
             sizes,
             ids.copy() if labels is None else np.array(labels, np.int64),
-            np.frombuffer(counts, np.uint32).reshape(-1, GROUPS),
+            np.frombuffer(counts, np.uint8).reshape(-1, GROUPS),
             np.split(every, np.cumsum(sizes)[:-1]),
         )
 
@@ -276,7 +364,7 @@ def _link_pages(page: _Page, other: _Page | None, rule: Similarity) -> list[tupl
         if not len(near):
             continue
         need = rule.overlap(right.sizes[near] + n)
-        bound = np.minimum(right.counts[near], page.counts[x]).sum(axis=1)
+        bound = _bounds(right.counts[near], page.counts[x])
         for y, least in zip(near[bound >= need].tolist(), need[bound >= need].tolist()):
             if right_labels[y] == labels[x]:
                 continue
@@ -315,7 +403,7 @@ def _build_pages(rule: Similarity):
                     "page": key[1],
                     "low": int(page.sizes[0]),
                     "high": int(page.sizes[-1]),
-                    "corner": page.counts.max(axis=0).tolist(),
+                    "corner": [1 << 40 if c == _FULL else c for c in page.counts.max(axis=0).tolist()],
                     "ids": page.ids.tobytes(),
                     "sizes": page.sizes.tobytes(),
                     "labels": page.labels.tobytes(),
@@ -361,10 +449,26 @@ def _compare_pages(rule: Similarity):
 
 
 def text_sets(docs: DataFrame, rule: Similarity, id_col: str = "doc_id", text: str = "text") -> DataFrame:
-    """(``_id``, n, set_hash) of every document: size and hash of its set."""
+    """(``_id``, n, set_hash, counts) of every document: size, hash and point of its set."""
     rows = docs.select(F.col(id_col).alias("_id"), F.col(text).alias("_text"))
     kind = rows.schema["_id"].dataType.simpleString()
-    return rows.mapInArrow(_sizes_of(rule), f"_id {kind}, n long, set_hash long")
+    return rows.mapInArrow(_points_of(rule), f"_id {kind}, n long, set_hash long, counts binary")
+
+
+def _families(texts: DataFrame, points: DataFrame, rule: Similarity) -> DataFrame:
+    """(node, root): sets that hang together by cells and bounds. ``points``: (set_hash, n, counts), one row per set."""
+    cells = texts.select("_text").mapInArrow(_cells_of(rule), "cell long, set_hash long")
+    dealt = cells.repartition("cell").sortWithinPartitions("cell", "set_hash")
+    shared = stage(dealt.mapInArrow(_shared_cells, "cell long, block int, set_hash long"), "cells")
+    large = shared.filter("block > 0").groupBy("cell").agg((F.max("block") + 1).alias("blocks"))
+    # each block of a large cell meets every other one
+    met = shared.join(large, "cell", "left").withColumn(
+        "other", F.explode(F.sequence(F.lit(0), F.coalesce("blocks", F.lit(1)) - 1))
+    )
+    paired = met.select("cell", F.least("block", "other").alias("p"), F.greatest("block", "other").alias("q"), "set_hash")
+    order = ["cell", "p", "q", "n", "set_hash", "counts"]
+    grouped = paired.join(points, "set_hash").select(*order).repartition("cell", "p", "q").sortWithinPartitions(*order[:5])
+    return connected_components(grouped.mapInArrow(_bounded_links(rule), _LINK_FIELDS))
 
 
 def set_links(docs: DataFrame, sets: DataFrame, rule: Similarity, id_col: str = "doc_id", text: str = "text") -> DataFrame:
@@ -375,16 +479,16 @@ def set_links(docs: DataFrame, sets: DataFrame, rule: Similarity, id_col: str =
     texts = docs.filter(F.col(id_col).isNotNull() & F.col(text).isNotNull()).select(
         F.col(id_col).alias("_id"), F.col(text).alias("_text")
     )
-    cells = texts.select("_text").mapInArrow(_cells_of(rule), "cell long, set_hash long")
-    dealt = cells.repartition("cell").sortWithinPartitions("cell", "set_hash")
-    families = connected_components(dealt.mapInArrow(_stars, _LINK_FIELDS))
-
-    holders = sets.filter("n > 0 AND _id IS NOT NULL").groupBy("set_hash").agg(F.min("_id").alias("_id"))
-    wanted = families.select(F.col("node").alias("set_hash"), F.col("root").alias("family")).join(holders, "set_hash")
+    named = sets.filter("n > 0 AND _id IS NOT NULL")
+    points = named.groupBy("set_hash").agg(F.first("n").alias("n"), F.first("counts").alias("counts"))
+    families = _families(texts, points, rule)
+    holders = named.groupBy("set_hash").agg(F.min("_id").alias("_id"))
+    wanted = cut(families.select(F.col("node").alias("set_hash"), F.col("root").alias("family")).join(holders, "set_hash"))
+    few = wanted.limit(FEW_MEMBERS + 1).count() <= FEW_MEMBERS
     points = stage(
-        wanted.join(texts, "_id")
+        texts.join(F.broadcast(wanted) if few else wanted, "_id")
         .select("family", "set_hash", "_text")
-        .mapInArrow(_points_of(rule), "family long, set_hash long, n long, counts binary, members binary"),
+        .mapInArrow(_members_of(rule), "family long, set_hash long, n long, counts binary, members binary"),
         "points",
     )
     loads = running(
@@ -454,7 +558,7 @@ def near_duplicates(
     named = classes.join(lowest, "group_hash").select("set_hash", "group_hash", "component")
     # rows without a set get a key of their own, so that they do not meet in one task
     alone = F.col("n") == 0
-    keyed = sets.withColumn("set_hash", F.when(alone, F.xxhash64(F.monotonically_increasing_id())).otherwise(F.col("set_hash")))
+    keyed = sets.select("_id", "n", "set_hash").withColumn("set_hash", F.when(alone, F.xxhash64(F.monotonically_increasing_id())).otherwise(F.col("set_hash")))
     return keyed.join(named, "set_hash", "left").select(
         F.col("_id").alias(id_col),
         F.col("n").alias("n_shingles"),
