@@ -42,6 +42,10 @@ METADATA_TYPE = T.StructType(
 )
 
 
+# a quoted string with escapes, or what stands between such strings
+QUOTED_OR_NOT = r"""'(?:[^'\\]|\\.)*'|"(?:[^"\\]|\\.)*"|[^'"]+|['"]"""
+
+
 def clean_text(text: Column) -> Column:
     """Null becomes empty; byte order marks are removed anywhere."""
     return F.replace(F.coalesce(text, F.lit("")), F.lit(BOM), F.lit(""))
@@ -75,18 +79,27 @@ def parse_metadata(metadata: Column, data_type: T.DataType) -> Column:
                 field("length", F.lit(None)).cast("string").alias("length"),
             ),
         ).otherwise(_metadata_defaults())
-    # bare Python words become JSON words, then quotes may be single
-    json = F.regexp_replace(metadata, r"([:,\[]\s*)True(?=\s*[,}\]])", "$1true")
-    json = F.regexp_replace(json, r"([:,\[]\s*)False(?=\s*[,}\]])", "$1false")
-    json = F.regexp_replace(json, r"([:,\[]\s*)None(?=\s*[,}\]])", "$1null")
-    read = F.from_json(json, "map<string,string>", {"allowSingleQuotes": "true"})
+    # quoted strings stay as they are; between them Python words become JSON words, and a last comma goes
+    parts = F.regexp_extract_all(metadata, F.lit(QUOTED_OR_NOT), F.lit(0))
+
+    def outside(part: Column) -> Column:
+        for word, other in (("True", "true"), ("False", "false"), ("None", "null")):
+            part = F.regexp_replace(part, rf"\b{word}\b", other)
+        return F.regexp_replace(part, r",(\s*[}\])])", "$1")
+
+    quoted = lambda part: part.rlike("^['\"]")
+    json = F.array_join(F.transform(parts, lambda p: F.when(quoted(p), p).otherwise(outside(p))), "")
+    # JSON's own words are no Python literals
+    foreign = F.exists(parts, lambda p: ~quoted(p) & p.rlike(r"\b(true|false|null)\b"))
+    read = F.from_json(F.when(~foreign, json), "map<string,string>", {"allowSingleQuotes": "true"})
     usable = read.isNotNull() & (F.coalesce(F.size(read), F.lit(0)) > 0)
     flag = read["is_prefix"]
+    nothing = flag.isin("false", "", "[]", "{}") | F.coalesce(flag.try_cast("double") == 0, F.lit(False))
     return F.when(
         usable,
         F.struct(
             F.when(F.map_contains_key(read, "task"), read["task"]).otherwise("Other").alias("task"),
-            F.when(F.map_contains_key(read, "is_prefix"), flag.isNotNull() & ~flag.isin("false", "0", ""))
+            F.when(F.map_contains_key(read, "is_prefix"), flag.isNotNull() & ~nothing)
             .otherwise(True)
             .alias("is_prefix"),
             read["length"].alias("length"),

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from sparkloom.functions import text
 from sparkloom.operators.greedy import Gap, greedy_cuts
-from sparkloom.operators.ordering import running
+from sparkloom.operators.ordering import running, with_global_index
 from sparkloom.session import cut
 
 
@@ -48,14 +48,14 @@ def last_known_fill(
     """Every step lists all tasks seen so far; one without data repeats its last value.
 
     ``step_values`` has one row per step and task, so it is small next to the data.
-    Each task is spread from its first step to the last one, then joined by step.
+    The steps that occur are numbered, each task is spread over the numbers from its first step on, and
+    numbers are turned back into steps; so step ids may lie as far apart as they like.
     """
     rows = cut(step_values.select(step, task, value))  # read several times
-    steps = rows.select(step).distinct()
-    end = rows.agg(F.max(step)).first()[0]
-    bounds = rows.groupBy(task).agg(F.min(step).alias("_from"))
-    spans = bounds.select(task, F.explode(F.sequence("_from", F.lit(end).cast("bigint"))).alias(step))
-    filled = spans.join(steps, step, "left_semi").join(rows, [task, step], "left")
+    steps = cut(with_global_index(rows.select(step).distinct(), step, name="_nth", total="_steps", chunks=chunks))
+    firsts = rows.groupBy(task).agg(F.min(step).alias(step)).join(steps, step)
+    spans = firsts.select(task, F.explode(F.sequence("_nth", F.col("_steps") - 1)).alias("_nth"))
+    filled = spans.join(steps.drop("_steps"), "_nth").drop("_nth").join(rows, [task, step], "left")
     return running(filled, [task], [step], chunks=chunks, known=("last", value)).select(
         step, task, F.col("known").alias(value), F.col(value).isNull().alias("carried")
     )

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from sparkloom.functions import text, tokens
 from sparkloom.operators.greedy import Budget, cut_chunks, greedy_cuts
-from sparkloom.operators.ordering import index_chunks, ordered_chunks, shard_of
+from sparkloom.operators.ordering import index_chunks, ordered_chunks, shard_of, with_global_index
 from sparkloom.session import stage
 
 
@@ -218,9 +218,38 @@ def union_chunks(*packs: DataFrame) -> DataFrame:
     return out
 
 
-def zip_params(prompts_df: DataFrame, params: DataFrame, key: str = "seq_id") -> DataFrame:
-    """Positional pair of prompts with params, by key."""
-    return prompts_df.join(params, key)
+def zip_params(prompts_df: DataFrame, params: DataFrame, key: str = "seq_id", default: dict | None = None) -> DataFrame:
+    """Pair of every prompt with the params of its key.
+
+    A prompt without params takes ``default``; where there is none, that is an error, and no prompt is lost.
+    """
+    mark = params.withColumn("_paired", F.lit(True))
+    names = [c for c in params.columns if c != key]
+    missing = F.raise_error(F.lit("a prompt has no params"))
+
+    def chosen(name: str) -> Column:
+        kind = params.schema[name].dataType
+        other = missing if default is None else F.lit(default[name])
+        return F.when(F.col("_paired"), F.col(name)).otherwise(other.cast(kind)).alias(name)
+
+    joined = prompts_df.join(mark, key, "left")
+    return joined.select(*prompts_df.columns, *[chosen(n) for n in names])
+
+
+def zip_by_position(
+    prompts_df: DataFrame, params: DataFrame, order: str, params_order: str, chunks: int | None = None
+) -> DataFrame:
+    """Pair of the n-th prompt with the n-th params; different numbers of both are an error."""
+    names = [c for c in params.columns if c != params_order]
+    left = with_global_index(prompts_df, order, name="_place", total="_prompts", chunks=chunks)
+    right = with_global_index(params, params_order, name="_place", total="_params", chunks=chunks)
+    unequal = F.raise_error(F.lit("prompts and params differ in number"))
+    same = F.col("_prompts").eqNullSafe(F.col("_params"))
+    paired = left.join(right.select("_place", "_params", *names), "_place", "left")
+    return paired.select(
+        *prompts_df.columns,
+        *[F.when(same, F.col(n)).otherwise(unequal.cast(params.schema[n].dataType)).alias(n) for n in names],
+    )
 
 
 def one_param_for_all(prompts_df: DataFrame, **values) -> DataFrame:

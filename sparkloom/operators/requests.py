@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from sparkloom.functions import tokens
 from sparkloom.operators.greedy import Budget, greedy_cuts
@@ -19,12 +19,12 @@ def build_vocabulary(occurrences: DataFrame, chunks: int | None = None) -> DataF
 def encode_with_vocabulary(texts: DataFrame, vocabulary: DataFrame) -> DataFrame:
     """Long form (seq_id, pos, id, n) of ``words``; an empty list keeps one row without id."""
     long = texts.select("seq_id", F.size("words").alias("n"), F.posexplode_outer("words").alias("pos", "token"))
-    return lookup_join(long, vocabulary.select("token", "id"), "token", row_bytes=64).select("seq_id", "pos", "id", "n")
+    return lookup_join(long, vocabulary.select("token", "id"), "token").select("seq_id", "pos", "id", "n")
 
 
 def detokenize(ids: DataFrame, vocabulary: DataFrame, separator: str = " ") -> DataFrame:
     """Ids back to one text per request."""
-    named = lookup_join(ids, vocabulary.select("id", "token"), "id", row_bytes=64)
+    named = lookup_join(ids, vocabulary.select("id", "token"), "id")
     return named.groupBy("seq_id").agg(
         F.first("n").alias("n"),
         F.array_join(
@@ -40,18 +40,22 @@ def detokenize(ids: DataFrame, vocabulary: DataFrame, separator: str = " ") -> D
 def few_shot_join(items: DataFrame, demos: DataFrame, shots: int, seed: int, chunks: int | None = None) -> DataFrame:
     """``shots`` different demos per item: a run of a seeded demo order from a seeded place.
 
-    An equi join on the demo's place; demos are never paired with all items.
+    An equi join on the demo's place; demos are never paired with all items. Without demos every
+    list is empty.
     """
     placed = with_global_index(
         demos.withColumn("_mix", shuffle_key(seed, "demo_id")), "_mix", "demo_id", name="_place", chunks=chunks
     ).select("_place", "demo")
     total = demos.count()
+    if total == 0:
+        kind = T.ArrayType(demos.schema["demo"].dataType)
+        return items.select("item_id", F.array().cast(kind).alias("demos"))
     base = F.conv(F.substring(shuffle_key(seed, "item_id"), 1, 7), 16, 10).cast("bigint")
     slots = items.select(
         "item_id", F.explode(F.sequence(F.lit(0), F.lit(min(shots, total) - 1))).alias("slot"), base.alias("base")
     ).withColumn("_place", F.pmod(F.col("base") + F.col("slot"), F.lit(total)))
     return (
-        lookup_join(slots, placed, "_place", row_bytes=8192)
+        lookup_join(slots, placed, "_place")
         .groupBy("item_id")
         .agg(F.sort_array(F.collect_list(F.struct("slot", "demo"))).alias("s"))
         .select("item_id", F.transform("s", lambda x: x["demo"]).alias("demos"))

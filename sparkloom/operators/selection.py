@@ -18,7 +18,9 @@ def threshold_for_share(df: DataFrame, target: float, value: str = "value") -> D
     find the crossing, its 2^13 sub-cells the end point. Both group tables have a
     fixed size and are combined map-side.
     """
-    cell = F.greatest(F.ceil(F.col(value) * float(1 << _BITS)), F.lit(0))  # least grid point not below the value
+    # least grid point not below the value; all beyond the grid count as its end, so the tables keep their size
+    grid = F.least(F.col(value) * float(1 << _BITS), F.lit(float(1 << _BITS)))
+    cell = F.greatest(F.ceil(grid), F.lit(0))
     cells = df.select(cell.alias("_cell"))
     high = F.shiftright("_cell", _LOW_BITS)
     coarse = cells.groupBy(high.alias("_high")).agg(F.count("*").alias("_n"))
@@ -79,29 +81,30 @@ def last_token(df: DataFrame, *keys: str, pos: str = "pos", columns: list[str])
 
 
 _STEP = 64.0  # exponents of one part differ by less than this, so its sum cannot overflow
+_LAST_STEPS = 2  # a part three steps down is under e^-128 of the top one's largest term
 
 
 def scale_softmax(df: DataFrame, key: str, value: str, temperature: float) -> DataFrame:
     """Softmax of value / temperature inside each group.
 
     Sums of exponentials are kept apart per step of 64 and put on the scale of the
-    highest step at the end, so one map-side aggregate replaces a pass for the
-    maximum. Rows meet their group's sum in the last join, where a hot group can be
-    split.
+    highest step at the end, so map-side aggregates replace a pass for the
+    maximum; steps too low to change the sum are left out, and nothing of a group is gathered. Rows
+    meet their group's sum in the last join, where a hot group can be split. Null is a group.
     """
     x = F.col(value) / F.lit(temperature)
     step = F.floor(x / _STEP)
     parts = df.groupBy(F.col(key), step.alias("_step")).agg(F.sum(F.exp(x - step * _STEP)).alias("_sum"))
-    totals = parts.groupBy(key).agg(
-        F.max("_step").alias("_top"), F.collect_list(F.struct("_step", "_sum")).alias("_parts")
-    ).select(
-        key,
-        "_top",
-        F.aggregate(
-            "_parts", F.lit(0.0), lambda a, p: a + p["_sum"] * F.exp((p["_step"] - F.col("_top")) * _STEP)
-        ).alias("_sum"),
+    tops = parts.groupBy(F.col(key).alias("_k")).agg(F.max("_step").alias("_top"))
+    scaled = F.col("_sum") * F.exp((F.col("_step") - F.col("_top")) * _STEP)
+    totals = (
+        parts.join(tops, F.col(key).eqNullSafe(F.col("_k")))
+        .filter(F.col("_step") >= F.col("_top") - _LAST_STEPS)
+        .groupBy("_k")
+        .agg(F.first("_top").alias("_top"), F.sum(scaled).alias("_sum"))
     )
-    return df.join(totals, key).select(*df.columns, (F.exp(x - F.col("_top") * _STEP) / F.col("_sum")).alias("share"))
+    share = F.exp(x - F.col("_top") * _STEP) / F.col("_sum")
+    return df.join(totals, F.col(key).eqNullSafe(F.col("_k"))).select(*df.columns, share.alias("share"))
 
 
 def weighted_pick(

@@ -18,7 +18,7 @@ SEGMENTS = {"first_token": (0, 1), "ctx": (2, 3), "q": (4, 5), "a": (6, 7), "ctx
 def vocab_lookup(ids: DataFrame, table: DataFrame, key: str, dim: int) -> DataFrame:
     """Vector of each id; ids outside the table give zeros. ``table``: id, vec."""
     zeros = F.array_repeat(F.lit(0.0), dim)
-    found = lookup_join(ids, table.select(F.col("id").alias(key), "vec"), key, row_bytes=8 * dim + 64)
+    found = lookup_join(ids, table.select(F.col("id").alias(key), "vec"), key)
     return found.withColumn("vec", F.coalesce("vec", zeros))
 
 

@@ -393,8 +393,8 @@ def prefix_groups(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(
     "zip_params",
-    f"""WITH {v.REQUESTS_SQL} SELECT r.seq_id, r.n, 0.5 + (l.quality * 0.25) AS temperature, r.max_tokens, false AS ignore_eos
-    FROM requests r JOIN labels l ON l.doc_id = r.seq_id""",
+    f"""WITH {v.REQUESTS_SQL} SELECT r.seq_id, r.n, coalesce(0.5 + (l.quality * 0.25), 1.0) AS temperature, r.max_tokens, false AS ignore_eos
+    FROM requests r LEFT JOIN labels l ON l.doc_id = r.seq_id""",
     casts="temperature DOUBLE",
 )
 def zip_params(spark: SparkSession, sf: str) -> DataFrame:
@@ -402,7 +402,7 @@ def zip_params(spark: SparkSession, sf: str) -> DataFrame:
     params = v.table(spark, sf, "labels").select(
         F.col("doc_id").alias("seq_id"), (0.5 + F.col("quality") * 0.25).alias("temperature")
     )
-    return packing.checked_params(packing.zip_params(reqs, params)).select(
+    return packing.checked_params(packing.zip_params(reqs, params, default={"temperature": 1.0})).select(
         "seq_id", "n", "temperature", "max_tokens", "ignore_eos"
     )
 

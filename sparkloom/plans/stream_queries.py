@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from sparkloom.plans import views as v
-from sparkloom.plans.metric_queries import INTERVAL
+from sparkloom.plans.metric_queries import INTERVAL, LOGGED_SQL
 from sparkloom.plans.registry import query
 from sparkloom.streaming import jobs
 
@@ -54,20 +54,13 @@ def stream_last_known(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(
     "stream_rate_limit",
-    f"""WITH RECURSIVE {v.PROGRESS_ROWS_SQL},
-    seen AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY run ORDER BY t, step) AS rn FROM progress_rows),
-    fold(run, rn, step, t, last_t, logged) AS (
-      SELECT run, rn, step, t, t, force FROM seen WHERE rn = 1
-      UNION ALL
-      SELECT s.run, s.rn, s.step, s.t, CASE WHEN s.t - f.last_t > {INTERVAL} OR s.force THEN s.t ELSE f.last_t END,
-             s.t - f.last_t > {INTERVAL} OR s.force
-      FROM fold f JOIN seen s ON s.run = f.run AND s.rn = f.rn + 1)
-    SELECT run, step, t, row_number() OVER (PARTITION BY run ORDER BY rn) - 1 AS log_no FROM fold WHERE logged""",
+    f"""WITH {LOGGED_SQL} SELECT run, step, t, row_number() OVER (PARTITION BY run ORDER BY rn) - 1 AS log_no FROM fold WHERE logged""",
 )
 def stream_rate_limit(spark: SparkSession, sf: str) -> DataFrame:
+    steps = v.table(spark, sf, "events").count()
     events = jobs.read_table_stream(spark, sf, "events.parquet")
     rows = v.progress_columns(events).drop("tokens")
-    return jobs.drain(jobs.stream_rate_limit(rows, INTERVAL), "logged").select("run", "step", "t", "log_no")
+    return jobs.drain(jobs.stream_rate_limit(rows, INTERVAL, max_steps=steps), "logged").select("run", "step", "t", "log_no")
 
 
 PACK, PACK_SHARDS = 2048, 8

@@ -55,8 +55,17 @@ def stage_path(spark: SparkSession, name: str) -> str:
     return f"{checkpoint_dir(spark).rstrip('/')}/tables/{name}-{uuid.uuid4().hex}"
 
 
-def stage(df: DataFrame, name: str) -> DataFrame:
-    """Write a wide frame once as parquet, so that later passes read only their columns."""
-    path = stage_path(df.sparkSession, name)
+def stage(df: DataFrame, name: str, path: str | None = None) -> DataFrame:
+    """Write a wide frame once as parquet, so that later passes read only their columns.
+
+    With a ``path`` of :func:`stage_path` the caller can remove the table when its last reader is done.
+    """
+    path = path or stage_path(df.sparkSession, name)
     df.write.mode("errorifexists").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def remove_path(spark: SparkSession, path: str) -> None:
+    """Remove a table that this package wrote; nothing happens when it is not there."""
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+# Column names of the data model.
 RAW_COLUMNS = ("context", "question", "answer", "metadata")
 
 PACK_COLUMNS = ("input_ids", "labels", "seq_lengths", "task_ids", "task_type", "range_ids")
@@ -29,7 +30,17 @@ def path_exists(spark: SparkSession, path: str) -> bool:
     return fs.exists(target)
 
 
-def _has_parquet(spark: SparkSession, path: str) -> bool:
+def move_path(spark: SparkSession, source: str, place: str) -> bool:
+    target, fs = _hadoop_path(spark, place)
+    return fs.rename(_hadoop_path(spark, source)[0], target)
+
+
+def is_file(spark: SparkSession, path: str) -> bool:
+    target, fs = _hadoop_path(spark, path)
+    return fs.getFileStatus(target).isFile()
+
+
+def has_parquet(spark: SparkSession, path: str) -> bool:
     target, fs = _hadoop_path(spark, path)
     if not fs.exists(target):
         return False
@@ -40,7 +51,7 @@ def _has_parquet(spark: SparkSession, path: str) -> bool:
 
 def read_parquet_files(spark: SparkSession, path: str) -> DataFrame:
     """All ``*.parquet`` files directly in a folder, or one file."""
-    if not _has_parquet(spark, path):
+    if not has_parquet(spark, path):
         raise ValueError(f"no parquet files found in {path}")
     return spark.read.option("pathGlobFilter", "*.parquet").parquet(path)
 

@@ -6,11 +6,13 @@ import hashlib
 import json
 import logging
 import posixpath
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from sparkloom.sources.corpus import PACK_COLUMNS, path_exists, require_columns
+from sparkloom.session import remove_path
+from sparkloom.sources.corpus import PACK_COLUMNS, move_path, path_exists, require_columns
 
 log = logging.getLogger(__name__)
 
@@ -26,9 +28,20 @@ def cache_path(cache_dir: str, raw_path: str, suffix: str, max_len: int, **param
 
 
 def write_pack_cache(packs: DataFrame, path: str) -> bool:
-    """Write packs once; a failure is logged and the caller goes on with the rows."""
+    """Write packs once; a failure is logged and the caller goes on with the rows.
+
+    Packs are written beside their place and moved there when whole, so a write that failed leaves no
+    cache. What is left there from one that is not whole gives way.
+    """
+    spark = packs.sparkSession
+    beside = f"{path}-{uuid.uuid4().hex}"
     try:
-        packs.write.mode("errorifexists").parquet(path)
+        if path_exists(spark, f"{path}/_SUCCESS"):
+            raise FileExistsError(path)
+        packs.write.mode("errorifexists").parquet(beside)
+        remove_path(spark, path)
+        if not move_path(spark, beside, path):
+            raise OSError(f"could not move {beside}")
         return True
     except Exception as error:  # the rows are still there to be used
         log.error("could not write %s: %s", path, error)

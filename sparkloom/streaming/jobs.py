@@ -10,15 +10,21 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from sparkloom.operators.greedy import Budget, Gap, Open, cut_rows
 from sparkloom.session import stage_path
+from sparkloom.sources.corpus import has_parquet, is_file
 
 
 def read_table_stream(spark: SparkSession, folder: str, name: str, max_bytes: int = 1 << 30) -> DataFrame:
-    """Files of one table in a folder as a stream; its schema is that of the files.
+    """One table in a folder as a stream: a single file, or a folder of part files. No file at all is an error.
 
-    ``max_bytes`` per batch bounds what one hot key can bring to its task.
+    Its schema is that of the files. ``max_bytes`` per batch bounds what one hot key can bring to its task.
     """
-    reader = spark.readStream.schema(spark.read.parquet(f"{folder}/{name}").schema)
-    return reader.option("pathGlobFilter", name).option("maxBytesPerTrigger", max_bytes).parquet(folder)
+    path = f"{folder}/{name}"
+    if not has_parquet(spark, path):
+        raise ValueError(f"no parquet files found in {path}")
+    reader = spark.readStream.schema(spark.read.parquet(path).schema).option("maxBytesPerTrigger", max_bytes)
+    if is_file(spark, path):
+        return reader.option("pathGlobFilter", name).parquet(folder)
+    return reader.option("pathGlobFilter", "*.parquet").parquet(path)
 
 
 def drain_to_path(stream: DataFrame, name: str) -> str:
@@ -93,14 +99,18 @@ def stream_last_known(steps: DataFrame) -> DataFrame:
     )
 
 
-_OPEN_STATE = T.StructType([T.StructField(n, T.LongType()) for n in ("value", "rows", "cuts")])
+_OPEN_STATE = T.StructType(
+    [T.StructField(n, T.LongType()) for n in ("value", "rows", "cuts")] + [T.StructField("last", T.ArrayType(T.LongType()))]
+)
 
 
 def stream_cuts(rows: DataFrame, group: str, order: list[str], rule: Budget | Gap) -> DataFrame:
     """Greedy cuts with what is open per group kept as state between batches.
 
     Rows of a group are ordered inside a batch; the source bounds the batch
-    (``maxBytesPerTrigger``). A backlog of any size is better served by the batch operator.
+    (``maxBytesPerTrigger``). A row that comes before rows of an earlier batch would change cuts that are
+    written already, so it stops the stream; a backlog of files in no order is for the batch operator.
+    The columns of ``order`` are whole numbers.
     """
     columns = rows.columns
     out = T.StructType(
@@ -109,16 +119,24 @@ def stream_cuts(rows: DataFrame, group: str, order: list[str], rule: Budget | Ga
 
     def assign(_: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         pdf = pd.concat(list(batches)).sort_values(order)
-        carry = Open(*state.get) if state.exists else None
+        first, last = ([int(x) for x in pdf[order].iloc[k]] for k in (0, -1))
+        carry = None
+        if state.exists:
+            value, count, done, before = state.get
+            if first < list(before):
+                raise ValueError(f"row {first} comes before {list(before)}, whose cut is written")
+            carry = Open(value, count, done)
         cuts, starts, carry = cut_rows(rule.prepare(lambda c: pdf[c].to_numpy()), carry)
-        state.update((carry.value, carry.rows, carry.cuts))
+        state.update((carry.value, carry.rows, carry.cuts, last))
         yield pdf[columns].assign(_cut=cuts, _starts=starts)
 
     return rows.groupBy(group).applyInPandasWithState(assign, out, _OPEN_STATE, "append", GroupStateTimeout.NoTimeout)
 
 
-def stream_rate_limit(rows: DataFrame, interval: int, run: str = "run") -> DataFrame:
+def stream_rate_limit(rows: DataFrame, interval: int, run: str = "run", max_steps: int | None = None) -> DataFrame:
     """Rows (run, step, t, force) that are logged: see the batch operator."""
+    if max_steps is not None:
+        rows = rows.withColumn("force", F.col("force") | (F.col("step") >= max_steps - 1))
     cuts = stream_cuts(rows, run, ["t", "step"], Gap(interval))
     return cuts.filter("_starts").withColumnRenamed("_cut", "log_no").drop("_starts")
 

@@ -42,6 +42,12 @@ def test_strip_is_unicode_aware(spark):
         ("{'task': 'Code', 'is_prefix': False, 'length': '12'}", ("Code", False, "12")),
         ("{'is_prefix': True, 'length': 12, 'x': None}", ("Other", True, "12")),
         ('{"task": "Say True, or: False", "is_prefix": None}', ("Say True, or: False", False, None)),
+        ("{'task': 'Code', 'is_prefix': False,}", ("Code", False, None)),
+        ("{'task': 'a, True, b'}", ("a, True, b", True, None)),
+        ("{'is_prefix': 0.0, 'task': 'Code'}", ("Code", False, None)),
+        ("{'is_prefix': [], 'task': 'Code'}", ("Code", False, None)),
+        ("{'is_prefix': true, 'task': 'Code'}", ("Other", True, None)),
+        ("{'task': 'it\\'s None', 'is_prefix': 2}", ("it's None", True, None)),
     ],
 )
 def test_metadata_text(spark, raw, want):

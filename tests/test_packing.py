@@ -168,3 +168,33 @@ def test_max_samples_keeps_hot_dataset_whole(spark):
     got = packing.max_samples(frame, "d", "i", 40).toPandas()
     for d in ("a", "b"):
         assert sorted(got[got.d == d].i) == sorted(i for x, i in rows if x == d)[:40]
+
+
+def test_every_prompt_has_its_params(spark):
+    prompts = spark.createDataFrame([(i, f"p{i}") for i in range(6)], "seq_id long, prompt string")
+    params = spark.createDataFrame([(i, 0.5 + i) for i in range(0, 6, 2)], "seq_id long, temperature double")
+    got = packing.zip_params(prompts, params, default={"temperature": 1.0}).orderBy("seq_id").collect()
+    assert [r.temperature for r in got] == [0.5, 1.0, 2.5, 1.0, 4.5, 1.0]
+    with pytest.raises(Exception, match="no params"):
+        packing.zip_params(prompts, params).collect()
+    six = spark.createDataFrame([(10 * i, 0.1 * i) for i in range(6)], "place long, temperature double")
+    paired = packing.zip_by_position(prompts, six, "seq_id", "place").orderBy("seq_id").collect()
+    assert [r.temperature for r in paired] == [0.1 * i for i in range(6)]
+    for other in (six.filter("place < 50"), six.limit(0), six.union(six.filter("place = 0").withColumn("place", F.lit(99)))):
+        with pytest.raises(Exception, match="differ in number"):
+            packing.zip_by_position(prompts, other, "seq_id", "place").collect()
+
+
+def test_a_failed_cache_write_is_made_good(spark, tmp_path):
+    packs = spark.createDataFrame(
+        [([1], [1], [0, 1], [0], ["a"], [[0] * 8])],
+        "input_ids array<int>, labels array<int>, seq_lengths array<int>, task_ids array<int>, task_type array<string>, range_ids array<array<int>>",
+    )
+    path = str(tmp_path / "cache.parquet")
+    (tmp_path / "cache.parquet").mkdir()
+    (tmp_path / "cache.parquet" / "part-0.parquet").write_bytes(b"half")
+    assert pack_cache.read_pack_cache(spark, path) is None
+    assert pack_cache.write_pack_cache(packs, path)
+    assert pack_cache.read_pack_cache(spark, path).count() == 1
+    assert not pack_cache.write_pack_cache(packs, path)
+    assert [p.name for p in tmp_path.iterdir()] == ["cache.parquet"]

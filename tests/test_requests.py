@@ -50,6 +50,8 @@ def test_few_shots_are_different(spark):
     demos = spark.createDataFrame([(i, f"d{i}") for i in range(7)], "demo_id long, demo string")
     got = rq.few_shot_join(items, demos, shots=4, seed=1).collect()
     assert len(got) == 50 and all(len(set(r.demos)) == 4 for r in got)
+    none = rq.few_shot_join(items, demos.limit(0), shots=4, seed=1).collect()
+    assert len(none) == 50 and all(r.demos == [] for r in none)
     few = rq.few_shot_join(items, demos.limit(2), shots=4, seed=1).collect()
     assert all(len(set(r.demos)) == 2 for r in few)
 

@@ -41,27 +41,24 @@ def test_round_top_share(spark):
     assert high.value.min() >= got[got.rounded == -10.0].value.max()
 
 
-def literal_blocks(scores, share, offset, chunk):
-    """The rule as written for one chunk of query rows."""
-    rows, cols = scores.shape
-    forced = np.zeros_like(scores, dtype=bool)
-    forced[:, 0] = True
-    forced[:, offset : offset + rows] = np.eye(rows, dtype=bool)
-    keep = forced.copy()
-    for q in range(rows):
-        order = sorted(range(cols), key=lambda k: (not forced[q, k], -scores[q, k], k))
-        others = sorted((scores[q, k] for k in range(cols) if not forced[q, k]), reverse=True) + [0.0] * int(forced[q].sum())
-        listed = [0.0, scores[q][forced[q]].sum()] + others[: cols - 2]
-        before = np.concatenate([[0.0], np.cumsum([0.0] + listed[:-1])[:0]])
-        before = np.cumsum([0.0] + listed[: cols - 1])
-        for place, k in enumerate(order):
-            if round(before[place], 9) < round(scores[q].sum() * share, 9):
-                keep[q, k] = True
-            else:
-                keep[q, 0] = True
-    for q in range(rows):
-        keep[q, offset + q + 1 :] = False
-    return keep
+def kept_blocks(scores, q, share, first_chunk):
+    """Blocks kept for one query block, from the definition of the rule.
+
+    The own block and block 0 are kept. Another one is kept while the mass that counts before it is short of the
+    share: the forced blocks and all with higher scores. In the first chunk only the own block is forced, and the block
+    just before the tested one does not count; for the best block nothing counts.
+    """
+    forced = {q} if first_chunk else {0, q}
+    others = sorted(set(range(len(scores))) - forced, key=lambda k: (-scores[k], k))
+    keep = forced | {0}
+    for place, k in enumerate(others):
+        counted = others[: place - 1 if first_chunk and place else place]
+        before = sum(scores[j] for j in forced) + sum(scores[j] for j in counted)
+        if first_chunk and place == 0:
+            before = 0.0
+        if round(before, 9) < round(sum(scores) * share, 9):
+            keep.add(k)
+    return {k for k in keep if k <= q}
 
 
 @pytest.mark.parametrize("seed", range(4))
@@ -72,11 +69,9 @@ def test_top_p_blocks(spark, seed):
     full = np.zeros((cols, cols))
     for q in range(cols):
         full[q, : q + 1] = rng.random(q + 1) ** 3
-    for start in range(0, cols, chunk):
-        part = literal_blocks(full[start : start + chunk], 0.7, start, chunk)
-        for q in range(chunk):
-            for k in range(cols):
-                want[(start + q, k)] = bool(part[q, k])
+    for q in range(cols):
+        kept = kept_blocks(full[q].tolist(), q, 0.7, q < chunk)
+        want.update({(q, k): k in kept for k in range(cols)})
     for q in range(cols):
         for k in range(q + 1):
             rows.append((1, q, k, float(full[q, k])))
@@ -181,3 +176,26 @@ def test_metric_names_are_fixed(spark):
     bad = spark.createDataFrame([(0, {"x": 1.0})], schema)
     with pytest.raises(Exception, match="metric names differ"):
         metrics.metric_map_rows(bad, ["x", "y"]).collect()
+
+
+def test_softmax_keeps_the_null_group_and_many_steps(spark):
+    rows = [(None, 1.0), (None, 1.0), (0, 5.0)] + [(1, float(i)) for i in range(1000)]
+    got = selection.scale_softmax(spark.createDataFrame(rows, "g int, x double"), "g", "x", 1e-3).collect()
+    assert len(got) == len(rows)
+    assert sorted(r.share for r in got if r.g is None) == [0.5, 0.5]
+    assert sorted(r.share for r in got if r.g == 1)[-2:] == [0.0, 1.0]
+
+
+def test_threshold_of_values_beyond_the_grid(spark):
+    frame = spark.createDataFrame([(float(10**k),) for k in range(-3, 30)] + [(float("inf"),)], "value double")
+    assert selection.threshold_for_share(frame, 0.05).first()[0] == pytest.approx(0.01, abs=1e-6)
+
+
+def test_lookup_with_nulls_doubled_keys_and_wide_rows(spark):
+    big = spark.createDataFrame([(k,) for k in [None] * 50 + [1, 2, 3] * 20], "k int")
+    table = spark.createDataFrame([(1, "x" * 120_000), (2, "b")], "k int, v string")
+    for limit in (lookups.BROADCAST_BYTES, 1000):
+        got = lookups.lookup_join(big, table, "k", limit).collect()
+        assert len(got) == 110 and sum(r.v is not None for r in got) == 40
+    with pytest.raises(ValueError):
+        lookups.lookup_join(big, table.union(table), "k")

@@ -3,6 +3,7 @@
 import datetime
 import time
 
+import pytest
 from pyspark.sql import functions as F
 
 from sparkloom.operators import metrics, packing
@@ -78,3 +79,30 @@ def test_late_rows_are_dropped(spark, tmp_path):
     source = stream_of(spark, folder, spark.read.parquet(folder).schema)
     got = {(r.window_start.hour, r.task): (r["mean"], r.samples) for r in jobs.drain(jobs.stream_task_means(source), "means").collect()}
     assert got == {(1, "a"): (2.0, 2), (3, "a"): (7.0, 2), (5, "b"): (2.0, 1)}
+
+
+def test_a_table_may_be_a_folder(spark, tmp_path):
+    rows = [(("a", "b")[i % 2], i, 10 * i, i % 50 == 0) for i in range(200)]
+    frame = spark.createDataFrame(rows, "run string, step long, t long, force boolean")
+    frame.repartition(3).write.parquet(str(tmp_path / "many.parquet"))
+    frame.coalesce(1).write.parquet(str(tmp_path / "aside"))
+    (one,) = (tmp_path / "aside").glob("*.parquet")
+    one.rename(tmp_path / "one.parquet")
+    want = sorted((r.run, r.step, r.log_no) for r in metrics.rate_limited_log(frame, 55, max_steps=200).collect())
+    for name in ("many.parquet", "one.parquet"):
+        stream = jobs.read_table_stream(spark, str(tmp_path), name)
+        got = jobs.drain(jobs.stream_rate_limit(stream, 55, max_steps=200), "logged").collect()
+        assert sorted((r.run, r.step, r.log_no) for r in got) == want
+    with pytest.raises(Exception):
+        jobs.read_table_stream(spark, str(tmp_path), "none.parquet")
+
+
+def test_rows_behind_written_cuts_stop_the_stream(spark, tmp_path):
+    rows = [("a", i, 10 * i, False) for i in range(100)]
+    frame = spark.createDataFrame(rows, "run string, step long, t long, force boolean")
+    folder = str(tmp_path / "in")
+    for part in (frame.filter("step >= 50"), frame.filter("step < 50")):
+        part.coalesce(1).write.mode("append").parquet(folder)
+        time.sleep(0.05)
+    with pytest.raises(Exception, match="comes before"):
+        jobs.drain(jobs.stream_rate_limit(stream_of(spark, folder, frame.schema), 55), "logged")
