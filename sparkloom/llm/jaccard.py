@@ -30,7 +30,7 @@ from sparkloom.llm.common import free_name, require
 from sparkloom.llm.graph import connected_components
 from sparkloom.llm.words import gram_hashes, mix, signed, word_slices
 from sparkloom.operators.ordering import running
-from sparkloom.session import cut, stage
+from sparkloom.session import cut, remove_path, stage, stage_path
 
 GROUPS = 128
 PAGE_LOAD = 1 << 20
@@ -459,7 +459,8 @@ def _families(texts: DataFrame, points: DataFrame, rule: Similarity) -> DataFram
     """(node, root): sets that hang together by cells and bounds. ``points``: (set_hash, n, counts), one row per set."""
     cells = texts.select("_text").mapInArrow(_cells_of(rule), "cell long, set_hash long")
     dealt = cells.repartition("cell").sortWithinPartitions("cell", "set_hash")
-    shared = stage(dealt.mapInArrow(_shared_cells, "cell long, block int, set_hash long"), "cells")
+    path = stage_path(texts.sparkSession, "cells")
+    shared = stage(dealt.mapInArrow(_shared_cells, "cell long, block int, set_hash long"), "cells", path)
     large = shared.filter("block > 0").groupBy("cell").agg((F.max("block") + 1).alias("blocks"))
     # each block of a large cell meets every other one
     met = shared.join(large, "cell", "left").withColumn(
@@ -468,7 +469,9 @@ def _families(texts: DataFrame, points: DataFrame, rule: Similarity) -> DataFram
     paired = met.select("cell", F.least("block", "other").alias("p"), F.greatest("block", "other").alias("q"), "set_hash")
     order = ["cell", "p", "q", "n", "set_hash", "counts"]
     grouped = paired.join(points, "set_hash").select(*order).repartition("cell", "p", "q").sortWithinPartitions(*order[:5])
-    return connected_components(grouped.mapInArrow(_bounded_links(rule), _LINK_FIELDS))
+    families = connected_components(grouped.mapInArrow(_bounded_links(rule), _LINK_FIELDS))
+    remove_path(texts.sparkSession, path)  # components are checkpointed
+    return families
 
 
 def set_links(docs: DataFrame, sets: DataFrame, rule: Similarity, id_col: str = "doc_id", text: str = "text") -> DataFrame:
@@ -485,11 +488,13 @@ def set_links(docs: DataFrame, sets: DataFrame, rule: Similarity, id_col: str =
     holders = named.groupBy("set_hash").agg(F.min("_id").alias("_id"))
     wanted = cut(families.select(F.col("node").alias("set_hash"), F.col("root").alias("family")).join(holders, "set_hash"))
     few = wanted.limit(FEW_MEMBERS + 1).count() <= FEW_MEMBERS
+    path = stage_path(docs.sparkSession, "points")
     points = stage(
         texts.join(F.broadcast(wanted) if few else wanted, "_id")
         .select("family", "set_hash", "_text")
         .mapInArrow(_members_of(rule), "family long, set_hash long, n long, counts binary, members binary"),
         "points",
+        path,
     )
     loads = running(
         points.select("family", "set_hash", "n").withColumn("w", F.col("n") + POINT_LOAD),
@@ -506,6 +511,7 @@ def set_links(docs: DataFrame, sets: DataFrame, rule: Similarity, id_col: str =
         .sortWithinPartitions("family", "page", "n", "id")
     )
     built = stage(dealt_points.mapInArrow(_build_pages(rule), f"{_LINK_FIELDS}, {_PAGE_FIELDS}"), "pages")
+    remove_path(docs.sparkSession, path)  # the pages have all that is read on
     return built.filter("a IS NOT NULL").select("a", "b").unionByName(_between_pages(built, rule))
 
 
