@@ -117,8 +117,9 @@ def draw_slots(sources: DataFrame, mix: Mix) -> DataFrame:
         F.pmod("slot", F.col("_blocks")).alias("place"),
     )
     open_words = F.col("_need") - F.col("round") * F.col("source_size") - F.col("before")
+    # what is expanded from a few rows looks small to the planner, and must not be broadcast
     return (
-        slots.join(permuted_blocks(sources, mix), ["sid", "place"])
+        slots.hint("merge").join(permuted_blocks(sources, mix).hint("merge"), ["sid", "place"])
         .withColumn("take", F.least("length", open_words))
         .filter("take > 0")
         .select("sid", "slot", "shard", "block", "round", "take")
@@ -187,7 +188,7 @@ def plan_mix(docs: DataFrame, mix: Mix = Mix(), id_col: str = "doc_id", text: st
     low = F.greatest("start", base)
     high = F.least(F.col("start") + F.col("size"), base + F.col("take"))
     pieces = (
-        spans.join(slots, ["sid", "block"])
+        spans.hint("merge").join(slots.hint("merge"), ["sid", "block"])
         .withColumn("words", high - low)
         .filter("words > 0")
         .select("sid", "start", "block", "shard", "slot", "round", (low - F.col("start")).alias("first"), "words")
@@ -202,7 +203,7 @@ def taken_words(plan: MixPlan) -> DataFrame:
     key = F.when(F.col("size") > 0, F.col("start")).otherwise(-1 - F.pmod(F.xxhash64("id"), F.lit(1 << 40)))
     return (
         plan.docs.withColumn("_key", key)
-        .join(taken, ["sid", "_key"], "left")
+        .join(taken.hint("merge"), ["sid", "_key"], "left")
         .select("id", "source", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))
     )
 

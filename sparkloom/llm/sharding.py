@@ -208,7 +208,8 @@ def kd_shards(
 def _assign(rows: DataFrame, leaves: DataFrame) -> DataFrame:
     """The shard of each row. Groups in one part are joined by group, the few heavy ones by group and part."""
     heavy = leaves.filter("parts > 1")
-    light = leaves.filter("parts = 1").select("grp", F.col("shard").alias("light_shard"))
+    # expanded tables look small to the planner, and must not be broadcast
+    light = leaves.filter("parts = 1").select("grp", F.col("shard").alias("light_shard")).hint("merge")
     counts = heavy.select("grp", "parts").distinct()
     met = rows.join(light, "grp", "left")
     rest = met.filter("light_shard IS NULL").drop("light_shard").join(counts, "grp")
