@@ -23,79 +23,80 @@ MEASURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words
 _MORE = ("n_upper", "n_letters", "n_lines", "n_ended_lines", "n_distinct")
 
 
-def _struct(name: str, **columns: Column) -> Column:
-    return F.struct(*[c.alias(k) for k, c in columns.items()]).alias(name)
+def measure(docs: DataFrame, text: str = "text") -> tuple[DataFrame, dict[str, str]]:
+    """``docs`` with a column per measure, and the names of these columns.
 
-
-def measure(docs: DataFrame, text: str = "text") -> tuple[DataFrame, str]:
-    """``docs`` with one struct column of measures, and the name of that column."""
-    steps = [free_name(docs, f"step{k}") for k in range(6)]
-    out = free_name(docs, "measures")
-    t, a, b, c, d, e = steps
+    Each step is a projection whose arrays the next one reads more than once, so the optimizer keeps the steps apart
+    and every array is made once.
+    """
+    steps = ("t", "words", "lines", "h", "twos", "fours", "fives", "sorted", "linked", "places")
+    at = {name: free_name(docs, f"_{name}") for name in (*MEASURES, *_MORE, *steps)}
+    if len(set(at.values())) < len(at):
+        raise ValueError("column names clash")
     keep = [F.col(x) for x in docs.columns]
-
-    def col(step: str, name: str) -> Column:
-        return F.col(f"{step}.{name}")
-
-    whole = docs.select(*keep, F.coalesce(F.col(text), F.lit("")).alias(t))
-    lists = whole.select(
-        *keep,
-        t,
-        _struct(
-            a,
-            words=F.regexp_extract_all(t, F.lit(WORD), F.lit(0)),
-            lines=F.filter(F.split(t, "\n", -1), lambda x: x.rlike(WORD)),
-        ),
+    t, words, lines, h = at["t"], at["words"], at["lines"], at["h"]
+    done: list[str] = []
+
+    def step(df: DataFrame, carry: tuple[str, ...] = (), **columns: Column) -> DataFrame:
+        made = [c.alias(at[name]) for name, c in columns.items()]
+        out = df.select(*keep, *done, *[at[c] for c in carry], *made)
+        done.extend(at[name] for name in columns if name in MEASURES or name in _MORE)
+        return out
+
+    def size(name: str) -> Column:
+        return F.size(at[name])
+
+    df = step(docs, t=F.coalesce(F.col(text), F.lit("")))
+    df = step(
+        df,
+        ("t",),
+        words=F.regexp_extract_all(t, F.lit(WORD), F.lit(0)),
+        lines=F.filter(F.split(t, "\n", -1), lambda x: x.rlike(WORD)),
     )
-    n = F.size(col(a, "words"))
-    counted = lists.select(
-        *keep,
-        _struct(
-            b,
-            n_words=n.cast("long"),
-            word_chars=F.length(F.translate(t, SPACE_CHARS, "")).cast("long"),
-            n_symbols=(F.length(t) - F.length(F.translate(t, SYMBOLS, ""))).cast("long"),
-            n_dup_lines=(F.size(col(a, "lines")) - F.size(F.array_distinct(col(a, "lines")))).cast("long"),
-            n_upper=F.length(F.regexp_replace(t, r"\P{Lu}+", "")).cast("long"),
-            n_letters=F.length(F.regexp_replace(t, r"\P{L}+", "")).cast("long"),
-            n_lines=F.size(col(a, "lines")).cast("long"),
-            n_ended_lines=F.size(F.filter(col(a, "lines"), lambda x: F.substring(F.rtrim(x), -1, 1).isin(*".!?\"':;")))
-            .cast("long"),
-            hashes=F.transform(col(a, "words"), lambda w: F.xxhash64(w)),
-        ),
+    df = step(
+        df,
+        n_words=F.size(words).cast("long"),
+        word_chars=F.length(F.translate(t, SPACE_CHARS, "")).cast("long"),
+        n_symbols=(F.length(t) - F.length(F.translate(t, SYMBOLS, ""))).cast("long"),
+        n_dup_lines=(F.size(lines) - F.size(F.array_distinct(lines))).cast("long"),
+        n_upper=F.length(F.regexp_replace(t, r"\P{Lu}+", "")).cast("long"),
+        n_letters=F.length(F.regexp_replace(t, r"\P{L}+", "")).cast("long"),
+        n_lines=F.size(lines).cast("long"),
+        n_ended_lines=F.size(
+            F.filter(lines, lambda x: F.substring(F.rtrim(x), -1, 1).isin(*".!?\"':;"))
+        ).cast("long"),
+        h=F.transform(words, lambda w: F.xxhash64(w)),
     )
-    hashes, size = col(b, "hashes"), F.size(col(b, "hashes"))
-    pairs = counted.select(*keep, b, F.zip_with(hashes, F.slice(hashes, 2, size), lambda x, y: F.xxhash64(x, y)).alias(c))
-    fours = pairs.select(*keep, b, F.zip_with(c, F.slice(c, F.lit(3), F.size(c)), lambda x, y: F.xxhash64(x, y)).alias(c))
-    fives = F.zip_with(c, F.slice(hashes, 5, size), lambda x, y: F.xxhash64(x, y))
-    windows = fours.select(*keep, b, F.slice(fives, F.lit(1), F.greatest(size - 4, F.lit(0))).alias(c))
+
+    def pairs(a: str, b: str, shift: int) -> Column:
+        return F.zip_with(at[a], F.slice(at[b], F.lit(shift + 1), size(b)), lambda x, y: F.xxhash64(x, y))
+
+    df = step(df, ("h",), n_distinct=F.size(F.array_distinct(h)).cast("long"), twos=pairs("h", "h", 1))
+    df = step(df, ("h",), fours=pairs("twos", "twos", 2))
+    df = step(df, fives=F.slice(pairs("fours", "h", 4), F.lit(1), F.greatest(size("h") - 4, F.lit(0))))
     # most texts repeat no window, and are done here
-    repeats = F.size(F.array_distinct(c)) < F.size(c)
-    sorted_windows = windows.select(
-        *keep,
-        b,
-        F.when(repeats, F.sort_array(F.transform(c, lambda x, i: F.struct(x.alias("key"), i.alias("at"))))).alias(d),
-    )
+    fives = at["fives"]
+    marked = F.sort_array(F.transform(fives, lambda x, i: F.struct(x.alias("key"), i.alias("at"))))
+    df = step(df, sorted=F.when(F.size(F.array_distinct(fives)) < F.size(fives), marked))
     follows = F.zip_with(
-        d,
-        F.slice(d, F.lit(2), F.size(d)),
+        at["sorted"],
+        F.slice(at["sorted"], F.lit(2), size("sorted")),
         lambda x, y: F.struct(x["at"].alias("at"), F.coalesce(x["key"] == y["key"], F.lit(False)).alias("more")),
     )
-    linked = sorted_windows.select(*keep, b, follows.alias(d))
+    df = step(df, linked=follows)
     either = F.zip_with(
-        d,
-        F.concat(F.array(F.lit(False)), F.transform(d, lambda x: x["more"])),
+        at["linked"],
+        F.concat(F.array(F.lit(False)), F.transform(at["linked"], lambda x: x["more"])),
         lambda x, before: F.when(x["more"] | before, x["at"]),
     )
-    places = linked.select(*keep, b, F.sort_array(F.filter(either, lambda p: p.isNotNull())).alias(e))
-    steps_between = F.zip_with(
-        e, F.slice(e, F.lit(2), F.size(e)), lambda p, q: F.least(F.lit(5), F.coalesce(q - p, F.lit(5)))
+    df = step(df, places=F.sort_array(F.filter(either, lambda p: p.isNotNull())))
+    places = at["places"]
+    between = F.zip_with(
+        places, F.slice(places, F.lit(2), F.size(places)), lambda p, q: F.least(F.lit(5), F.coalesce(q - p, F.lit(5)))
     )
-    covered = F.aggregate(steps_between, F.lit(0), lambda s, x: s + x)
-    fields = {name: col(b, name) for name in (*MEASURES[:4], *_MORE[:4])}
-    fields["n_distinct"] = F.size(F.array_distinct(hashes)).cast("long")
-    fields["n_repeat_words"] = F.coalesce(covered, F.lit(0)).cast("long")
-    return places.select(*keep, _struct(out, **{k: fields[k] for k in (*MEASURES, *_MORE)})), out
+    covered = F.aggregate(between, F.lit(0), lambda s, x: s + x)
+    df = step(df, n_repeat_words=F.coalesce(covered, F.lit(0)).cast("long"))
+    return df, {name: at[name] for name in (*MEASURES, *_MORE)}
 
 
 @dataclass(frozen=True)
@@ -138,22 +139,21 @@ class QualityModel:
         return 1 / (1 + F.exp(-total))
 
 
-def _inside(condition: str, measures: str | None) -> str:
-    """A condition over measures that are fields of a struct column."""
-    if measures is None:
+def _inside(condition: str, names: dict[str, str] | None) -> str:
+    """A condition over measures whose columns have other names."""
+    if names is None:
         return condition
-    names = "|".join((*MEASURES, *_MORE))
-    return re.sub(rf"\b({names})\b", rf"`{measures}`.\1", condition)
+    return re.sub(rf"\b({'|'.join(names)})\b", lambda m: f"`{names[m[1]]}`", condition)
 
 
-def vote(rule: Rule, measures: str | None = None) -> Column:
-    """1, 0 or -1; the measures are columns, or fields of the column ``measures``."""
-    bad, good = _inside(rule.bad, measures), _inside(rule.good, measures)
+def vote(rule: Rule, names: dict[str, str] | None = None) -> Column:
+    """1, 0 or -1; ``names`` are those of the columns of the measures."""
+    bad, good = _inside(rule.bad, names), _inside(rule.good, names)
     return F.expr(f"CASE WHEN {bad} THEN -1 WHEN {good} THEN 1 ELSE 0 END")
 
 
-def vote_columns(rules: tuple[Rule, ...] = RULES, measures: str | None = None) -> list[Column]:
-    return [vote(r, measures).alias(f"vote_{r.name}") for r in rules]
+def vote_columns(rules: tuple[Rule, ...] = RULES, names: dict[str, str] | None = None) -> list[Column]:
+    return [vote(r, names).alias(f"vote_{r.name}") for r in rules]
 
 
 def fit(voted: DataFrame, rules: tuple[Rule, ...] = RULES, rounds: int = 25, prior: float = 0.8) -> QualityModel:
@@ -197,8 +197,9 @@ def judge(docs: DataFrame, id_col: str = "doc_id", text: str = "text", threshold
     are not read; an empty table gives no rows. Measures are staged, so each text is read once.
     """
     require(docs, id_col, text)
-    measured, measures = measure(docs.select(F.col(id_col).alias("_id"), F.col(text).alias("_text")), "_text")
-    staged = stage(measured.select("_id", f"{measures}.*"), "measures")
+    measured, names = measure(docs.select(F.col(id_col).alias("id"), F.col(text).alias("text")))
+    columns = [F.col(own).alias(name) for name, own in names.items()]
+    staged = stage(measured.select(F.col("id").alias("_id"), *columns), "measures")
     voted = staged.select("*", *vote_columns())
     model = fit(voted)
     failed = F.expr(BASE_FAILED)
@@ -214,9 +215,12 @@ def judge(docs: DataFrame, id_col: str = "doc_id", text: str = "text", threshold
 def keep_good(docs: DataFrame, text: str = "text", threshold: float = 0.5) -> DataFrame:
     """The rows of ``docs`` whose text is kept; columns stay. The texts are measured twice, once for the votes."""
     require(docs, text)
-    measured, measures = measure(docs.select(F.col(text).alias("_text")), "_text")
-    model = fit(measured.select(*vote_columns(measures=measures)))
-    again, place = measure(docs, text)
-    by_name = {r.name: vote(r, place) for r in RULES}
-    failed = F.expr(_inside(BASE_FAILED, place))
-    return again.filter(~failed & (model.posterior(by_name.get) >= threshold)).select(*docs.columns)
+    measured, names = measure(docs.select(F.col(text).alias("text")))
+    model = fit(measured.select(*vote_columns(names=names)))
+    again, names = measure(docs, text)
+    by_name = {r.name: vote(r, names) for r in RULES}
+    failed = F.expr(_inside(BASE_FAILED, names))
+    # a filter is not moved below a row number, where each measure would be worked out wherever it is named
+    row = free_name(docs, "_row")
+    good = (F.col(row) >= 0) & ~failed & (model.posterior(by_name.get) >= threshold)
+    return again.withColumn(row, F.monotonically_increasing_id()).filter(good).select(*docs.columns)

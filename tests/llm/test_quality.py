@@ -40,8 +40,8 @@ def test_estimation_agrees_with_plain_python(spark):
     import math
 
     docs = spark.read.parquet(f"{SF}/documents.parquet")
-    measured, name = quality.measure(docs.select("text"))
-    voted = measured.select(*quality.vote_columns(measures=name)).cache()
+    measured, names = quality.measure(docs.select("text"))
+    voted = measured.select(*quality.vote_columns(names=names)).cache()
     model = quality.fit(voted, rounds=2)
     rows = [tuple(r) for r in voted.collect()]
     prior = math.log(0.8 / 0.2)
@@ -90,3 +90,9 @@ def test_no_python_in_the_plan(edge):
     for df in (quality.judge(edge), quality.keep_good(edge)):
         plan = df._jdf.queryExecution().toString()
         assert "Python" not in plan and "Arrow" not in plan and "Pandas" not in plan
+
+
+def test_every_array_is_made_once(edge):
+    """The optimizer may not repeat the costly steps wherever a measure is named."""
+    plan = quality.keep_good(edge)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("regexp_extract_all") == 1
