@@ -165,24 +165,21 @@ def fit(voted: DataFrame, rules: tuple[Rule, ...] = RULES, rounds: int = 25, pri
     names = [f"vote_{r.name}" for r in rules]
     patterns = cut(voted.groupBy(*names).agg(F.count("*").alias("rows")).coalesce(1))
     model = QualityModel(math.log(prior / (1 - prior)), {r.name: {1: 0.5, 0: 0.0, -1: -4.0} for r in rules})
+    each = F.explode(F.array(*[F.struct(F.lit(r.name).alias("rule"), F.col(f"vote_{r.name}").alias("vote")) for r in rules]))
     for _ in range(rounds):
-        good = F.col("rows") * model.posterior()
-        sums = [F.sum(good).alias("good"), F.sum("rows").alias("all")]
-        for r in rules:
-            for vote in (1, 0, -1):
-                of = F.when(F.col(f"vote_{r.name}") == vote, F.lit(1)).otherwise(F.lit(0))
-                sums += [F.sum(good * of).alias(f"good_{r.name}_{vote}"), F.sum(F.col("rows") * of).alias(f"all_{r.name}_{vote}")]
-        row = patterns.agg(*sums).first()
-        if not row["all"]:
+        weighed = patterns.select("rows", (F.col("rows") * model.posterior()).alias("good"), each.alias("of"))
+        # three rows per rule
+        found = weighed.groupBy("of.rule", "of.vote").agg(F.sum("good").alias("good"), F.sum("rows").alias("all")).collect()
+        sums = {(r["rule"], r["vote"]): (r["good"], r["all"] - r["good"]) for r in found}
+        if not sums:
             break
-        ok, bad = row["good"], row["all"] - row["good"]
+        ok, bad = (sum(sums.get((rules[0].name, v), (0.0, 0.0))[side] for v in (1, 0, -1)) for side in (0, 1))
         fresh = QualityModel(math.log((ok + 1) / (bad + 1)))
         for r in rules:
             fresh.odds[r.name] = {}
-            for vote in (1, 0, -1):
-                of_good = row[f"good_{r.name}_{vote}"]
-                of_bad = max(0.0, row[f"all_{r.name}_{vote}"] - of_good)
-                fresh.odds[r.name][vote] = math.log((of_good + 1) / (ok + 3)) - math.log((of_bad + 1) / (bad + 3))
+            for v in (1, 0, -1):
+                of_good, of_bad = sums.get((r.name, v), (0.0, 0.0))
+                fresh.odds[r.name][v] = math.log((of_good + 1) / (ok + 3)) - math.log((max(0.0, of_bad) + 1) / (bad + 3))
         moved = max(abs(fresh.odds[r.name][v] - model.odds[r.name][v]) for r in rules for v in (1, 0, -1))
         model = fresh
         if moved < 1e-3:
