@@ -10,8 +10,8 @@ The largest inner product is made a nearest neighbour: a further component lifts
 
 The k-d tree has two levels. Its upper splits are learned on a bounded sample and give the cells, each of which is a Spark
 group (in several parts, if it holds many rows); every row is indexed. A query first searches its own cell, which gives
-it a first bound, and then the cells whose boxes the stopping test does not rule out. The lower level orders a
-part's rows for the search.
+it a first bound, and then the cells whose boxes the stopping test does not rule out; the lists of both passes are
+merged. The lower level orders a part's rows for the search.
 """
 
 from __future__ import annotations
@@ -53,6 +53,19 @@ class Search:
         return m * (1 - 2 / (9 * m) + low * (2 / (9 * m)) ** 0.5) ** 3
 
 
+# Share of the squared norms by which distances may be off through rounding; equal rows have distances of no more.
+_SLACK = 1e-9
+
+
+def reach(norm: float, length: float, worst: float, quantile: float) -> float:
+    """Squared projected distance up to which rows may still be better than ``worst``.
+
+    The squared distance of lifted rows is the norms, less twice the inner product. ``length``: the query's squared norm.
+    """
+    norms = norm * norm + length
+    return (max(0.0, norms - 2 * worst) + _SLACK * norms) * quantile
+
+
 def inner(matrix: np.ndarray, vector: np.ndarray) -> np.ndarray:
     """Inner products, the same for equal rows wherever they stand."""
     return (matrix * vector).sum(axis=1)
@@ -155,9 +168,7 @@ class _Part:
         best_ids, best = np.empty(0, np.int64), np.empty(0)
         at, step = 0, 4 * search.k
         while at < len(order):
-            # squared distance of lifted rows: the norms, less twice the inner product
-            reach = (norm * norm + length - 2 * worst) * quantile
-            if radii[order[at]] > reach:
+            if radii[order[at]] > reach(norm, length, worst, quantile):
                 break
             chosen = order[at : at + step]
             ids, scores = np.append(best_ids, self.ids[chosen]), np.append(best, inner(self.vectors[chosen], query))
@@ -217,7 +228,7 @@ def _projected(search: Search, norm: float, dimension: int):
 def _visits(search: Search, norm: float, dimension: int, tree: Tree, parts: dict[int, int]):
     """Batches of (query_id, qv, worst) to one row per part to be searched.
 
-    Without a bound a query goes to one part of its own cell, with one to all parts of the cells within reach.
+    A query goes first to one part of its own cell, then to all other parts of the cells within reach.
     """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -228,13 +239,14 @@ def _visits(search: Search, norm: float, dimension: int, tree: Tree, parts: dict
             for query_id, v, worst, first in zip(batch["query_id"], batch["qv"], batch["worst"], batch["first"]):
                 query = np.asarray(v, float)
                 point = np.append(query, 0.0) @ matrix
+                far = tree.distances(point)
+                own = int(far.argmin())
+                begun = (own, query_id % parts[own]) if own in parts else None
                 if first:
-                    near = [int(tree.distances(point).argmin())]
-                    out += [(query_id, v, worst, c, query_id % parts[c]) for c in near if c in parts]
+                    out += [(query_id, v, worst, *begun)] if begun else []
                 else:
-                    reach = (norm * norm + query @ query - 2 * worst) * quantile
-                    near = np.flatnonzero(tree.distances(point) <= reach).tolist()
-                    out += [(query_id, v, worst, c, p) for c in near for p in range(parts.get(c, 0))]
+                    near = np.flatnonzero(far <= reach(norm, query @ query, worst, quantile)).tolist()
+                    out += [(query_id, v, worst, c, p) for c in near for p in range(parts.get(c, 0)) if (c, p) != begun]
             if out:
                 yield pd.DataFrame(out, columns=["query_id", "qv", "worst", "cell", "part"])
 
@@ -288,22 +300,23 @@ def nearest_neighbours(
         F.pmod(F.xxhash64("id"), F.coalesce(F.element_at(counts, F.col("cell")), F.lit(1)) if parts else F.lit(1)).alias("part"),
         F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"),
     )
-    queries = indexed.filter("q").select(F.col("id").alias("query_id"), F.col("v").alias("qv")).dropDuplicates(["query_id"])
+    # both passes must see the same vector of a repeated id
+    queries = indexed.filter("q").groupBy(F.col("id").alias("query_id")).agg(F.min("v").alias("qv"))
 
     def searched(asked: DataFrame) -> DataFrame:
         visits = asked.mapInPandas(_visits(search, norm, dimension, tree, parts), _VISIT)
         visits = visits.withColumn("block", F.pmod(F.xxhash64("query_id"), F.lit(blocks)).cast("int"))
         key = ["cell", "part", "block"]
-        found = targets.groupBy(*key).cogroup(visits.groupBy(*key)).applyInPandas(_search_parts(search, norm, dimension), _FOUND)
-        return _merged(found, search.k)
+        return targets.groupBy(*key).cogroup(visits.groupBy(*key)).applyInPandas(_search_parts(search, norm, dimension), _FOUND)
 
-    first = searched(queries.select("*", F.lit(float("-inf")).alias("worst"), F.lit(True).alias("first")))
-    bound = F.when(F.size("best") == search.k, -F.element_at("best", F.lit(-1))["far"]).otherwise(F.lit(float("-inf")))
+    # one list per query at most, read for the bounds and for the result
+    first = stage(searched(queries.select("*", F.lit(float("-inf")).alias("worst"), F.lit(True).alias("first"))), "first")
+    bound = F.when(F.size("scores") == search.k, F.element_at("scores", F.lit(-1))).otherwise(F.lit(float("-inf")))
     bounds = first.select("query_id", bound.alias("worst"))
     again = queries.join(bounds, "query_id", "left").select(
         "query_id", "qv", F.coalesce("worst", F.lit(float("-inf"))).alias("worst"), F.lit(False).alias("first")
     )
-    ranked = searched(again).select("query_id", F.posexplode("best").alias("place", "hit"))
+    ranked = _merged(first.unionByName(searched(again)), search.k).select("query_id", F.posexplode("best").alias("place", "hit"))
     return ranked.select(
         "query_id", (F.col("place") + 1).cast("int").alias("rank"), F.col("hit.id").alias("vec_id"), (-F.col("hit.far")).alias("score")
     )

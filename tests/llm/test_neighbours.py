@@ -66,6 +66,26 @@ def test_ties_go_to_the_smaller_id(spark):
     assert [j for _, j in got[40]] == [0, 1, 2, 3, 4]
 
 
+@pytest.mark.parametrize("vector", [[1.0, 1.0, 1.0], np.random.RandomState(5).standard_normal(64).astype(np.float32).tolist()])
+def test_copies_of_the_largest_vector(spark, vector):
+    """The 20th best score is the query's own squared norm: nothing may be lost to rounding, in any cell or part."""
+    rng = np.random.RandomState(11)
+    rows = [(i, vector) for i in range(100)]
+    rows += [(100 + i, (0.1 * rng.standard_normal(len(vector))).tolist()) for i in range(200)]
+    for cell_rows in (4096, 15):
+        got = searched(frame(spark, rows), neighbours.Search(k=20, cell_rows=cell_rows))
+        for query in range(0, 100, 20):
+            assert [j for _, j in got[query]] == [j for j in range(100) if j != query][:20]
+        assert all(len(best) == 20 for best in got.values()) and len(got) == 15
+
+
+def test_reach_covers_copies_of_any_vector():
+    for vector in np.random.RandomState(6).standard_normal((500, 64)).astype(np.float32).astype(float):
+        square = sum(x * x for x in vector.tolist())
+        worst = float(neighbours.inner(vector[None], vector)[0])
+        assert neighbours.reach(square**0.5, vector @ vector, worst, neighbours.Search().quantile()) > 0
+
+
 @pytest.mark.parametrize("scale", [0.0, 1.0])
 def test_recall_over_many_cells(spark, scale):
     """Clustered vectors, of one norm and of many, in small cells and parts."""
