@@ -6,14 +6,15 @@ whether they could be random: a chi-squared test of uniformity over bins of the
 the median, and a test of serial correlation. Fisher's method joins the three p-values.
 
 Random tokens have p-values spread evenly over 0..1, words and names have theirs near 0, and this is how false
-discoveries are controlled: all tokens of the corpus are counted by encoding, length class and p-value. In a
-class, the tokens above one half tell how many random ones there are; from that follows, for any level, which
+discoveries are controlled: the distinct tokens of the corpus are counted by encoding, length class and p-value, each
+once, however often it was copied. In a class, the tokens above one half tell how many random ones there are; from that follows, for any level, which
 part of the tokens above it are false. The lowest level whose part stays under ``rate`` is the class's
 own. Short classes, where the tests have little power, thus ask for more.
 """
 
 from __future__ import annotations
 
+import hashlib
 import math
 import re
 from collections import Counter
@@ -137,6 +138,10 @@ class Token:
     length: int
     p: float
 
+    @property
+    def bin(self) -> int:
+        return min(LEVELS - 1, int(self.p * LEVELS))
+
 
 def tokens(text: str) -> list[Token]:
     """Tokens of a text that an encoding could have made."""
@@ -198,24 +203,29 @@ def level_of(counts: list[int], rate: float, least: int = 50, small: float = 0.1
     return max(best, 1 / LEVELS) if best < 2 else best
 
 
-def _histogram(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    counts: Counter = Counter()
+def _distinct(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(encoding, length, bin, hash) of the tokens, each once per chunk of documents."""
+    names = ["encoding", "length", "bin", "hash"]
     for batch in batches:
         for first in range(0, batch.num_rows, _CHUNK):
-            for text in batch.column(0).slice(first, _CHUNK).to_pylist():
-                if text:
-                    counts.update((t.encoding, t.length, min(LEVELS - 1, int(t.p * LEVELS))) for t in tokens(text))
-    if counts:
-        columns = [pa.array(c, pa.int32()) for c in zip(*counts)]
-        yield pa.record_batch([*columns, pa.array(list(counts.values()), pa.int64())], names=["encoding", "length", "bin", "n"])
+            found = {
+                (t.encoding, t.length, t.bin, hashlib.blake2b(text[t.start : t.end].encode(), digest_size=16).digest())
+                for text in batch.column(0).slice(first, _CHUNK).to_pylist()
+                if text
+                for t in tokens(text)
+            }
+            if found:
+                *numbers, hashes = zip(*found)
+                columns = [*[pa.array(c, pa.int32()) for c in numbers], pa.array(hashes, pa.binary())]
+                yield pa.record_batch(columns, names=names)
 
 
 def fit(docs: DataFrame, text: str = "text", rate: float = 0.05) -> Levels:
-    """Levels from the tokens of all documents; a job runs when this is called."""
+    """Levels from the distinct tokens of all documents; a job runs when this is called."""
     require(docs, text)
-    counted = docs.select(F.col(text).alias("_text")).mapInArrow(_histogram, "encoding int, length int, bin int, n long")
-    # at most encodings * length classes * bins rows
-    rows = counted.groupBy("encoding", "length", "bin").agg(F.sum("n").alias("n")).collect()
+    found = docs.select(F.col(text).alias("_text")).mapInArrow(_distinct, "encoding int, length int, bin int, hash binary")
+    # copies are joined before the shuffle by hash; at most encodings * length classes * bins rows are collected
+    rows = found.distinct().groupBy("encoding", "length", "bin").agg(F.count("*").alias("n")).collect()
     by_class: dict[tuple[int, int], list[int]] = {}
     for r in rows:
         by_class.setdefault((r["encoding"], r["length"]), [0] * LEVELS)[r["bin"]] += r["n"]

@@ -65,6 +65,18 @@ def test_random_tokens_on_held_out_texts(spark):
     assert wrong <= 0.1 * max(1, right + wrong)
 
 
+def test_copies_of_a_token_do_not_move_its_level(spark):
+    rng = random.Random(21)
+    texts = [f"a {secret(rng, 0)} b" for _ in range(300)]
+    seldom = [(i, t, "en", "a") for i, t in enumerate(texts)]
+    levels = ss.fit(brute.frame(spark, seldom))
+    assert levels.by_class
+    for wanted in (0.3, 0.8, 0.98):
+        copied = next(t for t in texts if ss.tokens(t) and ss.tokens(t)[0].p >= wanted)
+        often = seldom + [(1000 + i, copied, "en", "a") for i in range(3000)]
+        assert ss.fit(brute.frame(spark, often).repartition(5)) == levels
+
+
 def test_random_tokens_have_even_p_values():
     rng = random.Random(4)
     ps = [ss.randomness(t, ss.infer_encoding(t)) for t in (secret(rng, 0) for _ in range(600)) if ss.infer_encoding(t) is not None]
