@@ -1,6 +1,7 @@
 """Secrets in text: three fixed rules, and a randomness test battery for tokens that no rule knows.
 
-A token is a run of at least 20 characters that encodings use. Its encoding is inferred (hexadecimal, base32,
+A token is a run of at least 20 characters that encodings use, with its padding; an equals sign between a name and
+a value bounds both. Its encoding is inferred (hexadecimal, base32,
 base62, base64 or its URL form), its characters become numbers in the encoding's alphabet, and three tests ask
 whether they could be random: a chi-squared test of uniformity over bins of the alphabet, a runs test around
 the median, and a test of serial correlation. Fisher's method joins the three p-values.
@@ -39,7 +40,8 @@ _ASSIGN = re.compile(
 _ASSIGN_HINTS = ("password", "passwd", "secret", "token", "apikey", "api_key")
 _ACCESS = re.compile(r"AKIA[A-Z0-9]{16,}")
 _HEX = re.compile(r"[0-9a-f]{24,}")
-_TOKEN = re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_-]{20,}={0,2}(?![A-Za-z0-9+/_=-])")
+# An equals sign is padding behind a token, and otherwise parts a name from its value.
+_TOKEN = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{20,}(?:={1,2}(?![A-Za-z0-9+/_=-]))?(?![A-Za-z0-9+/_-])")
 _UUID = re.compile(r"[0-9A-Fa-f]{8}(-[0-9A-Fa-f]{4}){3}-[0-9A-Fa-f]{12}")
 
 _DIGITS, _UPPER, _LOWER = "0123456789", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"

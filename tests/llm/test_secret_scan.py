@@ -65,6 +65,39 @@ def test_random_tokens_on_held_out_texts(spark):
     assert wrong <= 0.1 * max(1, right + wrong)
 
 
+def test_tokens_beside_equals_signs():
+    token, padded = "wJalrXUtnFEMI7MDENGbPxRfiCY12", "Zm9vYmFyMTIzNDU2Nzg5MGFiY2Q="
+    cases = [("AWS_KEY=", token, ""), ("https://x.org/a?sig=", token, "&b=1"), ("key: ", token, ""), ("k=", padded, ""), ("A_LONG_NAME_OF_A_KEY=", token, " ")]
+    cases += [("x?", token, "=1"), ("k==", padded, "&l"), ("a=b=", token, "=c"), ("k=", padded + "=", " "), ("'", token, "===")]
+    for left, middle, right in cases:
+        found = [(t.start, t.end) for t in ss.tokens(left + middle + right)]
+        assert (len(left), len(left) + len(middle)) in found, (left, middle, right)
+
+
+def test_random_values_of_names_on_held_out_texts(spark):
+    rng = random.Random(31)
+    around = [("AWS_KEY=", ""), ("https://x.org/a?sig=", "&page=2"), ("", "=on"), ("id=", "")]
+
+    def planted(n):
+        rows, spans = [], []
+        for i in range(n):
+            left, right = around[i % 4]
+            token = secret(rng, i % 3) if i % 5 else name(rng)
+            start = brute.prose(rng, 10) + " " + left
+            spans.append((len(start), len(start) + len(token)) if i % 5 else None)
+            rows.append((i, f"{start}{token}{right} {brute.prose(rng, 5)}", "en", "a"))
+        return rows, spans
+
+    levels = ss.fit(brute.frame(spark, planted(800)[0]))
+    right = wrong = missed = 0
+    for (_, text, _, _), span in zip(*planted(400)):
+        added = {(a, b) for a, kind, b in levels.spans(text) if kind == 3}
+        hit = span in added
+        right, wrong, missed = right + hit, wrong + len(added) - hit, missed + (span is not None and not hit)
+    assert right >= 0.85 * (right + missed)
+    assert wrong <= 0.1 * max(1, right + wrong)
+
+
 def test_copies_of_a_token_do_not_move_its_level(spark):
     rng = random.Random(21)
     texts = [f"a {secret(rng, 0)} b" for _ in range(300)]
