@@ -10,7 +10,8 @@ Random tokens have p-values spread evenly over 0..1, words and names have theirs
 discoveries are controlled: the distinct tokens of the corpus are counted by encoding, length class and p-value, each
 once, however often it was copied. In a class, the tokens above one half tell how many random ones there are; from that follows, for any level, which
 part of the tokens above it are false. The lowest level whose part stays under ``rate`` is the class's
-own. Short classes, where the tests have little power, thus ask for more.
+own. Short classes, where the tests have little power, thus ask for more. Every class starts from the same few prior
+counts, which its own tokens outweigh as they grow in number; there is no other rule for small classes.
 """
 
 from __future__ import annotations
@@ -32,6 +33,8 @@ KINDS = ("assign", "access", "hex", "random")
 BASE_KINDS = KINDS[:3]
 LEVELS = 50
 LENGTHS = (20, 24, 32, 40, 64, 128)
+# Counts by p-value bin that a class starts from: random tokens spread evenly, ordinary ones below 0.1.
+PRIOR = tuple(21 if k < LEVELS // 10 else 1 for k in range(LEVELS))
 _CHUNK = 512
 
 _ASSIGN = re.compile(
@@ -169,28 +172,28 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
 
 @dataclass(frozen=True)
 class Levels:
-    """Per class of encoding and length, the p-value from which a token counts as random."""
+    """Per class of encoding and length, the p-value from which a token counts as random; one for all other classes."""
 
     by_class: dict[tuple[int, int], float] = field(default_factory=dict)
+    unseen: float = 2.0
 
     def spans(self, text: str) -> list[tuple[int, int, int]]:
         """(start, kind, end): base spans, and random tokens that no base span touches."""
         found = base_spans(text)
         for t in tokens(text):
-            level = self.by_class.get((t.encoding, t.length), 2.0)
+            level = self.by_class.get((t.encoding, t.length), self.unseen)
             if t.p >= level and not any(a < t.end and t.start < b for a, kind, b in found if kind < 3):
                 found.append((t.start, 3, t.end))
         return sorted(found)
 
 
-def level_of(counts: list[int], rate: float, least: int = 50, small: float = 0.1) -> float:
-    """The lowest p-value level whose tokens are false at no more than ``rate``; ``counts`` by p-value bin.
+def level_of(own: list[int], rate: float) -> float:
+    """The lowest p-value level whose tokens are false at no more than ``rate``; ``own`` counts by p-value bin.
 
-    With ``rate`` at 0.05, say, at most one in twenty of the tokens that pass are not random. A class of
-    fewer than ``least`` tokens says too little of itself and gets ``small``; 2 if no level will do.
+    With ``rate`` at 0.05, say, at most one in twenty of the tokens that pass are not random, as far as the class has
+    tokens enough to tell; ``PRIOR`` is added at every size, and alone gives 0.1. 2 if no level will do.
     """
-    if sum(counts) < least:
-        return small
+    counts = [a + b for a, b in zip(own, PRIOR)]
     random = 2 * sum(counts[LEVELS // 2 :])
     passed, best = 0, 2.0
     for k in range(LEVELS - 1, -1, -1):
@@ -231,7 +234,7 @@ def fit(docs: DataFrame, text: str = "text", rate: float = 0.05) -> Levels:
     by_class: dict[tuple[int, int], list[int]] = {}
     for r in rows:
         by_class.setdefault((r["encoding"], r["length"]), [0] * LEVELS)[r["bin"]] += r["n"]
-    return Levels({key: level_of(counts, rate) for key, counts in by_class.items()})
+    return Levels({key: level_of(counts, rate) for key, counts in by_class.items()}, level_of([0] * LEVELS, rate))
 
 
 _FIELDS = [("kind", T.StringType()), ("start", T.IntegerType()), ("end", T.IntegerType())]

@@ -98,6 +98,26 @@ def test_random_values_of_names_on_held_out_texts(spark):
     assert wrong <= 0.1 * max(1, right + wrong)
 
 
+def test_levels_have_no_switch_by_size():
+    shapes = {
+        "bin 5": lambda n: [n if k == 5 else 0 for k in range(ss.LEVELS)],
+        "low": lambda n: [n if k == 0 else 0 for k in range(ss.LEVELS)],
+        "even": lambda n: [n // ss.LEVELS + (k * 7 % ss.LEVELS < n % ss.LEVELS) for k in range(ss.LEVELS)],
+        "lower half": lambda n: [n // 25 + (k * 7 % 25 < n % 25) if k < 25 else 0 for k in range(ss.LEVELS)],
+    }
+    for shape, counts in shapes.items():
+        levels = [ss.level_of(counts(n), 0.05) for n in range(400)]
+        assert levels[0] == 0.1
+        assert max(abs(a - b) for a, b in zip(levels, levels[1:])) <= 0.041, shape
+    # what the tokens say in the end
+    assert ss.level_of(shapes["bin 5"](5000), 0.05) == 0.12 and ss.level_of(shapes["even"](5000), 0.05) == 0.02
+    assert ss.level_of(shapes["lower half"](5000), 0.05) == 0.5
+
+
+def test_a_class_without_tokens_has_the_prior_level(spark, empty):
+    assert ss.fit(empty).unseen == ss.level_of([0] * ss.LEVELS, 0.05) == 0.1
+
+
 def test_copies_of_a_token_do_not_move_its_level(spark):
     rng = random.Random(21)
     texts = [f"a {secret(rng, 0)} b" for _ in range(300)]
