@@ -36,8 +36,6 @@ GROUPS = 128
 PAGE_LOAD = 1 << 20
 POINT_LOAD = 64
 CELL_BLOCK = 4096
-# Family members up to this number are sent to the texts, more are met by a shuffle.
-FEW_MEMBERS = 1_000_000
 _SEEN_SETS = 200_000
 _FULL = 255  # a count this high may stand for more
 
@@ -487,10 +485,9 @@ def set_links(docs: DataFrame, sets: DataFrame, rule: Similarity, id_col: str =
     families = _families(texts, points, rule)
     holders = named.groupBy("set_hash").agg(F.min("_id").alias("_id"))
     wanted = cut(families.select(F.col("node").alias("set_hash"), F.col("root").alias("family")).join(holders, "set_hash"))
-    few = wanted.limit(FEW_MEMBERS + 1).count() <= FEW_MEMBERS
     path = stage_path(docs.sparkSession, "points")
     points = stage(
-        texts.join(F.broadcast(wanted) if few else wanted, "_id")
+        texts.join(wanted.hint("shuffle_hash"), "_id")  # members are as many as the corpus has, and never broadcast
         .select("family", "set_hash", "_text")
         .mapInArrow(_members_of(rule), "family long, set_hash long, n long, counts binary, members binary"),
         "points",

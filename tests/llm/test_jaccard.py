@@ -49,6 +49,19 @@ def test_chains_of_copies(spark, monkeypatch, page_load):
     assert found(docs, RULES[0]) == brute.plain_order(brute.components(rows, 4, 85))
 
 
+def test_members_meet_their_texts_by_a_shuffle(spark, monkeypatch):
+    plans, whole = {}, jaccard.stage
+
+    def noted(df, name, path=None):
+        plans[name] = df._jdf.queryExecution().executedPlan().toString()
+        return whole(df, name, path)
+
+    monkeypatch.setattr(jaccard, "stage", noted)
+    rows = [(i, "one and the same words of a text " + "abc"[i % 3], "en", "a") for i in range(30)]
+    found(brute.frame(spark, rows), RULES[0])
+    assert "ShuffledHashJoin" in plans["points"] and "Broadcast" not in plans["points"]
+
+
 def test_short_texts_at_the_threshold(spark):
     words = [f"w{k}" for k in range(30)]
     rows = [(n, " ".join(words[:n])) for n in range(1, 30)]
