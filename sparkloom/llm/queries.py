@@ -5,9 +5,9 @@ Each query applies one operator, with the parameters given here, to a whole tabl
 
 from __future__ import annotations
 
-from sparkloom.llm import corpus_queries, jaccard_queries, store_queries, substring_queries
+from sparkloom.llm import corpus_queries, jaccard_queries, store_queries, substring_queries, token_queries, vector_queries
 
-_MODULES = (corpus_queries, jaccard_queries, store_queries, substring_queries)
+_MODULES = (corpus_queries, jaccard_queries, store_queries, substring_queries, token_queries, vector_queries)
 
 QUERIES = {name: fn for module in _MODULES for name, fn in module.QUERIES.items()}
 ORACLES = {name: sql for module in _MODULES for name, sql in module.ORACLES.items()}
