@@ -215,9 +215,10 @@ def cluster(rows: DataFrame, rule: Lloyd = Lloyd(), id_col: str = "vec_id", vect
     pairs = rows.select(F.col(id_col).cast("long").alias("id"), F.col(vector).cast("array<double>").alias("v"))
     schema = "block int, chunk long, ids array<long>, columns binary"
     width = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    # dealt once; the partitioning of the kept table serves all rounds
+    # dealt once; joins of later plans know the partitioning of a kept table only when it has been filled
     columns = pairs.mapInArrow(_columns(rule), schema).repartition(width, "block", "chunk").persist(StorageLevel.MEMORY_AND_DISK)
     try:
+        columns.count()
         for _ in range(rule.rounds):
             partial = columns.mapInArrow(_distances(rule, centroids, False), "chunk long, partial binary")
             choices = partial.repartition("chunk").sortWithinPartitions("chunk").mapInArrow(
