@@ -19,6 +19,8 @@ tables: ``ranks`` (rank, id), as long as the vocabulary, and ``parts`` (part, id
 
 from __future__ import annotations
 
+import gc
+import json
 import os
 import struct
 from collections.abc import Iterator
@@ -122,71 +124,172 @@ def read_tokenizer(spark: SparkSession, path: str):
         return spark.sparkContext.broadcast(file.read())
 
 
-_loaded: dict[int, Tokenizer] = {}
+class Encoder:
+    """The tokenizers library on whole texts, each word of a task encoded once.
 
+    A byte-level pre-tokenizer never joins a visible character with the space after it. So a text can be cut before each
+    space that follows a visible character, and its ids are those of its parts. Parts are encoded by the library, the
+    short ones kept in a bounded table. Tokenizers of another kind get whole texts.
+    """
+
+    KNOWN, SHORT = 1_000_000, 64
 
-def _load(shared) -> Tokenizer:
-    """The tokenizer of a broadcast text, built once per worker."""
-    key = hash(shared.value)
-    if key not in _loaded:
+    def __init__(self, source: str) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark deals out the cores
-        _loaded.clear()
-        _loaded[key] = Tokenizer.from_str(shared.value)
-        _loaded[key].no_truncation()
-        _loaded[key].no_padding()
-    return _loaded[key]
+        self.library = Tokenizer.from_str(source)
+        self.library.no_truncation()
+        self.library.no_padding()
+        data = json.loads(source)
+        before, added = data.get("pre_tokenizer") or {}, data.get("added_tokens") or []
+        self.by_words = (
+            data.get("normalizer") is None
+            and before.get("type") == "ByteLevel"
+            and not before.get("add_prefix_space")
+            and before.get("use_regex", True)
+            and not any(t.get("lstrip") or t.get("rstrip") or t.get("single_word") or " " in t["content"] for t in added)
+        )
+        self.known: dict[str, bytes] = {}
+        size = self.library.get_vocab_size()
+        self.spaced = np.array([(self.library.id_to_token(k) or "").startswith("\u0120") for k in range(size)])  # the byte 0x20
+
+    def learn(self, words: list[str]) -> None:
+        """Encode words without spaces, each after one: ids that start with a space begin the next word."""
+        for first in range(0, len(words), 10_000):
+            some = words[first : first + 10_000]
+            ids = np.frombuffer(self.library_ids([" " + " ".join(some)])[0], "<u4")
+            starts = np.flatnonzero(self.spaced[ids])
+            if len(starts) != len(some):  # a vocabulary that joins other things to spaces
+                self.known.update(zip(some, self.library_ids([f" {w}" for w in some])))
+                continue
+            data, ends = ids.tobytes(), [*(starts[1:] * 4).tolist(), len(ids) * 4]
+            self.known.update((w, data[a:b]) for w, a, b in zip(some, (starts * 4).tolist(), ends))
+
+    def library_ids(self, texts: list[str]) -> list[bytes]:
+        """Ids of each text as 32-bit numbers."""
+        return [np.array(f.ids, "<u4").tobytes() for f in self.library.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def encode(self, texts: list[str]) -> list[bytes]:
+        if not self.by_words:
+            return self.library_ids(texts)
+        if len(self.known) > self.KNOWN:
+            self.known.clear()
+        parts = [t.split(" ") for t in texts]
+        words = {w for w in set().union(*(p[1:] for p in parts)) - self.known.keys() if w and len(w) <= self.SHORT and not w[-1].isspace()}
+        self.learn(list(words))
+        return [self._joined(p) for p in parts]
+
+    def _joined(self, words: list[str]) -> bytes:
+        """Ids of a text that was split at its spaces."""
+        found: list[bytes | None] = [None, *map(self.known.get, words[1:])]
+        # the first word, long words, and words that end in white space with all up to the next that does not
+        whole, places, at = [], [], 0
+        while at < len(words):
+            try:
+                at = found.index(None, at)
+            except ValueError:
+                break
+            last = at
+            while last + 1 < len(words) and (not words[last] or words[last][-1].isspace()):
+                last += 1
+            whole.append(" " * (at > 0) + " ".join(words[at : last + 1]))
+            places.append(at)
+            found[at : last + 1] = [b""] * (last + 1 - at)
+            at = last + 1
+        for place, ids in zip(places, self.library_ids(whole)):
+            found[place] = ids
+        return b"".join(found)
+
+
+def _narrowed(ids: np.ndarray) -> bytes:
+    """Ids in two or four bytes each; the first byte says which."""
+    if not len(ids) or ids.max() < 1 << 16:
+        return b"\2" + ids.astype("<u2").tobytes()
+    return b"\4" + ids.astype("<u4").tobytes()
+
+
+def held_ids(data: bytes) -> np.ndarray:
+    """The ids that a binary value of :func:`tokenize_texts` holds."""
+    return np.frombuffer(data, f"<u{data[0]}", -1, 1)
+
+
+_PAIR = [("id", "<u4"), ("n", "<i8")]
+
+
+class _Counts:
+    """How often ids occur in a task; no longer than the vocabulary."""
+
+    def __init__(self) -> None:
+        self.n = np.zeros(0, np.int64)
+
+    def add(self, ids: np.ndarray) -> None:
+        found = np.bincount(ids)
+        if len(found) > len(self.n):
+            found[: len(self.n)] += self.n
+            self.n = found
+        else:
+            self.n[: len(found)] += found
+
+    def batch(self, names: list[str]) -> pa.RecordBatch:
+        """One row, its last column the pairs (id, n), the others null."""
+        seen = np.flatnonzero(self.n)
+        pairs = np.empty(len(seen), _PAIR)
+        pairs["id"], pairs["n"] = seen, self.n[seen]
+        kinds = {"doc_id": pa.int64()}
+        blank = [pa.nulls(1, kinds.get(name, pa.binary())) for name in names[:-1]]
+        return pa.record_batch([*blank, pa.array([pairs.tobytes()], pa.binary())], names=names)
 
 
 def _tokenized(shared, end_id: int | None):
-    """Batches of (doc_id, text) to (doc_id, ids), ids as 32-bit numbers."""
+    """Batches of (doc_id, text) to (doc_id, ids, counts): a row per document, and at last one with the task's counts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokenizer = _load(shared)
-        tail = b"" if end_id is None else np.array([end_id], "<u4").tobytes()
-        for batch in batches:
-            texts = [t or "" for t in batch.column(1).to_pylist()]
-            first = 0
-            while first < len(texts):
-                last, held = first, 0
-                while last < len(texts) and (last == first or held + len(texts[last]) <= _BATCH_BYTES):
-                    held += len(texts[last])
-                    last += 1
-                found = tokenizer.encode_batch_fast(texts[first:last], add_special_tokens=False)
-                ids = [np.array(f.ids, "<u4").tobytes() + tail for f in found]
-                yield pa.record_batch([batch.column(0).slice(first, last - first), pa.array(ids, pa.binary())], names=["doc_id", "ids"])
-                first = last
-
+        encoder, counts, names = Encoder(shared.value), _Counts(), ["doc_id", "ids", "counts"]
+        gc.disable()  # words by the million, and no cycles
+        try:
+            for batch in batches:
+                texts = [t or "" for t in batch.column(1).to_pylist()]
+                first = 0
+                while first < len(texts):
+                    last, held = first, 0
+                    while last < len(texts) and (last == first or held + len(texts[last]) <= _BATCH_BYTES):
+                        held += len(texts[last])
+                        last += 1
+                    found = [np.frombuffer(ids + tail, "<u4") for ids in encoder.encode(texts[first:last])]
+                    counts.add(np.concatenate(found))
+                    ids = pa.array([_narrowed(x) for x in found], pa.binary())
+                    yield pa.record_batch([batch.column(0).slice(first, last - first), ids, pa.nulls(last - first, pa.binary())], names=names)
+                    first = last
+        finally:
+            gc.enable()
+        yield counts.batch(names)
+
+    tail = b"" if end_id is None else np.array([end_id], "<u4").tobytes()
     return run
 
 
 def tokenize_texts(docs: DataFrame, shared, end_id: int | None = None, id_col: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, ids): ids of every whole text, special tokens in it taken as such, and ``end_id`` behind them.
+    """(doc_id, ids, counts): ids of every whole text, special tokens in it taken as such, and ``end_id`` behind them.
 
-    ``ids`` is binary, little-endian numbers of 32 bits. ``shared`` is from :func:`read_tokenizer`. A null text is empty.
+    ``ids`` is binary, see :func:`held_ids`. Every task adds a row without ids, in which ``counts`` says how often it
+    used each id. ``shared`` is from :func:`read_tokenizer`. A null text is empty.
     """
     require(docs, id_col, text)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    return rows.mapInArrow(_tokenized(shared, end_id), "doc_id long, ids binary")
+    return rows.mapInArrow(_tokenized(shared, end_id), "doc_id long, ids binary, counts binary")
 
 
-def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Batches of (ids) to one count per id of the task."""
-    counts = np.zeros(0, np.int64)
+def _pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Batches of (counts) to (id, n)."""
     for batch in batches:
-        for ids in batch.column(0):
-            found = np.bincount(np.frombuffer(ids.as_buffer(), "<u4"))
-            if len(found) > len(counts):
-                found[: len(counts)] += counts
-                counts = found
-            else:
-                counts[: len(found)] += found
-    seen = np.flatnonzero(counts)
-    yield pa.record_batch([pa.array(seen), pa.array(counts[seen])], names=["id", "n"])
+        for counts in batch.column(0).to_pylist():
+            pairs = np.frombuffer(counts, _PAIR)
+            yield pa.record_batch([pa.array(pairs["id"].astype(np.int64)), pa.array(pairs["n"].copy())], names=["id", "n"])
 
 
 def rank_ids(rows: DataFrame, layout: Layout = Layout()) -> np.ndarray:
-    """The ids that occur in the column ``ids``, most frequent first, then smallest. No longer than the vocabulary."""
-    counts = rows.select("ids").mapInArrow(_counted, "id long, n long").groupBy("id").agg(F.sum("n").alias("n"))
+    """The ids of :func:`tokenize_texts`, most frequent first, then smallest. No longer than the vocabulary."""
+    held = rows.filter("counts IS NOT NULL").select("counts")
+    counts = held.mapInArrow(_pairs, "id long, n long").groupBy("id").agg(F.sum("n").alias("n"))
     found = counts.limit(layout.max_vocabulary + 1).toPandas()
     if len(found) > layout.max_vocabulary:
         raise ValueError(f"more than {layout.max_vocabulary} distinct ids")
@@ -210,7 +313,7 @@ def _packed(shared, layout: Layout):
 
         for batch in batches:
             for doc_id, ids in zip(batch.column(0).to_pylist(), batch.column(1)):
-                found = np.frombuffer(ids.as_buffer(), "<u4")
+                found = held_ids(ids.as_py())
                 if doc_ids and held + len(found) > layout.block_ids:
                     yield close()
                     before += held
@@ -238,16 +341,16 @@ def _contents(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def write_token_files(rows: DataFrame, folder: str, layout: Layout = Layout()) -> None:
-    """Write (doc_id, ids) to a new folder, in ascending order of ``doc_id``, those without an id last.
+    """Write rows of :func:`tokenize_texts` to a new folder, in ascending order of ``doc_id``, those without an id last.
 
-    Rows that repeat an id are ordered by a hash of their ids. ``rows`` is read three times, so it should be a written table. Spark's
+    Rows that repeat an id are ordered by a hash of their ids. ``rows`` is read three times, and should be a written table. Spark's
     range partitions are the parts; a hot id is spread over several. The folder appears by Spark's commit.
     """
-    require(rows, "doc_id", "ids")
+    require(rows, "doc_id", "ids", "counts")
     spark = rows.sparkSession
     shared = spark.sparkContext.broadcast(rank_ids(rows, layout))
     order = [F.col("doc_id").asc_nulls_last(), "_mark", "_place"]
-    marked = rows.select("doc_id", "ids", F.xxhash64("ids").alias("_mark"), F.monotonically_increasing_id().alias("_place"))
+    marked = rows.filter("ids IS NOT NULL").select("doc_id", "ids", F.xxhash64("ids").alias("_mark"), F.monotonically_increasing_id().alias("_place"))
     ordered = marked.repartitionByRange(*order).sortWithinPartitions(*order).select("doc_id", "ids")
     blocks = ordered.mapInArrow(_packed(shared, layout), "block binary")
     files = blocks.select(F.col("block").cast("string"))  # bytes go out as they are

@@ -1,3 +1,4 @@
+import random
 import zlib
 
 import brute
@@ -88,7 +89,7 @@ def test_ranks_and_size(spark, edge):
     ids = token_files.tokenize_texts(edge, token_files.read_tokenizer(spark, PATH), 2).cache()
     folder = stage_path(spark, "tokens")
     token_files.write_token_files(ids, folder)
-    flat = np.concatenate([np.frombuffer(r.ids, "<u4") for r in ids.collect()])
+    flat = np.concatenate([token_files.held_ids(r.ids) for r in ids.filter("ids IS NOT NULL").collect()])
     values, counts = np.unique(flat, return_counts=True)
     want = values[np.lexsort((values, -counts))]
     assert [r.id for r in spark.read.parquet(f"{folder}/ranks").orderBy("rank").collect()] == want.tolist()
@@ -96,6 +97,29 @@ def test_ranks_and_size(spark, edge):
     assert held < 2 * len(flat)
 
 
+def test_words_are_cut_where_the_library_cuts_them(tokenizer):
+    encoder = token_files.Encoder(open(PATH, encoding="utf-8").read())
+    assert encoder.by_words
+    rng = random.Random(4)
+    parts = ["a", " ", "  ", "\n", "\t", "\u00a0", "\u3000", "\x1c", "\x85", "'s", "don't", "12", "3.5", "\u4e2d\u6587", "<|endoftext|>", "\U0001f600"]
+    parts += ["\u0301", "\u200b", "\ufeff", "x" * 100, "Word", ".", "...", "\r\n", "<|endof", "text|>"]
+    texts = ["", " ", "   ", "a  b", "a   b", "\n  a", "a \n b", "a\n b", " a", "a "]
+    texts += ["".join(rng.choice(parts) for _ in range(rng.randint(1, 30))) for _ in range(3000)]
+    want = [tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
+    assert [np.frombuffer(x, "<u4").tolist() for x in encoder.encode(texts)] == want
+    encoder.KNOWN = 3
+    assert [np.frombuffer(x, "<u4").tolist() for t in texts for x in encoder.encode([t])] == want
+
+
+def test_another_kind_of_tokenizer_gets_whole_texts():
+    path = public_tokenizers.path("word_bpe_49k.json")
+    encoder = token_files.Encoder(open(path, encoding="utf-8").read())
+    assert not encoder.by_words
+    texts = ["Two  Words", "", "a\nb"]
+    library = Tokenizer.from_file(path)
+    assert [np.frombuffer(x, "<u4").tolist() for x in encoder.encode(texts)] == [library.encode(t, add_special_tokens=False).ids for t in texts]
+
+
 def test_vocabulary_bound_is_an_error(spark, edge):
     ids = token_files.tokenize_texts(edge, token_files.read_tokenizer(spark, PATH))
     with pytest.raises(ValueError):
