@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from tokenizers import Tokenizer
 
 from sparkloom.llm.common import require
-from sparkloom.session import remove_path, stage, stage_path
+from sparkloom.session import remove_path, stage_path
 
 _MAGIC = b"TKF1"
 _HEADER = "<4sqqqqq"
@@ -411,6 +411,8 @@ def store_texts(
     that repeat an id are documents of their own. A long text is one document in one block. Other columns of ``docs`` are
     not read. An empty table gives a folder without documents. Jobs run when this is called.
     """
-    path = stage_path(docs.sparkSession, "ids")
-    write_token_files(stage(tokenize_texts(docs, shared, end_id, id_col, text), "ids", path), folder, layout)
-    remove_path(docs.sparkSession, path)
+    spark, path = docs.sparkSession, stage_path(docs.sparkSession, "ids")
+    found = tokenize_texts(docs, shared, end_id, id_col, text)
+    found.write.option("compression", "zstd").parquet(path)
+    write_token_files(spark.read.schema(found.schema).parquet(path), folder, layout)
+    remove_path(spark, path)
