@@ -2,8 +2,11 @@
 
 A word is a maximal run of bytes other than space, \\t, \\n, \\v, \\f and \\r, which is
 the same as a run of other characters, since UTF-8 never uses these bytes inside
-a longer character. Equal words have equal hashes; different words share one
-with a chance of about 2**-64 per pair.
+a longer character. A word's hash is the sum of one scrambled value per byte and
+place, scrambled again with its length. Equal words have equal hashes. Values of
+different places have nothing in common, so no pattern of letters makes two words meet, as a polynomial
+modulo a power of two does for long enough ones; different words share a hash with a chance of
+about 2**-64 per pair.
 """
 
 from __future__ import annotations
@@ -20,10 +23,9 @@ _SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[ord("A") : ord("Z") + 1] += 32
 
-_BASE = 0x9E3779B97F4A7C15
+_PLACE = np.uint64(0x9E3779B97F4A7C15)
 _STEP = np.uint64(0xD1342543DE82EF95)
 _BYTE_CODES = np.random.RandomState(7).randint(0, 1 << 62, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-_powers = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -33,17 +35,6 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def _power_tables(n: int) -> list[np.ndarray]:
-    """Powers of the base and of its inverse modulo 2**64."""
-    if len(_powers[0]) < n:
-        size = max(n, SLICE_BYTES)
-        for k, base in enumerate((_BASE, pow(_BASE, -1, 1 << 64))):
-            factors = np.full(size, base, np.uint64)
-            factors[0] = 1
-            _powers[k] = np.cumprod(factors, dtype=np.uint64)
-    return _powers
-
-
 def _hash_words(data: np.ndarray, firsts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Hash and start of each word; a word never crosses a place in ``firsts``."""
     n = len(data)
@@ -57,11 +48,13 @@ def _hash_words(data: np.ndarray, firsts: np.ndarray) -> tuple[np.ndarray, np.nd
     after[edges - 1] = False
     starts = np.flatnonzero(inside & ~before)
     ends = np.flatnonzero(inside & ~after)
-    up, down = _power_tables(n)
-    sums = np.cumsum(_BYTE_CODES[data] * up[:n], dtype=np.uint64)
-    whole = sums[ends]
-    whole[starts > 0] -= sums[starts[starts > 0] - 1]
-    return mix(whole * down[starts] + (ends - starts).astype(np.uint64) * _STEP), starts
+    letters = np.flatnonzero(inside)
+    lengths = ends - starts + 1
+    firsts_of = np.cumsum(lengths) - lengths  # where each word begins among the letters
+    place = np.arange(len(letters), dtype=np.uint64) - np.repeat(firsts_of.astype(np.uint64), lengths)
+    values = mix(_BYTE_CODES[data[letters]] + place * _PLACE)
+    whole = np.add.reduceat(values, firsts_of) if len(starts) else np.empty(0, np.uint64)
+    return mix(whole + lengths.astype(np.uint64) * _STEP), starts
 
 
 def _long_text(data: np.ndarray) -> np.ndarray:
