@@ -116,6 +116,11 @@ def finalize_pack(samples: DataFrame, *keys: str, order: str = "idx", is_sft: bo
     """
     fields = ("input_ids", "user_len", "task_id", "task_type")
     packed = samples.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct(order, *fields))).alias("s"))
+    return join_items(packed, *keys, is_sft=is_sft)
+
+
+def join_items(packed: DataFrame, *keys: str, is_sft: bool = False) -> DataFrame:
+    """:func:`finalize_pack` of rows that hold their samples, in order, in the array ``s``."""
 
     def each(make: Callable[[Column], Column]) -> Column:
         return F.transform("s", lambda x: make(x))

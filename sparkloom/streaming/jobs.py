@@ -27,13 +27,13 @@ def read_table_stream(spark: SparkSession, folder: str, name: str, max_bytes: in
     return reader.option("pathGlobFilter", "*.parquet").parquet(path)
 
 
-def drain_to_path(stream: DataFrame, name: str) -> str:
+def drain_to_path(stream: DataFrame, name: str, path: str | None = None) -> str:
     """Run a stream over all input there is, into files of the shared folder.
 
     Output and checkpoint lie there, so a lost executor or driver resumes from the
-    last finished batch.
+    last finished batch. With the ``path`` of an earlier call the stream goes on where that one ended.
     """
-    path = stage_path(stream.sparkSession, name)
+    path = path or stage_path(stream.sparkSession, name)
     job = (
         stream.writeStream.format("parquet")
         .outputMode("append")
