@@ -52,12 +52,12 @@ def pack_next_fit(spark: SparkSession, sf: str) -> DataFrame:
     return packing.pack_summary(packing.assign_packs(items, samples, CONFIG))
 
 
-_PACK_SQL = f"""SELECT shard, pack_no, {sql_fingerprint('input_ids')} AS ids_md5, {sql_fingerprint('labels')} AS labels_md5,
+PACK_SQL = f"""SELECT shard, pack_no, {sql_fingerprint('input_ids')} AS ids_md5, {sql_fingerprint('labels')} AS labels_md5,
     '0,' || array_to_string(list_transform(lengths, lambda x, i: list_sum(lengths[1:i])), ',') AS offsets,
     array_to_string(task_type, ',') AS tasks, ranges FROM packs"""
 
 
-def _pack_view(packs: DataFrame) -> DataFrame:
+def pack_view(packs: DataFrame) -> DataFrame:
     return packs.select(
         "shard",
         "pack_no",
@@ -69,9 +69,9 @@ def _pack_view(packs: DataFrame) -> DataFrame:
     )
 
 
-@query("finalize_pack", f"WITH {PACKED_SQL} {_PACK_SQL}")
+@query("finalize_pack", f"WITH {PACKED_SQL} {PACK_SQL}")
 def finalize_pack(spark: SparkSession, sf: str) -> DataFrame:
-    return _pack_view(packed(spark, sf))
+    return pack_view(packed(spark, sf))
 
 
 def _cache_file(spark: SparkSession, sf: str) -> str:
@@ -80,14 +80,14 @@ def _cache_file(spark: SparkSession, sf: str) -> str:
     )
 
 
-@query("write_pack_cache", f"WITH {PACKED_SQL} {_PACK_SQL}")
+@query("write_pack_cache", f"WITH {PACKED_SQL} {PACK_SQL}")
 def write_pack_cache(spark: SparkSession, sf: str) -> DataFrame:
     path = _cache_file(spark, sf)
     pack_cache.write_pack_cache(packed(spark, sf), path)
-    return _pack_view(spark.read.parquet(path))
+    return pack_view(spark.read.parquet(path))
 
 
-@query("read_pack_cache", f"WITH {PACKED_SQL} {_PACK_SQL}")
+@query("read_pack_cache", f"WITH {PACKED_SQL} {PACK_SQL}")
 def read_pack_cache(spark: SparkSession, sf: str) -> DataFrame:
     path = _cache_file(spark, sf)
     pack_cache.cached_packs(spark, path, lambda: packed(spark, sf))  # first call builds
@@ -95,7 +95,7 @@ def read_pack_cache(spark: SparkSession, sf: str) -> DataFrame:
     def not_again() -> DataFrame:
         raise RuntimeError("the cache was not used")
 
-    return _pack_view(pack_cache.cached_packs(spark, path, not_again))
+    return pack_view(pack_cache.cached_packs(spark, path, not_again))
 
 
 @query(

@@ -1,14 +1,9 @@
-"""The metric and packing operators over unbounded input, with Structured Streaming."""
+"""Streams of files: reading, draining into files, and windowed means. Operators with state are in ``ordered``."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
-import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
-
-from sparkloom.operators.greedy import Budget, Gap, Open, cut_rows
 from sparkloom.session import stage_path
 from sparkloom.sources.corpus import has_parquet, is_file
 
@@ -60,88 +55,3 @@ def stream_task_means(
         .agg(F.avg(value).alias("mean"), F.count("*").alias("samples"))
         .select(F.col("w.start").alias("window_start"), task, "mean", "samples")
     )
-
-
-_KNOWN_STATE = T.StructType([T.StructField("step", T.LongType()), T.StructField("value", T.DoubleType())])
-
-
-def stream_last_known(steps: DataFrame) -> DataFrame:
-    """Fill the steps a task skipped with its last value, when its next value comes.
-
-    ``steps``: task, step, value; one row per task and step, already aggregated, so
-    one key brings few rows per batch.
-    """
-    out = T.StructType(
-        [
-            T.StructField("task", T.StringType()),
-            T.StructField("step", T.LongType()),
-            T.StructField("value", T.DoubleType()),
-            T.StructField("carried", T.BooleanType()),
-        ]
-    )
-
-    def fill(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        rows = pd.concat(list(batches)).sort_values("step")
-        known = state.get if state.exists else None
-        lines = []
-        for step, value in zip(rows["step"].tolist(), rows["value"].tolist()):
-            if known is not None:
-                lines += [(key[0], s, known[1], True) for s in range(known[0] + 1, step)]
-            lines.append((key[0], step, value, False))
-            known = (step, value)
-        state.update(known)
-        yield pd.DataFrame(lines, columns=out.names)
-
-    return (
-        steps.select("task", "step", "value")
-        .groupBy("task")
-        .applyInPandasWithState(fill, out, _KNOWN_STATE, "append", GroupStateTimeout.NoTimeout)
-    )
-
-
-_OPEN_STATE = T.StructType(
-    [T.StructField(n, T.LongType()) for n in ("value", "rows", "cuts")] + [T.StructField("last", T.ArrayType(T.LongType()))]
-)
-
-
-def stream_cuts(rows: DataFrame, group: str, order: list[str], rule: Budget | Gap) -> DataFrame:
-    """Greedy cuts with what is open per group kept as state between batches.
-
-    Rows of a group are ordered inside a batch; the source bounds the batch
-    (``maxBytesPerTrigger``). A row that comes before rows of an earlier batch would change cuts that are
-    written already, so it stops the stream; a backlog of files in no order is for the batch operator.
-    The columns of ``order`` are whole numbers.
-    """
-    columns = rows.columns
-    out = T.StructType(
-        rows.schema.fields + [T.StructField("_cut", T.LongType()), T.StructField("_starts", T.BooleanType())]
-    )
-
-    def assign(_: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        pdf = pd.concat(list(batches)).sort_values(order)
-        first, last = ([int(x) for x in pdf[order].iloc[k]] for k in (0, -1))
-        carry = None
-        if state.exists:
-            value, count, done, before = state.get
-            if first < list(before):
-                raise ValueError(f"row {first} comes before {list(before)}, whose cut is written")
-            carry = Open(value, count, done)
-        cuts, starts, carry = cut_rows(rule.prepare(lambda c: pdf[c].to_numpy()), carry)
-        state.update((carry.value, carry.rows, carry.cuts, last))
-        yield pdf[columns].assign(_cut=cuts, _starts=starts)
-
-    return rows.groupBy(group).applyInPandasWithState(assign, out, _OPEN_STATE, "append", GroupStateTimeout.NoTimeout)
-
-
-def stream_rate_limit(rows: DataFrame, interval: int, run: str = "run", max_steps: int | None = None) -> DataFrame:
-    """Rows (run, step, t, force) that are logged: see the batch operator."""
-    if max_steps is not None:
-        rows = rows.withColumn("force", F.col("force") | (F.col("step") >= max_steps - 1))
-    cuts = stream_cuts(rows, run, ["t", "step"], Gap(interval))
-    return cuts.filter("_starts").withColumnRenamed("_cut", "log_no").drop("_starts")
-
-
-def stream_pack(sizes: DataFrame, max_len: int, shard: str = "shard", order: str = "idx") -> DataFrame:
-    """Next-fit pack number of each row, one open pack per shard."""
-    cuts = stream_cuts(sizes, shard, [order], Budget(max_len))
-    return cuts.withColumn("pack_no", F.col("_cut").cast("int")).drop("_cut", "_starts")

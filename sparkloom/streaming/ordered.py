@@ -6,7 +6,7 @@ result depends on the rows, not on the files or batches they came in. Rows behin
 as in every stream. What waits is bounded by the watermark's delay; what a group keeps besides, by its operator.
 
 ``finish`` sends a marker that lets the watermark pass all rows, so that what is still open comes out.
-Row times lie before the year 2100. The state lives in RocksDB, see :func:`state_store`.
+Row times lie between 1970 and the year 2100, ends not included. The state lives in RocksDB, see :func:`state_store`.
 """
 
 from __future__ import annotations
@@ -250,22 +250,47 @@ def _micros(seconds: float | None) -> int | None:
     return None if seconds is None else int(seconds * 1_000_000)
 
 
+def _ordered_cuts(
+    rows: DataFrame, columns: list[str], order: list[str], rule: Budget | Gap, time: str, late: str, group: str, gap: float | None
+) -> DataFrame:
+    timed = _timed(rows, time, late)
+    kept = _waiting(timed, *columns)
+    out = T.StructType(
+        [f for f in kept if f.name != "event_us"]
+        + [rows.schema[group], T.StructField("_cut", T.LongType()), T.StructField("_starts", T.BooleanType())]
+    )
+    processor = _Cuts(kept, order, rule, group, _micros(gap))
+    return timed.select(group, time, *kept.names).groupBy(group).transformWithStateInPandas(processor, out, "append", "eventTime")
+
+
 def ordered_rate_limit(
-    rows: DataFrame, interval: int, time: str = "ts", late: str = "1 hour", run: str = "run", forget: float | None = None
+    rows: DataFrame,
+    interval: int,
+    time: str = "ts",
+    late: str = "1 hour",
+    run: str = "run",
+    forget: float | None = None,
+    max_steps: int | None = None,
 ) -> DataFrame:
     """Rows that are logged, as by the batch operator: (run, step, t, force) with ``log_no``.
 
     ``t`` is the time in the unit of ``interval``, in the order of the column ``time``. A run without
     rows for more than ``forget`` seconds of event time starts anew, and its state is removed.
     """
-    timed = _timed(rows, time, late)
-    kept = _waiting(timed, "step", "t", "force")
-    out = T.StructType([f for f in kept if f.name != "event_us"] + [rows.schema[run], T.StructField("_cut", T.LongType()), T.StructField("_starts", T.BooleanType())])
-    processor = _Cuts(kept, ["t", "step"], Gap(interval), run, _micros(forget))
-    cuts = timed.select(run, time, *kept.names).groupBy(run).transformWithStateInPandas(processor, out, "append", "eventTime")
+    if max_steps is not None:
+        rows = rows.withColumn("force", F.col("force") | (F.col("step") >= max_steps - 1))
+    cuts = _ordered_cuts(rows, ["step", "t", "force"], ["t", "step"], Gap(interval), time, late, run, forget)
     return cuts.filter("_starts").withColumnRenamed("_cut", "log_no").drop("_starts")
 
 
+def ordered_pack_numbers(
+    sizes: DataFrame, max_len: int, time: str = "ts", late: str = "1 hour", shard: str = "shard", order: str = "idx", n: str = "n"
+) -> DataFrame:
+    """Next-fit pack number of each row, as by the batch operator; times rise with ``order``."""
+    cuts = _ordered_cuts(sizes, [order, n], [order], Budget(max_len, column=n), time, late, shard, None)
+    return cuts.withColumn("pack_no", F.col("_cut").cast("int")).drop("_cut", "_starts")
+
+
 def ordered_last_known(
     values: DataFrame, time: str = "ts", late: str = "1 hour", run: str = "run", forget: float | None = None
 ) -> DataFrame:

@@ -1,4 +1,4 @@
-"""Streams over several files equal the batch result; late rows are dropped."""
+"""Streams of files: late rows are dropped, and a table may be a file or a folder."""
 
 import datetime
 import time
@@ -6,64 +6,14 @@ import time
 import pytest
 from pyspark.sql import functions as F
 
-from sparkloom.operators import metrics, packing
-from sparkloom.streaming import jobs
+from sparkloom.operators import metrics
+from sparkloom.streaming import jobs, ordered
 
 
 def stream_of(spark, folder, schema, per_batch=1):
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", per_batch).parquet(folder)
 
 
-def write_parts(frame, folder, parts, column="step"):
-    """One file per part, in order of writing."""
-    n = frame.count()
-    for i in range(parts):
-        part = frame.filter((F.col(column) >= i * n // parts) & (F.col(column) < (i + 1) * n // parts))
-        part.coalesce(1).write.mode("append").parquet(folder)
-        time.sleep(0.05)
-
-
-def test_rate_limit_over_batches(spark, tmp_path):
-    rows = [(("a", "a", "b")[i % 3], i, 10 * i + (i * 7) % 5, i % 97 == 0) for i in range(300)]
-    frame = spark.createDataFrame(rows, "run string, step long, t long, force boolean")
-    folder = str(tmp_path / "in")
-    write_parts(frame, folder, 4)
-    got = jobs.drain(jobs.stream_rate_limit(stream_of(spark, folder, frame.schema), 55), "logged").collect()
-    want = metrics.rate_limited_log(frame, 55).collect()
-    key = lambda r: (r.run, r.step, r.t, r.log_no)
-    assert sorted(map(key, got)) == sorted(map(key, want))
-
-
-def test_pack_over_batches(spark, tmp_path):
-    rows = [(0 if i % 3 else 1, i, (i * 37) % 50 + 1) for i in range(300)]
-    frame = spark.createDataFrame(rows, "shard int, idx long, n int")
-    folder = str(tmp_path / "in")
-    write_parts(frame, folder, 5, "idx")
-    got = jobs.drain(jobs.stream_pack(stream_of(spark, folder, frame.schema), 120), "packs").collect()
-    want = packing.pack_next_fit(frame, 120).collect()
-    key = lambda r: (r.shard, r.idx, r.n, r.pack_no)
-    assert sorted(map(key, got)) == sorted(map(key, want))
-
-
-def test_last_known_over_batches(spark, tmp_path):
-    rows = [(t, s, float(s)) for s in range(40) for t in ("a", "b") if (s % 5 == 0 if t == "a" else s % 3 == 1)]
-    frame = spark.createDataFrame(rows, "task string, step long, value double").orderBy("step")
-    folder = str(tmp_path / "in")
-    for lo in (0, 11, 23):
-        hi = {0: 11, 11: 23, 23: 99}[lo]
-        frame.filter((F.col("step") >= lo) & (F.col("step") < hi)).coalesce(1).write.mode("append").parquet(folder)
-        time.sleep(0.05)
-    got = jobs.drain(jobs.stream_last_known(stream_of(spark, folder, frame.schema)), "known").collect()
-    for task in ("a", "b"):
-        own = {s: v for t, s, v in rows if t == task}
-        mine = sorted((r.step, r.value, r.carried) for r in got if r.task == task)
-        want, known = [], None
-        for s in range(min(own), max(own) + 1):
-            known = own.get(s, known)
-            want.append((s, known, s not in own))
-        assert mine == want
-
-
 def test_late_rows_are_dropped(spark, tmp_path):
     at = lambda h, m: datetime.datetime(2024, 1, 1, h, m)
     folder = str(tmp_path / "in")
@@ -91,18 +41,8 @@ def test_a_table_may_be_a_folder(spark, tmp_path):
     want = sorted((r.run, r.step, r.log_no) for r in metrics.rate_limited_log(frame, 55, max_steps=200).collect())
     for name in ("many.parquet", "one.parquet"):
         stream = jobs.read_table_stream(spark, str(tmp_path), name)
-        got = jobs.drain(jobs.stream_rate_limit(stream, 55, max_steps=200), "logged").collect()
+        timed = stream.withColumn("ts", F.timestamp_seconds(F.col("t") + 1))
+        got = ordered.drain_in_order(timed, lambda s: ordered.ordered_rate_limit(s, 55, late="1 day", max_steps=200), "logged").collect()
         assert sorted((r.run, r.step, r.log_no) for r in got) == want
     with pytest.raises(Exception):
         jobs.read_table_stream(spark, str(tmp_path), "none.parquet")
-
-
-def test_rows_behind_written_cuts_stop_the_stream(spark, tmp_path):
-    rows = [("a", i, 10 * i, False) for i in range(100)]
-    frame = spark.createDataFrame(rows, "run string, step long, t long, force boolean")
-    folder = str(tmp_path / "in")
-    for part in (frame.filter("step >= 50"), frame.filter("step < 50")):
-        part.coalesce(1).write.mode("append").parquet(folder)
-        time.sleep(0.05)
-    with pytest.raises(Exception, match="comes before"):
-        jobs.drain(jobs.stream_rate_limit(stream_of(spark, folder, frame.schema), 55), "logged")
