@@ -1,4 +1,4 @@
-"""Request logs: vocabulary, prefixes shared between requests, budgeted batches."""
+"""Request logs: demos, prefixes shared between requests, budgeted batches."""
 
 from __future__ import annotations
 
@@ -10,33 +10,6 @@ from sparkloom.operators.lookups import lookup_join
 from sparkloom.operators.ordering import shuffle_key, with_global_index
 
 
-def build_vocabulary(occurrences: DataFrame, chunks: int | None = None) -> DataFrame:
-    """(token, id): dense ids, most frequent first, ties by token."""
-    counts = occurrences.groupBy("token").agg(F.count("*").alias("uses"))
-    return with_global_index(counts, F.col("uses").desc(), "token", name="id", chunks=chunks).select("token", "id", "uses")
-
-
-def encode_with_vocabulary(texts: DataFrame, vocabulary: DataFrame) -> DataFrame:
-    """Long form (seq_id, pos, id, n) of ``words``; an empty list keeps one row without id."""
-    long = texts.select("seq_id", F.size("words").alias("n"), F.posexplode_outer("words").alias("pos", "token"))
-    return lookup_join(long, vocabulary.select("token", "id"), "token").select("seq_id", "pos", "id", "n")
-
-
-def detokenize(ids: DataFrame, vocabulary: DataFrame, separator: str = " ") -> DataFrame:
-    """Ids back to one text per request."""
-    named = lookup_join(ids, vocabulary.select("id", "token"), "id")
-    return named.groupBy("seq_id").agg(
-        F.first("n").alias("n"),
-        F.array_join(
-            F.transform(
-                F.sort_array(F.collect_list(F.when(F.col("pos").isNotNull(), F.struct("pos", "token")))),
-                lambda x: x["token"],
-            ),
-            separator,
-        ).alias("text"),
-    )
-
-
 def few_shot_join(items: DataFrame, demos: DataFrame, shots: int, seed: int, chunks: int | None = None) -> DataFrame:
     """``shots`` different demos per item: a run of a seeded demo order from a seeded place.
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from sparkloom.functions import text, tokens
-from sparkloom.operators import ordering, packing
+from sparkloom.operators import ordering, packing, vocabulary
 from sparkloom.plans.registry import query
 from sparkloom.plans import views as v
 from sparkloom.session import stage_path
@@ -311,16 +311,51 @@ def count_tokens(spark: SparkSession, sf: str) -> DataFrame:
     FROM (SELECT seq_id, token_words[num_prompt_tokens + 1:] AS c FROM requests)""",
 )
 def detokenize(spark: SparkSession, sf: str) -> DataFrame:
-    from sparkloom.operators import requests as rq
-
+    """Completions as ids of a vocabulary of all words, and back."""
     reqs = v.requests(spark, sf)
-    vocabulary = rq.build_vocabulary(reqs.select(F.explode("token_words").alias("token")))
-    ids = rq.encode_with_vocabulary(
-        reqs.select("seq_id", tokens.completion_ids(F.col("token_words"), F.col("num_prompt_tokens")).alias("words")),
-        vocabulary,
-    )
-    decoded = rq.detokenize(ids, vocabulary)
-    return decoded.select("seq_id", F.col("n"), F.md5("text").alias("text_md5"))
+    path = stage_path(spark, "vocabulary")
+    vocabulary.append_tokens(reqs.select(F.col("token_words").alias("tokens")), path)
+    known = vocabulary.read_vocabulary(spark, path)
+    completions = reqs.select("seq_id", tokens.completion_ids(F.col("token_words"), F.col("num_prompt_tokens")).alias("tokens"))
+    back = vocabulary.decode(vocabulary.encode(completions, known), known)
+    return back.select("seq_id", F.size("tokens").alias("n"), F.md5(F.array_join("tokens", " ")).alias("text_md5"))
+
+
+_VOCABULARY_SQL = f"""used AS (
+    SELECT DISTINCT unnest({v.sql_tokens('text')}) AS token, 1 AS version FROM documents
+    UNION SELECT DISTINCT unnest({v.sql_tokens('text')}), 2 FROM conversations),
+  vocabulary AS (
+    SELECT token, row_number() OVER (ORDER BY version, token) - 1 AS id, version
+    FROM (SELECT token, min(version) AS version FROM used GROUP BY 1))"""
+
+
+def _grown_vocabulary(spark: SparkSession, sf: str) -> str:
+    """The tokens of all documents, then those of all conversations."""
+    path = stage_path(spark, "vocabulary")
+    for name in ("documents", "conversations"):
+        texts = v.text_table(spark, sf, name)
+        vocabulary.append_tokens(texts.select(tokens.split_tokens(F.col("text")).alias("tokens")), path)
+    return path
+
+
+@query("grown_vocabulary", f"WITH {_VOCABULARY_SQL} SELECT token, id, CAST(version AS INTEGER) AS version FROM vocabulary")
+def grown_vocabulary(spark: SparkSession, sf: str) -> DataFrame:
+    return vocabulary.read_vocabulary(spark, _grown_vocabulary(spark, sf))
+
+
+@query(
+    "tokenize_vocabulary",
+    f"""WITH {_VOCABULARY_SQL}, long AS (
+      SELECT doc_id, unnest(t) AS token, unnest(range(len(t))) AS pos FROM (SELECT doc_id, {v.sql_tokens('text')} AS t FROM documents)),
+    joined AS (SELECT doc_id, count(*) AS n, {sql_fingerprint('list(id ORDER BY pos)')} AS ids_md5 FROM long JOIN vocabulary USING (token) GROUP BY 1)
+    SELECT doc_id, CAST(coalesce(n, 0) AS INTEGER) AS n, coalesce(ids_md5, md5('')) AS ids_md5 FROM documents LEFT JOIN joined USING (doc_id)""",
+)
+def tokenize_vocabulary(spark: SparkSession, sf: str) -> DataFrame:
+    """Ids that no two tokens share, from a vocabulary that grew in between."""
+    known = vocabulary.read_vocabulary(spark, _grown_vocabulary(spark, sf))
+    docs = v.text_table(spark, sf, "documents").select("doc_id", tokens.split_tokens(F.col("text")).alias("tokens"))
+    ids = vocabulary.encode(docs, known)
+    return ids.select("doc_id", F.size("ids").alias("n"), fingerprint(F.col("ids")).alias("ids_md5"))
 
 
 @query(

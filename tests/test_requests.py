@@ -54,13 +54,3 @@ def test_few_shots_are_different(spark):
     assert len(none) == 50 and all(r.demos == [] for r in none)
     few = rq.few_shot_join(items, demos.limit(2), shots=4, seed=1).collect()
     assert all(len(set(r.demos)) == 2 for r in few)
-
-
-def test_vocabulary_round_trip(spark):
-    rows = [(0, ["a", "b", "a"]), (1, []), (2, ["c"])]
-    texts = spark.createDataFrame(rows, "seq_id long, words array<string>")
-    uses = spark.createDataFrame([(w,) for _, ws in rows for w in ws], "token string")
-    vocabulary = rq.build_vocabulary(uses)
-    assert {r.token: r.id for r in vocabulary.collect()} == {"a": 0, "b": 1, "c": 2}
-    back = {r.seq_id: r.text for r in rq.detokenize(rq.encode_with_vocabulary(texts, vocabulary), vocabulary).collect()}
-    assert back == {0: "a b a", 1: "", 2: "c"}
