@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from sparkloom.functions import text, tokens
-from sparkloom.operators import ordering, packing, vocabulary
+from sparkloom.operators import chats, ordering, packing, vocabulary
 from sparkloom.plans.registry import query
 from sparkloom.plans import views as v
 from sparkloom.session import stage_path
@@ -164,6 +164,24 @@ def render_chat(spark: SparkSession, sf: str) -> DataFrame:
     ).select("item_id", F.md5("chat").alias("chat_md5"), F.length("chat").alias("chars"), F.md5("open").alias("open_md5"))
 
 
+CHAT_PART = 2000
+
+
+@query(
+    "render_conversations",
+    f"""WITH chats AS (
+      SELECT conv_id, string_agg('<|im_start|>' || role || chr(10) || text || '<|im_end|>' || chr(10), '' ORDER BY turn)
+        || '<|im_start|>assistant' || chr(10) AS chat FROM conversations GROUP BY 1),
+    parts AS (SELECT conv_id, chat, unnest(range((length(chat) + {CHAT_PART} - 1) // {CHAT_PART})) AS part FROM chats)
+    SELECT conv_id, part, md5(substr(chat, part * {CHAT_PART} + 1, {CHAT_PART})) AS text_md5 FROM parts""",
+)
+def render_conversations(spark: SparkSession, sf: str) -> DataFrame:
+    """Chats of all turns of a conversation, ready for the next answer, in parts of a bounded length."""
+    placed = chats.chat_turns(v.table(spark, sf, "conversations"))
+    parts = chats.chat_parts(placed, add_generation_prompt=True, part_chars=CHAT_PART)
+    return parts.select("conv_id", "part", F.md5("text").alias("text_md5"))
+
+
 @query(
     "tokenize",
     f"""SELECT doc_id, len(ids) AS n, {sql_fingerprint('ids')} AS ids_md5
