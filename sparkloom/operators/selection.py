@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from sparkloom.operators.ordering import shuffle_key, with_global_index
+from sparkloom.operators.ordering import shuffle_key
+from sparkloom.session import cut
 
 # A bisection of [0, 1] down to 1e-8 takes 27 halvings, so it ends on this grid.
 _BITS, _LOW_BITS = 27, 13
@@ -54,19 +55,53 @@ def threshold_for_share(df: DataFrame, target: float, value: str = "value") -> D
     return first_over.select(((lower + 0.5) / float(1 << _BITS)).alias("threshold"))
 
 
-def round_top_share(
-    df: DataFrame, keys: list[str], target: float, value: str = "value", seed: int = 42, chunks: int | None = None
-) -> DataFrame:
+def order_key(value: Column) -> Column:
+    """A double as a whole number of 64 bits in the same order; NaN is largest, null smallest, both zeros are one."""
+    bits = F.java_method(F.lit("java.lang.Double"), F.lit("doubleToLongBits"), F.coalesce(value, F.lit(0.0)) + F.lit(0.0)).cast("bigint")
+    ordered = F.when(bits >= 0, bits).otherwise(bits.bitwiseXOR(F.lit((1 << 63) - 1)))
+    return F.when(value.isNull(), F.lit(-(1 << 63))).otherwise(ordered)
+
+
+def kth_largest(df: DataFrame, key: str, k: int) -> tuple[int, int]:
+    """The k-th largest of a column of 64-bit whole numbers, and how many are larger. ``k`` is at least 1 and at most the row count.
+
+    Four counting passes, 16 bits each from the top: every pass counts, map-side, the rows that share the prefix found so
+    far by their next bits, in a table of at most 65,536 rows. No row is moved.
+    """
+    prefix, larger = None, 0
+    for shift in (48, 32, 16, 0):
+        rows = df if prefix is None else df.filter(F.shiftright(key, shift + 16) == prefix)
+        counts = {r["p"]: r["count"] for r in rows.groupBy(F.shiftright(key, shift).alias("p")).count().collect()}
+        for prefix in sorted(counts, reverse=True):
+            if larger + counts[prefix] >= k:
+                break
+            larger += counts[prefix]
+    return prefix, larger
+
+
+def round_top_share(df: DataFrame, keys: list[str], target: float, value: str = "value", seed: int = 42) -> DataFrame:
     """The largest int(total * (1 - target)) values become 10, the rest -10.
 
-    Ties fall in a repeatable random order. One range sort of narrow columns.
+    Ties fall in a repeatable random order. The threshold is found by counting, and so is the one among the ties; rows
+    are not sorted, and stay where they are. Nulls are smallest, NaN is largest.
     """
-    ranked = with_global_index(
-        df.select(*keys, value).withColumn("_mix", shuffle_key(seed, *keys)),
-        F.col(value).desc(), "_mix", *keys, name="_rank", chunks=chunks,
-    )
-    high = F.floor(F.col("total") * F.lit(1.0 - target))
-    return ranked.select(*keys, value, F.when(F.col("_rank") < high, 10.0).otherwise(-10.0).alias("rounded"))
+    mix = shuffle_key(seed, *keys)
+    tie = -F.conv(F.substring(mix, 1, 15), 16, 10).cast("bigint")  # the smallest hash comes first
+    rows = cut(df.select(*keys, value).withColumns({"_key": order_key(F.col(value).cast("double")), "_tie": tie}))
+    high = int(rows.count() * (1.0 - target))
+    on, off = F.lit(10.0), F.lit(-10.0)
+    if high == 0:
+        return rows.select(*keys, value, off.alias("rounded"))
+    threshold, larger = kth_largest(rows, "_key", high)
+    ties = rows.filter(F.col("_key") == threshold)
+    last, before = kth_largest(ties, "_tie", high - larger)
+    is_in = (F.col("_key") > threshold) | ((F.col("_key") == threshold) & (F.col("_tie") > last))
+    # rows that share 60 bits of the hash with the last one: this one, or its copies
+    same = (F.col("_key") == threshold) & (F.col("_tie") == last)
+    place = F.row_number().over(Window.partitionBy("_tie").orderBy(mix, *keys))
+    few = rows.filter(same).withColumn("_in", place <= high - larger - before)
+    decided = rows.filter(~same).withColumn("_in", is_in).unionByName(few)
+    return decided.select(*keys, value, F.when(F.col("_in"), on).otherwise(off).alias("rounded"))
 
 
 def any_gate(df: DataFrame, *keys: str, flag: str = "keep") -> DataFrame:

@@ -1,3 +1,4 @@
+import hashlib
 import math
 import random
 
@@ -8,15 +9,12 @@ from pyspark.sql import functions as F
 from sparkloom.operators import lookups, metrics, selection
 
 
-def bisect(values, target):
-    l, r = 0.0, 1.0
-    while r - l > 1e-8:
-        m = (l + r) / 2
-        if sum(v <= m for v in values) / len(values) > target:
-            r = m
-        else:
-            l = m
-    return (l + r) / 2
+def grid_threshold(values, target):
+    """The middle of the last cell of width 2**-27 in [0, 1] up to whose lower end the share of values is within the target."""
+    cells = 1 << 27
+    beyond = [v for k, v in enumerate(sorted(values), start=1) if k / len(values) > target]
+    end = min(cells, max(1, math.ceil(beyond[0] * cells))) if beyond else cells
+    return (end - 0.5) / cells
 
 
 @pytest.mark.parametrize("target", [0.0, 0.25, 0.5, 0.7, 0.999, 1.0])
@@ -29,13 +27,57 @@ def test_threshold(spark, target, kind):
         "edges": [0.0, 0.0, 1.0, 1.0, 0.25, 0.5, 2**-27, 1 - 2**-28],
     }[kind]
     frame = spark.createDataFrame([(v,) for v in values], "value double")
-    assert selection.threshold_for_share(frame, target).first()[0] == pytest.approx(bisect(values, target), abs=1e-12)
+    assert selection.threshold_for_share(frame, target).first()[0] == pytest.approx(grid_threshold(values, target), abs=1e-12)
+
+
+def plain_top(rows, target, seed=42):
+    """Heads of the largest values, ties by the hash of the seed and the head."""
+    def place(row):
+        head, value = row
+        size = -math.inf if value is None else (math.inf if value != value else value)
+        return (value is None, -(value != value) if value is not None else 0, -size, hashlib.md5(f"{seed}:{head}".encode()).hexdigest())
+
+    return {head for head, _ in sorted(rows, key=place)[: int(len(rows) * (1 - target))]}
+
+
+@pytest.mark.parametrize("target", [0.0, 0.1, 0.33, 0.5, 0.9, 1.0])
+@pytest.mark.parametrize("kind", ["any range", "ties", "nulls"])
+def test_selection_by_counting(spark, target, kind):
+    rng = random.Random(7)
+    values = [rng.choice([-1, 1]) * 10 ** rng.uniform(-300, 300) for _ in range(150)] + [0.0, -0.0, math.inf, -math.inf, 5e-324, -5e-324]
+    if kind == "ties":
+        values = [rng.choice([0.5, 0.5, 0.5, -0.0, 0.0, 2.0]) for _ in range(200)]
+    if kind == "nulls":
+        values = [rng.choice([None, 1.0, math.nan, -3.0]) for _ in range(200)]
+    rows = list(enumerate(values))
+    frame = spark.createDataFrame(rows, "head long, value double").repartition(5)
+    got = selection.round_top_share(frame, ["head"], target)
+    assert got.columns == ["head", "value", "rounded"]
+    found = got.collect()
+    assert len(found) == len(rows)
+    assert {r["head"] for r in found if r.rounded == 10.0} == plain_top(rows, target)
+
+
+def test_selection_moves_no_rows(spark):
+    frame = spark.createDataFrame([(k, float(k % 7)) for k in range(100)], "head long, value double")
+    plan = selection.round_top_share(frame, ["head"], 0.5)._jdf.queryExecution().executedPlan().toString()
+    assert "rangepartitioning" not in plan
+    assert selection.round_top_share(frame.filter("false"), ["head"], 0.5).collect() == []
+
+
+@pytest.mark.parametrize("k", [1, 2, 50, 99, 100])
+def test_kth_largest(spark, k):
+    rng = random.Random(k)
+    values = [rng.randint(-(1 << 63), (1 << 63) - 1) >> rng.randint(0, 60) for _ in range(100)]
+    frame = spark.createDataFrame([(v,) for v in values], "v long")
+    want = sorted(values, reverse=True)[k - 1]
+    assert selection.kth_largest(frame, "v", k) == (want, sum(v > want for v in values))
 
 
 def test_round_top_share(spark):
     rows = [(i, 0.5 if i % 3 else i / 300) for i in range(300)]
     frame = spark.createDataFrame(rows, "head int, value double")
-    got = selection.round_top_share(frame, ["head"], 0.4, chunks=5).toPandas()
+    got = selection.round_top_share(frame, ["head"], 0.4).toPandas()
     high = got[got.rounded == 10.0]
     assert len(high) == int(300 * (1 - 0.4))
     assert high.value.min() >= got[got.rounded == -10.0].value.max()
