@@ -22,44 +22,117 @@ def vocab_lookup(ids: DataFrame, table: DataFrame, key: str, dim: int) -> DataFr
     return found.withColumn("vec", F.coalesce("vec", zeros))
 
 
-def _mean_vector(weight: Column, vec: str, dim: int) -> Column:
-    """Weighted mean per element; plain sums, so they combine map-side."""
-    sums = [F.sum(weight * F.get(vec, F.lit(i))) for i in range(dim)]
-    total = F.sum(weight)
-    return F.array(*[F.coalesce(F.try_divide(s, total), F.lit(0.0)) for s in sums])
+_WEIGHT, _TOTAL = "_weight", "_total"
+
+
+def _batch_sums(keys: list[str], vec: str, dim: int):
+    """Batches of (keys, vector, weight) to one weighted sum per key of the batch."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for rows in batches:
+            if not len(rows):
+                continue
+            groups = rows.groupby(keys, dropna=False, sort=False)
+            codes, first = groups.ngroup().to_numpy(), groups.head(1)[keys]
+            weight = rows[_WEIGHT].to_numpy(float)
+            weights = np.bincount(codes, weight)
+            sums = np.zeros((len(weights), dim))
+            # one slice of rows per key, added by the vector
+            order = np.argsort(codes, kind="stable")
+            edges = np.append(0, np.cumsum(np.bincount(codes)))
+            values = rows[vec].to_numpy()
+            for code in range(len(weights)):
+                own = order[edges[code] : edges[code + 1]]
+                sums[code] = weight[own] @ np.stack([np.asarray(values[k], float) for k in own])
+            yield first.assign(**{_TOTAL: list(sums), _WEIGHT: weights})
+
+    return run
+
+
+def _added(keys: list[str]):
+    """The partial sums of one key."""
+
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        return rows[keys].head(1).assign(**{_TOTAL: [np.sum(np.stack(rows[_TOTAL].to_numpy()), axis=0)], _WEIGHT: rows[_WEIGHT].sum()})
+
+    return run
+
+
+def mean_vectors(rows: DataFrame, keys: list[str], vec: str, dim: int, weight: Column | None = None) -> DataFrame:
+    """(keys, pooled): the weighted mean vector of each key; zeros where the weights are none.
+
+    A batch of rows is added up before the shuffle, vector by vector, so what is shuffled is one vector per key and batch,
+    whatever the number of rows or dimensions. A null entry of a vector makes the mean's entry NaN.
+    """
+    weighed = rows.select(*keys, vec, (F.lit(1.0) if weight is None else weight).cast("double").alias(_WEIGHT))
+    kinds = [weighed.schema[k] for k in keys]
+    schema = T.StructType([*kinds, T.StructField(_TOTAL, T.ArrayType(T.DoubleType())), T.StructField(_WEIGHT, T.DoubleType())])
+    partial = weighed.mapInPandas(_batch_sums(keys, vec, dim), schema)
+    sums = partial.groupBy(*keys).applyInPandas(_added(keys), schema)
+    mean = F.transform(_TOTAL, lambda x: F.coalesce(F.try_divide(x, F.col(_WEIGHT)), F.lit(0.0)))
+    return sums.select(*keys, mean.alias("pooled"))
 
 
 def segment_pool(
-    vectors: DataFrame, ranges: DataFrame, segments: list[str], pool: int, dim: int
+    vectors: DataFrame, ranges: DataFrame, segments: list[str], pool: int, dim: int, head: str | None = None
 ) -> DataFrame:
     """Mean of the first and the last ``pool`` positions of each segment of each sequence.
 
     A position in both ends counts twice; an empty segment gives zeros. Both ends
-    stay inside the segment. ``ranges``: seq_id, range_ids. One pass for all segments.
+    stay inside the segment. ``ranges``: seq_id, range_ids. One pass for all segments; a position goes on only
+    with the segments whose ends it lies in. With ``head`` each head is pooled by itself.
     """
     unknown = [s for s in segments if s not in SEGMENTS]
     if unknown:
         raise ValueError(f"unknown segments: {', '.join(unknown)}")
-    spans = [
-        F.struct(
-            F.lit(s).alias("segment"),
-            F.get("range_ids", F.lit(SEGMENTS[s][0])).alias("_start"),
-            F.get("range_ids", F.lit(SEGMENTS[s][1])).alias("_end"),
-        )
-        for s in segments
-    ]
-    bounds = ranges.select("seq_id", F.inline(F.array(*spans)))
-    pos, start, end = F.col("pos"), F.col("_start"), F.col("_end")
-    inside = pos.between(start, end)
-    times = F.when(inside & (pos < start + pool), 1).otherwise(0) + F.when(inside & (pos > end - pool), 1).otherwise(0)
-    return (
-        vectors.join(bounds, "seq_id").groupBy("seq_id", "segment").agg(_mean_vector(times, "vec", dim).alias("pooled"))
+    spans = F.array(
+        *[
+            F.struct(
+                F.lit(s).alias("segment"),
+                F.get("range_ids", F.lit(SEGMENTS[s][0])).alias("start"),
+                F.get("range_ids", F.lit(SEGMENTS[s][1])).alias("end"),
+            )
+            for s in segments
+        ]
     )
+    pos = F.col("pos")
+
+    def times(span: Column) -> Column:
+        inside = pos.between(span["start"], span["end"])
+        first, last = inside & (pos < span["start"] + pool), inside & (pos > span["end"] - pool)
+        return first.cast("int") + last.cast("int")
+
+    keys = ["seq_id"] + ([head] if head else [])
+    met = vectors.join(ranges.select("seq_id", spans.alias("_spans")), "seq_id")
+    used = F.filter(F.transform("_spans", lambda x: F.struct(x["segment"].alias("segment"), times(x).alias("_times"))), lambda x: x["_times"] > 0)
+    taken = met.select(*keys, "vec", F.inline(used))
+    found = mean_vectors(taken, [*keys, "segment"], "vec", dim, F.col("_times"))
+    every = vectors.select(*keys).distinct().join(ranges.select("seq_id"), "seq_id")
+    wanted = every.select("*", F.explode(F.array(*[F.lit(s) for s in segments])).alias("segment"))
+    zeros = F.array_repeat(F.lit(0.0), dim)
+    return wanted.join(found, [*keys, "segment"], "left").withColumn("pooled", F.coalesce("pooled", zeros))
 
 
 def mean_pool(vectors: DataFrame, dim: int) -> DataFrame:
     """Mean over all positions."""
-    return vectors.groupBy("seq_id").agg(_mean_vector(F.lit(1), "vec", dim).alias("pooled"))
+    return mean_vectors(vectors, ["seq_id"], "vec", dim)
+
+
+def mean_heads(pooled: DataFrame, dim: int, head: str = "head") -> DataFrame:
+    """Mean of the pooled vectors of all heads: the input of a router that decides for all of them."""
+    keys = [c for c in pooled.columns if c not in (head, "pooled")]
+    return mean_vectors(pooled, keys, "pooled", dim)
+
+
+def for_heads(routed: DataFrame, heads: int, head: str = "head") -> DataFrame:
+    """A decision for every head."""
+    return routed.select("*", F.explode(F.sequence(F.lit(0), F.lit(heads - 1))).alias(head))
+
+
+def learned_tau(log_temperature: float | Column) -> Column:
+    """A trained temperature, held between 0.3 and 1."""
+    t = log_temperature if isinstance(log_temperature, Column) else F.lit(float(log_temperature))
+    return F.least(F.greatest(F.exp(t), F.lit(0.3)), F.lit(1.0))
 
 
 def ends_pool(vectors: DataFrame, pool: int, dim: int) -> DataFrame:

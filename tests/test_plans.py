@@ -46,8 +46,11 @@ def test_scans_read_only_their_columns(spark):
 
 
 def test_aggregates_combine_before_the_shuffle(spark):
-    for name in ("weighted_pick", "mean_pool", "task_means", "any_gate", "first_seen_prefix"):
+    for name in ("weighted_pick", "task_means", "any_gate", "first_seen_prefix"):
         assert "partial_" in plan(QUERIES[name](spark, SF))
+    # vectors are added up batch by batch below the exchange
+    pooled = plan(QUERIES["mean_pool"](spark, SF))
+    assert 0 < pooled.index("FlatMapGroupsInPandas") < pooled.index("Exchange") < pooled.index("MapInPandas")
 
 
 def test_one_shuffle_for_a_draw(spark):

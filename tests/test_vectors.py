@@ -66,6 +66,43 @@ def test_segment_pool(spark, seqs):
         vec.segment_pool(frame, table, ["other"], 5, DIM)
 
 
+def test_heads_at_full_width(spark):
+    """4,096 dimensions and 8 heads: pooled by head, mean over heads, one decision for all of them."""
+    dim, heads = 4096, 8
+    rng = np.random.default_rng(1)
+    data = {(s, h): rng.normal(size=(n, dim)) for s, n in {1: 9, 2: 3}.items() for h in range(heads)}
+    rows = [(s, h, i, [float(x) for x in v]) for (s, h), m in data.items() for i, v in enumerate(m)]
+    frame = spark.createDataFrame(rows, "seq_id long, head int, pos int, vec array<double>").repartition(4)
+    ranges = spark.createDataFrame([(1, [0, 0, 0, 5, 0, 5, 6, 8]), (2, [0, 0, 0, 1, 0, 1, 2, 2])], "seq_id long, range_ids array<int>")
+    pooled = vec.segment_pool(frame, ranges, ["ctx_q"], 2, dim, head="head")
+    mean = {r.seq_id: np.array(r.pooled) for r in vec.mean_heads(pooled.drop("segment"), dim).collect()}
+    for s, end in ((1, 5), (2, 1)):
+        each = [np.concatenate([m[:2], m[max(0, end - 1) : end + 1]]).mean(axis=0) for h in range(heads) for m in [data[(s, h)][: end + 1]]]
+        assert np.abs(mean[s] - np.mean(each, axis=0)).max() < 1e-12
+    layer = lambda a, b: (rng.normal(size=(a, b)) / np.sqrt(a), np.zeros(b))
+    router = vec.Router((layer(dim, 16), layer(16, 8)), (layer(8, 8), layer(8, 8), layer(8, 2)))
+    routed = vec.route_decision(vec.mean_heads(pooled.drop("segment"), dim), router, tau=vec.learned_tau(-0.5))
+    got = vec.for_heads(routed, heads).collect()
+    assert sorted((r.seq_id, r["head"]) for r in got) == [(s, h) for s in (1, 2) for h in range(heads)]
+    for r in got:
+        a, b = router.logits(mean[r.seq_id])
+        assert r.share == pytest.approx(1 / (1 + np.exp((a - b) / np.exp(-0.5))))
+        assert r.full_path == (b > a)
+
+
+@pytest.mark.parametrize("log_temperature,want", [(-5.0, 0.3), (-0.5, np.exp(-0.5)), (0.0, 1.0), (3.0, 1.0)])
+def test_learned_temperature(spark, log_temperature, want):
+    assert spark.range(1).select(vec.learned_tau(log_temperature)).first()[0] == pytest.approx(want)
+
+
+def test_means_without_weights_and_with_null_keys(spark):
+    rows = [(None, 1.0, [1.0, 3.0]), (None, 3.0, [5.0, 3.0]), (1, 0.0, [2.0, 2.0])]
+    frame = spark.createDataFrame(rows, "k long, w double, v array<double>")
+    got = {r.k: r.pooled for r in vec.mean_vectors(frame, ["k"], "v", 2, F.col("w")).collect()}
+    assert got == {None: [4.0, 3.0], 1: [0.0, 0.0]}
+    assert vec.mean_vectors(frame.filter("false"), ["k"], "v", 2).collect() == []
+
+
 def test_whole_sequence_pools(seqs):
     data, frame = seqs
     whole = {r.seq_id: r.pooled for r in vec.mean_pool(frame, DIM).collect()}
