@@ -15,7 +15,7 @@ import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
-from sparkloom.operators.lookups import lookup_join
+from sparkloom.operators.lookups import BROADCAST_BYTES, split_join
 from sparkloom.operators.ordering import with_global_index
 from sparkloom.session import stage
 from sparkloom.sources.corpus import path_exists
@@ -102,12 +102,20 @@ def _replaced(column: str, out: str, key: str, value: str, kind: pa.DataType):
     return run
 
 
+def _looked_up(entries: DataFrame, table: DataFrame, key: str) -> DataFrame:
+    """Left join with a vocabulary: tokens and ids are unique, so only its size is measured before a broadcast."""
+    size = table.agg(F.sum(F.octet_length("token") + 16)).first()[0] or 0
+    if size <= BROADCAST_BYTES:
+        return entries.join(F.broadcast(table), key, "left")
+    return split_join(entries, table, key)
+
+
 def _translate(rows: DataFrame, table: DataFrame, column: str, out: str, key: str, value: str, block_bytes: int) -> DataFrame:
     """Replace the entries of an array column by a table of one row per key."""
     schema = T.StructType([*rows.schema.fields, T.StructField("_block", T.LongType())])
     blocked = stage(rows.mapInArrow(_blocked(rows.columns.index(column), schema.names, block_bytes), schema), "blocks")
     entries = blocked.select(F.col("_block").alias("_of"), F.explode(F.array_distinct(column)).alias(key)).filter(F.col(key).isNotNull()).distinct()
-    known = lookup_join(entries, table.select(key, value), key).filter(F.col(value).isNotNull())
+    known = _looked_up(entries, table.select("token", "id"), key).filter(F.col(value).isNotNull())
     kind = table.schema[value].dataType
     result = T.StructType([*[f for f in rows.schema.fields if f.name != column], T.StructField(out, T.ArrayType(kind))])
     arrow = pa.string() if isinstance(kind, T.StringType) else pa.int64()

@@ -73,6 +73,16 @@ def test_unknown_tokens_and_ids_are_null(spark, tmp_path):
     assert vb.encode(frame(spark, []), known).collect() == []
 
 
+def test_a_large_vocabulary_is_joined_by_a_shuffle(spark, tmp_path, monkeypatch):
+    rows, path = words(6, 40, 60), str(tmp_path / "v")
+    docs = frame(spark, rows)
+    vb.append_tokens(docs, path)
+    monkeypatch.setattr(vb, "BROADCAST_BYTES", 0)
+    known = vb.read_vocabulary(spark, path)
+    back = vb.decode(vb.encode(docs, known).drop("id", "token"), known)
+    assert sorted((r.doc_id, r.tokens) for r in back.collect()) == sorted(rows)
+
+
 def test_tokens_cross_one_exchange(spark, tmp_path):
     path = str(tmp_path / "v")
     docs = frame(spark, words(4, 20, 30))
