@@ -35,8 +35,10 @@ from sparkloom.session import cut, remove_path, stage, stage_path
 GROUPS = 128
 PAGE_LOAD = 1 << 20
 POINT_LOAD = 64
+PAGE_TILE = 4  # with pages of at most 8 MB or a text, a tile holds 64 MB of sets
 CELL_BLOCK = 4096
 _SEEN_SETS = 200_000
+_FEW_KEYS = 500_000  # repeated keys, of 24 bytes each, that are broadcast; more are joined by a shuffle
 _FULL = 255  # a count this high may stand for more
 
 
@@ -343,34 +345,31 @@ class _Page:
         )
 
 
-def _link_pages(page: _Page, other: _Page | None, rule: Similarity) -> list[tuple[int, int]]:
+def _link_pages(page: _Page, other: _Page | None, rule: Similarity, labels: np.ndarray) -> list[tuple[int, int]]:
     """Verified links inside a page, or between two, that join what was not yet joined.
 
-    Points that earlier links joined are not compared again, so a group of many similar texts
-    costs about one verification per text.
+    ``labels`` has those of both pages, whose own are parts of it. Points that earlier links joined are not compared
+    again, so a group of many similar texts costs about one verification per text.
     """
     right = page if other is None else other
-    labels = page.labels if other is None else np.append(page.labels, right.labels)
-    shift = 0 if other is None else len(page.ids)
-    right_labels = labels[shift:]
     links: list[tuple[int, int]] = []
     for x in range(len(page.ids)):
         n = page.sizes[x]
         low = x + 1 if other is None else int(np.searchsorted(right.sizes, -(-n * rule.percent // 100), side="left"))
         high = int(np.searchsorted(right.sizes, n * 100 // rule.percent, side="right"))
-        near = low + np.flatnonzero(right_labels[low:high] != labels[x])
+        near = low + np.flatnonzero(right.labels[low:high] != page.labels[x])
         if not len(near):
             continue
         need = rule.overlap(right.sizes[near] + n)
         bound = _bounds(right.counts[near], page.counts[x])
         for y, least in zip(near[bound >= need].tolist(), need[bound >= need].tolist()):
-            if right_labels[y] == labels[x]:
+            if right.labels[y] == page.labels[x]:
                 continue
             small, large = sorted((page.sets[x], right.sets[y]), key=len)
             spots = np.minimum(np.searchsorted(large, small), len(large) - 1)
             if int((large[spots] == small).sum()) >= least:
                 links.append((int(page.ids[x]), int(right.ids[y])))
-                labels[labels == right_labels[y]] = labels[x]
+                labels[labels == right.labels[y]] = page.labels[x]
     return links
 
 
@@ -393,7 +392,7 @@ def _build_pages(rule: Similarity):
     def close(key: tuple, rows: list[tuple]) -> Iterator[pa.RecordBatch]:
         ids, sizes, counts, members = zip(*rows)
         page = _Page.of(ids, sizes, b"".join(counts), b"".join(members))
-        out = [{"a": a, "b": b} for a, b in _link_pages(page, None, rule)] if len(ids) > 1 else []
+        out = [{"a": a, "b": b} for a, b in _link_pages(page, None, rule, page.labels)] if len(ids) > 1 else []
         if key[2] > 1:
             out.append(
                 {
@@ -428,20 +427,44 @@ def _build_pages(rule: Similarity):
     return run
 
 
-def _compare_pages(rule: Similarity):
-    """Rows of two pages each to the links between them."""
+def _compare_tiles(rule: Similarity):
+    """Pages in (family, p, q, page) order to the links between the pages of each two groups p and q of pages."""
+
+    def close(p: int, q: int, rows: list[tuple]) -> list[tuple[int, int]]:
+        ids, sizes, labels = (np.frombuffer(b"".join(r[k] for r in rows), np.int64) for k in (1, 2, 3))
+        labels, pages, at = labels.copy(), [], 0
+        for place, own, *_, counts, members in rows:
+            end = at + len(own) // 8
+            page = _Page.of(ids[at:end], sizes[at:end], counts, members)
+            page.labels = labels[at:end]  # a part of those of the tile, so that a link is known to all its pages
+            pages.append((place // PAGE_TILE, page, page.counts.max(axis=0).astype(np.int64)))
+            at = end
+        links = []
+        for x, (first, page, corner) in enumerate(pages):
+            for second, other, far in pages[x + 1 :]:
+                if (first, second) != (p, q) or other.sizes[0] * rule.percent > page.sizes[-1] * 100:
+                    continue
+                both = np.minimum(np.where(corner == _FULL, 1 << 40, corner), np.where(far == _FULL, 1 << 40, far)).sum()
+                if both >= rule.overlap(int(page.sizes[0] + other.sizes[0])):
+                    links += _link_pages(page, other, rule, labels)
+        return links
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, rows = None, []
+
+        def closed() -> Iterator[pa.RecordBatch]:
+            links = close(*key[1:], rows) if len(rows) > 1 else []
+            if links:
+                yield pa.RecordBatch.from_pylist([{"a": a, "b": b} for a, b in links])
+
         for batch in batches:
             for row in range(batch.num_rows):
-                blobs = [batch.column(k)[row].as_py() for k in range(10)]
-                pages = []
-                for ids, sizes, labels, counts, members in (blobs[:5], blobs[5:]):
-                    ids, sizes, labels = (np.frombuffer(b, np.int64) for b in (ids, sizes, labels))
-                    pages.append(_Page.of(ids, sizes, counts, members, labels))
-                links = _link_pages(*pages, rule)
-                if links:
-                    yield pa.RecordBatch.from_pylist([{"a": a, "b": b} for a, b in links])
+                family, p, q, *page = (batch.column(k)[row].as_py() for k in range(9))
+                if (family, p, q) != key:
+                    yield from closed()
+                    key, rows = (family, p, q), []
+                rows.append(tuple(page))
+        yield from closed()
 
     return run
 
@@ -513,7 +536,10 @@ def set_links(docs: DataFrame, sets: DataFrame, rule: Similarity, id_col: str =
 
 
 def _between_pages(built: DataFrame, rule: Similarity) -> DataFrame:
-    """Links between the pages of a family whose sizes and corners allow one."""
+    """Links between the pages of a family whose sizes and corners allow one.
+
+    Pages are compared in tiles of ``PAGE_TILE`` by ``PAGE_TILE``: a page goes to a tile once, whatever number of its pages it meets.
+    """
     corners = built.filter("a IS NULL").select("family", "page", "low", "high", "corner")
     left = corners.select("family", *[F.col(c).alias(f"l_{c}") for c in corners.columns[1:]])
     right = corners.select("family", *[F.col(c).alias(f"r_{c}") for c in corners.columns[1:]])
@@ -525,14 +551,12 @@ def _between_pages(built: DataFrame, rule: Similarity) -> DataFrame:
         .filter(bound * (100 + rule.percent) >= (F.col("l_low") + F.col("r_low")) * rule.percent)
         .select("family", "l_page", "r_page")
     )
-    blobs = _PAGE_NAMES[5:]
-    bodies = built.filter("a IS NULL").select("family", "page", *blobs)
-    first = bodies.select("family", F.col("page").alias("l_page"), *[F.col(c).alias(f"l_{c}") for c in blobs])
-    second = bodies.select("family", F.col("page").alias("r_page"), *[F.col(c).alias(f"r_{c}") for c in blobs])
-    both = pairs.join(first, ["family", "l_page"]).join(second, ["family", "r_page"])
-    return both.select(*[f"l_{c}" for c in blobs], *[f"r_{c}" for c in blobs]).mapInArrow(
-        _compare_pages(rule), _LINK_FIELDS
-    )
+    tiles = pairs.withColumn("p", F.floor(F.col("l_page") / PAGE_TILE)).withColumn("q", F.floor(F.col("r_page") / PAGE_TILE))
+    asked = tiles.select("family", "p", "q", F.explode(F.array("l_page", "r_page")).alias("page")).distinct()
+    bodies = built.filter("a IS NULL").select("family", "page", *_PAGE_NAMES[5:])
+    met = asked.join(bodies, ["family", "page"]).select("family", "p", "q", "page", *_PAGE_NAMES[5:])
+    dealt = met.repartition("family", "p", "q").sortWithinPartitions("family", "p", "q", "page")
+    return dealt.mapInArrow(_compare_tiles(rule), _LINK_FIELDS)
 
 
 def near_duplicates(
@@ -593,22 +617,27 @@ def keep_one_per_group(
     its set and text. Documents without words and rows without an id are in no group and stay.
     """
     groups = near_duplicates(docs, rule, id_col, text).withColumnRenamed(id_col, "id")
-    kept = (
+    sets = (
         groups.filter("id = component_id AND group_hash IS NOT NULL")
-        .groupBy("group_hash", "id")
-        .agg(F.min("set_hash").alias("kept_hash"))
-        .select("id", "kept_hash")
+        .groupBy("group_hash", "id", "set_hash")
+        .agg(F.count("*").alias("rows"))
     )
+    kept = cut(sets.groupBy("group_hash", "id").agg(F.min(F.struct("set_hash", "rows")).alias("kept")).select("id", "kept.*"))
     size, mark = (free_name(docs, name) for name in ("n_shingles", "set_hash"))
     schema = T.StructType([*docs.schema.fields, T.StructField(size, T.LongType()), T.StructField(mark, T.LongType())])
     tagged = docs.mapInArrow(_tagged(rule, docs.columns.index(text), schema.names), schema)
     alone = F.col(id_col).isNull() | (F.col(size) == 0)
-    order = free_name(docs, "order")
-    same = Window.partitionBy(id_col, mark).orderBy(F.xxhash64(text))
-    chosen = (
-        tagged.filter(~alone)
-        .join(kept, (tagged[id_col] == kept["id"]) & (tagged[mark] == kept["kept_hash"]), "left_semi")
-        .withColumn(order, F.row_number().over(same))
-        .filter(F.col(order) == 1)
-    )
-    return chosen.select(*docs.columns).unionByName(tagged.filter(alone).select(*docs.columns))
+
+    def chosen(keys: DataFrame) -> DataFrame:
+        return tagged.filter(~alone).join(keys, (tagged[id_col] == keys["id"]) & (tagged[mark] == keys["set_hash"]), "left_semi")
+
+    # texts cross once, and are not sorted; only rows that share id and set with another are numbered
+    out = chosen(kept.filter("rows = 1").hint("shuffle_hash")).unionByName(tagged.filter(alone))
+    several = kept.filter("rows > 1")
+    repeats = several.count()
+    if repeats:
+        order = free_name(docs, "order")
+        same = Window.partitionBy(id_col, mark).orderBy(F.xxhash64(text))
+        met = chosen(F.broadcast(several) if repeats <= _FEW_KEYS else several)
+        out = out.unionByName(met.withColumn(order, F.row_number().over(same)).filter(F.col(order) == 1).drop(order))
+    return out.select(*docs.columns)
