@@ -16,7 +16,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from sparkloom.llm.common import WORD, free_name, require, word_count
+from sparkloom.llm.common import WORD, require, word_count
 from sparkloom.operators.ordering import running
 from sparkloom.session import cut, stage
 
@@ -208,6 +208,15 @@ def taken_words(plan: MixPlan) -> DataFrame:
     )
 
 
+# Up to so many bytes of keys a broadcast finds the rows that are repeated; beyond it, a shuffle.
+_KEY_BYTES = 32 << 20
+
+
+def _keyed(rows: DataFrame, id_col: str, source: str, text_hash: Column) -> DataFrame:
+    """``rows`` with the struct (id, source, text_hash) that wholly equal rows share as the column ``_key``."""
+    return rows.withColumn("_key", F.struct(F.col(id_col).alias("id"), F.col(source).alias("source"), text_hash.alias("text_hash")))
+
+
 def mixed_texts(
     docs: DataFrame, plan: MixPlan, id_col: str = "doc_id", text: str = "text", source: str = "source"
 ) -> DataFrame:
@@ -215,30 +224,42 @@ def mixed_texts(
 
     A text that a round takes whole stays as it is; of others the taken words are joined by one space.
     All other columns are those of the document.
+
+    Texts cross once, to meet their ranges. Only rows that share id, source and text with another are numbered
+    first, so that each of them takes the words of one place in the stream.
+
+    Defined results: null, empty and blank texts are not in the mix; a null id or source is a value like others; of
+    repeated rows each takes its own words, and which of them takes which is open; columns of any name
+    stay as they are. An empty table gives no rows.
     """
+    require(docs, id_col, text, source)
+    own = docs.select(F.struct(*docs.columns).alias("_row"))
+    keyed = _keyed(own, f"_row.{id_col}", f"_row.{source}", F.xxhash64(f"_row.{text}"))
+    placed = _keyed(plan.docs.filter("size > 0"), "id", "source", F.col("text_hash")).select("sid", "start", "_key", "size")
+    many = cut(placed.groupBy("_key").count().filter("count > 1").select("_key"))
+    # equal rows are told apart by number, others have the number 1
+    marked = placed.join(many.withColumn("_many", F.lit(True)), "_key", "left")
+    same = Window.partitionBy("_key").orderBy("sid", "start")
+    alike = marked.filter("_many").withColumn("_copy", F.row_number().over(same))
+    numbered = marked.filter("_many IS NULL").withColumn("_copy", F.lit(1)).unionByName(alike)
     ranges = (
         plan.pieces.groupBy("sid", "start", "round")
-        .agg(F.sort_array(F.collect_list(F.struct("first", "words"))).alias("ranges"), F.sum("words").alias("taken"))
-        .join(plan.docs.filter("size > 0").select("sid", "start", "id", "source", "text_hash", "size"), ["sid", "start"])
-    )
-    # equal rows are told apart by number
-    same = Window.partitionBy("id", "source", "text_hash").orderBy("sid", "start")
-    numbered = ranges.withColumn("copy", F.dense_rank().over(same)).select(
-        *[F.col(c).alias(f"_mix_{c}") for c in ("id", "source", "text_hash", "copy", "ranges", "taken", "size")]
-    )
-    copy, mark = free_name(docs, "copy"), free_name(docs, "text_hash")
-    twins = Window.partitionBy(id_col, source, mark).orderBy(mark)
-    keyed = docs.withColumn(mark, F.xxhash64(text)).withColumn(copy, F.row_number().over(twins))
-    met = keyed.join(
-        numbered,
-        F.col(id_col).eqNullSafe(F.col("_mix_id"))
-        & F.col(source).eqNullSafe(F.col("_mix_source"))
-        & (F.col(mark) == F.col("_mix_text_hash"))
-        & (F.col(copy) == F.col("_mix_copy")),
-    )
-    cut_up = met.withColumn("_mix_words", F.when(F.col("_mix_taken") < F.col("_mix_size"), F.regexp_extract_all(text, F.lit(WORD), F.lit(0))))
-    parts = F.transform("_mix_ranges", lambda r: F.slice("_mix_words", (r["first"] + 1).cast("int"), r["words"].cast("int")))
-    chosen = F.when(F.col("_mix_words").isNull(), F.col(text)).otherwise(F.array_join(F.flatten(parts), " "))
-    return cut_up.withColumn("_mix_text", chosen).select(
-        *[F.col("_mix_text").alias(c) if c == text else F.col(c) for c in docs.columns]
+        .agg(F.sort_array(F.collect_list(F.struct("first", "words"))).alias("_ranges"), F.sum("words").alias("_taken"))
+        .join(numbered.select("sid", "start", "_key", "_copy", F.col("size").alias("_size")), ["sid", "start"])
+        .drop("sid", "start", "round")
     )
+    # the side of the ranges is narrow, and has a row per key and round
+    met = [keyed.join(ranges.filter("_copy = 1").hint("shuffle_hash"), "_key")]
+    weight = many.agg(F.count("*").alias("n"), F.sum(F.octet_length(F.to_json("_key"))).alias("bytes")).first()
+    if weight["n"]:
+        few = F.broadcast(many) if weight["bytes"] <= _KEY_BYTES else many
+        met = [keyed.join(few, "_key", "left_anti").join(ranges.filter("_copy = 1").hint("shuffle_hash"), "_key")]
+        twins = Window.partitionBy("_key").orderBy(F.monotonically_increasing_id())
+        repeated = keyed.join(few, "_key", "left_semi").withColumn("_copy", F.row_number().over(twins))
+        met.append(repeated.join(ranges, ["_key", "_copy"]).select(*met[0].columns))
+    whole = met[0] if len(met) == 1 else met[0].unionByName(met[1])
+    words = F.when(F.col("_taken") < F.col("_size"), F.regexp_extract_all(f"_row.{text}", F.lit(WORD), F.lit(0)))
+    cut_up = whole.withColumn("_words", words)
+    parts = F.transform("_ranges", lambda r: F.slice("_words", (r["first"] + 1).cast("int"), r["words"].cast("int")))
+    chosen = F.when(F.col("_words").isNull(), F.col(f"_row.{text}")).otherwise(F.array_join(F.flatten(parts), " "))
+    return cut_up.select(*[(chosen if c == text else F.col("_row").getField(c)).alias(c) for c in docs.columns])
