@@ -7,16 +7,17 @@ never split unless it alone outweighs half a shard; then its rows are dealt to p
 
 Medians are found on the whole table by narrowing histograms: bins of a node's range are summed, the bin that
 holds the median becomes the range, and after a few passes over the narrow points it is one point.
-All nodes of a level share each pass. Everything is DataFrame code.
+All nodes of a level share each pass, and meet their points as a small table. Everything is DataFrame code.
 """
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+import json
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from sparkloom.llm.common import require
+from sparkloom.operators.lookups import lookup_join
 from sparkloom.operators.ordering import running
 from sparkloom.session import cut, stage
 
@@ -24,25 +25,24 @@ _BITS = 62
 _BIN_BITS = 14
 
 
-@dataclass(frozen=True)
-class Node:
-    """An inner node: points whose key in ``dim`` is below ``bound`` go left."""
-
-    dim: str
-    bound: int
-    left: "Node | int"
-    right: "Node | int"
-
-
 def text_size(text: Column) -> Column:
     """UTF-8 bytes of a text plus one; a null text has none."""
     return (F.coalesce(F.octet_length(text), F.lit(0)) + 1).cast("long")
 
 
-def _string_place(value: Column) -> Column:
-    """Order-keeping number of a string: its first six bytes."""
-    head = F.rpad(F.substring(F.hex(F.encode(F.coalesce(value, F.lit("")), "UTF-8")), 1, 12), 12, "0")
-    return F.conv(head, 16, 10).cast("double")
+def _with_label_places(points: DataFrame, labels: list[str]) -> DataFrame:
+    """``points`` with labels replaced by their numbers in code-point order, from 1; 0 for null."""
+    for name in labels:
+        known = points.filter(F.col(name).isNotNull()).groupBy(name).agg(F.count("*").alias("points"))
+        numbered = running(known, [], [name], number=("count", "points")).select(name, "number")
+        points = lookup_join(points, numbered, name).withColumn(name, F.coalesce("number", F.lit(0)).cast("double")).drop("number")
+    return points
+
+
+def _node_table(spark: SparkSession, rows: list[dict], fields: str) -> DataFrame:
+    """A row per node, to be broadcast: there are no more nodes than shards."""
+    listed = F.from_json(F.lit(json.dumps(rows)), f"array<struct<{fields}>>")
+    return F.broadcast(spark.range(1).select(F.inline(listed)))
 
 
 def _coordinates(points: DataFrame, dims: list[str]) -> DataFrame:
@@ -54,7 +54,7 @@ def _coordinates(points: DataFrame, dims: list[str]) -> DataFrame:
         width = (hi - lo) if lo is not None and hi > lo else 1.0
         place = F.floor((F.col(d) - F.lit(lo if lo is not None else 0.0)) / F.lit(width) * F.lit(float((1 << 30) - 1)))
         keys.append((F.shiftleft(place.cast("long"), 32) + F.col("tie")).alias(f"key_{d}"))
-    return points.select("grp", "part", "weight", *keys)
+    return points.select("grp", "part", "parts", "weight", *keys)
 
 
 def _widest(nodes: DataFrame, dims: list[str]) -> dict[int, tuple[str, int]]:
@@ -64,31 +64,27 @@ def _widest(nodes: DataFrame, dims: list[str]) -> dict[int, tuple[str, int]]:
     return {r["node"]: (max(dims, key=lambda d: (r[d] >> 32, -dims.index(d))), r["weight"]) for r in rows}
 
 
-def _medians(nodes: DataFrame, wanted: dict[int, tuple[str, float]]) -> dict[int, int]:
+def _medians(nodes: DataFrame, dims: list[str], wanted: dict[int, tuple[str, float]]) -> dict[int, int]:
     """Per node, the key bound that splits off nearest to the wanted weight on the left."""
     state = {node: (dim, weight, 0, _BITS + 1, 0) for node, (dim, weight) in wanted.items()}
     bounds: dict[int, int] = {}
     while state:
-        key, shift, low, high = (None, None, None, None)
-        for node, (dim, _, base, bits, _) in state.items():
-            here = F.col("node") == node
-            key = F.when(here, F.col(f"key_{dim}")) if key is None else key.when(here, F.col(f"key_{dim}"))
-            step = max(0, bits - _BIN_BITS)
-            span = F.lit(base).cast("long"), F.lit(base + (1 << bits) - 1).cast("long")
-            shift = F.when(here, F.lit(step)) if shift is None else shift.when(here, F.lit(step))
-            low = F.when(here, span[0]) if low is None else low.when(here, span[0])
-            high = F.when(here, span[1]) if high is None else high.when(here, span[1])
-        inside = nodes.select("node", "weight", key.alias("key"), shift.alias("shift"), low.alias("low"), high.alias("high")).filter(
-            F.col("key").between(F.col("low"), F.col("high"))
-        )
-        bins = inside.groupBy("node", F.expr("shiftright(key - low, shift)").alias("bin")).agg(F.sum("weight").alias("w"))
+        ranges = [
+            {
+                "node": node,
+                "dim": dims.index(dim),
+                "shift": max(0, bits - _BIN_BITS),
+                "low": base,
+                "high": base + (1 << bits) - 1,
+                "want": float(weight - before),
+            }
+            for node, (dim, weight, base, bits, before) in state.items()
+        ]
+        asked = _node_table(nodes.sparkSession, ranges, "node long, dim int, shift int, low long, high long, want double")
+        inside = nodes.join(asked, "node").withColumn("key", _key(dims)).filter(F.col("key").between(F.col("low"), F.col("high")))
+        bins = inside.groupBy("node", "want", F.expr("shiftright(key - low, shift)").alias("bin")).agg(F.sum("weight").alias("w"))
         upto = Window.partitionBy("node").orderBy("bin")
-        targets = None
-        for node, (_, weight, _, _, before) in state.items():
-            here = F.col("node") == node
-            left = F.lit(float(weight - before))
-            targets = F.when(here, left) if targets is None else targets.when(here, left)
-        summed = bins.select("node", "bin", "w", F.sum("w").over(upto).alias("upto"), targets.alias("want"))
+        summed = bins.select("node", "want", "bin", "w", F.sum("w").over(upto).alias("upto"))
         crossing = summed.groupBy("node").agg(
             F.min_by(F.struct("bin", "w", "upto"), F.when(F.col("upto") >= F.col("want"), F.col("bin"))).alias("at"),
             F.max_by(F.struct("bin", "w", "upto"), "bin").alias("last"),
@@ -109,39 +105,35 @@ def _medians(nodes: DataFrame, wanted: dict[int, tuple[str, float]]) -> dict[int
     return bounds
 
 
-def kd_tree(points: DataFrame, dims: list[str], shards: int) -> Node | int:
-    """Split the points (grp, part, weight, key per dimension) into ``shards`` leaves of equal weight."""
+def _key(dims: list[str]) -> Column:
+    """The key of a point in the dimension with the number ``dim``."""
+    return F.get(F.array(*[F.col(f"key_{d}") for d in dims]), F.col("dim"))
+
+
+def kd_leaves(points: DataFrame, dims: list[str], shards: int) -> DataFrame:
+    """``points`` with their ``shard``: split into as many leaves of equal weight as there are shards.
+
+    ``points`` have a weight and a key per dimension. All nodes of a level are split at once, each at the
+    weighted median of its own widest dimension; what the driver holds is a row per node.
+    """
+    spark = points.sparkSession
     leaves = {0: (0, shards)}  # node -> (first shard, shards under it)
-    splits: dict[int, tuple[str, int]] = {}
-    current = points.withColumn("node", F.lit(0))
-    while open_nodes := {n: x for n, x in leaves.items() if x[1] > 1 and n not in splits}:
-        live = current.filter(F.col("node").isin(*open_nodes))
+    current = points.withColumn("node", F.lit(0).cast("long"))
+    while open_nodes := {n: x for n, x in leaves.items() if x[1] > 1}:
+        table = _node_table(spark, [{"node": n} for n in open_nodes], "node long")
+        live = current.join(table, "node", "left_semi")
         shape = _widest(live, dims)
-        wanted = {n: (shape[n][0], shape[n][1] * (open_nodes[n][1] // 2) / open_nodes[n][1]) for n in open_nodes if n in shape}
-        bounds = _medians(live, wanted)
-        moved = F.col("node")
+        wanted = {n: (shape[n][0], shape[n][1] * (x[1] // 2) / x[1]) for n, x in open_nodes.items() if n in shape}
+        bounds = _medians(live, dims, wanted)
         for n, (first, count) in open_nodes.items():
-            # a node without points may be split anywhere
-            splits[n] = (wanted[n][0], bounds[n]) if n in bounds else (dims[0], 0)
-            dim, bound = splits[n]
+            del leaves[n]
             leaves[2 * n + 1], leaves[2 * n + 2] = (first, count // 2), (first + count // 2, count - count // 2)
-            side = F.when(F.col(f"key_{dim}") < bound, F.lit(2 * n + 1)).otherwise(F.lit(2 * n + 2))
-            moved = F.when(F.col("node") == n, side).otherwise(moved)
-        current = current.withColumn("node", moved)
-
-    def build(n: int) -> Node | int:
-        if n not in splits:
-            return leaves[n][0]
-        return Node(*splits[n], build(2 * n + 1), build(2 * n + 2))
-
-    return build(0)
-
-
-def leaf(tree: Node | int) -> Column:
-    """The shard of a point."""
-    if isinstance(tree, int):
-        return F.lit(tree)
-    return F.when(F.col(f"key_{tree.dim}") < tree.bound, leaf(tree.left)).otherwise(leaf(tree.right))
+        splits = [{"node": n, "dim": dims.index(wanted[n][0]), "bound": bound} for n, bound in bounds.items()]
+        moved = current.join(_node_table(spark, splits, "node long, dim int, bound long"), "node", "left")
+        child = 2 * F.col("node") + F.when(_key(dims) < F.col("bound"), 1).otherwise(2)
+        current = cut(moved.withColumn("node", F.when(F.col("bound").isNull(), F.col("node")).otherwise(child)).drop("dim", "bound"))
+    ends = [{"node": n, "shard": first} for n, (first, _) in leaves.items()]
+    return current.join(_node_table(spark, ends, "node long, shard int"), "node").drop("node")
 
 
 def kd_shards(
@@ -155,7 +147,8 @@ def kd_shards(
     """(id, size, text_crc32, shard, slot) for every row of ``docs``.
 
     Give the number of shards, or the bytes that a leaf should reach. The dimensions are the columns
-    ``labels``, the size of the text and the id. Slots count the rows of a shard from 0, in id order.
+    ``labels``, by the order of their values, the size of the text and the id. Slots count the rows of a shard from 0, in id
+    order. Equal texts share a shard unless together they outweigh half a shard; then they are dealt to parts by id.
 
     Defined results: a null text has size 1 and is one group with the empty text; a null label or id comes first;
     rows that repeat an id, or are wholly equal, are rows of their own. Other columns are not
@@ -171,7 +164,7 @@ def kd_shards(
             text_size(F.col(text)).alias("size"),
             F.crc32(F.encode(whole, "UTF-8")).alias("text_crc32"),
             F.xxhash64(whole).alias("grp"),
-            *[_string_place(F.col(c).cast("string")).alias(f"label_{k}") for k, c in enumerate(labels)],
+            *[F.col(c).cast("string").alias(f"label_{k}") for k, c in enumerate(labels)],
         ),
         "sizes",
     )
@@ -196,12 +189,9 @@ def kd_shards(
             F.pmod(F.xxhash64("grp", "part"), F.lit(1 << 32)).alias("tie"),
         )
     )
-    points = cut(points)
-    keyed = cut(_coordinates(points, dims))
-    tree = kd_tree(keyed, dims, count)
-    leaves = keyed.select("grp", "part", leaf(tree).cast("int").alias("shard")).join(
-        points.select("grp", "part", "parts"), ["grp", "part"]
-    )
+    placed = cut(_with_label_places(cut(points), dims[:-2]))
+    keyed = cut(_coordinates(placed, dims))
+    leaves = kd_leaves(keyed, dims, count).select("grp", "part", "parts", "shard")
     return _number(_assign(rows, leaves), id_col)
 
 

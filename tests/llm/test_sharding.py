@@ -64,6 +64,25 @@ def test_target_bytes(spark):
         sharding.kd_shards(brute.frame(spark, rows))
 
 
+def test_labels_that_begin_alike_are_split(spark):
+    """Sources of equal weight with one long prefix, and nothing else to split by."""
+    names = ["common_crawl_" + "x" * 20 + end for end in ("a", "b", "c", "d")]
+    rows = [(7, f"{i:06d}", "en", names[i % 4]) for i in range(400)]
+    docs = brute.frame(spark, rows)
+    source_of = {zlib.crc32(t.encode()): s for _, t, _, s in rows}
+    got = sharding.kd_shards(docs, shards=4).collect()
+    shards = collections.defaultdict(set)
+    for r in got:
+        shards[source_of[r.text_crc32]].add(r.shard)
+    assert sorted(len(s) for s in shards.values()) == [1, 1, 1, 1] and len(set.union(*shards.values())) == 4
+
+
+def test_many_leaves(spark):
+    rows = [(i, f"{i * 7919 % 3001:05d}", "en", f"s{i % 50}") for i in range(3000)]
+    _, size = check(brute.frame(spark, rows), rows, 500)
+    assert len(size) == 500 and max(size.values()) <= 2 * min(size.values())
+
+
 def test_no_python_in_the_plan(edge):
     plan = sharding.kd_shards(edge, shards=4)._jdf.queryExecution().toString()
     assert "Python" not in plan and "Arrow" not in plan and "Pandas" not in plan
