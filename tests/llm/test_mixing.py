@@ -77,6 +77,23 @@ def test_mixed_texts_are_the_taken_words(edge):
     assert {s: n for s, n in per_source.items() if n} == {s: n for s, n in wanted.items() if n}
 
 
+@pytest.mark.parametrize("key_bytes", [mixing._KEY_BYTES, 0])
+def test_repeated_rows_take_their_own_words(spark, monkeypatch, key_bytes):
+    """Rows alike in all, rows without id or source, and columns called like helpers."""
+    monkeypatch.setattr(mixing, "_KEY_BYTES", key_bytes)
+    rng = random.Random(2)
+    base = [(i, brute.prose(rng, 9), "en", "a") for i in range(20)]
+    rows = base + [(3, "same words of one text", "en", "a")] * 30 + [(None, "no id here", "en", None)] * 10 + base[:4]
+    docs = brute.frame(spark, rows).withColumns({"_mix_id": F.lit(1), "_key": F.lit("k"), "_row": F.lit("r"), "_copy": F.lit(0)})
+    plan = mixing.plan_mix(docs, mixing.Mix(block=7))
+    out = mixing.mixed_texts(docs, plan)
+    assert out.columns == docs.columns and out.filter("_key = 'k' AND _row = 'r' AND _copy = 0 AND _mix_id = 1").count() == out.count()
+    wanted = plan.pieces.join(plan.docs.filter("size > 0"), ["sid", "start"]).groupBy("sid", "start", "id", "source", "round").agg(F.sum("words").alias("n"))
+    assert brute.plain_order([(r.id, r.source, r.n) for r in wanted.collect()]) == brute.plain_order(
+        [(r.doc_id, r.source, len(brute.words_of(r.text))) for r in out.collect()]
+    )
+
+
 def test_no_python_in_the_plan(edge):
     plan = mixing.mixed_texts(edge, mixing.plan_mix(edge))._jdf.queryExecution().toString()
     assert "Python" not in plan and "Arrow" not in plan and "Pandas" not in plan
