@@ -19,6 +19,7 @@ from __future__ import annotations
 import math
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -131,14 +132,10 @@ def grow(sample: np.ndarray, leaves: int) -> Tree:
 
 
 def valid_vectors(rows: DataFrame, is_query: Column, id_col: str, vector: str) -> DataFrame:
-    """(id, v, q): vectors with components that are all finite, not all zero, and as many as most vectors have."""
+    """(id, v, q): vectors with components that are all finite and not all zero."""
     doubles = rows.select(F.col(id_col).cast("long").alias("id"), F.col(vector).cast("array<double>").alias("v"), F.coalesce(is_query, F.lit(False)).alias("q"))
     finite = F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
-    good = doubles.filter(
-        F.col("id").isNotNull() & F.coalesce(finite, F.lit(False)) & F.exists("v", lambda x: x != 0)
-    )
-    usual = good.groupBy(F.size("v").alias("width")).count().orderBy(F.desc("count"), F.desc("width")).first()
-    return good.filter(F.size("v") == (usual["width"] if usual else -1))
+    return doubles.filter(F.col("id").isNotNull() & F.coalesce(finite, F.lit(False)) & F.exists("v", lambda x: x != 0))
 
 
 def _lift(vectors: np.ndarray, norm: float) -> np.ndarray:
@@ -158,19 +155,23 @@ class _Part:
     def nearest(self, query_id: int, query: np.ndarray, point: np.ndarray, worst: float, norm: float, search: Search) -> tuple[np.ndarray, np.ndarray]:
         """Best (ids, scores) of this part. ``worst``: the k-th best score known so far, or -inf.
 
-        Rows are taken in rising projected distance, in growing steps, until the test holds.
+        Rows are taken in rising projected distance, in growing steps, until the test holds. A step's products are worked
+        out at once; only rows that by these may be among the best are scored to the last bit.
         """
         radii = np.maximum(0, self.squares + point @ point - 2 * (self.points @ point))
-        order = np.argsort(radii, kind="stable")
-        order = order[self.ids[order] != query_id]
         length = query @ query
         quantile = search.quantile()
+        slack = _SLACK * (norm * norm + length)
+        # what the first bound rules out need not be sorted
+        within = np.flatnonzero((radii <= reach(norm, length, worst, quantile)) & (self.ids != query_id))
+        order = within[np.argsort(radii[within], kind="stable")]
         best_ids, best = np.empty(0, np.int64), np.empty(0)
         at, step = 0, 4 * search.k
         while at < len(order):
             if radii[order[at]] > reach(norm, length, worst, quantile):
                 break
             chosen = order[at : at + step]
+            chosen = chosen[self.vectors[chosen] @ query >= worst - slack]
             ids, scores = np.append(best_ids, self.ids[chosen]), np.append(best, inner(self.vectors[chosen], query))
             keep = np.lexsort((ids, -scores))[: search.k]
             best_ids, best = ids[keep], scores[keep]
@@ -271,27 +272,41 @@ def nearest_neighbours(
     ``score`` is that product, in double precision, on the original vectors; equal ones are ranked by the
     smaller id. Ids are integers; a row never finds one with its own id.
 
-    Defined results: vectors that are null, zero, hold a null, NaN or infinite component, or whose length is not the
-    most common one, take no part, neither do rows without an id. Fewer than ``k`` other rows give them all.
+    Defined results: vectors that are null, zero, or hold a null, NaN or infinite component, take no part, neither do rows
+    without an id. Vectors of different lengths have no product and are searched apart. Fewer than ``k`` other rows
+    of its length give them all.
     Repeated rows are found as often as they stand, and as queries share one result. Other columns are not read.
     An empty table gives no rows. Jobs run when this is called.
     """
     require(rows, id_col, vector)
     good = stage(valid_vectors(rows, is_query, id_col, vector), "vectors")
     square = F.max(F.aggregate("v", F.lit(0.0), lambda s, x: s + x * x))
-    facts = good.agg(F.count("*").alias("n"), F.sum(F.col("q").cast("long")).alias("queries"), F.max(F.size("v")).alias("width"), square.alias("square")).first()
-    dimension, norm = facts["width"] or 1, float(facts["square"] or 0.0) ** 0.5
+    facts = good.groupBy(F.size("v").alias("width")).agg(
+        F.count("*").alias("n"), F.sum(F.col("q").cast("long")).alias("queries"), square.alias("square")
+    )
+    widths = facts.orderBy("width").collect()  # one row per length
+    if not widths:
+        return _of_one_length(good, 1, 0, 0, 0.0, search)
+    found = [
+        _of_one_length(good.filter(F.size("v") == w["width"]), w["width"], w["n"], w["queries"], w["square"] ** 0.5, search)
+        for w in widths
+    ]
+    return reduce(DataFrame.unionByName, found)
+
+
+def _of_one_length(good: DataFrame, dimension: int, count: int, asked: int, norm: float, search: Search) -> DataFrame:
+    """The result among ``count`` vectors of one length, of which ``asked`` are queries and ``norm`` is the largest norm."""
     points = good.mapInPandas(_projected(search, norm, dimension), "p array<double>")
     sample = points.orderBy(F.xxhash64("p")).limit(search.sample_rows).collect()  # a bounded sample
     places = np.array([r["p"] for r in sample]).reshape(-1, search.directions)
-    tree = grow(places, max(1, min(-(-facts["n"] // search.cell_rows), len(places) // 8)))
+    tree = grow(places, max(1, min(-(-count // search.cell_rows), len(places) // 8)))
     schema = "id long, v array<double>, q boolean, cell long"
     indexed = stage(good.mapInPandas(_placed(search, norm, dimension, tree), schema), "indexed")
     held = indexed.groupBy("cell").count().collect()  # one row per cell, no more than the sample has rows
     parts = {r["cell"]: -(-r["count"] // (2 * search.cell_rows)) for r in held}
 
     # a part's queries are searched in blocks of bounded size
-    blocks = max(1, -(-(facts["queries"] or 0) // (2 * search.cell_rows)))
+    blocks = max(1, -(-asked // (2 * search.cell_rows)))
     counts = F.create_map(*[F.lit(x) for pair in sorted(parts.items()) for x in pair]) if parts else F.lit(None)
     targets = indexed.select(
         "id",

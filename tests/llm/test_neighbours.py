@@ -18,13 +18,11 @@ def frame(spark, rows):
 
 def brute_force(rows, k):
     good = [(i, np.array(v, np.float32).astype(float)) for i, v in rows if usable(i, v)]
-    width = max({len(v) for _, v in good}, key=lambda n: (sum(len(v) == n for _, v in good), n), default=0)
-    good = [(i, v) for i, v in good if len(v) == width]
     out = {}
     for i, v in good:
         if i % 20 == 0:
-            out[i] = sorted((-float((v * w).sum()), j) for j, w in good if j != i)[:k]
-    return out
+            out[i] = sorted((-float((v * w).sum()), j) for j, w in good if j != i and len(w) == len(v))[:k]
+    return {i: best for i, best in out.items() if best}
 
 
 def usable(i, v):
@@ -60,6 +58,14 @@ def test_empty_table_and_few_rows(spark):
     assert searched(frame(spark, [(0, [1.0, 2.0]), (1, [3.0, 1.0])]), neighbours.Search()) == {0: [(-5.0, 1)]}
 
 
+def test_lengths_are_searched_apart(spark):
+    rng = np.random.RandomState(8)
+    rows = [(i, rng.standard_normal(3 + i % 3).tolist()) for i in range(300)]
+    got, want = searched(frame(spark, rows), neighbours.Search(k=5, confidence=0.999)), brute_force(rows, 5)
+    assert got.keys() == want.keys() and len(got) == 15
+    assert sum([j for _, j in got[i]] == [j for _, j in best] for i, best in want.items()) >= 14
+
+
 def test_ties_go_to_the_smaller_id(spark):
     rows = [(i, [1.0, 0.0, 0.5]) for i in range(100)]
     got = searched(frame(spark, rows), neighbours.Search(k=5, cell_rows=10))
