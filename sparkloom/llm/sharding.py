@@ -54,7 +54,7 @@ def _coordinates(points: DataFrame, dims: list[str]) -> DataFrame:
         width = (hi - lo) if lo is not None and hi > lo else 1.0
         place = F.floor((F.col(d) - F.lit(lo if lo is not None else 0.0)) / F.lit(width) * F.lit(float((1 << 30) - 1)))
         keys.append((F.shiftleft(place.cast("long"), 32) + F.col("tie")).alias(f"key_{d}"))
-    return points.select("grp", "part", "parts", "weight", *keys)
+    return points.select("grp", "part", "parts", "weight", F.lit(0).cast("long").alias("node"), *keys)
 
 
 def _widest(nodes: DataFrame, dims: list[str]) -> dict[int, tuple[str, int]]:
@@ -113,12 +113,12 @@ def _key(dims: list[str]) -> Column:
 def kd_leaves(points: DataFrame, dims: list[str], shards: int) -> DataFrame:
     """``points`` with their ``shard``: split into as many leaves of equal weight as there are shards.
 
-    ``points`` have a weight and a key per dimension. All nodes of a level are split at once, each at the
+    ``points`` have a weight, a key per dimension and the node 0. All nodes of a level are split at once, each at the
     weighted median of its own widest dimension; what the driver holds is a row per node.
     """
     spark = points.sparkSession
     leaves = {0: (0, shards)}  # node -> (first shard, shards under it)
-    current = points.withColumn("node", F.lit(0).cast("long"))
+    current = points
     while open_nodes := {n: x for n, x in leaves.items() if x[1] > 1}:
         table = _node_table(spark, [{"node": n} for n in open_nodes], "node long")
         live = current.join(table, "node", "left_semi")
