@@ -1,10 +1,13 @@
 """Streams whose rows arrive in any order: state holds them until the watermark has passed.
 
-Each operator here is a processor per group. Arriving rows wait in a list state; an event-time timer, or the next rows of
+Each operator here is a processor per group. Arriving rows wait in the state; an event-time timer, or the next rows of
 the group, releases those that the watermark has passed, in order, and only they change the state of the operator. So the
 result depends on the rows, not on the files or batches they came in. Rows behind the watermark are late and dropped,
 as in every stream. What waits is bounded by the watermark's delay; what a group keeps besides, by its operator.
 
+Rows wait in blocks of bounded size, each a sorted run of what came in together. They are released by a sweep over the
+first times of the blocks, so that Python holds a block or so of each run, however many rows of a group are due at once.
+
 ``finish`` sends a marker that lets the watermark pass all rows, so that what is still open comes out.
 Row times lie between 1970 and the year 2100, ends not included. The state lives in RocksDB, see :func:`state_store`.
 """
@@ -16,7 +19,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from sparkloom.operators.greedy import Budget, Gap, Open, cut_rows
@@ -50,21 +56,27 @@ class state_store:
 class InOrder(StatefulProcessor):
     """Rows with a column ``event_us`` (event time in microseconds), released in the order of ``order``.
 
-    ``columns`` are the names and types that are kept while rows wait.
+    ``columns`` are the names and types that are kept while rows wait; ``order`` does not fall while times rise.
     """
 
+    BLOCK_ROWS, BLOCK_BYTES = 1024, 1 << 18
+    SPAN_ROWS, SPAN_BYTES = 1 << 16, 8 << 20
+
     def __init__(self, columns: T.StructType, order: list[str]) -> None:
         self.columns, self.order = columns, order
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.waiting = handle.getListState("waiting", self.columns)
+        self.waiting = handle.getMapState("waiting", "block long", "rows binary")
+        self.index = handle.getMapState("index", "block long", "first long, last long")
+        self.numbers = handle.getValueState("numbers", "next long")
+        self.schema = to_arrow_schema(self.columns)
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        names, latest = self.columns.names, None
+        latest = None
         for batch in rows:
             if len(batch):
-                self.waiting.appendList([tuple(_plain(v) for v in row) for row in batch[names].itertuples(index=False, name=None)])
+                self._keep(batch[self.columns.names])
                 latest = max(latest or 0, int(batch["event_us"].max()))
         if latest is not None:
             self.handle.registerTimer(-(-latest // 1000))
@@ -73,24 +85,64 @@ class InOrder(StatefulProcessor):
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         yield from self.release(key, timerValues.getCurrentWatermarkInMs())
 
+    def _keep(self, rows: pd.DataFrame) -> None:
+        """Put rows into the state, as blocks of a sorted run."""
+        run = pa.RecordBatch.from_pandas(rows.sort_values("event_us", kind="stable"), schema=self.schema, preserve_index=False)
+        times = run.column("event_us").to_numpy()
+        each = max(1, min(self.BLOCK_ROWS, self.BLOCK_BYTES * len(rows) // max(1, run.nbytes)))
+        number = self.numbers.get()[0] if self.numbers.exists() else 0
+        for first in range(0, len(rows), each):
+            part = run.slice(first, each)
+            sink = pa.BufferOutputStream()
+            with pa.ipc.new_stream(sink, self.schema) as writer:
+                writer.write_batch(part)
+            self.waiting.updateValue((number,), (sink.getvalue().to_pybytes(),))
+            self.index.updateValue((number,), (int(times[first]), int(times[min(first + each, len(rows)) - 1])))
+            number += 1
+        self.numbers.update((number,))
+
+    def _due(self, watermark: int) -> Iterator[pd.DataFrame]:
+        """Rows up to the watermark in spans in order; equal times are never parted."""
+        upto = watermark * 1000
+        blocks = sorted((v[0], k[0], v[1]) for k, v in self.index.iterator())
+        blocks = [b for b in blocks if b[0] <= upto]
+        held: list[pa.Table] = []
+        rows = size = 0
+        for place, (_, number, last) in enumerate(blocks):
+            part = pa.ipc.open_stream(self.waiting.getValue((number,))[0]).read_all()
+            self.waiting.removeKey((number,))
+            self.index.removeKey((number,))
+            if last > upto:
+                rest = part.filter(pc.greater(part["event_us"], upto))
+                part = part.filter(pc.less_equal(part["event_us"], upto))
+                self._keep(rest.to_pandas())
+            held.append(part)
+            rows, size = rows + part.num_rows, size + part.nbytes
+            if place + 1 < len(blocks) and (rows >= self.SPAN_ROWS or size >= self.SPAN_BYTES):
+                table, following = pa.concat_tables(held), blocks[place + 1][0]  # no later block has a row before it
+                ready = table.filter(pc.less(table["event_us"], following))
+                if ready.num_rows:
+                    yield ready.to_pandas().sort_values(self.order, kind="stable", ignore_index=True)
+                    table = table.filter(pc.greater_equal(table["event_us"], following)).combine_chunks()
+                held, rows, size = [table], 0, 0  # what is left belongs to blocks that reach further
+        if held and (table := pa.concat_tables(held)).num_rows:
+            yield table.to_pandas().sort_values(self.order, kind="stable", ignore_index=True)
+
     def release(self, key, watermark: int) -> Iterator[pd.DataFrame]:
-        names = self.columns.names
-        at = names.index("event_us")
-        held = list(self.waiting.get())
-        due = [r for r in held if r[at] <= watermark * 1000]
-        if due:
-            rest = [tuple(r) for r in held if r[at] > watermark * 1000]
-            if rest:
-                self.waiting.put(rest)
-            else:
-                self.waiting.clear()
-        rows = pd.DataFrame([tuple(r) for r in due], columns=names).sort_values(self.order, kind="stable") if due else None
-        yield from self.advance(key, rows, watermark)
-
-    def advance(self, key, rows: pd.DataFrame | None, watermark: int) -> Iterator[pd.DataFrame]:
-        """Take rows in order (None: there are none); ``watermark`` in milliseconds."""
+        moved = False
+        for span in self._due(watermark):
+            moved = True
+            yield from self.advance(key, span)
+        yield from self.settle(key, watermark, moved)
+
+    def advance(self, key, rows: pd.DataFrame) -> Iterator[pd.DataFrame]:
+        """Take rows in order."""
         raise NotImplementedError
 
+    def settle(self, key, watermark: int, moved: bool) -> Iterator[pd.DataFrame]:
+        """After the rows that were due, if there were any; ``watermark`` in milliseconds."""
+        yield from ()
+
     def close(self) -> None:
         pass
 
@@ -136,15 +188,17 @@ class _Cuts(InOrder):
         """No row can come any more that does not start anew."""
         return self.gap_us is not None and self.open.exists() and self.open.get()[3] + self.gap_us <= watermark * 1000
 
-    def advance(self, key, rows, watermark):
-        if rows is not None:
-            for anew, span in self.spans(rows):
-                cuts, starts = self.cut(span, None if anew else self.carry())
-                yield span.drop(columns="event_us").assign(**{self.group: key[0], "_cut": cuts, "_starts": starts})
-            if self.gap_us is not None:
-                self.handle.registerTimer((self.open.get()[3] + self.gap_us) // 1000 + 1)
-        elif self.is_over(watermark):
+    def advance(self, key, rows):
+        for anew, span in self.spans(rows):
+            cuts, starts = self.cut(span, None if anew else self.carry())
+            yield span.drop(columns="event_us").assign(**{self.group: key[0], "_cut": cuts, "_starts": starts})
+
+    def settle(self, key, watermark, moved):
+        if moved and self.gap_us is not None:
+            self.handle.registerTimer((self.open.get()[3] + self.gap_us) // 1000 + 1)
+        elif not moved and self.is_over(watermark):
             self.open.clear()  # the state of a run that is over
+        yield from ()
 
 
 class _Packs(_Cuts):
@@ -158,25 +212,27 @@ class _Packs(_Cuts):
         super().init(handle)
         self.pack = handle.getListState("pack", self.columns)
 
-    def advance(self, key, rows, watermark):
+    def advance(self, key, rows):
         names = self.columns.names
-        if rows is not None:
-            if not self.open.exists():
-                self.handle.registerTimer(_LAST_MS)  # for the pack that is open at the end
-            for anew, span in self.spans(rows):
-                if anew:
-                    yield from self.flush(key)
-                before = self.carry()
-                cuts, _ = self.cut(span, before)
-                held = pd.DataFrame([tuple(r) for r in self.pack.get()], columns=names)
-                numbers = np.concatenate([np.full(len(held), (before.cuts if before else 0) - 1, np.int64), cuts])
-                every = pd.concat([held, span[names]], ignore_index=True) if len(held) else span[names].reset_index(drop=True)
-                done = numbers < numbers[-1]
-                for number in np.unique(numbers[done]).tolist():
-                    yield self.packed(key, number, every[numbers == number])
-                self.pack.put([tuple(_plain(v) for v in r) for r in every[~done].itertuples(index=False, name=None)])
-            if self.gap_us is not None:
-                self.handle.registerTimer((self.open.get()[3] + self.gap_us) // 1000 + 1)
+        if not self.open.exists():
+            self.handle.registerTimer(_LAST_MS)  # for the pack that is open at the end
+        for anew, span in self.spans(rows):
+            if anew:
+                yield from self.flush(key)
+            before = self.carry()
+            cuts, _ = self.cut(span, before)
+            held = pd.DataFrame([tuple(r) for r in self.pack.get()], columns=names)
+            numbers = np.concatenate([np.full(len(held), (before.cuts if before else 0) - 1, np.int64), cuts])
+            every = pd.concat([held, span[names]], ignore_index=True) if len(held) else span[names].reset_index(drop=True)
+            done = numbers < numbers[-1]
+            edges = [0, *(np.flatnonzero(np.diff(numbers)) + 1).tolist()]
+            for lo, hi in zip(edges, edges[1:]):  # numbers rise
+                yield self.packed(key, int(numbers[lo]), every.iloc[lo:hi])
+            self.pack.put([tuple(_plain(v) for v in r) for r in every[~done].itertuples(index=False, name=None)])
+
+    def settle(self, key, watermark, moved):
+        if moved and self.gap_us is not None:
+            self.handle.registerTimer((self.open.get()[3] + self.gap_us) // 1000 + 1)
         if watermark > _LAST_MS or self.is_over(watermark):
             yield from self.flush(key)
 
@@ -209,9 +265,7 @@ class _Known(InOrder):
         super().init(handle)
         self.known = handle.getMapState("known", "task string", "value double, us long")
 
-    def advance(self, key, rows, watermark):
-        if rows is None:
-            return
+    def advance(self, key, rows):
         known = {k[0]: tuple(v) for k, v in self.known.iterator()}
         touched, lines = set(), []
         for step, here in rows.groupby("step", sort=True):

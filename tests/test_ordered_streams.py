@@ -3,7 +3,10 @@
 import datetime
 import random
 
+import numpy as np
+import pandas as pd
 import pytest
+from pyspark.sql import types as T
 
 from sparkloom.operators import metrics, packing
 from sparkloom.streaming import ordered
@@ -143,3 +146,84 @@ def test_setting_is_restored(spark):
     with pytest.raises(ValueError), ordered.state_store(spark):
         raise ValueError
     assert spark.conf.get(key, None) == before
+
+
+class _State(dict):
+    """A state of a processor, in memory."""
+
+    def getValue(self, key):
+        return super().get(key)
+
+    def updateValue(self, key, value):
+        self[key] = value
+
+    def removeKey(self, key):
+        del self[key]
+
+    def iterator(self):
+        return iter(list(self.items()))
+
+    def exists(self):
+        return None in self
+
+    def get(self):
+        return self[None]
+
+    def update(self, value):
+        self[None] = value
+
+
+class _Handle:
+    def __init__(self):
+        self.states = {}
+
+    def getMapState(self, name, *_):
+        return self.states.setdefault(name, _State())
+
+    getValueState = getListState = getMapState
+
+    def registerTimer(self, _):
+        pass
+
+
+class _Watermark:
+    def __init__(self, milliseconds):
+        self.milliseconds = milliseconds
+
+    def getCurrentWatermarkInMs(self):
+        return self.milliseconds
+
+
+def test_rows_of_a_group_are_released_in_bounded_spans():
+    """However many rows are due at once, the operator gets a few at a time, in order, and rows of one time together."""
+    spans = []
+
+    class Seen(ordered.InOrder):
+        BLOCK_ROWS, SPAN_ROWS = 16, 64
+
+        def advance(self, key, rows):
+            spans.append(rows)
+            yield rows
+
+    kinds = {"step": T.LongType(), "tokens": T.ArrayType(T.IntegerType()), "value": T.DoubleType(), "event_us": T.LongType()}
+    columns = T.StructType([T.StructField(name, kind) for name, kind in kinds.items()])
+    processor, handle = Seen(columns, ["step"]), _Handle()
+    processor.init(handle)
+    steps = list(range(5000))
+    random.Random(3).shuffle(steps)
+    for first in range(0, 5000, 500):
+        batch = [(s, np.arange(s % 5, dtype=np.int32), None if s % 7 == 0 else s / 2, s // 3 * 1_000_000) for s in steps[first : first + 500]]
+        rows = pd.DataFrame(batch, columns=columns.names)
+        assert not list(processor.handleInputRows(("g",), iter([rows]), _Watermark(-1)))
+    list(processor.handleExpiredTimer(("g",), _Watermark(1_000_000), None))
+    early = sum(map(len, spans))
+    assert early == sum(s // 3 <= 1000 for s in steps) and all(v[0] > 1_000_000_000 for v in handle.states["index"].values())
+    list(processor.handleExpiredTimer(("g",), _Watermark(10_000_000), None))
+    assert not handle.states["waiting"] and not handle.states["index"]
+    whole = pd.concat(spans)
+    assert whole["step"].tolist() == list(range(5000))
+    assert [len(t) for t in whole["tokens"]] == [s % 5 for s in range(5000)]
+    assert whole["value"].isna().tolist() == [s % 7 == 0 for s in range(5000)]
+    assert len(spans) > 10 and max(map(len, spans)) <= 64 + 16 * 10 * 2
+    ends = [(a["event_us"].iloc[-1], b["event_us"].iloc[0]) for a, b in zip(spans, spans[1:])]
+    assert all(x < y for x, y in ends)
