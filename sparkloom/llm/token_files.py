@@ -33,6 +33,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from tokenizers import Tokenizer
 
 from sparkloom.llm.common import require
+from sparkloom.llm.word_ids import WordIds
 from sparkloom.session import remove_path, stage_path
 
 _MAGIC = b"TKF1"
@@ -125,14 +126,12 @@ def read_tokenizer(spark: SparkSession, path: str):
 
 
 class Encoder:
-    """The tokenizers library on whole texts, each word of a task encoded once.
+    """The tokenizers library on whole texts, see :mod:`sparkloom.llm.word_ids`: each word is encoded once by a worker.
 
-    A byte-level pre-tokenizer never joins a visible character with the space after it. So a text can be cut before each
-    space that follows a visible character, and its ids are those of its parts. Parts are encoded by the library, the
-    short ones kept in a bounded table. Tokenizers of another kind get whole texts.
+    Tokenizers that are not byte-level get whole texts.
     """
 
-    KNOWN, SHORT = 1_000_000, 64
+    KNOWN = 200_000  # words in each half of the table
 
     def __init__(self, source: str) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark deals out the cores
@@ -148,21 +147,23 @@ class Encoder:
             and before.get("use_regex", True)
             and not any(t.get("lstrip") or t.get("rstrip") or t.get("single_word") or " " in t["content"] for t in added)
         )
-        self.known: dict[str, bytes] = {}
         size = self.library.get_vocab_size()
+        self.words = WordIds(self.spaced_ids, self.library_ids, [t["content"] for t in added], self.KNOWN)
         self.spaced = np.array([(self.library.id_to_token(k) or "").startswith("\u0120") for k in range(size)])  # the byte 0x20
 
-    def learn(self, words: list[str]) -> None:
-        """Encode words without spaces, each after one: ids that start with a space begin the next word."""
+    def spaced_ids(self, words: list[str]) -> list[bytes]:
+        """Ids of words without spaces, each after one: ids that start with a space begin the next word."""
+        found: list[bytes] = []
         for first in range(0, len(words), 10_000):
             some = words[first : first + 10_000]
             ids = np.frombuffer(self.library_ids([" " + " ".join(some)])[0], "<u4")
             starts = np.flatnonzero(self.spaced[ids])
             if len(starts) != len(some):  # a vocabulary that joins other things to spaces
-                self.known.update(zip(some, self.library_ids([f" {w}" for w in some])))
+                found += self.library_ids([f" {w}" for w in some])
                 continue
             data, ends = ids.tobytes(), [*(starts[1:] * 4).tolist(), len(ids) * 4]
-            self.known.update((w, data[a:b]) for w, a, b in zip(some, (starts * 4).tolist(), ends))
+            found += [data[a:b] for a, b in zip((starts * 4).tolist(), ends)]
+        return found
 
     def library_ids(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as 32-bit numbers."""
@@ -171,33 +172,20 @@ class Encoder:
     def encode(self, texts: list[str]) -> list[bytes]:
         if not self.by_words:
             return self.library_ids(texts)
-        if len(self.known) > self.KNOWN:
-            self.known.clear()
-        parts = [t.split(" ") for t in texts]
-        words = {w for w in set().union(*(p[1:] for p in parts)) - self.known.keys() if w and len(w) <= self.SHORT and not w[-1].isspace()}
-        self.learn(list(words))
-        return [self._joined(p) for p in parts]
-
-    def _joined(self, words: list[str]) -> bytes:
-        """Ids of a text that was split at its spaces."""
-        found: list[bytes | None] = [None, *map(self.known.get, words[1:])]
-        # the first word, long words, and words that end in white space with all up to the next that does not
-        whole, places, at = [], [], 0
-        while at < len(words):
-            try:
-                at = found.index(None, at)
-            except ValueError:
-                break
-            last = at
-            while last + 1 < len(words) and (not words[last] or words[last][-1].isspace()):
-                last += 1
-            whole.append(" " * (at > 0) + " ".join(words[at : last + 1]))
-            places.append(at)
-            found[at : last + 1] = [b""] * (last + 1 - at)
-            at = last + 1
-        for place, ids in zip(places, self.library_ids(whole)):
-            found[place] = ids
-        return b"".join(found)
+        self.words.half = self.KNOWN
+        return self.words.encode(texts)
+
+
+_loaded: dict[int, Encoder] = {}
+
+
+def _load(shared) -> Encoder:
+    """The encoder of a broadcast tokenizer, built once per worker; its words serve the worker's later tasks."""
+    key = hash(shared.value)
+    if key not in _loaded:
+        _loaded.clear()
+        _loaded[key] = Encoder(shared.value)
+    return _loaded[key]
 
 
 def _narrowed(ids: np.ndarray) -> bytes:
@@ -243,7 +231,7 @@ def _tokenized(shared, end_id: int | None):
     """Batches of (doc_id, text) to (doc_id, ids, counts): a row per document, and at last one with the task's counts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, counts, names = Encoder(shared.value), _Counts(), ["doc_id", "ids", "counts"]
+        encoder, counts, names = _load(shared), _Counts(), ["doc_id", "ids", "counts"]
         gc.disable()  # words by the million, and no cycles
         try:
             for batch in batches:

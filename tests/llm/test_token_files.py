@@ -147,3 +147,19 @@ def test_query(spark, tokenizer):
     assert got.columns == ["doc_id", "start", "n_tokens", "ids_crc32"]
     assert [t for _, t in got.dtypes] == ["bigint"] * 4
     check([r for r in got.withColumnRenamed("ids_crc32", "crc").collect()], expected(tokenizer, [tuple(r) for r in docs]))
+
+
+def test_marks_do_not_make_new_words(tokenizer):
+    """A word with marks or a line end costs no encoding of its own once its parts are known, and frequent words stay."""
+    encoder = token_files.Encoder(open(PATH, encoding="utf-8").read())
+    asked = []
+    spaced = encoder.words.spaced
+    encoder.words.spaced = lambda words: asked.extend(words) or spaced(words)
+    texts = ["a Wort, Wort. Wort;\n\nWort Wort\nWort (Wort) été, été.\nété don't Wort's <|endoftext|>Wort Wort<|endoftext|>"]
+    want = [tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
+    assert [np.frombuffer(x, "<u4").tolist() for x in encoder.encode(texts)] == want
+    assert asked.count("Wort") == 1 and asked.count("été") == 1 and not {"Wort,", "Wort.", "Wort\nWort", "été,"} & set(asked)
+    encoder.KNOWN = 1
+    for _ in range(5):
+        assert [np.frombuffer(x, "<u4").tolist() for x in encoder.encode(texts)] == want
+    assert asked.count("Wort") == 1
