@@ -4,14 +4,16 @@ The vocabulary file is read once, where the job is planned, and broadcast; its s
 vocabulary. A text is split into pieces by the pre-tokenizer's pattern. In a piece, the symbols form a
 doubly linked list, and a heap holds every adjacent pair that has a merge, lowest rank first, then leftmost; an
 entry whose symbols changed since it was pushed is stale and skipped. So a piece of n bytes takes
-n log n steps, however long it is. Pieces seen before in a task come from a bounded table.
+n log n steps, however long it is. Words seen before by a worker come from a bounded table, see ``word_ids``.
 """
 
 from __future__ import annotations
 
 import heapq
 import json
+from array import array
 from collections.abc import Iterator
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -19,11 +21,13 @@ import regex
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from sparkloom.llm.common import free_name, require
+from sparkloom.llm.word_ids import WordIds
 
 # The byte-level pre-tokenizer's pattern: a fixed value of the vocabulary format.
 PIECES = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+"""
 
-_KNOWN = 200_000
+_KNOWN = 400_000
+_FEW = 20_000
 _CHUNK = 256
 
 
@@ -41,75 +45,108 @@ class Vocabulary:
     """Ids, merges and byte strings of a byte-level BPE vocabulary in the tokenizers library's JSON format."""
 
     def __init__(self, source: str) -> None:
-        data = json.loads(source)
-        ids: dict[str, int] = data["model"]["vocab"]
-        to_byte = byte_symbols()
-        self.strings: dict[int, bytes] = {n: bytes(to_byte[c] for c in token) for token, n in ids.items()}
-        self.bytes = [0] * 256
-        for symbol, byte in to_byte.items():
-            self.bytes[byte] = ids[symbol]
-        self.merges: dict[tuple[int, int], tuple[int, int]] = {}
-        for rank, merge in enumerate(data["model"]["merges"]):
-            left, right = merge if isinstance(merge, list) else merge.split(" ")
-            self.merges.setdefault((ids[left], ids[right]), (rank, ids[left + right]))
-        self.special = {x["content"]: x["id"] for x in data.get("added_tokens", [])}
-        for content, n in self.special.items():
-            self.strings[n] = content.encode()
+        self.source = source
+        self.special = {x["content"]: x["id"] for x in json.loads(source).get("added_tokens", [])}
         self.pieces = regex.compile(PIECES)
         self.cut = regex.compile("|".join(f"({regex.escape(x)})" for x in sorted(self.special, key=len, reverse=True)) or r"(?!)")
         self._known: dict[str, bytes] = {}
+        self.words = WordIds(lambda words: [self._ids(f" {w}") for w in words], lambda texts: [self._ids(t) for t in texts], [], _KNOWN // 2)
+
+    @cached_property
+    def strings(self) -> dict[int, bytes]:
+        """The bytes of each id; only decoding needs them."""
+        to_byte = byte_symbols()
+        strings = {n: bytes(to_byte[c] for c in token) for token, n in json.loads(self.source)["model"]["vocab"].items()}
+        return strings | {n: content.encode() for content, n in self.special.items()}
+
+    @cached_property
+    def ranks(self) -> dict[tuple[int, int], int]:
+        """The rank of each pair of ids that merges; only encoding needs them."""
+        model = json.loads(self.source)["model"]
+        ids, ranks = model["vocab"], {}
+        for rank, merge in enumerate(model["merges"]):
+            left, right = merge if isinstance(merge, list) else merge.split(" ")
+            ranks.setdefault((ids[left], ids[right]), rank)
+        return ranks
+
+    @cached_property
+    def wholes(self) -> list[int]:
+        """The id that each rank makes."""
+        model = json.loads(self.source)["model"]
+        return [model["vocab"]["".join(m) if isinstance(m, list) else m.replace(" ", "", 1)] for m in model["merges"]]
+
+    @cached_property
+    def merges(self) -> dict[tuple[int, int], tuple[int, int]]:
+        """(rank, id of the whole) of each pair of ids that merges."""
+        return {pair: (rank, self.wholes[rank]) for pair, rank in self.ranks.items()}
+
+    @cached_property
+    def bytes(self) -> list[int]:
+        """The id of each byte."""
+        ids = json.loads(self.source)["model"]["vocab"]
+        return [ids[symbol] for symbol, _ in sorted(byte_symbols().items(), key=lambda x: x[1])]
 
     def merge(self, piece: str) -> list[int]:
-        """Ids of one piece."""
-        symbols = [self.bytes[b] for b in piece.encode("utf-8", "surrogatepass")]
-        n = len(symbols)
+        """Ids of one piece. An entry of the queue is a rank and a place; it is stale if the pair at this place has another rank."""
+        symbols = list(map(self.bytes.__getitem__, piece.encode("utf-8", "surrogatepass")))
+        n, find, wholes = len(symbols), self.ranks.get, self.wholes
+        shift = n.bit_length()
+        mask = (1 << shift) - 1
+        ranks = [*map(find, zip(symbols, symbols[1:])), None]
+        queue = [rank << shift | k for k, rank in enumerate(ranks) if rank is not None]
         before, after = list(range(-1, n - 1)), list(range(1, n + 1))
-        queue = []
-        for k in range(n - 1):
-            found = self.merges.get((symbols[k], symbols[k + 1]))
-            if found:
-                queue.append((found[0], k, symbols[k], symbols[k + 1], found[1]))
         heapq.heapify(queue)
         while queue:
-            _, k, left, right, whole = heapq.heappop(queue)
-            if symbols[k] != left or after[k] >= n or symbols[after[k]] != right:
+            entry = heapq.heappop(queue)
+            k = entry & mask
+            if ranks[k] != entry >> shift:
                 continue  # stale
             gone = after[k]
-            symbols[k], symbols[gone] = whole, -1
-            after[k] = after[gone]
-            if after[k] < n:
-                before[after[k]] = k
-                found = self.merges.get((whole, symbols[after[k]]))
-                if found:
-                    heapq.heappush(queue, (found[0], k, whole, symbols[after[k]], found[1]))
-            p = before[k]
-            if p >= 0:
-                found = self.merges.get((symbols[p], whole))
-                if found:
-                    heapq.heappush(queue, (found[0], p, symbols[p], whole, found[1]))
+            symbols[k] = whole = wholes[entry >> shift]
+            symbols[gone], ranks[gone], ranks[k] = -1, None, None
+            far = after[k] = after[gone]
+            if far < n:
+                before[far] = k
+                ranks[k] = rank = find((whole, symbols[far]))
+                if rank is not None:
+                    heapq.heappush(queue, rank << shift | k)
+            near = before[k]
+            if near >= 0:
+                ranks[near] = rank = find((symbols[near], whole))
+                if rank is not None:
+                    heapq.heappush(queue, rank << shift | near)
         return [s for s in symbols if s >= 0]
 
     def _piece(self, piece: str) -> bytes:
         """Ids of one piece as 32-bit numbers."""
-        ids = np.array(self.merge(piece), np.int32).tobytes()
+        ids = array("i", self.merge(piece)).tobytes()
         if len(piece) <= 64:
-            if len(self._known) >= _KNOWN:
+            if len(self._known) >= _FEW:
                 self._known.clear()
             self._known[piece] = ids
         return ids
 
+    def _ids(self, text: str) -> bytes:
+        """Ids of a text without special tokens."""
+        known, piece = self._known, self._piece
+        return b"".join([known.get(p) or piece(p) for p in self.pieces.findall(text)])
+
+    def encode_texts(self, texts: list[str]) -> list[np.ndarray]:
+        """Ids of texts; special tokens in them are taken as such."""
+        parts, owners = [], []
+        for k, text in enumerate(texts):
+            cut = self.cut.split(text) if any(s in text for s in self.special) else [text]
+            owners += [k] * len(cut)
+            parts += [p or "" for p in cut]
+        plain = iter(self.words.encode([p for p in parts if p not in self.special]))
+        found: list[list] = [[] for _ in texts]
+        for k, part in zip(owners, parts):
+            found[k].append(array("i", [self.special[part]]).tobytes() if part in self.special else next(plain))
+        return [np.frombuffer(b"".join(f), np.int32) for f in found]
+
     def encode(self, text: str) -> np.ndarray:
         """Ids of a text; special tokens in it are taken as such."""
-        known, piece = self._known, self._piece
-        out = []
-        for part in self.cut.split(text) if self.special else [text]:
-            if part is None or not part:
-                continue
-            if part in self.special:
-                out.append(np.int32(self.special[part]).tobytes())
-                continue
-            out += [known.get(p) or piece(p) for p in self.pieces.findall(part)]
-        return np.frombuffer(b"".join(out), np.int32)
+        return self.encode_texts([text])[0]
 
     def decode(self, ids: list[int]) -> str:
         """Vocabulary strings in a row; ids outside the vocabulary stand for nothing."""
@@ -144,7 +181,7 @@ def _encoder(shared, place: int, names: list[str]):
         for whole in batches:
             for first in range(0, whole.num_rows, _CHUNK):
                 batch = whole.slice(first, _CHUNK)
-                ids = [vocabulary.encode(t or "") for t in batch.column(place).to_pylist()]
+                ids = vocabulary.encode_texts([t or "" for t in batch.column(place).to_pylist()])
                 offsets = np.append(0, np.cumsum([len(x) for x in ids])).astype(np.int32)
                 lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(ids)))
                 yield pa.RecordBatch.from_arrays([*batch.columns, lists], names=names)

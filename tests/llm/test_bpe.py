@@ -77,3 +77,14 @@ def test_brute_force_merging():
             _, k = min(ranked)
             symbols[k : k + 2] = [OURS.merges[symbols[k], symbols[k + 1]][1]]
         assert OURS.merge(piece) == symbols
+
+
+def test_a_worker_holds_only_what_it_needs():
+    """Decoding builds no merges, encoding no strings."""
+    with open(PATH, encoding="utf-8") as file:
+        source = file.read()
+    one, other = bpe.Vocabulary(source), bpe.Vocabulary(source)
+    ids = other.encode("two words, two words").tolist()
+    assert one.decode(ids) == "two words, two words"
+    assert not {"merges", "ranks", "wholes"} & vars(one).keys()
+    assert "strings" not in vars(other)
