@@ -5,10 +5,14 @@ vocabulary. A text is split into pieces by the pre-tokenizer's pattern. In a pie
 doubly linked list, and a heap holds every adjacent pair that has a merge, lowest rank first, then leftmost; an
 entry whose symbols changed since it was pushed is stale and skipped. So a piece of n bytes takes
 n log n steps, however long it is. Words seen before by a worker come from a bounded table, see ``word_ids``.
+
+Short pieces that are new are merged together, see :class:`_Queues`: the lists and the queues of some thousand pieces are the rows of
+arrays. A place has one entry in its piece's queue, replaced when its symbols change, and a step takes the first entry of every queue.
 """
 
 from __future__ import annotations
 
+import gc
 import heapq
 import json
 from array import array
@@ -29,6 +33,9 @@ PIECES = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\
 _KNOWN = 400_000
 _FEW = 20_000
 _CHUNK = 256
+_NONE = np.int32((1 << 31) - 1)  # no entry in a queue
+_WIDTHS = (6, 8, 10, 12, 16, 24, 32, 64)  # bytes of pieces that are merged together
+_CELLS = 1 << 16  # places in one set of queues
 
 
 def byte_symbols() -> dict[str, int]:
@@ -41,6 +48,88 @@ def byte_symbols() -> dict[str, int]:
     return {chr(b): b for b in plain} | {chr(256 + k): b for k, b in enumerate(others)}
 
 
+class _Queues:
+    """Merges in many short pieces at once; ``ranks`` and ``wholes`` as in :class:`Vocabulary`, ``symbols`` the ids of the bytes."""
+
+    def __init__(self, ranks: dict[tuple[int, int], int], wholes: list[int], symbols: list[int]) -> None:
+        pairs = np.array(list(ranks), np.int64).reshape(-1, 2)
+        self.bits = max(8, (2 * len(pairs)).bit_length())
+        self.keys, self.ranks = np.full(1 << self.bits, -1, np.int64), np.full(1 << self.bits, _NONE, np.int32)
+        self.wholes, self.symbols = np.array(wholes, np.int32), np.array(symbols, np.int32)
+        # each pair goes to the first free slot from its own on
+        keys, values = pairs[:, 0] << 32 | pairs[:, 1], np.fromiter(ranks.values(), np.int32, len(pairs))
+        slots = self._slots(keys)
+        while len(keys):
+            free = np.flatnonzero(self.keys[slots] == -1)
+            taken = free[np.unique(slots[free], return_index=True)[1]]
+            self.keys[slots[taken]], self.ranks[slots[taken]] = keys[taken], values[taken]
+            rest = np.ones(len(keys), bool)
+            rest[taken] = False
+            keys, values, slots = keys[rest], values[rest], (slots[rest] + 1) & (len(self.keys) - 1)
+        self.first = self.find(np.repeat(self.symbols, 256), np.tile(self.symbols, 256)).reshape(256, 256)
+
+    def _slots(self, keys: np.ndarray) -> np.ndarray:
+        return (keys.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(64 - self.bits)).astype(np.int64)
+
+    def find(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """Ranks of pairs of ids; those of pairs that do not merge, or have an id below 0, are ``_NONE``."""
+        keys = left.astype(np.int64) << 32 | right
+        slots = self._slots(keys)
+        held, ranks = self.keys[slots], self.ranks[slots]
+        open_ = np.flatnonzero((held != keys) & (held != -1))
+        ranks[open_] = _NONE
+        while len(open_):
+            slots[open_] = (slots[open_] + 1) & (len(self.keys) - 1)
+            held = self.keys[slots[open_]]
+            same = held == keys[open_]
+            ranks[open_[same]] = self.ranks[slots[open_[same]]]
+            open_ = open_[~same & (held != -1)]
+        return ranks
+
+    def merge(self, pieces: list[bytes]) -> list[bytes]:
+        """Ids of pieces of at most ``_WIDTHS[-1]`` bytes, as 32-bit numbers."""
+        found = [b""] * len(pieces)
+        lengths = np.fromiter(map(len, pieces), np.int64, len(pieces))
+        group = np.searchsorted(_WIDTHS, lengths)
+        for k, width in enumerate(_WIDTHS):
+            rows = np.flatnonzero(group == k)
+            for first in range(0, len(rows), step := _CELLS // width):
+                own = rows[first : first + step]
+                texts = [pieces[r] for r in own.tolist()]
+                for r, ids in zip(own.tolist(), self._rows(texts, lengths[own], width)):
+                    found[r] = ids
+        return found
+
+    def _rows(self, texts: list[bytes], lengths: np.ndarray, width: int) -> list[bytes]:
+        """Places 1 to ``width`` of a row are a piece; those before and behind it have no symbol (-1) and never merge."""
+        n, span = len(texts), width + 2
+        data = np.frombuffer(b"".join([t.ljust(width, b"\0") for t in texts]), np.uint8).reshape(n, width)
+        symbols, ranks = np.full((n, span), -1, np.int32), np.full((n, span), _NONE, np.int32)
+        places = np.arange(width)
+        symbols[:, 1:-1] = np.where(places < lengths[:, None], self.symbols[data], -1)
+        ranks[:, 1:-2] = np.where(places[1:] < lengths[:, None], self.first[data[:, :-1], data[:, 1:]], _NONE)
+        at = np.arange(n * span)
+        after, before, queues = at + 1, at - 1, ranks  # places of all rows, counted through
+        symbol, rank, row = symbols.reshape(-1), ranks.reshape(-1), np.arange(n)
+        while len(row):
+            k = row * span + queues.argmin(axis=1)  # lowest rank, then leftmost
+            lowest = rank[k]
+            live = np.flatnonzero(lowest != _NONE)
+            if len(live) < len(row):
+                k, lowest, row = k[live], lowest[live], row[live]
+            gone = after[k]
+            far, near = after[gone], before[k]
+            whole = self.wholes[lowest]
+            symbol[k], symbol[gone], rank[gone] = whole, -1, _NONE
+            after[k], before[far] = far, k
+            rank[k] = self.find(whole, symbol[far])
+            rank[near] = self.find(symbol[near], whole)
+            queues = ranks if len(row) == n else ranks[row]
+        kept = symbols >= 0
+        ids, ends = symbols[kept].tobytes(), np.cumsum(kept.sum(axis=1)) * 4
+        return [ids[a:b] for a, b in zip([0, *ends[:-1].tolist()], ends.tolist())]
+
+
 class Vocabulary:
     """Ids, merges and byte strings of a byte-level BPE vocabulary in the tokenizers library's JSON format."""
 
@@ -50,7 +139,7 @@ class Vocabulary:
         self.pieces = regex.compile(PIECES)
         self.cut = regex.compile("|".join(f"({regex.escape(x)})" for x in sorted(self.special, key=len, reverse=True)) or r"(?!)")
         self._known: dict[str, bytes] = {}
-        self.words = WordIds(lambda words: [self._ids(f" {w}") for w in words], lambda texts: [self._ids(t) for t in texts], [], _KNOWN // 2)
+        self.words = WordIds(lambda words: self._ids([f" {w}" for w in words]), self._ids, [], _KNOWN // 2)
 
     @cached_property
     def strings(self) -> dict[int, bytes]:
@@ -117,19 +206,34 @@ class Vocabulary:
                     heapq.heappush(queue, rank << shift | near)
         return [s for s in symbols if s >= 0]
 
-    def _piece(self, piece: str) -> bytes:
-        """Ids of one piece as 32-bit numbers."""
-        ids = array("i", self.merge(piece)).tobytes()
-        if len(piece) <= 64:
-            if len(self._known) >= _FEW:
-                self._known.clear()
-            self._known[piece] = ids
-        return ids
-
-    def _ids(self, text: str) -> bytes:
-        """Ids of a text without special tokens."""
-        known, piece = self._known, self._piece
-        return b"".join([known.get(p) or piece(p) for p in self.pieces.findall(text)])
+    @cached_property
+    def queues(self) -> _Queues:
+        """Merges of many pieces at once."""
+        return _Queues(self.ranks, self.wholes, self.bytes)
+
+    def merge_all(self, pieces: list[str]) -> list[bytes]:
+        """Ids of pieces as 32-bit numbers: short ones are merged together, a long one by a queue of its own."""
+        data = [p.encode("utf-8", "surrogatepass") for p in pieces]
+        short = [k for k, d in enumerate(data) if len(d) <= _WIDTHS[-1]]
+        if len(short) < len(data):
+            found = [b"" if len(d) <= _WIDTHS[-1] else array("i", self.merge(p)).tobytes() for p, d in zip(pieces, data)]
+            for k, ids in zip(short, self.queues.merge([data[k] for k in short])):
+                found[k] = ids
+            return found
+        return self.queues.merge(data)
+
+    def _ids(self, texts: list[str]) -> list[bytes]:
+        """Ids of texts without special tokens."""
+        known = self._known
+        if len(known) > _FEW:
+            known.clear()
+        parts = list(map(self.pieces.findall, texts))
+        missing = list(set().union(*parts).difference(known))
+        known.update(zip(missing, self.merge_all(missing)))
+        found = [known[p[0]] if len(p) == 1 else b"".join([known[x] for x in p]) for p in parts]
+        if any(len(p) > _WIDTHS[-1] for p in missing):
+            known.clear()  # long ones are not kept
+        return found
 
     def encode_texts(self, texts: list[str]) -> list[np.ndarray]:
         """Ids of texts; special tokens in them are taken as such."""
@@ -178,13 +282,17 @@ def _load(shared) -> Vocabulary:
 def _encoder(shared, place: int, names: list[str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocabulary = _load(shared)
-        for whole in batches:
-            for first in range(0, whole.num_rows, _CHUNK):
-                batch = whole.slice(first, _CHUNK)
-                ids = vocabulary.encode_texts([t or "" for t in batch.column(place).to_pylist()])
-                offsets = np.append(0, np.cumsum([len(x) for x in ids])).astype(np.int32)
-                lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(ids)))
-                yield pa.RecordBatch.from_arrays([*batch.columns, lists], names=names)
+        gc.disable()  # words by the million, and no cycles
+        try:
+            for whole in batches:
+                for first in range(0, whole.num_rows, _CHUNK):
+                    batch = whole.slice(first, _CHUNK)
+                    ids = vocabulary.encode_texts([t or "" for t in batch.column(place).to_pylist()])
+                    offsets = np.append(0, np.cumsum([len(x) for x in ids])).astype(np.int32)
+                    lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(ids)))
+                    yield pa.RecordBatch.from_arrays([*batch.columns, lists], names=names)
+        finally:
+            gc.enable()
 
     return run
 

@@ -17,9 +17,11 @@ import re
 from collections.abc import Callable
 
 SHORT = 64
-_LETTER = "A-Za-zÀ-ÖØ-öø-ɏ"
-_PLAIN = re.compile(f"[\\x00-\\x7f{_LETTER}]*")
-_CUT = re.compile(f"(?<=[{_LETTER}])(?=[\\x00-@\\[-`{{-\\x7f])|(?<=\\n)(?=[{_LETTER}])|(?<=\\s)(?=\\n[{_LETTER}])")
+LATIN = "A-Za-zÀ-ÖØ-öø-ɏ"
+_PLAIN = re.compile(f"[\\x00-\\x7f{LATIN}]*")
+_CUT = re.compile(f"(?<=[{LATIN}])(?=[\\x00-@\\[-`{{-\\x7f])|(?<=\\n)(?=[{LATIN}])|(?<=\\s)(?=\\n[{LATIN}])")
+
+_MARK, _APART = "\x01", "\ue000"  # the latter is neither a letter nor white space
 
 
 class WordIds:
@@ -38,50 +40,63 @@ class WordIds:
         parts = [t.split(" ") for t in texts]
         if len(self.known) > self.half:
             self.older, self.known = self.known, {}
-        fresh = set().union(*parts).difference(self.known)
-        older = self.older
-        self.known.update((w, older[w]) for w in fresh if w in older)
-        self._learn([w for w in fresh if w and w not in older and len(w) <= SHORT and not w[-1].isspace()])
-        return [self._joined(p) for p in parts]
+        known, older = self.known, self.older
+        found = [list(map(known.get, words)) for words in parts]
+        gaps = [[k for k, ids in enumerate(f) if ids is None] for f in found]
+        fresh = {words[k] for words, places in zip(parts, gaps) for k in places}
+        back = older.keys() & fresh
+        known.update(zip(back, map(older.__getitem__, back)))
+        self._learn([w for w in fresh - back if w and len(w) <= SHORT and not w[-1].isspace()])
+        whole: list[str] = []
+        places = [self._fill(*text, whole) for text in zip(parts, found, gaps)]
+        ids = iter(self.whole(whole))
+        for f, own in zip(found, places):
+            for place in own:
+                f[place] = next(ids)
+        return [b"".join(f) for f in found]
 
     def _learn(self, words: list[str]) -> None:
         known, older = self.known, self.older
         heads = {w for w in words if w.isalpha()}
-        cut = {}
-        for word in words:
-            if word not in heads:
-                cut[word] = [word] if self.special.search(word) or not _PLAIN.fullmatch(word) else _CUT.split(word)
-        heads = heads.union([c[0] for c in cut.values()]).difference(known)
-        known.update((w, older[w]) for w in heads if w in older)
-        missing = list(heads.difference(known))
+        marked = [w for w in words if w not in heads]
+        cut = self._cut(marked)
+        heads.update([c[0] for c in cut])
+        heads -= known.keys()
+        back = older.keys() & heads
+        known.update(zip(back, map(older.__getitem__, back)))
+        missing = list(heads - back)
         known.update(zip(missing, self.spaced(missing)))
         if len(self.tails) > self.half // 4:
             self.tails.clear()
         tails = self.tails
-        missing = list({x for c in cut.values() for x in c[1:]}.difference(tails))
+        missing = list({x for c in cut for x in c[1:]}.difference(tails))
         tails.update(zip(missing, self.whole(missing)))
-        for word, (head, *rest) in cut.items():
+        for word, (head, *rest) in zip(marked, cut):
             if rest:
                 known[word] = b"".join([known[head], *map(tails.__getitem__, rest)])
 
-    def _joined(self, words: list[str]) -> bytes:
-        """Ids of a text that was split at its spaces."""
-        found: list[bytes | None] = list(map(self.known.get, words))
-        found[0] = None
+    def _cut(self, words: list[str]) -> list[list[str]]:
+        """The parts of words. Words that all may be cut are cut in one string."""
+        joined = _APART.join(words)
+        if _MARK not in joined and joined.count(_APART) == len(words) - 1 and _PLAIN.fullmatch(joined.replace(_APART, "")):
+            if not self.special.search(joined):
+                return [w.split(_MARK) for w in _CUT.sub(_MARK, joined).split(_APART)]
+        return [[w] if self.special.search(w) or not _PLAIN.fullmatch(w) else _CUT.split(w) for w in words]
+
+    def _fill(self, words: list[str], found: list[bytes | None], gaps: list[int], whole: list[str]) -> list[int]:
+        """Put known ids into the gaps of a split text. The parts of what remains go to ``whole``; their places are returned."""
+        for k in gaps:
+            found[k] = self.known.get(words[k])
         # the first word, long words, and words that end in white space with all up to the next that does not
-        whole, places, at = [], [], 0
-        while at < len(words):
-            try:
-                at = found.index(None, at)
-            except ValueError:
-                break
+        places, end = [], 0
+        for at in gaps if gaps[:1] == [0] else [0, *gaps]:
+            if at < end or (at and found[at] is not None):
+                continue
             last = at
             while last + 1 < len(words) and (not words[last] or words[last][-1].isspace()):
                 last += 1
             whole.append(" " * (at > 0) + " ".join(words[at : last + 1]))
             places.append(at)
-            found[at : last + 1] = [b""] * (last + 1 - at)
-            at = last + 1
-        for place, ids in zip(places, self.whole(whole)):
-            found[place] = ids
-        return b"".join(found)
+            end = last + 1
+            found[at:end] = [b""] * (end - at)
+        return places

@@ -88,3 +88,23 @@ def test_a_worker_holds_only_what_it_needs():
     assert one.decode(ids) == "two words, two words"
     assert not {"merges", "ranks", "wholes"} & vars(one).keys()
     assert "strings" not in vars(other)
+
+
+@settings(max_examples=100, deadline=None)
+@given(st.lists(st.text(alphabet="aehtionsr é'ñ", min_size=1, max_size=80), max_size=40))
+def test_pieces_merged_together(pieces):
+    """The rows of one set of queues give what a queue per piece gives."""
+    assert [list(memoryview(ids).cast("i")) for ids in OURS.merge_all(pieces)] == [OURS.merge(p) for p in pieces]
+
+
+def test_a_batch_meets_the_merges_at_once():
+    """What is new in a batch is worked out in three calls (words, their ends, the rest), however many texts it has."""
+    with open(PATH, encoding="utf-8") as file:
+        ours = bpe.Vocabulary(file.read())
+    calls, whole, spaced = [], ours.words.whole, ours.words.spaced
+    ours.words.whole = lambda texts: calls.append(len(texts)) or whole(texts)
+    ours.words.spaced = lambda words: calls.append(len(words)) or spaced(words)
+    texts = [f"Word{k} of text,\n\nno {k}  and on \n" for k in range(200)]
+    found = ours.encode_texts(texts)
+    assert len(calls) == 3
+    assert [f.tolist() for f in found] == [LIBRARY.encode(t, add_special_tokens=False).ids for t in texts]
