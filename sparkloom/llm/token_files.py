@@ -22,7 +22,9 @@ from __future__ import annotations
 import gc
 import json
 import os
+import re
 import struct
+from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -32,8 +34,9 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from tokenizers import Tokenizer
 
+from sparkloom.llm.bpe import byte_symbols
 from sparkloom.llm.common import require
-from sparkloom.llm.word_ids import WordIds
+from sparkloom.llm.word_ids import LATIN, WordIds
 from sparkloom.session import remove_path, stage_path
 
 _MAGIC = b"TKF1"
@@ -44,6 +47,10 @@ _BATCH_BYTES = 1 << 20
 _LENGTHS = (np.arange(256)[:, None] >> (2 * np.arange(4)) & 3).astype(np.uint8) + np.uint8(1)
 _MASKS = np.array([0xFF, 0xFFFF, 0xFFFFFF, 0xFFFFFFFF], np.uint32)
 
+# Words that are one piece behind a space, and the characters that stand for the bytes of their letters beyond ASCII.
+_LATIN = re.compile(f"[{LATIN}]+")
+_BYTE_SYMBOLS = {b: symbol for symbol, b in byte_symbols().items() if b >= 128}
+
 
 @dataclass(frozen=True)
 class Layout:
@@ -131,7 +138,7 @@ class Encoder:
     Tokenizers that are not byte-level get whole texts.
     """
 
-    KNOWN = 200_000  # words in each half of the table
+    KNOWN = 500_000  # words in each half of the table, of about 200 bytes each
 
     def __init__(self, source: str) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark deals out the cores
@@ -152,7 +159,19 @@ class Encoder:
         self.spaced = np.array([(self.library.id_to_token(k) or "").startswith("\u0120") for k in range(size)])  # the byte 0x20
 
     def spaced_ids(self, words: list[str]) -> list[bytes]:
-        """Ids of words without spaces, each after one: ids that start with a space begin the next word."""
+        """Ids of words without spaces, each after one. One of Latin letters is one piece, and goes to the library's model as such."""
+        found: dict[str, bytes] = {}
+        tokenize, special = self.library.model.tokenize, self.words.special
+        for word in words:
+            if _LATIN.fullmatch(word) and not special.search(word):
+                symbols = word if word.isascii() else word.encode().decode("latin-1").translate(_BYTE_SYMBOLS)
+                found[word] = array("I", [t.id for t in tokenize(f"\u0120{symbols}")]).tobytes()
+        others = [w for w in words if w not in found]
+        found.update(zip(others, self._joined_ids(others)))
+        return [found[w] for w in words]
+
+    def _joined_ids(self, words: list[str]) -> list[bytes]:
+        """The same for any words, from one text of many: ids that start with a space begin the next word."""
         found: list[bytes] = []
         for first in range(0, len(words), 10_000):
             some = words[first : first + 10_000]

@@ -163,3 +163,16 @@ def test_marks_do_not_make_new_words(tokenizer):
     for _ in range(5):
         assert [np.frombuffer(x, "<u4").tolist() for x in encoder.encode(texts)] == want
     assert asked.count("Wort") == 1
+
+
+def test_words_go_to_the_model_unless_they_hold_a_special_token():
+    """New words of Latin letters are no text for the library to take apart; one that holds a special token is."""
+    library = Tokenizer.from_file(PATH)
+    library.add_special_tokens(["PAD"])
+    encoder = token_files.Encoder(library.to_str())
+    texts = [f"first thention{k} éonai aPADb PAD niñez 中文 ﬁn ǅon" for k in range(20)] + ["a of thonre and anblewh"]
+    want = [library.encode(t, add_special_tokens=False).ids for t in texts]
+    sent, ids = [], encoder.library_ids
+    encoder.library_ids = encoder.words.whole = lambda some: sent.extend(some) or ids(some)
+    assert [np.frombuffer(found, "<u4").tolist() for found in encoder.encode(texts)] == want
+    assert not any("thonre" in s or "niñez" in s for s in sent)
