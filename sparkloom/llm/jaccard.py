@@ -1,7 +1,8 @@
 """Similarity join on word shingles: count vectors in a packed R-tree, bounded by summed minima.
 
 Every text is the set of its distinct shingles. The shingles are hashed into
-groups, and the counts of the groups make the text a point. Two texts can only be
+groups, more of them for a large set, and the counts of the groups make the text a point. Points of different lengths are compared
+by folding the longer one. Two texts can only be
 similar enough if the sum of their coordinate-wise minima reaches the overlap that
 the threshold asks for, and the same holds for the upper corners of two tree pages.
 
@@ -32,7 +33,8 @@ from sparkloom.llm.words import gram_hashes, mix, signed, word_slices
 from sparkloom.operators.ordering import running
 from sparkloom.session import cut, remove_path, stage, stage_path
 
-GROUPS = 128
+GROUPS = 128  # of a set of at most GROUPS * GROUP_LOAD shingles; larger ones have two, four, ... times as many
+GROUP_LOAD = 12
 PAGE_LOAD = 1 << 20
 POINT_LOAD = 64
 PAGE_TILE = 4  # with pages of at most 8 MB or a text, a tile holds 64 MB of sets
@@ -153,11 +155,25 @@ def _cells(shingles: np.ndarray, sizes: np.ndarray, rule: Similarity) -> tuple[n
     return (np.concatenate(places), np.concatenate(cells)) if places else (np.empty(0, np.int64), np.empty(0, np.uint64))
 
 
+def _groups(sizes: np.ndarray) -> np.ndarray:
+    """Number of groups of sets: with more shingles than ``GROUP_LOAD`` in a group, counts of unrelated sets would differ too little."""
+    limits = GROUPS * GROUP_LOAD << np.arange(5)  # 4096 groups at most, so that rows of a cell stay small
+    return GROUPS << np.searchsorted(limits, sizes)
+
+
 def _counts(shingles: np.ndarray, sizes: np.ndarray) -> list[bytes]:
     """The point of each set: counts of its groups, ``_FULL`` at most."""
-    slot = np.repeat(np.arange(len(sizes)) * GROUPS, sizes) + (mix(shingles) % np.uint64(GROUPS)).astype(np.int64)
-    counts = np.minimum(np.bincount(slot, minlength=len(sizes) * GROUPS), _FULL).astype(np.uint8)
-    return [row.tobytes() for row in counts.reshape(-1, GROUPS)]
+    groups = _groups(sizes)
+    ends = np.cumsum(groups)
+    slot = np.repeat(ends - groups, sizes) + (mix(shingles) & np.repeat(groups - 1, sizes).astype(np.uint64)).astype(np.int64)
+    counts = np.minimum(np.bincount(slot, minlength=int(groups.sum())), _FULL).astype(np.uint8).tobytes()
+    return [counts[a:b] for a, b in zip((ends - groups).tolist(), ends.tolist())]
+
+
+def _folded(point: bytes | np.ndarray, groups: int) -> np.ndarray:
+    """A point with fewer groups."""
+    counts = np.frombuffer(point, np.uint8)
+    return counts if len(counts) == groups else np.minimum(counts.reshape(-1, groups).sum(axis=0, dtype=np.int64), _FULL).astype(np.uint8)
 
 
 def _bounds(points: np.ndarray, point: np.ndarray) -> np.ndarray:
@@ -240,6 +256,66 @@ def _shared_cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
             )
 
 
+def _near(n: int, x: bytes, m: int, y: bytes, rule: Similarity) -> bool:
+    """Whether sets of these sizes and points can be linked."""
+    if min(n, m) * 100 < max(n, m) * rule.percent:
+        return False
+    groups = min(len(x), len(y))
+    return bool(_bounds(_folded(y, groups)[None, :], _folded(x, groups))[0] >= rule.overlap(n + m))
+
+
+def _pairs_apart(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows of shared cells, in order, with the cells of two sets turned into pairs (``set_hash``, ``other``).
+
+    Only the rows of the last cell are held, two at most.
+    """
+    names, large = ["cell", "block", "set_hash", "other"], None
+    held = (np.empty(0, np.int64), np.empty(0, np.int32), np.empty(0, np.int64))
+
+    def out(rows, two: np.ndarray, starts: np.ndarray, counts: np.ndarray) -> Iterator[pa.RecordBatch]:
+        cells, blocks, sets = rows
+        begin = starts[two]
+        if len(begin):
+            pairs = np.unique(np.stack([sets[begin], sets[begin + 1]]), axis=1)
+            blank = pa.nulls(pairs.shape[1])
+            yield pa.record_batch([blank.cast(pa.int64()), blank.cast(pa.int32()), pa.array(pairs[0]), pa.array(pairs[1])], names=names)
+        rest = ~np.repeat(two, counts)
+        if rest.any():
+            own = [pa.array(x[rest]) for x in (cells, blocks, sets)]
+            yield pa.record_batch([*own, pa.nulls(int(rest.sum()), pa.int64())], names=names)
+
+    for batch in batches:
+        rows = tuple(np.append(h, batch.column(k).to_numpy(zero_copy_only=False)) for k, h in enumerate(held))
+        if not len(rows[0]):
+            continue
+        starts = np.flatnonzero(np.append(True, rows[0][1:] != rows[0][:-1]))
+        counts = np.diff(np.append(starts, len(rows[0])))
+        two = (counts == 2) & (rows[0][starts] != large if large is not None else True)
+        last = rows[0][-1]
+        end = len(rows[0])
+        if counts[-1] <= 2 and last != large:
+            end = int(starts[-1])  # the next batch may have more of it
+            starts, counts, two = starts[:-1], counts[:-1], two[:-1]
+        else:
+            large = last
+        held = tuple(x[end:] for x in rows)
+        yield from out(tuple(x[:end] for x in rows), two, starts, counts)
+    if len(held[0]):
+        yield from out(held, np.array([len(held[0]) == 2]), np.array([0]), np.array([len(held[0])]))
+
+
+def _near_pairs(rule: Similarity):
+    """Rows (a, n, x, b, m, y) of two sets to the links that their points allow."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            a, n, x, b, m, y = (batch.column(k).to_pylist() for k in range(6))
+            kept = [k for k in range(len(a)) if _near(n[k], x[k], m[k], y[k], rule)]
+            yield batch.take(pa.array(kept, pa.int64())).select([0, 3])
+
+    return run
+
+
 def _bounded_links(rule: Similarity):
     """Rows (cell, p, q, n, set_hash, counts), in that order, to links that hang together what the bound can link."""
 
@@ -251,17 +327,18 @@ def _bounded_links(rule: Similarity):
             if (a, b) in seen or n * 100 < m * rule.percent:
                 return []
             seen.add((a, b))
-            near = _bounds(np.frombuffer(y, np.uint8)[None, :], np.frombuffer(x, np.uint8))[0] >= rule.overlap(n + m)
-            return [(a, b)] if near else []
+            return [(a, b)] if _near(n, x, m, y, rule) else []
         sizes, ids = np.array([r[0] for r in rows]), np.array([r[1] for r in rows])
-        points = np.frombuffer(b"".join(r[2] for r in rows), np.uint8).reshape(-1, GROUPS)
         labels = np.arange(len(rows))
+        first, points = 0, np.empty((0, 0), np.uint8)
         for x in range(len(rows)):
+            if len(rows[x][2]) != points.shape[1]:  # rows are in size order, so that points behind this one are as long or longer
+                first, points = x, np.stack([_folded(r[2], len(rows[x][2])) for r in rows[x:]])
             high = int(np.searchsorted(sizes, sizes[x] * 100 // rule.percent, side="right"))
             other = x + 1 + np.flatnonzero(labels[x + 1 : high] != labels[x])
             if not len(other):
                 continue
-            other = other[_bounds(points[other], points[x]) >= rule.overlap(sizes[other] + sizes[x])]
+            other = other[_bounds(points[other - first], points[x - first]) >= rule.overlap(sizes[other] + sizes[x])]
             for y in other.tolist():
                 if labels[y] != labels[x]:
                     pair = (int(ids[x]), int(ids[y]))
@@ -335,15 +412,25 @@ class _Page:
     @classmethod
     def of(cls, ids, sizes, counts: bytes, members: bytes, labels=None) -> "_Page":
         ids, sizes = np.asarray(ids, np.int64), np.asarray(sizes, np.int64)
-        every = np.frombuffer(members, np.uint64)
+        every, groups = np.frombuffer(members, np.uint64), _groups(sizes)
+        points = zip((np.cumsum(groups) - groups).tolist(), np.cumsum(groups).tolist())
         return cls(
             ids,
             sizes,
             ids.copy() if labels is None else np.array(labels, np.int64),
-            np.frombuffer(counts, np.uint8).reshape(-1, GROUPS),
+            np.stack([_folded(counts[a:b], groups.min()) for a, b in points]),
             np.split(every, np.cumsum(sizes)[:-1]),
         )
 
+    def folded(self, groups: int) -> np.ndarray:
+        """The points with fewer groups, a row each."""
+        return np.minimum(self.counts.reshape(len(self.ids), -1, groups).sum(axis=1, dtype=np.int64), _FULL).astype(np.uint8)
+
+    def corner(self) -> np.ndarray:
+        """Largest count of each of ``GROUPS`` groups; one that may stand for more is larger than any set."""
+        most = self.folded(GROUPS).max(axis=0).astype(np.int64)
+        return np.where(most == _FULL, 1 << 40, most)
+
 
 def _link_pages(page: _Page, other: _Page | None, rule: Similarity, labels: np.ndarray) -> list[tuple[int, int]]:
     """Verified links inside a page, or between two, that join what was not yet joined.
@@ -353,6 +440,8 @@ def _link_pages(page: _Page, other: _Page | None, rule: Similarity, labels: np.n
     """
     right = page if other is None else other
     links: list[tuple[int, int]] = []
+    groups = min(page.counts.shape[1], right.counts.shape[1])
+    points, far = page.folded(groups), right.folded(groups)
     for x in range(len(page.ids)):
         n = page.sizes[x]
         low = x + 1 if other is None else int(np.searchsorted(right.sizes, -(-n * rule.percent // 100), side="left"))
@@ -361,7 +450,7 @@ def _link_pages(page: _Page, other: _Page | None, rule: Similarity, labels: np.n
         if not len(near):
             continue
         need = rule.overlap(right.sizes[near] + n)
-        bound = _bounds(right.counts[near], page.counts[x])
+        bound = _bounds(far[near], points[x])
         for y, least in zip(near[bound >= need].tolist(), need[bound >= need].tolist()):
             if right.labels[y] == page.labels[x]:
                 continue
@@ -400,7 +489,7 @@ def _build_pages(rule: Similarity):
                     "page": key[1],
                     "low": int(page.sizes[0]),
                     "high": int(page.sizes[-1]),
-                    "corner": [1 << 40 if c == _FULL else c for c in page.counts.max(axis=0).tolist()],
+                    "corner": page.corner().tolist(),
                     "ids": page.ids.tobytes(),
                     "sizes": page.sizes.tobytes(),
                     "labels": page.labels.tobytes(),
@@ -437,14 +526,14 @@ def _compare_tiles(rule: Similarity):
             end = at + len(own) // 8
             page = _Page.of(ids[at:end], sizes[at:end], counts, members)
             page.labels = labels[at:end]  # a part of those of the tile, so that a link is known to all its pages
-            pages.append((place // PAGE_TILE, page, page.counts.max(axis=0).astype(np.int64)))
+            pages.append((place // PAGE_TILE, page, page.corner()))
             at = end
         links = []
         for x, (first, page, corner) in enumerate(pages):
             for second, other, far in pages[x + 1 :]:
                 if (first, second) != (p, q) or other.sizes[0] * rule.percent > page.sizes[-1] * 100:
                     continue
-                both = np.minimum(np.where(corner == _FULL, 1 << 40, corner), np.where(far == _FULL, 1 << 40, far)).sum()
+                both = np.minimum(corner, far).sum()
                 if both >= rule.overlap(int(page.sizes[0] + other.sizes[0])):
                     links += _link_pages(page, other, rule, labels)
         return links
@@ -481,7 +570,13 @@ def _families(texts: DataFrame, points: DataFrame, rule: Similarity) -> DataFram
     cells = texts.select("_text").mapInArrow(_cells_of(rule), "cell long, set_hash long")
     dealt = cells.repartition("cell").sortWithinPartitions("cell", "set_hash")
     path = stage_path(texts.sparkSession, "cells")
-    shared = stage(dealt.mapInArrow(_shared_cells, "cell long, block int, set_hash long"), "cells", path)
+    met = dealt.mapInArrow(_shared_cells, "cell long, block int, set_hash long")
+    found = stage(met.mapInArrow(_pairs_apart, "cell long, block int, set_hash long, other long"), "cells", path)
+    # most cells have two sets, and most pairs meet in many cells: a pair meets its points once
+    pairs = found.filter("other IS NOT NULL").select(F.col("set_hash").alias("a"), F.col("other").alias("b")).distinct()
+    left, right = (points.select(F.col("set_hash").alias(key), F.col("n").alias(n), F.col("counts").alias(c)) for key, n, c in ("anx", "bmy"))
+    twos = pairs.join(left, "a").join(right, "b").select("a", "n", "x", "b", "m", "y").mapInArrow(_near_pairs(rule), _LINK_FIELDS)
+    shared = found.filter("other IS NULL").drop("other")
     large = shared.filter("block > 0").groupBy("cell").agg((F.max("block") + 1).alias("blocks"))
     # each block of a large cell meets every other one
     met = shared.join(large, "cell", "left").withColumn(
@@ -490,7 +585,7 @@ def _families(texts: DataFrame, points: DataFrame, rule: Similarity) -> DataFram
     paired = met.select("cell", F.least("block", "other").alias("p"), F.greatest("block", "other").alias("q"), "set_hash")
     order = ["cell", "p", "q", "n", "set_hash", "counts"]
     grouped = paired.join(points, "set_hash").select(*order).repartition("cell", "p", "q").sortWithinPartitions(*order[:5])
-    families = connected_components(grouped.mapInArrow(_bounded_links(rule), _LINK_FIELDS))
+    families = connected_components(grouped.mapInArrow(_bounded_links(rule), _LINK_FIELDS).unionByName(twos))
     remove_path(texts.sparkSession, path)  # components are checkpointed
     return families
 

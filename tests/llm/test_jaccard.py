@@ -1,7 +1,10 @@
 import random
 
 import brute
+import numpy as np
+import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from sparkloom.llm import jaccard
 from sparkloom.llm.graph import connected_components
@@ -94,3 +97,51 @@ def test_components_of_a_long_path_and_a_hub(spark):
     edges = [(k, k + 1) for k in range(100, 160)] + [(5, k) for k in range(1000, 1200)] + [(7, 7)]
     got = {r.node: r.root for r in connected_components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert got == {k: 100 for k in range(100, 161)} | {5: 5} | {k: 5 for k in range(1000, 1200)}
+
+
+def test_long_texts_that_share_a_passage_are_no_family(spark):
+    """Their counts tell them apart, so that long texts do not hang together and are never compared in pages."""
+    draw = random.Random(5)
+    shared = " ".join(f"p{draw.randrange(10**6)}" for _ in range(300))
+    texts = [" ".join(f"w{draw.randrange(10**6)}" for _ in range(4000)) + " " + shared for _ in range(12)]
+    texts.append(texts[0].replace("w", "w", 1) + " end")
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    rule = jaccard.Similarity(words=5, percent=80)
+    sets = jaccard.text_sets(docs, rule)
+    points = sets.select("set_hash", "n", "counts")
+    families = jaccard._families(docs.select(F.col("doc_id").alias("_id"), F.col("text").alias("_text")), points, rule)
+    hashes = {r._id: r.set_hash for r in sets.collect()}
+    assert {r.node for r in families.collect()} == {hashes[0], hashes[12]}
+
+
+def test_folded_points_bound_the_overlap():
+    """Whatever the sizes, the bound is never below the true overlap."""
+    draw = np.random.RandomState(3)
+    for n, m, common in ((1500, 1600, 1450), (5000, 6100, 4900), (3000, 3100, 10), (60_000, 70_000, 60_000), (900_000, 1_000_000, 890_000)):
+        every = np.unique(draw.randint(0, 1 << 62, n + m, dtype=np.uint64))
+        one, other = every[:n], every[n - common : n - common + m]
+        x, y = jaccard._counts(one, np.array([len(one)]))[0], jaccard._counts(other, np.array([len(other)]))[0]
+        groups = min(len(x), len(y))
+        bound = jaccard._bounds(jaccard._folded(y, groups)[None, :], jaccard._folded(x, groups))[0]
+        assert bound >= len(np.intersect1d(one, other))
+
+
+@pytest.mark.parametrize("size", [1, 2, 3, 7, 100])
+def test_cells_of_two_become_pairs(size):
+    """Whatever the batches, a cell of two is a pair, and a larger one keeps its rows."""
+    draw = random.Random(size)
+    rows = sorted({(c, draw.randrange(50)) for c in range(40) for _ in range(draw.choice([2, 2, 2, 3, 9]))})
+    of: dict = {}
+    for c, s in rows:
+        of.setdefault(c, []).append(s)
+    rows = [(c, s) for c, s in rows if len(of[c]) > 1]
+    batches = [
+        pa.record_batch(
+            [pa.array([c for c, _ in part], pa.int64()), pa.array([0] * len(part), pa.int32()), pa.array([s for _, s in part], pa.int64())],
+            names=["cell", "block", "set_hash"],
+        )
+        for part in (rows[k : k + size] for k in range(0, len(rows), size))
+    ]
+    out = [r for b in jaccard._pairs_apart(iter(batches)) for r in b.to_pylist()]
+    assert {(r["set_hash"], r["other"]) for r in out if r["other"] is not None} == {tuple(v) for v in of.values() if len(v) == 2}
+    assert [(r["cell"], r["set_hash"]) for r in out if r["other"] is None] == [(c, s) for c, s in rows if len(of[c]) > 2]
