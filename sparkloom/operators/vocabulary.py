@@ -2,7 +2,7 @@
 
 A vocabulary is a folder of versions. A new version holds the tokens that no earlier one has, numbered behind them in the order of
 the tokens, so texts encoded with an old version stay valid. Rows of tokens are encoded in blocks of bounded size: a block's
-distinct tokens are looked up, and its rows meet these by one exchange; no row per token is ever made.
+distinct tokens are numbered and looked up, and its rows, which hold these numbers, meet them by one exchange; no row per token is ever made.
 """
 
 from __future__ import annotations
@@ -15,7 +15,7 @@ import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
-from sparkloom.operators.lookups import BROADCAST_BYTES, split_join
+from sparkloom.operators.lookups import BROADCAST_BYTES
 from sparkloom.operators.ordering import with_global_index
 from sparkloom.session import stage
 from sparkloom.sources.corpus import path_exists
@@ -84,17 +84,56 @@ def _blocked(place: int, names: list[str], block_bytes: int):
     return run
 
 
-def _replaced(column: str, out: str, key: str, value: str, kind: pa.DataType):
-    """Rows of a block and its dictionary to the rows with each entry of an array replaced; unknown entries are null."""
+def _coded(place: int, names: list[str], kind: pa.DataType):
+    """Rows with their block, in order, to rows whose column holds codes, numbers of the block's distinct entries.
+
+    The entries of a block are a row of their own, with nothing else than ``_block`` and ``_entries``.
+    """
+
+    def close(rows: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        columns = [pa.concat_arrays([r.column(k) for r in rows]) for k in range(rows[0].num_columns)]
+        lists, n = columns[place], len(columns[0])
+        coded = lists.flatten().dictionary_encode()
+        lengths = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False)
+        offsets = np.append(0, np.cumsum(lengths)).astype(np.int32)
+        columns[place] = pa.ListArray.from_arrays(pa.array(offsets), coded.indices, mask=lists.is_null())
+        yield pa.RecordBatch.from_arrays([*columns, pa.nulls(n, pa.list_(kind))], names=names)
+        entries = pa.ListArray.from_arrays(pa.array([0, len(coded.dictionary)], pa.int32()), coded.dictionary.cast(kind))
+        yield pa.RecordBatch.from_arrays([*[pa.nulls(1, c.type) for c in columns[:-1]], columns[-1].slice(0, 1), entries], names=names)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        block, rows = None, []
+        for batch in batches:
+            blocks = batch.column(batch.num_columns - 1).to_numpy()
+            starts = np.flatnonzero(np.append(True, blocks[1:] != blocks[:-1])) if len(blocks) else []
+            for first, last in zip(starts, [*starts[1:], len(blocks)]):
+                if blocks[first] != block and rows:
+                    yield from close(rows)
+                    rows = []
+                block = blocks[first]
+                rows.append(batch.slice(first, last - first))
+        if rows:
+            yield from close(rows)
+
+    return run
+
+
+def _replaced(column: str, out: str, value: str, kind: pa.DataType):
+    """Rows of a block and its entries to the rows with each code replaced; unknown entries are null."""
 
     def run(rows: pa.Table, known: pa.Table) -> pa.Table:
         lists = rows.column(column).combine_chunks()
         lists = lists if isinstance(lists, pa.Array) else pa.concat_arrays(lists.chunks)
         lengths = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False)
         offsets = np.append(0, np.cumsum(lengths)).astype(np.int32)
-        flat = lists.flatten()
-        places = pc.index_in(flat, value_set=known.column(key).combine_chunks(), skip_nulls=True)
-        found = pc.take(known.column(value).combine_chunks().cast(kind), places)
+        codes = pc.fill_null(lists.flatten(), -1).to_numpy(zero_copy_only=False)
+        numbers = known.column("_code").to_numpy()
+        spots = np.full(max(codes.max(initial=-1), numbers.max(initial=-1)) + 2, -1)  # the last one is for code -1
+        spots[numbers] = np.arange(len(numbers))
+        places = spots[codes]
+        values = known.column(value).combine_chunks().cast(kind)
+        found = pc.take(values, pa.array(places, mask=places < 0))
+        found = found if isinstance(found, pa.Array) else pa.concat_arrays(found.chunks)
         made = pa.ListArray.from_arrays(pa.array(offsets), found, mask=lists.is_null())
         kept = rows.drop_columns([column, "_block"])
         return kept.append_column(out, made)
@@ -103,26 +142,34 @@ def _replaced(column: str, out: str, key: str, value: str, kind: pa.DataType):
 
 
 def _looked_up(entries: DataFrame, table: DataFrame, key: str) -> DataFrame:
-    """Left join with a vocabulary: tokens and ids are unique, so only its size is measured before a broadcast."""
+    """Left join with a vocabulary: tokens and ids are unique, so only its size is measured before a broadcast.
+
+    A block has an entry once, so the rows of a key are no more than the blocks, and a shuffle needs no care for hot keys.
+    """
     size = table.agg(F.sum(F.octet_length("token") + 16)).first()[0] or 0
     if size <= BROADCAST_BYTES:
         return entries.join(F.broadcast(table), key, "left")
-    return split_join(entries, table, key)
+    return entries.join(table, key, "left")
 
 
 def _translate(rows: DataFrame, table: DataFrame, column: str, out: str, key: str, value: str, block_bytes: int) -> DataFrame:
     """Replace the entries of an array column by a table of one row per key."""
-    schema = T.StructType([*rows.schema.fields, T.StructField("_block", T.LongType())])
-    blocked = stage(rows.mapInArrow(_blocked(rows.columns.index(column), schema.names, block_bytes), schema), "blocks")
-    entries = blocked.select(F.col("_block").alias("_of"), F.explode(F.array_distinct(column)).alias(key)).filter(F.col(key).isNotNull()).distinct()
+    place, kept = rows.columns.index(column), rows.schema[column].dataType
+    fields = [T.StructField(f.name, T.ArrayType(T.IntegerType()) if f.name == column else f.dataType) for f in rows.schema.fields]
+    schema = T.StructType([*fields, T.StructField("_block", T.LongType()), T.StructField("_entries", kept)])
+    number = _blocked(place, schema.names[:-1], block_bytes)
+    code = _coded(place, schema.names, pa.string() if isinstance(kept.elementType, T.StringType) else pa.int64())
+    blocked = stage(rows.mapInArrow(lambda batches: code(number(batches)), schema), "blocks")
+    whole = blocked.filter("_entries IS NOT NULL").select(F.col("_block").alias("_of"), F.posexplode("_entries").alias("_code", key))
+    entries = whole.filter(F.col(key).isNotNull())
     known = _looked_up(entries, table.select("token", "id"), key).filter(F.col(value).isNotNull())
     kind = table.schema[value].dataType
     result = T.StructType([*[f for f in rows.schema.fields if f.name != column], T.StructField(out, T.ArrayType(kind))])
     arrow = pa.string() if isinstance(kind, T.StringType) else pa.int64()
     made = (
-        blocked.groupBy("_block")
-        .cogroup(known.groupBy("_of"))
-        .applyInArrow(_replaced(column, out, key, value, arrow), result)
+        blocked.filter("_entries IS NULL").drop("_entries").groupBy("_block")
+        .cogroup(known.select("_of", "_code", value).groupBy("_of"))
+        .applyInArrow(_replaced(column, out, value, arrow), result)
     )
     return made
 

@@ -2,6 +2,7 @@
 
 import random
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -102,3 +103,25 @@ def test_hot_block_is_split(spark):
     blocked = rows.mapInArrow(vb._blocked(1, [*rows.columns, "_block"], 2000), schema)
     sizes = blocked.groupBy("_block").agg(F.count("*").alias("n")).collect()
     assert len(sizes) > 10 and max(r.n for r in sizes) < 100
+
+
+def test_rows_hold_numbers_of_entries(spark):
+    """What is staged and exchanged of a row are numbers; each distinct token of a block stands there once."""
+    rows = frame(spark, [(k, ["w", "v", None, f"t{k // 10}"]) for k in range(100)] + [(100, None), (101, [])])
+    names = [*rows.columns, "_block", "_entries"]
+    number, code = vb._blocked(1, names[:-1], 400), vb._coded(1, names, pa.string())
+    schema = "doc_id long, tokens array<int>, id string, token string, _block long, _entries array<string>"
+    out = rows.mapInArrow(lambda batches: code(number(batches)), schema).collect()
+    entries = {r._block: r._entries for r in out if r._entries is not None}
+    assert len(entries) > 3 and all(len(set(e)) == len(e) for e in entries.values())
+    back = {r.doc_id: r.tokens and [None if c is None else entries[r._block][c] for c in r.tokens] for r in out if r._entries is None}
+    assert back == {r.doc_id: r.tokens for r in rows.collect()}
+
+
+def test_a_large_vocabulary_takes_one_join(spark, tmp_path, monkeypatch):
+    """A block has an entry once, so that entries are joined as they are, without a count of their keys."""
+    path, docs = str(tmp_path / "v"), frame(spark, words(5, 20, 30))
+    vb.append_tokens(docs, path)
+    monkeypatch.setattr(vb, "BROADCAST_BYTES", 0)
+    plan = vb.encode(docs, vb.read_vocabulary(spark, path))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Join ") == 1 and "Union" not in plan
