@@ -46,8 +46,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def encode_texts(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of every text, with digests of the ids and of the text they decode to."""
     shared = bpe.read_vocabulary(spark, public_tokenizers.path(TOKENIZER))
-    ids = bpe.encode(docs.select("doc_id", "lang", "source", "text"), shared).drop("text")
-    return bpe.decode(ids, shared).select(
+    return bpe.round_trip(docs.select("doc_id", "lang", "source", "text"), shared).select(
         "doc_id",
         "lang",
         "source",

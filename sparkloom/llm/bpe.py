@@ -336,6 +336,27 @@ def decode(rows: DataFrame, shared, ids: str = "ids", text: str = "decoded") ->
     return out if name == ids else out.drop(name)
 
 
+def round_trip(docs: DataFrame, shared, text: str = "text", ids: str = "ids", decoded: str = "decoded") -> DataFrame:
+    """``docs`` without ``text``, with its ids and the text that :func:`decode` makes of them.
+
+    Both steps run in one Python worker: as operators of their own they would hold two for each core, with a vocabulary in
+    each, and every id would cross twice. What :func:`encode` defines holds here; a null text has no ids, and decodes to an empty one.
+    """
+    require(docs, text)
+    if len({text, ids, decoded}) < 3:
+        raise ValueError("text, ids and decoded need names of their own")
+    rows = docs.drop(ids, decoded)
+    place, kept = rows.columns.index(text), [f for f in rows.schema.fields if f.name != text]
+    schema = T.StructType([*kept, T.StructField(ids, T.ArrayType(T.IntegerType())), T.StructField(decoded, T.StringType())])
+    encoder, decoder = _encoder(shared, place, [*rows.columns, ids]), _decoder(shared, len(kept), schema.names)
+    bare = [k for k in range(len(rows.columns) + 1) if k != place]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return decoder(batch.select(bare) for batch in encoder(batches))
+
+    return rows.mapInArrow(run, schema)
+
+
 def _without(df: DataFrame, output: str, source: str) -> tuple[DataFrame, str]:
     """``df`` without a column that the output replaces; the input keeps a name."""
     if output not in df.columns:

@@ -34,9 +34,7 @@ def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token ids of every document, and the text they decode to."""
     shared = bpe.read_vocabulary(spark, public_tokenizers.path(TOKENIZER))
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    ids = bpe.encode(docs, shared).drop("text")
-    back = bpe.decode(ids, shared)
-    return back.select(
+    return bpe.round_trip(docs, shared).select(
         "doc_id",
         F.size("ids").cast("long").alias("n_tokens"),
         bpe.ids_digest().alias("ids_sha256"),

@@ -304,6 +304,11 @@ def _pairs_apart(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from out(held, np.array([len(held[0]) == 2]), np.array([0]), np.array([len(held[0])]))
 
 
+def _shared_and_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Both steps in one Python worker: as operators of their own they would hold two for each core."""
+    return _pairs_apart(_shared_cells(batches))
+
+
 def _near_pairs(rule: Similarity):
     """Rows (a, n, x, b, m, y) of two sets to the links that their points allow."""
 
@@ -570,8 +575,7 @@ def _families(texts: DataFrame, points: DataFrame, rule: Similarity) -> DataFram
     cells = texts.select("_text").mapInArrow(_cells_of(rule), "cell long, set_hash long")
     dealt = cells.repartition("cell").sortWithinPartitions("cell", "set_hash")
     path = stage_path(texts.sparkSession, "cells")
-    met = dealt.mapInArrow(_shared_cells, "cell long, block int, set_hash long")
-    found = stage(met.mapInArrow(_pairs_apart, "cell long, block int, set_hash long, other long"), "cells", path)
+    found = stage(dealt.mapInArrow(_shared_and_pairs, "cell long, block int, set_hash long, other long"), "cells", path)
     # most cells have two sets, and most pairs meet in many cells: a pair meets its points once
     pairs = found.filter("other IS NOT NULL").select(F.col("set_hash").alias("a"), F.col("other").alias("b")).distinct()
     left, right = (points.select(F.col("set_hash").alias(key), F.col("n").alias(n), F.col("counts").alias(c)) for key, n, c in ("anx", "bmy"))

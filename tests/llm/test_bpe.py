@@ -1,7 +1,9 @@
 import brute
+import corpus_pipeline
 import public_tokenizers
 import pytest
 from hypothesis import given, settings, strategies as st
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from sparkloom.llm import bpe
@@ -108,3 +110,16 @@ def test_a_batch_meets_the_merges_at_once():
     found = ours.encode_texts(texts)
     assert len(calls) == 3
     assert [f.tolist() for f in found] == [LIBRARY.encode(t, add_special_tokens=False).ids for t in texts]
+
+
+def test_round_trip_holds_one_worker_for_each_core(spark, edge, empty):
+    """Encoding and decoding are one operator of Python; two in a row keep two workers for each core."""
+    shared = bpe.read_vocabulary(spark, PATH)
+    found = bpe.round_trip(edge.withColumn("ids", F.lit("old")), shared)
+    assert found.columns == [c for c in edge.columns if c not in ("text", "ids", "decoded")] + ["ids", "decoded"]
+    assert str(found._jdf.queryExecution().executedPlan()).count("MapInArrow") == 1
+    want = bpe.decode(bpe.encode(edge, shared).drop("text"), shared)
+    assert brute.plain_order(found.select("doc_id", "ids", "decoded").collect()) == brute.plain_order(want.select("doc_id", "ids", "decoded").collect())
+    assert bpe.round_trip(empty, shared).count() == 0
+    plan = corpus_pipeline.encode_texts(spark, edge, "")._jdf.queryExecution().executedPlan()
+    assert str(plan).count("MapInArrow") == 1

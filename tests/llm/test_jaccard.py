@@ -145,3 +145,17 @@ def test_cells_of_two_become_pairs(size):
     out = [r for b in jaccard._pairs_apart(iter(batches)) for r in b.to_pylist()]
     assert {(r["set_hash"], r["other"]) for r in out if r["other"] is not None} == {tuple(v) for v in of.values() if len(v) == 2}
     assert [(r["cell"], r["set_hash"]) for r in out if r["other"] is None] == [(c, s) for c, s in rows if len(of[c]) > 2]
+
+
+def test_one_python_worker_for_each_core(edge, monkeypatch):
+    """No two operators of Python stand in one stage, where each holds a worker of its own for every core."""
+    plans, whole = {}, jaccard.stage
+
+    def noted(df, name, path=None):
+        plans[name] = df._jdf.queryExecution().executedPlan().toString()
+        return whole(df, name, path)
+
+    monkeypatch.setattr(jaccard, "stage", noted)
+    assert found(edge, RULES[1])
+    assert plans["cells"].count("MapInArrow") == 2 and "Exchange" in plans["cells"]
+    assert all(plan.count("MapInArrow") <= 1 + plan.count("Exchange") for plan in plans.values())
