@@ -138,7 +138,7 @@ class Encoder:
     Tokenizers that are not byte-level get whole texts.
     """
 
-    KNOWN = 500_000  # words in each half of the table, of about 200 bytes each
+    KNOWN = 800_000  # words that one generation may touch, of about 90 bytes each
 
     def __init__(self, source: str) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark deals out the cores
@@ -160,12 +160,18 @@ class Encoder:
 
     def spaced_ids(self, words: list[str]) -> list[bytes]:
         """Ids of words without spaces, each after one. One of Latin letters is one piece, and goes to the library's model as such."""
-        found: dict[str, bytes] = {}
         tokenize, special = self.library.model.tokenize, self.words.special
-        for word in words:
-            if _LATIN.fullmatch(word) and not special.search(word):
-                symbols = word if word.isascii() else word.encode().decode("latin-1").translate(_BYTE_SYMBOLS)
-                found[word] = array("I", [t.id for t in tokenize(f"\u0120{symbols}")]).tobytes()
+        latin = [w for w in words if (w.isalpha() if w.isascii() else _LATIN.fullmatch(w))]
+        if special.search("\n".join(latin)):
+            latin = [w for w in latin if not special.search(w)]
+        ids: list[int] = []
+        ends = [0]
+        for word in latin:
+            symbols = word if word.isascii() else word.encode().decode("latin-1").translate(_BYTE_SYMBOLS)
+            ids += [t.id for t in tokenize(f"\u0120{symbols}")]
+            ends.append(4 * len(ids))
+        data = array("I", ids).tobytes()
+        found = dict(zip(latin, [data[a:b] for a, b in zip(ends, ends[1:])]))
         others = [w for w in words if w not in found]
         found.update(zip(others, self._joined_ids(others)))
         return [found[w] for w in words]

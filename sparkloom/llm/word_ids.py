@@ -1,8 +1,9 @@
 """Token ids of whole texts from those of their words, each word of a worker worked out once.
 
 A byte-level pre-tokenizer never joins a visible character with the space after it. So a text can be cut before each
-space that follows a visible character, and its ids are those of its parts. Short parts are looked up, each after a space, in
-a table of two halves: when the newer one is full it takes the place of the older one, from which words come back as they occur. So
+space that follows a visible character, and its ids are those of its parts. Short parts are looked up, each after a space, all
+words of a batch at once, in a table that is rows of arrays (:class:`_Table`); no word is an object of its own unless it is new.
+Words used neither in this generation nor the one before are forgotten when one has touched as many as it may. So
 frequent words stay, from task to task, and the table is bounded.
 
 A new word is cut again, since words with marks and line ends are many, and what they are made of is not. No piece of the
@@ -16,14 +17,119 @@ from __future__ import annotations
 import re
 from collections.abc import Callable
 
+import numpy as np
+
 SHORT = 64
 LATIN = "A-Za-zÀ-ÖØ-öø-ɏ"
 _PLAIN = re.compile(f"[\\x00-\\x7f{LATIN}]*")
 _CUT = re.compile(f"(?<=[{LATIN}])(?=[\\x00-@\\[-`{{-\\x7f])|(?<=\\n)(?=[{LATIN}])|(?<=\\s)(?=\\n[{LATIN}])")
 
+_KEY = 3  # 64-bit numbers that hold a word's bytes and, in the last byte, its length
+_WIDTH = 8 * _KEY - 1
+_BYTES = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)  # the first bytes of a number
+_SPREAD = np.array([0x9E3779B97F4A7C15, 0xD1342543DE82EF95, 0xBF58476D1CE4E5B9], np.uint64)
+
 _MARK, _APART = "\x01", "\ue000"  # the latter is neither a letter nor white space
 
 
+def _keys(data: bytes, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """The keys of the words at these places, equal only for equal words. ``data`` ends in spare bytes, a key's length; no word is over ``_WIDTH``."""
+    numbers = np.ndarray((len(data) - 7,), "<u8", data, strides=(1,))
+    keys = np.empty((len(starts), _KEY), np.uint64)
+    for k in range(_KEY):
+        keys[:, k] = numbers[starts + 8 * k] & _BYTES[np.clip(lengths - 8 * k, 0, 8)]
+    keys[:, -1] |= lengths.astype(np.uint64) << np.uint64(56)
+    return keys
+
+
+def _keys_of(words: list[str]) -> np.ndarray:
+    data = [w.encode("utf-8", "surrogatepass") for w in words]
+    lengths = np.fromiter(map(len, data), np.int64, len(data))
+    return _keys(b"".join([*data, bytes(8 * _KEY)]), np.cumsum(lengths) - lengths, lengths)
+
+
+class _Table:
+    """Ids by key: open addressing to numbers of entries, which stand in the order they came; their ids lie in one pool."""
+
+    def __init__(self) -> None:
+        self.n = self.held = self.now = 0
+        self.keys, self.slots = np.zeros((1024, _KEY), np.uint64), np.full(4096, -1, np.int32)
+        self.starts, self.counts, self.used = (np.zeros(1024, kind) for kind in (np.int64, np.int32, np.int32))
+        self.pool = np.zeros(4096, np.uint32)
+
+    def _homes(self, keys: np.ndarray) -> np.ndarray:
+        mixed = keys[:, 0] * _SPREAD[0]
+        for k in range(1, _KEY):
+            mixed = ((mixed >> np.uint64(32)) ^ mixed ^ keys[:, k]) * _SPREAD[k]
+        mixed ^= mixed >> np.uint64(29)
+        return (mixed * _SPREAD[0] >> np.uint64(65 - len(self.slots).bit_length())).astype(np.int64)
+
+    def find(self, keys: np.ndarray) -> np.ndarray:
+        """The entry of each key, -1 if there is none."""
+        slots = self._homes(keys)
+        found = self.slots[slots]
+        rows = np.arange(len(keys))
+        while len(rows):
+            own = found[rows]
+            rows = rows[(own >= 0) & (self.keys[own] != keys[rows]).any(axis=1)]
+            slots[rows] = (slots[rows] + 1) & (len(self.slots) - 1)
+            found[rows] = self.slots[slots[rows]]
+        return found
+
+    def _place(self, first: int) -> None:
+        """Entries from this one on take the first free slots from their own on."""
+        entries = np.arange(first, self.n, dtype=np.int32)
+        slots = self._homes(self.keys[first : self.n])
+        while len(entries):
+            free = np.flatnonzero(self.slots[slots] < 0)
+            taken = free[np.unique(slots[free], return_index=True)[1]]
+            self.slots[slots[taken]] = entries[taken]
+            rest = np.ones(len(entries), bool)
+            rest[taken] = False
+            entries, slots = entries[rest], (slots[rest] + 1) & (len(self.slots) - 1)
+
+    def room(self, ids: int) -> None:
+        """Room in the pool behind what is held."""
+        if self.held + ids > len(self.pool):
+            self.pool = np.append(self.pool, np.zeros(max(ids, len(self.pool) // 2), np.uint32))
+
+    def add(self, keys: np.ndarray, ids: list[bytes]) -> None:
+        """Keys that are not there yet, and different."""
+        first, self.n = self.n, self.n + len(keys)
+        if self.n > len(self.keys):
+            more = max(len(keys), len(self.keys) // 2)
+            self.keys = np.append(self.keys, np.zeros((more, _KEY), np.uint64), axis=0)
+            self.starts, self.counts, self.used = (np.append(x, np.zeros(more, x.dtype)) for x in (self.starts, self.counts, self.used))
+        own, counts = np.frombuffer(b"".join(ids), "<u4"), np.fromiter(map(len, ids), np.int64, len(ids)) // 4
+        self.room(len(own))
+        self.pool[self.held : self.held + len(own)] = own
+        rows = slice(first, self.n)
+        self.keys[rows], self.counts[rows], self.used[rows] = keys, counts, self.now
+        self.starts[rows] = self.held + np.cumsum(counts) - counts
+        self.held += len(own)
+        if 2 * self.n > len(self.slots):
+            self.slots = np.full(1 << (2 * self.n).bit_length(), -1, np.int32)
+            first = 0
+        self._place(first)
+
+    def ids(self, entries: np.ndarray) -> list[bytes]:
+        starts, counts = self.starts[entries], self.counts[entries].astype(np.int64)
+        ends = np.cumsum(counts)
+        data = self.pool[np.repeat(starts - (ends - counts), counts) + np.arange(counts.sum())].tobytes()
+        ends = (ends * 4).tolist()
+        return [data[a:b] for a, b in zip([0, *ends], ends)]
+
+    def age(self, half: int) -> None:
+        """Begin a new generation if this one has touched more than ``half`` entries; those not touched since the last one began go."""
+        if self.n <= half or np.count_nonzero(self.used[: self.n] == self.now) <= half:
+            return
+        kept = np.flatnonzero(self.used[: self.n] == self.now)
+        keys, ids = self.keys[kept], self.ids(kept)
+        self.__init__()
+        self.add(keys, ids)
+        self.now = 1
+
+
 class WordIds:
     """``spaced`` gives the ids of words without spaces, each after one; ``whole`` those of texts. Ids are bytes."""
 
@@ -32,48 +138,68 @@ class WordIds:
     ) -> None:
         self.spaced, self.whole, self.half = spaced, whole, half
         self.special = re.compile("|".join(map(re.escape, special)) or r"(?!)")
-        self.known: dict[str, bytes] = {}
-        self.older: dict[str, bytes] = {}
+        self.known = _Table()
         self.tails: dict[str, bytes] = {}
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        parts = [t.split(" ") for t in texts]
-        if len(self.known) > self.half:
-            self.older, self.known = self.known, {}
-        known, older = self.known, self.older
-        found = [list(map(known.get, words)) for words in parts]
-        gaps = [[k for k, ids in enumerate(f) if ids is None] for f in found]
-        fresh = {words[k] for words, places in zip(parts, gaps) for k in places}
-        back = older.keys() & fresh
-        known.update(zip(back, map(older.__getitem__, back)))
-        self._learn([w for w in fresh - back if w and len(w) <= SHORT and not w[-1].isspace()])
-        whole: list[str] = []
-        places = [self._fill(*text, whole) for text in zip(parts, found, gaps)]
-        ids = iter(self.whole(whole))
-        for f, own in zip(found, places):
-            for place in own:
-                f[place] = next(ids)
-        return [b"".join(f) for f in found]
+        if not texts:
+            return []
+        known = self.known
+        known.age(self.half)
+        parts = [t.encode("utf-8", "surrogatepass") for t in texts]
+        data = b"".join([*parts, bytes(8 * _KEY)])
+        borders = np.append(0, np.cumsum(np.fromiter(map(len, parts), np.int64, len(parts))))
+        # words lie between spaces; a text has one more than spaces
+        spaces = np.flatnonzero(np.frombuffer(data, np.uint8, borders[-1]) == 0x20)
+        firsts = np.searchsorted(spaces, borders[:-1]) + np.arange(len(texts))
+        starts = np.insert(spaces + 1, firsts - np.arange(len(texts)), borders[:-1])
+        lasts = np.append(firsts[1:], len(starts)) - 1
+        ends = np.insert(spaces, lasts - np.arange(len(texts)), borders[1:])
+        lengths = ends - starts
+        short = (lengths > 0) & (lengths <= _WIDTH)
+        short[firsts] = False
+        at = np.flatnonzero(short)
+        keys = _keys(data, starts[at], lengths[at])
+        entries = known.find(keys)
+        known.used[entries[entries >= 0]] = known.now
+        new = np.flatnonzero(entries < 0)
+        words = {data[a:b] for a, b in zip(starts[at[new]].tolist(), ends[at[new]].tolist())}
+        joined = b" ".join(words).decode("utf-8", "surrogatepass")
+        self._learn([w for w in joined.split(" ") if w and not w[-1].isspace()])
+        entries[new] = known.find(keys[new])
+        # where the ids of each word lie in the pool, and how many they are
+        places, counts, open_ = np.zeros(len(starts), np.int64), np.zeros(len(starts), np.int64), np.ones(len(starts), bool)
+        there = entries >= 0
+        places[at[there]], counts[at[there]] = known.starts[entries[there]], known.counts[entries[there]]
+        open_[at[there]] = False
+        self._fill(data, starts, ends, firsts, lasts, open_, places, counts)
+        ends = np.cumsum(counts)
+        ids = known.pool[np.repeat(places - (ends - counts), counts) + np.arange(ends[-1])].tobytes()
+        ends = (ends[lasts] * 4).tolist()
+        return [ids[a:b] for a, b in zip([0, *ends], ends)]
 
     def _learn(self, words: list[str]) -> None:
-        known, older = self.known, self.older
         heads = {w for w in words if w.isalpha()}
         marked = [w for w in words if w not in heads]
-        cut = self._cut(marked)
-        heads.update([c[0] for c in cut])
-        heads -= known.keys()
-        back = older.keys() & heads
-        known.update(zip(back, map(older.__getitem__, back)))
-        missing = list(heads - back)
-        known.update(zip(missing, self.spaced(missing)))
+        # a part that is white space is no word, whatever comes before it
+        cut = [[f" {c[0]}", *c[1:]] if c[0][-1].isspace() else c for c in self._cut(marked)]
+        heads.update([c[0] for c in cut if c[0][0] != " "])
+        some = list(heads)
+        keys = _keys_of(some)
+        entries = self.known.find(keys)
+        there, missing = np.flatnonzero(entries >= 0), np.flatnonzero(entries < 0)
+        self.known.used[entries[there]] = self.known.now
+        fresh = [some[k] for k in missing.tolist()]
+        new = dict(zip(fresh, self.spaced(fresh)))
+        parts = new | dict(zip([some[k] for k in there.tolist()], self.known.ids(entries[there])))
         if len(self.tails) > self.half // 4:
             self.tails.clear()
         tails = self.tails
-        missing = list({x for c in cut for x in c[1:]}.difference(tails))
+        missing = list({x for c in cut for x in c[c[0] in parts :]}.difference(tails))
         tails.update(zip(missing, self.whole(missing)))
-        for word, (head, *rest) in zip(marked, cut):
-            if rest:
-                known[word] = b"".join([known[head], *map(tails.__getitem__, rest)])
+        joined = [w for w, c in zip(marked, cut) if len(c) > 1]
+        ids = [parts.get(c[0], b"") + b"".join(map(tails.__getitem__, c[c[0] in parts :])) for c in cut if len(c) > 1]
+        self.known.add(np.concatenate([keys[entries < 0], _keys_of(joined)]), [*new.values(), *ids])
 
     def _cut(self, words: list[str]) -> list[list[str]]:
         """The parts of words. Words that all may be cut are cut in one string."""
@@ -83,20 +209,29 @@ class WordIds:
                 return [w.split(_MARK) for w in _CUT.sub(_MARK, joined).split(_APART)]
         return [[w] if self.special.search(w) or not _PLAIN.fullmatch(w) else _CUT.split(w) for w in words]
 
-    def _fill(self, words: list[str], found: list[bytes | None], gaps: list[int], whole: list[str]) -> list[int]:
-        """Put known ids into the gaps of a split text. The parts of what remains go to ``whole``; their places are returned."""
-        for k in gaps:
-            found[k] = self.known.get(words[k])
-        # the first word, long words, and words that end in white space with all up to the next that does not
-        places, end = [], 0
-        for at in gaps if gaps[:1] == [0] else [0, *gaps]:
-            if at < end or (at and found[at] is not None):
+    def _fill(
+        self, data: bytes, starts: np.ndarray, ends: np.ndarray, firsts: np.ndarray, lasts: np.ndarray,
+        open_: np.ndarray, places: np.ndarray, counts: np.ndarray,
+    ) -> None:
+        """Ids of words that are still open: the first ones, long ones, and those that end in white space with all up to the next that does not."""
+        rows = np.flatnonzero(open_)
+        begins = np.zeros(len(starts), bool)
+        begins[firsts] = True
+        last_of = lasts[np.searchsorted(firsts, rows, side="right") - 1].tolist()
+        texts, own, end = [], [], 0
+        for at, final in zip(rows.tolist(), last_of):
+            if at < end:
                 continue
             last = at
-            while last + 1 < len(words) and (not words[last] or words[last][-1].isspace()):
+            while last < final and open_[last] and (ends[last] == starts[last] or data[starts[last] : ends[last]].decode("utf-8", "surrogatepass")[-1].isspace()):
                 last += 1
-            whole.append(" " * (at > 0) + " ".join(words[at : last + 1]))
-            places.append(at)
+            counts[at : last + 1] = 0
+            texts.append(data[starts[at] - (not begins[at]) : ends[last]].decode("utf-8", "surrogatepass"))
+            own.append(at)
             end = last + 1
-            found[at:end] = [b""] * (end - at)
-        return places
+        found = self.whole(texts)
+        ids, lengths = np.frombuffer(b"".join(found), "<u4"), np.fromiter(map(len, found), np.int64, len(found)) // 4
+        known = self.known
+        known.room(len(ids))
+        known.pool[known.held : known.held + len(ids)] = ids  # for this batch only
+        places[own], counts[own] = known.held + np.cumsum(lengths) - lengths, lengths

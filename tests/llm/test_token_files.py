@@ -176,3 +176,23 @@ def test_words_go_to_the_model_unless_they_hold_a_special_token():
     encoder.library_ids = encoder.words.whole = lambda some: sent.extend(some) or ids(some)
     assert [np.frombuffer(found, "<u4").tolist() for found in encoder.encode(texts)] == want
     assert not any("thonre" in s or "niñez" in s for s in sent)
+
+
+def test_words_are_rows_of_arrays(tokenizer):
+    """Words are told apart by all their bytes, also by zero bytes and at the ends of a key; a word of the table takes few bytes."""
+    encoder = token_files.Encoder(open(PATH, encoding="utf-8").read())
+    words = [c * n + end for c in ("a", "é", "\0", "中") for n in range(1, 27) for end in ("", "\0", "b", ".", "\n")]
+    rng = random.Random(5)
+    words += ["".join(rng.choice("aeiourstnéß") for _ in range(rng.randint(1, 12))) for _ in range(20_000)]
+    texts = [" ".join(rng.choice(words) for _ in range(rng.randint(0, 300))) for _ in range(300)]
+    want = [tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
+    for known in (encoder.KNOWN, 2000):
+        encoder.KNOWN = known
+        assert [np.frombuffer(x, "<u4").tolist() for k in range(0, 300, 30) for x in encoder.encode(texts[k : k + 30])] == want
+    encoder.encode(["a"])
+    table = encoder.words.known
+    assert 0 < table.n <= 2 * 2000 + 9000
+    rng = random.Random(6)
+    encoder.encode([" ".join("".join(rng.choice("aeiourstn") for _ in range(9)) for _ in range(60_000))])
+    held = sum(x.nbytes for x in vars(table).values() if isinstance(x, np.ndarray))
+    assert table.n > 60_000 and held < 130 * table.n
