@@ -25,7 +25,7 @@ import os
 import re
 import struct
 from array import array
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -47,7 +47,7 @@ _BATCH_BYTES = 1 << 20
 _LENGTHS = (np.arange(256)[:, None] >> (2 * np.arange(4)) & 3).astype(np.uint8) + np.uint8(1)
 _MASKS = np.array([0xFF, 0xFFFF, 0xFFFFFF, 0xFFFFFFFF], np.uint32)
 
-# Words that are one piece behind a space, and the characters that stand for the bytes of their letters beyond ASCII.
+# Words that are one piece, alone or behind a space, and the characters that stand for the bytes of their letters beyond ASCII.
 _LATIN = re.compile(f"[{LATIN}]+")
 _BYTE_SYMBOLS = {b: symbol for symbol, b in byte_symbols().items() if b >= 128}
 
@@ -133,12 +133,12 @@ def read_tokenizer(spark: SparkSession, path: str):
 
 
 class Encoder:
-    """The tokenizers library on whole texts, see :mod:`sparkloom.llm.word_ids`: each word is encoded once by a worker.
+    """The tokenizers library on whole texts, see :mod:`sparkloom.llm.word_ids`: each word, and what stands between words, is encoded once by a worker.
 
     Tokenizers that are not byte-level get whole texts.
     """
 
-    KNOWN = 800_000  # words that one generation may touch, of about 90 bytes each
+    KNOWN = 800_000  # parts that one generation may touch, of about 90 bytes each
 
     def __init__(self, source: str) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark deals out the cores
@@ -155,25 +155,37 @@ class Encoder:
             and not any(t.get("lstrip") or t.get("rstrip") or t.get("single_word") or " " in t["content"] for t in added)
         )
         size = self.library.get_vocab_size()
-        self.words = WordIds(self.spaced_ids, self.library_ids, [t["content"] for t in added], self.KNOWN)
+        self.special = re.compile("|".join(re.escape(t["content"]) for t in added) or r"(?!)")
+        self.words = WordIds(self.spaced_ids, self.text_ids, [t["content"] for t in added], self.KNOWN)
         self.spaced = np.array([(self.library.id_to_token(k) or "").startswith("\u0120") for k in range(size)])  # the byte 0x20
 
     def spaced_ids(self, words: list[str]) -> list[bytes]:
-        """Ids of words without spaces, each after one. One of Latin letters is one piece, and goes to the library's model as such."""
-        tokenize, special = self.library.model.tokenize, self.words.special
+        """Ids of words without spaces, each after one."""
+        return self._piece_ids(words, "\u0120", self._joined_ids)
+
+    def text_ids(self, texts: list[str]) -> list[bytes]:
+        """Ids of any texts."""
+        return self._piece_ids(texts, "", self.library_ids)
+
+    def _piece_ids(self, words: list[str], before: str, rest: Callable[[list[str]], list[bytes]]) -> list[bytes]:
+        """One of Latin letters is one piece, and goes to the library's model as such, behind ``before``; ids of others come from ``rest``."""
+        tokenize = self.library.model.tokenize
         latin = [w for w in words if (w.isalpha() if w.isascii() else _LATIN.fullmatch(w))]
-        if special.search("\n".join(latin)):
-            latin = [w for w in latin if not special.search(w)]
+        if self.special.search("\n".join(latin)):
+            latin = [w for w in latin if not self.special.search(w)]
         ids: list[int] = []
         ends = [0]
         for word in latin:
             symbols = word if word.isascii() else word.encode().decode("latin-1").translate(_BYTE_SYMBOLS)
-            ids += [t.id for t in tokenize(f"\u0120{symbols}")]
+            ids += [t.id for t in tokenize(before + symbols)]
             ends.append(4 * len(ids))
         data = array("I", ids).tobytes()
-        found = dict(zip(latin, [data[a:b] for a, b in zip(ends, ends[1:])]))
+        own = [data[a:b] for a, b in zip(ends, ends[1:])]
+        if len(latin) == len(words):
+            return own
+        found = dict(zip(latin, own))
         others = [w for w in words if w not in found]
-        found.update(zip(others, self._joined_ids(others)))
+        found.update(zip(others, rest(others)))
         return [found[w] for w in words]
 
     def _joined_ids(self, words: list[str]) -> list[bytes]:
@@ -192,6 +204,8 @@ class Encoder:
 
     def library_ids(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as 32-bit numbers."""
+        if not texts:
+            return []
         return [np.array(f.ids, "<u4").tobytes() for f in self.library.encode_batch_fast(texts, add_special_tokens=False)]
 
     def encode(self, texts: list[str]) -> list[bytes]:

@@ -1,53 +1,120 @@
-"""Token ids of whole texts from those of their words, each word of a worker worked out once.
-
-A byte-level pre-tokenizer never joins a visible character with the space after it. So a text can be cut before each
-space that follows a visible character, and its ids are those of its parts. Short parts are looked up, each after a space, all
-words of a batch at once, in a table that is rows of arrays (:class:`_Table`); no word is an object of its own unless it is new.
-Words used neither in this generation nor the one before are forgotten when one has touched as many as it may. So
-frequent words stay, from task to task, and the table is bounded.
-
-A new word is cut again, since words with marks and line ends are many, and what they are made of is not. No piece of the
-pre-tokenizer's pattern has anything but letters behind a letter; one that has letters starts with them, a space or an apostrophe;
-and the last of several white-space characters before a letter is a piece of its own, or begins one. Only words of ASCII and
-Latin letters are cut so, and none with a special token in it.
+"""Token ids of whole texts from those of their parts, each part of a worker worked out once.
+
+A text is cut only where the byte-level pre-tokenizer's pattern always begins a new piece, and where its one look ahead, at the
+end of white space, finds the same in the part alone (:data:`_CUTS`). So a part is mostly a word behind its space, or the marks and line ends
+behind one, and the ids of a text are those of its parts. Marks do not make new words: what they stand at is a part of its own. Places to cut are found
+for all bytes of a batch at once, and short parts are looked up together in a table that is rows of arrays (:class:`_Table`); no
+part is an object of its own unless it is new. Parts used neither in this generation nor the one before are forgotten when one has touched as many as
+it may. So frequent words stay, from task to task, and the table is bounded.
+
+Special tokens are taken out of a text before it meets the pattern. So a word with one in it is not cut, nor the white space before it.
 """
 
 from __future__ import annotations
 
-import re
 from collections.abc import Callable
 
 import numpy as np
 
-SHORT = 64
 LATIN = "A-Za-zÀ-ÖØ-öø-ɏ"
-_PLAIN = re.compile(f"[\\x00-\\x7f{LATIN}]*")
-_CUT = re.compile(f"(?<=[{LATIN}])(?=[\\x00-@\\[-`{{-\\x7f])|(?<=\\n)(?=[{LATIN}])|(?<=\\s)(?=\\n[{LATIN}])")
 
-_KEY = 3  # 64-bit numbers that hold a word's bytes and, in the last byte, its length
+# Kinds of bytes: space, those of letters (ASCII and LATIN), other printable ASCII, apostrophe, line feed, other ASCII, all others; and
+# no byte, behind a text's last.
+_SPACE, _LETTER, _PRINT, _QUOTE, _LINE, _CONTROL, _OTHER, _END = range(8)
+
+
+def _kind(byte: int) -> int:
+    if byte >= 0x80:
+        return _OTHER  # see _kinds
+    if chr(byte).isalpha():
+        return _LETTER
+    return {0x20: _SPACE, 0x27: _QUOTE, 0x0A: _LINE}.get(byte, _PRINT if 0x20 < byte < 0x7F else _CONTROL)
+
+
+def _is_cut(before: int, here: int, after: int) -> bool:
+    """May a text be cut between a byte of the kind ``before`` and one of the kind ``here``, with ``after`` behind it?
+
+    Only letters of a piece stand behind its letters. Letters begin a piece, but for a space or an apostrophe at its start. A space behind a
+    visible character begins one, and so does a space before one: what white space comes before it is a piece. Likewise a line
+    feed before a letter is a piece, and all white space before it another.
+    """
+    visible = (_LETTER, _PRINT, _QUOTE)
+    if here == _SPACE:
+        return before in (*visible, _OTHER) or after in visible  # but for other white space, see _cuts
+    if here == _LETTER:
+        return before in (_PRINT, _LINE)
+    if here == _LINE and after == _LETTER and before not in visible:
+        return True
+    return before == _LETTER and here in (_PRINT, _QUOTE, _LINE, _CONTROL)
+
+
+_KINDS = np.array([_kind(b) for b in range(256)], np.uint8)
+_CUTS = np.array([_is_cut(k >> 6, k >> 3 & 7, k & 7) for k in range(512)])
+
+_KEY = 3  # 64-bit numbers that hold a part's bytes and, in the last byte, its length
 _WIDTH = 8 * _KEY - 1
-_BYTES = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)  # the first bytes of a number
+# the bytes that each number holds of a part, by the part's length
+_HELD = np.array([[(1 << 8 * min(max(n - 8 * k, 0), 8)) - 1 for n in range(_WIDTH + 1)] for k in range(_KEY)], np.uint64)
 _SPREAD = np.array([0x9E3779B97F4A7C15, 0xD1342543DE82EF95, 0xBF58476D1CE4E5B9], np.uint64)
 
-_MARK, _APART = "\x01", "\ue000"  # the latter is neither a letter nor white space
+
+def _kinds(data: np.ndarray) -> np.ndarray:
+    """The kind of each byte of UTF-8, which ends in a spare byte."""
+    kinds = _KINDS[data]
+    leads = np.flatnonzero((data >= 0xC3) & (data <= 0xC9))
+    if len(leads):
+        lead, next_ = data[leads], data[leads + 1]
+        sign = (lead == 0xC3) & ((next_ == 0x97) | (next_ == 0xB7))
+        leads = leads[~sign & ((lead < 0xC9) | (next_ <= 0x8F))]
+        kinds[leads] = kinds[leads + 1] = _LETTER
+    return kinds
+
+
+def _ends_white(data: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Is the character before these places white space beyond ASCII?"""
+    a, b, c = data[ends - 3], data[ends - 2], data[ends - 1]
+    general = (a == 0xE2) & (b == 0x80) & ((c <= 0x8A) | (c == 0xA8) | (c == 0xA9) | (c == 0xAF))
+    others = ((a == 0xE1) & (b == 0x9A) & (c == 0x80)) | ((a == 0xE2) & (b == 0x81) & (c == 0x9F)) | ((a == 0xE3) & (b == 0x80) & (c == 0x80))
+    return general | others | ((b == 0xC2) & ((c == 0x85) | (c == 0xA0)))
+
+
+def _cuts(data: bytes, borders: np.ndarray, special: list[bytes]) -> np.ndarray:
+    """The first places of the parts of texts, which stand between ``borders``, followed by spare bytes."""
+    size = int(borders[-1])
+    raw = np.frombuffer(data, np.uint8)
+    kinds = _kinds(raw[: size + 1]).astype(np.uint16)
+    kinds[size] = _END
+    cut = np.zeros(size + 1, bool)
+    cut[1:size] = _CUTS[kinds[:-2] << 6 | kinds[1:-1] << 3 | kinds[2:]]
+    lasts = borders[1:][np.diff(borders) > 1] - 1
+    cut[lasts] = _CUTS[kinds[lasts - 1] << 6 | kinds[lasts] << 3 | _END]
+    spaces = np.flatnonzero((kinds[:-1] == _OTHER) & (kinds[1:] == _SPACE)) + 1
+    spaces = spaces[_ends_white(raw, spaces)]
+    after = np.where(np.isin(spaces, lasts), _END, kinds[spaces + 1])
+    cut[spaces] = (after >= _LETTER) & (after <= _QUOTE)
+    for token in special:
+        at = data.find(token, 0, size)
+        while at >= 0:
+            first, last = data.rfind(b" ", 0, at) + 1, data.find(b" ", at + len(token), size)
+            while first and not 0x20 < data[first - 1] < 0x7F:
+                first -= 1
+            last = last if last >= 0 else size
+            cut[first + 1 : last] = False
+            at = data.find(token, last, size)
+    cut[borders] = True
+    return np.flatnonzero(cut[:size])
 
 
 def _keys(data: bytes, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
-    """The keys of the words at these places, equal only for equal words. ``data`` ends in spare bytes, a key's length; no word is over ``_WIDTH``."""
+    """The keys of the parts at these places, equal only for equal parts. ``data`` ends in spare bytes, a key's length; no part is over ``_WIDTH``."""
     numbers = np.ndarray((len(data) - 7,), "<u8", data, strides=(1,))
     keys = np.empty((len(starts), _KEY), np.uint64)
     for k in range(_KEY):
-        keys[:, k] = numbers[starts + 8 * k] & _BYTES[np.clip(lengths - 8 * k, 0, 8)]
+        np.bitwise_and(numbers[starts + 8 * k], _HELD[k][lengths], out=keys[:, k])
     keys[:, -1] |= lengths.astype(np.uint64) << np.uint64(56)
     return keys
 
 
-def _keys_of(words: list[str]) -> np.ndarray:
-    data = [w.encode("utf-8", "surrogatepass") for w in words]
-    lengths = np.fromiter(map(len, data), np.int64, len(data))
-    return _keys(b"".join([*data, bytes(8 * _KEY)]), np.cumsum(lengths) - lengths, lengths)
-
-
 class _Table:
     """Ids by key: open addressing to numbers of entries, which stand in the order they came; their ids lie in one pool."""
 
@@ -68,14 +135,20 @@ class _Table:
         """The entry of each key, -1 if there is none."""
         slots = self._homes(keys)
         found = self.slots[slots]
-        rows = np.arange(len(keys))
+        rows = np.flatnonzero((found >= 0) & self._differ(found, keys))
         while len(rows):
-            own = found[rows]
-            rows = rows[(own >= 0) & (self.keys[own] != keys[rows]).any(axis=1)]
             slots[rows] = (slots[rows] + 1) & (len(self.slots) - 1)
-            found[rows] = self.slots[slots[rows]]
+            found[rows] = own = self.slots[slots[rows]]
+            rows = rows[(own >= 0) & self._differ(own, keys[rows])]
         return found
 
+    def _differ(self, entries: np.ndarray, keys: np.ndarray) -> np.ndarray:
+        held = self.keys[entries]
+        differ = held[:, 0] != keys[:, 0]
+        for k in range(1, _KEY):
+            differ |= held[:, k] != keys[:, k]
+        return differ
+
     def _place(self, first: int) -> None:
         """Entries from this one on take the first free slots from their own on."""
         entries = np.arange(first, self.n, dtype=np.int32)
@@ -137,9 +210,8 @@ class WordIds:
         self, spaced: Callable[[list[str]], list[bytes]], whole: Callable[[list[str]], list[bytes]], special: list[str], half: int
     ) -> None:
         self.spaced, self.whole, self.half = spaced, whole, half
-        self.special = re.compile("|".join(map(re.escape, special)) or r"(?!)")
+        self.special = [x.encode("utf-8", "surrogatepass") for x in special if x]
         self.known = _Table()
-        self.tails: dict[str, bytes] = {}
 
     def encode(self, texts: list[str]) -> list[bytes]:
         if not texts:
@@ -149,89 +221,45 @@ class WordIds:
         parts = [t.encode("utf-8", "surrogatepass") for t in texts]
         data = b"".join([*parts, bytes(8 * _KEY)])
         borders = np.append(0, np.cumsum(np.fromiter(map(len, parts), np.int64, len(parts))))
-        # words lie between spaces; a text has one more than spaces
-        spaces = np.flatnonzero(np.frombuffer(data, np.uint8, borders[-1]) == 0x20)
-        firsts = np.searchsorted(spaces, borders[:-1]) + np.arange(len(texts))
-        starts = np.insert(spaces + 1, firsts - np.arange(len(texts)), borders[:-1])
-        lasts = np.append(firsts[1:], len(starts)) - 1
-        ends = np.insert(spaces, lasts - np.arange(len(texts)), borders[1:])
+        starts = _cuts(data, borders, self.special)
+        ends = np.append(starts, borders[-1])[1:]
         lengths = ends - starts
-        short = (lengths > 0) & (lengths <= _WIDTH)
-        short[firsts] = False
+        short = lengths <= _WIDTH
         at = np.flatnonzero(short)
         keys = _keys(data, starts[at], lengths[at])
         entries = known.find(keys)
         known.used[entries[entries >= 0]] = known.now
         new = np.flatnonzero(entries < 0)
-        words = {data[a:b] for a, b in zip(starts[at[new]].tolist(), ends[at[new]].tolist())}
-        joined = b" ".join(words).decode("utf-8", "surrogatepass")
-        self._learn([w for w in joined.split(" ") if w and not w[-1].isspace()])
+        parts = [data[a:b] for a, b in zip(starts[at[new]].tolist(), ends[at[new]].tolist())]
+        rows = dict(zip(parts, new.tolist()))  # one of each part
+        known.add(keys[np.fromiter(rows.values(), np.int64, len(rows))], self._ids(list(rows)))
         entries[new] = known.find(keys[new])
-        # where the ids of each word lie in the pool, and how many they are
-        places, counts, open_ = np.zeros(len(starts), np.int64), np.zeros(len(starts), np.int64), np.ones(len(starts), bool)
-        there = entries >= 0
-        places[at[there]], counts[at[there]] = known.starts[entries[there]], known.counts[entries[there]]
-        open_[at[there]] = False
-        self._fill(data, starts, ends, firsts, lasts, open_, places, counts)
-        ends = np.cumsum(counts)
-        ids = known.pool[np.repeat(places - (ends - counts), counts) + np.arange(ends[-1])].tobytes()
-        ends = (ends[lasts] * 4).tolist()
-        return [ids[a:b] for a, b in zip([0, *ends], ends)]
-
-    def _learn(self, words: list[str]) -> None:
-        heads = {w for w in words if w.isalpha()}
-        marked = [w for w in words if w not in heads]
-        # a part that is white space is no word, whatever comes before it
-        cut = [[f" {c[0]}", *c[1:]] if c[0][-1].isspace() else c for c in self._cut(marked)]
-        heads.update([c[0] for c in cut if c[0][0] != " "])
-        some = list(heads)
-        keys = _keys_of(some)
-        entries = self.known.find(keys)
-        there, missing = np.flatnonzero(entries >= 0), np.flatnonzero(entries < 0)
-        self.known.used[entries[there]] = self.known.now
-        fresh = [some[k] for k in missing.tolist()]
-        new = dict(zip(fresh, self.spaced(fresh)))
-        parts = new | dict(zip([some[k] for k in there.tolist()], self.known.ids(entries[there])))
-        if len(self.tails) > self.half // 4:
-            self.tails.clear()
-        tails = self.tails
-        missing = list({x for c in cut for x in c[c[0] in parts :]}.difference(tails))
-        tails.update(zip(missing, self.whole(missing)))
-        joined = [w for w, c in zip(marked, cut) if len(c) > 1]
-        ids = [parts.get(c[0], b"") + b"".join(map(tails.__getitem__, c[c[0] in parts :])) for c in cut if len(c) > 1]
-        self.known.add(np.concatenate([keys[entries < 0], _keys_of(joined)]), [*new.values(), *ids])
-
-    def _cut(self, words: list[str]) -> list[list[str]]:
-        """The parts of words. Words that all may be cut are cut in one string."""
-        joined = _APART.join(words)
-        if _MARK not in joined and joined.count(_APART) == len(words) - 1 and _PLAIN.fullmatch(joined.replace(_APART, "")):
-            if not self.special.search(joined):
-                return [w.split(_MARK) for w in _CUT.sub(_MARK, joined).split(_APART)]
-        return [[w] if self.special.search(w) or not _PLAIN.fullmatch(w) else _CUT.split(w) for w in words]
-
-    def _fill(
-        self, data: bytes, starts: np.ndarray, ends: np.ndarray, firsts: np.ndarray, lasts: np.ndarray,
-        open_: np.ndarray, places: np.ndarray, counts: np.ndarray,
-    ) -> None:
-        """Ids of words that are still open: the first ones, long ones, and those that end in white space with all up to the next that does not."""
-        rows = np.flatnonzero(open_)
-        begins = np.zeros(len(starts), bool)
-        begins[firsts] = True
-        last_of = lasts[np.searchsorted(firsts, rows, side="right") - 1].tolist()
-        texts, own, end = [], [], 0
-        for at, final in zip(rows.tolist(), last_of):
-            if at < end:
-                continue
-            last = at
-            while last < final and open_[last] and (ends[last] == starts[last] or data[starts[last] : ends[last]].decode("utf-8", "surrogatepass")[-1].isspace()):
-                last += 1
-            counts[at : last + 1] = 0
-            texts.append(data[starts[at] - (not begins[at]) : ends[last]].decode("utf-8", "surrogatepass"))
-            own.append(at)
-            end = last + 1
-        found = self.whole(texts)
-        ids, lengths = np.frombuffer(b"".join(found), "<u4"), np.fromiter(map(len, found), np.int64, len(found)) // 4
+        # where the ids of each part lie in the pool, and how many they are
+        places, counts = np.empty(len(starts), np.int64), np.empty(len(starts), np.int64)
+        places[at], counts[at] = known.starts[entries], known.counts[entries]
+        long = np.flatnonzero(~short)
+        places[long], counts[long] = self._lend([data[a:b] for a, b in zip(starts[long].tolist(), ends[long].tolist())])
+        ends = np.append(0, np.cumsum(counts))
+        ids = known.pool[np.repeat(places - ends[:-1], counts) + np.arange(ends[-1])].tobytes()
+        ends = (ends[np.searchsorted(starts, borders)] * 4).tolist()
+        return [ids[a:b] for a, b in zip(ends, ends[1:])]
+
+    def _ids(self, parts: list[bytes]) -> list[bytes]:
+        texts = [p.decode("utf-8", "surrogatepass") for p in parts]
+        words = [k for k, t in enumerate(texts) if t[0] == " " and t[1:].isalpha()]
+        found = [b""] * len(texts)
+        for k, ids in zip(words, self.spaced([texts[k][1:] for k in words])):
+            found[k] = ids
+        others = sorted(set(range(len(texts))).difference(words))
+        for k, ids in zip(others, self.whole([texts[k] for k in others])):
+            found[k] = ids
+        return found
+
+    def _lend(self, parts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Places in the pool, for this batch only, and numbers of the ids of long parts."""
+        found = self.whole([p.decode("utf-8", "surrogatepass") for p in parts])
+        ids, counts = np.frombuffer(b"".join(found), "<u4"), np.fromiter(map(len, found), np.int64, len(found)) // 4
         known = self.known
         known.room(len(ids))
-        known.pool[known.held : known.held + len(ids)] = ids  # for this batch only
-        places[own], counts[own] = known.held + np.cumsum(lengths) - lengths, lengths
+        known.pool[known.held : known.held + len(ids)] = ids
+        return known.held + np.cumsum(counts) - counts, counts

@@ -196,3 +196,28 @@ def test_words_are_rows_of_arrays(tokenizer):
     encoder.encode([" ".join("".join(rng.choice("aeiourstn") for _ in range(9)) for _ in range(60_000))])
     held = sum(x.nbytes for x in vars(table).values() if isinstance(x, np.ndarray))
     assert table.n > 60_000 and held < 130 * table.n
+
+
+def test_marks_and_words_are_entries_of_their_own(tokenizer):
+    """Words with marks are not kept beside their parts, so the table grows with words and marks and not with pairs of them."""
+    encoder = token_files.Encoder(open(PATH, encoding="utf-8").read())
+    words = [f"{a}{b}té" for a in "bcdfghjklm" for b in ("an", "én", "or", "ub", "yl")]
+    marks = [".", ",", ";", "!!", "$$$", ".\n", ",&&&", ")", "-", "'s", "12", "\n\n"]
+    texts = [" ".join(w + m + v for w in words for v in ("", "Le", "x")) for m in marks]
+    want = [tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
+    assert [np.frombuffer(x, "<u4").tolist() for x in encoder.encode(texts)] == want
+    assert encoder.words.known.n < 2 * (len(words) + 3 * len(marks))
+
+
+def test_parts_keep_their_ids_between_white_space_and_special_tokens():
+    """White space before a word, a special token or the end of a text is taken apart as the library does."""
+    library = Tokenizer.from_file(PATH)
+    library.add_special_tokens(["PAD", "é|", "\n\n\n"])
+    encoder = token_files.Encoder(library.to_str())
+    assert encoder.by_words
+    rng = random.Random(7)
+    space = [" ", " ", "  ", "\n", "\n", "\t", "\x1c", "\x85", " ", " ", " ", "　", "​"]
+    parts = space + ["a", "é", "×", "ɏ", "ɐ", "слово", "中", "́", "’", "'", "'s", ".", "1", "PAD", "é|", "<|endoftext|>", "<|endof", "text|>"]
+    texts = ["".join(rng.choice(parts) for _ in range(rng.randint(0, 12))) for _ in range(4000)]
+    want = [library.encode(t, add_special_tokens=False).ids for t in texts]
+    assert [np.frombuffer(x, "<u4").tolist() for k in range(0, 4000, 100) for x in encoder.encode(texts[k : k + 100])] == want
